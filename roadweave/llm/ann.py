@@ -194,14 +194,14 @@ def nearest(
     asked = materialize(sent, "probes")
     wanted = {r["list"]: r["count"] for r in asked.groupBy("list").count().collect()}
     blocks = spark.createDataFrame(
-        [(i, -(-sizes[i] // (4 * list_rows)), -(-wanted.get(i, 1) // (4 * list_rows))) for i in sizes], "list int, vb int, qb int"
+        [(i, -(-sizes[i] // (4 * list_rows)), -(-wanted.get(i, 1) // (4 * list_rows))) for i in sizes], "list int, vb bigint, qb bigint"
     )
     deal = lambda column, n: F.pmod(F.xxhash64(column), F.col(n))
     left = posted.join(F.broadcast(blocks), "list").select(
-        "list", deal("vid", "vb").alias("b"), F.explode(F.sequence(F.lit(0), F.col("qb") - 1)).alias("c"), "ids", "v"
+        "list", deal("vid", "vb").alias("b"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("qb") - 1)).alias("c"), "ids", "v"
     )
     right = asked.join(F.broadcast(blocks), "list").select(
-        "list", F.explode(F.sequence(F.lit(0), F.col("vb") - 1)).cast("bigint").alias("b"), deal("qid", "qb").cast("int").alias("c"), "qid", "v"
+        "list", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("vb") - 1)).alias("b"), deal("qid", "qb").alias("c"), "qid", "v"
     )
 
     def search(_key, held: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
