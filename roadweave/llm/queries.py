@@ -6,17 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, exact_dedup, packing, quality, url_filter, warc
+from . import ann, bpe, exact_dedup, html_text, ngram_join, packing, quality, suffix_dedup, url_filter, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+        "op2_suffix_dedup": suffix_dedup.op2_suffix_dedup,
+        "op3_ngram_join": ngram_join.op3_ngram_join,
         "op4_nearest": ann.op4_nearest,
         "op5_quality": quality.op5_quality,
         "op6_warc": warc.op6_warc,
         "op7_packing": packing.op7_packing,
         "op8_url_filter": url_filter.op8_url_filter,
+        "op9_html_extraction": html_text.op9_html_extraction,
         "op10_byte_bpe": bpe.op10_byte_bpe,
     }
 
