@@ -14,7 +14,9 @@ pivots inside the region make Voronoi cells, a document is replicated to each
 cell whose pivot is at most twice the radius farther than its own (triangle
 inequality), and cells are joined recursively.  Documents already linked to the
 pivot need no comparison with each other.  Regions that outgrow a task are cut
-into tiles of blocks, so no group and no task grows with the data.
+into tiles of blocks, so no group and no task grows with the data.  Before sets travel,
+sketches of 256 bytes (counts by hash bucket, which bound an intersection from
+above) drop the members of a region that can't be linked with any other.
 
 Equal sets are one node, so copies never meet in pairs.  Nodes are named by 64
 bits of their digest.
@@ -28,6 +30,7 @@ gives an empty result; other columns are not read.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,6 +47,7 @@ from .shingles import shingle_sets
 BUCKETS = 1 << 16
 TILE_ROWS = 512
 LEAF = 96
+SKETCH = 256
 PIVOTS = 6
 
 
@@ -68,8 +72,23 @@ def _bucket_counts(docs: DataFrame, text: str, words: int) -> np.ndarray:
     return counts
 
 
+def _sketch(items: np.ndarray) -> bytes:
+    """How many of the hashes fall into each of ``SKETCH`` buckets; empty where a count needs more than a byte."""
+    counts = np.bincount(((items >> np.uint64(40)) & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
+    return b"" if counts.max() > 255 else counts.astype(np.uint8).tobytes()
+
+
+def _may_link(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets of sizes na, nb with sketches a, b (rows) can be linked: buckets bound the intersection from above."""
+    most = np.zeros((len(a), len(b)), dtype=np.int32)
+    for i in range(0, len(a), max(1, (1 << 21) // max(1, b.size))):
+        part = a[i : i + max(1, (1 << 21) // max(1, b.size))]
+        most[i : i + len(part)] = np.minimum(part[:, None, :], b[None, :, :]).sum(axis=2, dtype=np.int32)
+    return 100 * most.astype(np.int64) >= percent * (na[:, None] + nb[None, :] - most)
+
+
 def _signatures(docs: DataFrame, key: str, text: str, words: int, percent: int) -> DataFrame:
-    """(doc, n, node, prefix) for each row."""
+    """(doc, n, node, prefix, sketch) for each row."""
     counts = docs.sparkSession.sparkContext.broadcast(_bucket_counts(docs, text, words))
     key_type = docs.select(key).schema[0].dataType.simpleString()
 
@@ -77,10 +96,11 @@ def _signatures(docs: DataFrame, key: str, text: str, words: int, percent: int)
         order = counts.value
         for batch in batches:
             for part in slices(batch, 1, 4 << 20):
-                sizes, nodes, prefixes = [], [], []
+                sizes, nodes, prefixes, sketches = [], [], [], []
                 for s in shingle_sets(part.column(1).to_pylist(), words):
                     n = len(s)
                     sizes.append(n)
+                    sketches.append(_sketch(s))
                     nodes.append(int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True))
                     take = n - -(-percent * n // 100) + 1 if n else 0
                     if take < n:
@@ -91,11 +111,11 @@ def _signatures(docs: DataFrame, key: str, text: str, words: int, percent: int)
                 ends = np.concatenate(([0], np.cumsum([len(p) for p in prefixes]))).astype(np.int32)
                 flat = np.concatenate(prefixes) if prefixes else np.zeros(0, dtype=np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(sizes, pa.int32()), pa.array(nodes, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))],
-                    ["doc", "n", "node", "prefix"],
+                    [part.column(0), pa.array(sizes, pa.int32()), pa.array(nodes, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array(sketches, pa.binary())],
+                    ["doc", "n", "node", "prefix", "sketch"],
                 )
 
-    made = docs.select(key, text).mapInArrow(work, f"doc {key_type}, n int, node bigint, prefix array<bigint>")
+    made = docs.select(key, text).mapInArrow(work, f"doc {key_type}, n int, node bigint, prefix array<bigint>, sketch binary")
     return materialize(made, "signatures")
 
 
@@ -115,7 +135,9 @@ def _sets(docs: DataFrame, key: str, text: str, words: int, wanted: DataFrame) -
 
     rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
     met = rows.join(wanted, F.col("k").eqNullSafe(F.col("doc"))).select("node", "t")
-    return materialize(met.mapInArrow(work, "node bigint, items binary"), "sets")
+    sets = materialize(met.mapInArrow(work, "node bigint, items binary"), "sets")
+    again = sets.groupBy("node").count().filter("count > 1")  # only where a key and its text are repeated
+    return sets if again.isEmpty() else sets.dropDuplicates(["node"])
 
 
 def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -195,18 +217,12 @@ def join_region(sets: list[np.ndarray], labels: np.ndarray, percent: int) -> lis
     return sorted(found)
 
 
-def _region_links(members: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links between documents of one region that the pivots left in different components.
+def _tiles(rows: DataFrame) -> DataFrame:
+    """``rows`` (p, node, settled, ...) once for each tile (x, y) of region p they are needed in.
 
-    members: (token, node, p).  A tile pairs two blocks of a region; of blocks linked to the pivot, none meets another.
+    A tile pairs two blocks of a region.  Open blocks meet each other and all
+    settled blocks; settled blocks don't meet.  Regions without open rows have no tiles.
     """
-    own = labels.select("node", "label")
-    named = members.join(own, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    open_tokens = named.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi").select("token")
-    rows = named.join(open_tokens, "token", "left_semi").select("p", "node", "label").distinct()
-    pivots = labels.select(F.col("node").alias("p"), F.col("label").alias("p_label"))
-    rows = rows.join(pivots, "p", "left").withColumn("settled", F.col("label") == F.coalesce("p_label", "p"))
-    rows = materialize(rows.select("p", "node", "label", "settled"), "regions")
     blocks = lambda n: F.greatest(F.lit(1), F.ceil(n / TILE_ROWS)).cast("int")
     sizes = rows.groupBy("p").agg(
         blocks(F.sum((~F.col("settled")).cast("int"))).alias("nu"), blocks(F.sum(F.col("settled").cast("int"))).alias("ns"), F.count_if(~F.col("settled")).alias("open")
@@ -220,8 +236,59 @@ def _region_links(members: DataFrame, labels: DataFrame, sets: DataFrame, percen
     settled = F.transform(every, lambda j: F.struct(j.alias("x"), (F.col("nu") + F.pmod("at", "ns").cast("int")).alias("y")))
     one = F.array(F.struct(F.lit(0).alias("x"), F.lit(0).alias("y")))
     tiles = F.when((F.col("nu") == 1) & (F.col("ns") == 1), one).when(F.col("settled"), settled).otherwise(F.concat(with_open, with_settled))
-    tiled = dealt.select("p", "node", "label", F.explode(tiles).alias("tile")).select("p", "tile.x", "tile.y", "node", "label")
-    met = tiled.join(sets, "node")
+    return dealt.select(*rows.columns, F.explode(tiles).alias("tile")).select(*rows.columns, "tile.x", "tile.y")
+
+
+def _screened(members: DataFrame, signatures: DataFrame, percent: int) -> DataFrame:
+    """(p, node): members of a region that may be linked with another member, by sketches alone.  None that is linked is lost.
+
+    Who may be linked with the pivot stays at once and needs no comparison with its like.
+    """
+    pairs = members.select("p", "pn", "node", "n").distinct()
+    used = pairs.select("node").union(pairs.select("p")).distinct()
+    sketches = materialize(signatures.join(used, "node").groupBy("node").agg(F.max("sketch").alias("sketch")), "sketches")
+
+    @F.pandas_udf("boolean")
+    def near(a: pd.Series, b: pd.Series, na: pd.Series, nb: pd.Series) -> pd.Series:
+        out = np.ones(len(a), dtype=bool)
+        known = np.flatnonzero((a.map(len) > 0).to_numpy() & (b.map(len) > 0).to_numpy())
+        if len(known):
+            x, y = (np.frombuffer(b"".join(c.iloc[known]), dtype=np.uint8).reshape(-1, SKETCH) for c in (a, b))
+            most = np.minimum(x, y).sum(axis=1, dtype=np.int64)
+            out[known] = 100 * most >= percent * (na.to_numpy()[known] + nb.to_numpy()[known] - most)
+        return pd.Series(out)
+
+    met = pairs.join(sketches, "node").join(sketches.select(F.col("node").alias("p"), F.col("sketch").alias("p_sketch")), "p")
+    rows = met.select("p", "node", "n", "sketch", near("sketch", "p_sketch", F.col("n"), F.col("pn")).alias("settled"))
+    rows = materialize(rows, "screened")
+
+    def work(pdf: pd.DataFrame) -> pd.DataFrame:
+        open_rows = ~pdf["settled"].to_numpy()
+        known = (pdf["sketch"].map(len) > 0).to_numpy()
+        sketch = np.full((len(pdf), SKETCH), 255, dtype=np.uint8)
+        sketch[known] = np.frombuffer(b"".join(pdf["sketch"][known]), dtype=np.uint8).reshape(-1, SKETCH)
+        n, own = pdf["n"].to_numpy().astype(np.int64), pdf["node"].to_numpy()
+        hit = _may_link(sketch[open_rows], sketch, n[open_rows], n, percent) & (own[open_rows][:, None] != own[None, :])
+        stays = np.zeros(len(pdf), dtype=bool)
+        stays[open_rows] = hit.any(axis=1)
+        stays |= hit.any(axis=0)
+        return pdf.loc[stays, ["p", "node"]]
+
+    found = _tiles(rows).groupBy("p", "x", "y").applyInPandas(work, "p bigint, node bigint")
+    several = rows.filter("settled").groupBy("p").count().filter("count > 1").select("p")  # the pivot is near itself
+    return found.unionByName(rows.filter("settled").join(several, "p", "left_semi").select("p", "node")).distinct()
+
+
+def _region_links(members: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between documents of one region that the pivots left in different components.  members: (token, node, p)."""
+    own = labels.select("node", "label")
+    named = members.join(own, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    open_tokens = named.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi").select("token")
+    rows = named.join(open_tokens, "token", "left_semi").select("p", "node", "label").distinct()
+    pivots = labels.select(F.col("node").alias("p"), F.col("label").alias("p_label"))
+    rows = rows.join(pivots, "p", "left").withColumn("settled", F.col("label") == F.coalesce("p_label", "p"))
+    rows = materialize(rows.select("p", "node", "label", "settled"), "regions")
+    met = _tiles(rows).join(sets, "node")
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
         nodes = pdf["node"].to_numpy()
@@ -231,21 +298,39 @@ def _region_links(members: DataFrame, labels: DataFrame, sets: DataFrame, percen
     return met.groupBy("p", "x", "y").applyInPandas(work, "a bigint, b bigint").distinct()
 
 
+def _members(signatures: DataFrame, percent: int) -> DataFrame:
+    """(token, node, n, p, pn): regions with at least two documents of linkable sizes, and each one's pivot.
+
+    Of two linked documents the smaller has a shared shingle even in its first
+    ``n - ceil(2 t / (1 + t) n) + 1``.  Sizes are cut into classes one threshold
+    wide; a document counts in its own and the next, so linkable sizes meet.
+    """
+    short = F.col("pos") <= F.col("n") - F.ceil(F.lit(2 * percent) * F.col("n") / (100 + percent) - 1e-9)
+    tokens = signatures.select("node", "n", F.posexplode("prefix").alias("pos", "token")).select("node", "n", "token", short.alias("short"))
+    groups = tokens.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.max("short").alias("short")).filter("lo != hi AND short")
+    met = materialize(tokens.join(groups.select("token"), "token").distinct(), "met")
+
+    own = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent) + 1e-9)
+    classed = met.withColumn("class", F.explode(F.array(own, own + 1))).withColumn("token", F.struct("token", "class")).drop("class")
+    pivot = F.min(F.when(F.col("short"), F.struct("n", "node"))).alias("first")
+    pivots = classed.groupBy("token").agg(pivot).filter("first is not null").select("token", F.col("first.node").alias("p"), F.col("first.n").alias("pn"))
+    kept = classed.join(pivots, "token").filter("n >= pn")
+    several = kept.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo != hi").select("token")
+    return materialize(kept.join(several, "token", "left_semi").select("token", "node", "n", "p", "pn"), "members")
+
+
 def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
     """(key, n_shingles, component_id) for each row of ``docs``: components of links of ``percent`` similarity at least."""
     signatures = _signatures(docs, key, text, words, percent)
-    tokens = signatures.select("node", "n", F.explode("prefix").alias("token"))
-    least = F.min(F.struct("node", "n"))
-    groups = tokens.groupBy("token").agg(least.alias("first"), F.max("node").alias("last")).filter("first.node != last")
-    groups = groups.select("token", F.col("first.node").alias("p"), F.col("first.n").alias("pn"))
-    members = materialize(tokens.join(groups, "token").select("token", "node", "n", "p", "pn").distinct(), "members")
-    near = (100 * F.least("n", "pn") >= percent * F.greatest("n", "pn")) & (F.col("node") != F.col("p"))
+    members = _members(signatures, percent)
+    members = materialize(members.join(_screened(members, signatures, percent), ["p", "node"], "left_semi"), "members")
+    near = (100 * F.col("pn") >= percent * F.col("n")) & (F.col("node") != F.col("p"))
     counted = members.filter(near).groupBy("node", "p").count().groupBy("node").agg(F.max(F.struct("count", "p")).alias("best"))
     stars = materialize(counted.select(F.col("node").alias("a"), F.col("best.p").alias("b")), "stars")
 
     used = members.select("node").distinct()
     wanted = signatures.join(used, "node").groupBy("node").agg(F.min("doc").alias("doc"))
-    sets = _sets(docs, key, text, words, wanted).dropDuplicates(["node"])
+    sets = _sets(docs, key, text, words, wanted)
     links = materialize(_verified(stars, sets, percent), "verified")
     labels = materialize(components(links), "labels")
     more = materialize(_region_links(members.select("token", "node", "p"), labels, sets, percent), "region-links")
