@@ -136,11 +136,10 @@ class Encoder:
         rest[offsets[:-1]] = False
         used = np.zeros(len(words.dictionary), dtype=bool)
         used[codes[rest]] = True
-        names = words.dictionary.to_pylist()
         places = np.flatnonzero(used)
-        parts = [" " + names[i] for i in places.tolist()] + [names[i] for i in first.tolist()]
-        ids = self._ids(parts)
-        place = np.zeros(len(names), dtype=np.int64)
+        ids = self._ids(words.dictionary.take(pa.array(places)).to_pylist())
+        ids += self._made(words.dictionary.take(pa.array(first)).to_pylist())
+        place = np.zeros(len(used), dtype=np.int64)
         place[places] = np.arange(len(places))
         codes = place[codes]
         codes[offsets[:-1]] = len(places) + np.arange(len(first))
@@ -152,21 +151,27 @@ class Encoder:
         bounds = ends[offsets].tolist()
         return [joined[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
-    def _ids(self, parts: list[str]) -> list[bytes]:
+    def _ids(self, words: list[str]) -> list[bytes]:
+        """Ids of distinct words, each with the blank before it."""
         known = self.known
-        ids = [known.get(p) for p in parts]
-        new = list({p for p, i in zip(parts, ids, strict=True) if i is None})
-        if new:
-            found = [x.ids for x in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-            ends = np.cumsum([4 * len(x) for x in found], dtype=np.int64).tolist()
-            flat = np.fromiter(chain.from_iterable(found), dtype="<u4", count=ends[-1] // 4).tobytes()
-            made = {p: flat[a:b] for p, a, b in zip(new, [0, *ends], ends, strict=False)}
-            ids = [made[p] if i is None else i for p, i in zip(parts, ids, strict=True)]
-            if len(known) + len(made) > CACHE_PARTS:
+        ids = list(map(known.get, words))
+        gaps = [i for i, x in enumerate(ids) if x is None]
+        if gaps:
+            new = [words[i] for i in gaps]
+            if len(known) + len(new) > CACHE_PARTS:
                 known.clear()
-            known |= {p: i for p, i in made.items() if len(p) <= CACHED_CHARS}
+            for i, word, made in zip(gaps, new, self._made([" " + w for w in new]), strict=True):
+                ids[i] = made
+                if len(word) <= CACHED_CHARS:
+                    known[word] = made
         return ids
 
+    def _made(self, parts: list[str]) -> list[bytes]:
+        found = [x.ids for x in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
+        ends = np.cumsum([4 * len(x) for x in found], dtype=np.int64).tolist()
+        flat = np.fromiter(chain.from_iterable(found), dtype="<u4", count=ends[-1] // 4 if ends else 0).tobytes()
+        return [flat[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
 
 def offsets(tokenizer, text: str) -> list[tuple[int, int, int]]:
     """(id, first character, end character) of each id; ids that split a character name the whole character."""
