@@ -1,0 +1 @@
+"""Vehicle-trajectory post-processing and pair-dataset work as Spark jobs."""
