@@ -31,26 +31,26 @@ def classification_metrics(rows: DataFrame, p: str = "p", label: str = "label",
 
 
 def cumulative_counts(rows: DataFrame, score: str, label: str = "label", keys: Sequence[str] = (), ranges: int = 64) -> DataFrame:
-    """Per distinct score (falling): p, n of that score and the sums tp, fp down to it, by two-level prefix sums."""
-    per = rows.groupBy(*keys, score).agg(F.sum(F.col(label)).cast("long").alias("p"), F.sum(1 - F.col(label)).cast("long").alias("n"))
+    """score and, per distinct one (falling): p, n of that score and the sums tp, fp down to it, by two-level prefix sums."""
+    per = rows.groupBy(*keys, F.col(score).alias("score")).agg(F.sum(F.col(label)).cast("long").alias("p"), F.sum(1 - F.col(label)).cast("long").alias("n"))
     if keys:
-        w = Window.partitionBy(*keys).orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
+        w = Window.partitionBy(*keys).orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
         return per.withColumns({"tp": F.sum("p").over(w), "fp": F.sum("n").over(w)})
-    cuts = per.select(F.percentile_approx(score, F.lit([i / ranges for i in range(1, ranges)]), F.lit(10_000)).alias("q")).select(F.array_distinct("q").alias("q"))
-    placed = per.crossJoin(F.broadcast(cuts)).withColumn("r", F.size(F.filter("q", lambda v: v > F.col(score)))).drop("q")
+    cuts = per.select(F.percentile_approx("score", F.lit([i / ranges for i in range(1, ranges)]), F.lit(10_000)).alias("q")).select(F.array_distinct("q").alias("q"))
+    placed = per.crossJoin(F.broadcast(cuts)).withColumn("r", F.size(F.filter("q", lambda v: v > F.col("score")))).drop("q")
     totals = placed.groupBy("r").agg(F.sum("p").alias("tp0"), F.sum("n").alias("fp0"))
     before = Window.orderBy("r").rowsBetween(Window.unboundedPreceding, -1)  # over at most ``ranges`` rows
     offsets = totals.select("r", F.coalesce(F.sum("tp0").over(before), F.lit(0)).alias("tp0"), F.coalesce(F.sum("fp0").over(before), F.lit(0)).alias("fp0"))
-    w = Window.partitionBy("r").orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy("r").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
     local = placed.withColumns({"tp": F.sum("p").over(w), "fp": F.sum("n").over(w)})
-    return local.join(F.broadcast(offsets), "r").select(score, "p", "n", (F.col("tp") + F.col("tp0")).alias("tp"), (F.col("fp") + F.col("fp0")).alias("fp"))
+    return local.join(F.broadcast(offsets), "r").select("score", "p", "n", (F.col("tp") + F.col("tp0")).alias("tp"), (F.col("fp") + F.col("fp0")).alias("fp"))
 
 
 def roc_curve(rows: DataFrame, score: str, label: str = "label") -> DataFrame:
     """threshold, tpr, fpr, precision for each distinct score."""
     c = cumulative_counts(rows, score, label)
-    all_ = rows.agg(F.sum(F.col(label)).alias("P"), F.sum(1 - F.col(label)).alias("N"))
-    return c.crossJoin(F.broadcast(all_)).select(F.col(score).alias("threshold"), "tp", "fp", _ratio(F.col("tp"), F.col("P")).alias("tpr"), _ratio(F.col("fp"), F.col("N")).alias("fpr"), _ratio(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"))
+    all_ = rows.agg(F.sum(F.col(label)).alias("all_pos"), F.sum(1 - F.col(label)).alias("all_neg"))
+    return c.crossJoin(F.broadcast(all_)).select(F.col("score").alias("threshold"), "tp", "fp", _ratio(F.col("tp"), F.col("all_pos")).alias("tpr"), _ratio(F.col("fp"), F.col("all_neg")).alias("fpr"), _ratio(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"))
 
 
 def roc_auc(rows: DataFrame, score: str, label: str = "label", keys: Sequence[str] = ()) -> DataFrame:
@@ -85,8 +85,8 @@ def shortcut_risk(x: DataFrame, features: Sequence[str], label: str = "label") -
     u = unpivot(x, [label], features)
     r = u.groupBy("feature").agg(F.coalesce(F.abs(F.corr("value", label)), F.lit(0.0)).alias("r"))
     c = cumulative_counts(u, "value", label, ["feature"])
-    t = u.groupBy("feature").agg(F.sum(label).alias("P"), F.sum(1 - F.col(label)).alias("N"))
-    ks = c.join(F.broadcast(t), "feature").groupBy("feature").agg(F.max(F.abs(_ratio(F.col("tp"), F.col("P")) - _ratio(F.col("fp"), F.col("N")))).alias("ks"))
+    t = u.groupBy("feature").agg(F.sum(label).alias("all_pos"), F.sum(1 - F.col(label)).alias("all_neg"))
+    ks = c.join(F.broadcast(t), "feature").groupBy("feature").agg(F.max(F.abs(_ratio(F.col("tp"), F.col("all_pos")) - _ratio(F.col("fp"), F.col("all_neg")))).alias("ks"))
     return r.join(ks, "feature").select("feature", "r", "ks", (0.5 * F.col("r") + 0.5 * F.col("ks")).alias("risk"))
 
 
@@ -96,8 +96,8 @@ def histogram_overlap(x: DataFrame, value: str, label: str = "label", bins: int
     inside = x.crossJoin(F.broadcast(q)).filter((F.col(value) >= F.col("lo")) & (F.col(value) <= F.col("hi")))
     b = F.least(F.floor((F.col(value) - F.col("lo")) / F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0)) * bins), F.lit(bins - 1))
     h = inside.groupBy(b.alias("b")).agg(F.sum(F.col(label)).alias("p"), F.sum(1 - F.col(label)).alias("n"))
-    total = inside.agg(F.sum(F.col(label)).alias("P"), F.sum(1 - F.col(label)).alias("N"))
-    overlap = h.crossJoin(F.broadcast(total)).agg(F.sum(F.least(_ratio(F.col("p"), F.col("P")), _ratio(F.col("n"), F.col("N")))).alias("overlap"))
+    total = inside.agg(F.sum(F.col(label)).alias("all_pos"), F.sum(1 - F.col(label)).alias("all_neg"))
+    overlap = h.crossJoin(F.broadcast(total)).agg(F.sum(F.least(_ratio(F.col("p"), F.col("all_pos")), _ratio(F.col("n"), F.col("all_neg")))).alias("overlap"))
     pos, neg = F.when(F.col(label) == 1, F.col(value)), F.when(F.col(label) == 0, F.col(value))
     d = x.agg(((F.avg(pos) - F.avg(neg)) / F.sqrt((F.var_samp(pos) + F.var_samp(neg)) / 2)).alias("cohens_d"))
     return overlap.crossJoin(d)
@@ -156,8 +156,8 @@ def threshold_sweep(pairs: DataFrame, thresholds: Sequence[float]) -> DataFrame:
     each = pairs.withColumn("threshold", F.explode(F.lit(list(thresholds))))
     y, hit = F.col("label") == 1, F.col("cost") <= F.col("threshold")
     s = lambda c: F.sum(c.cast("long"))
-    g = each.groupBy("threshold").agg(s(y & hit).alias("tp"), s(~y & hit).alias("fp"), s(y).alias("P"), s(~y).alias("N"), F.avg(F.when(y & hit, F.col("threshold") - F.col("cost"))).alias("margin"))
-    return g.select("threshold", "tp", "fp", _ratio(F.col("tp"), F.col("P")).alias("tpr"), _ratio(F.col("fp"), F.col("N")).alias("fpr"), _ratio(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"), "margin")
+    g = each.groupBy("threshold").agg(s(y & hit).alias("tp"), s(~y & hit).alias("fp"), s(y).alias("all_pos"), s(~y).alias("all_neg"), F.avg(F.when(y & hit, F.col("threshold") - F.col("cost"))).alias("margin"))
+    return g.select("threshold", "tp", "fp", _ratio(F.col("tp"), F.col("all_pos")).alias("tpr"), _ratio(F.col("fp"), F.col("all_neg")).alias("fpr"), _ratio(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"), "margin")
 
 
 def agreement_grid(pairs: DataFrame, scales: Sequence[float], penalties: Sequence[float], threshold: float) -> DataFrame:

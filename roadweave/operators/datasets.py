@@ -194,7 +194,11 @@ def stratification_key(rows: DataFrame, features: Sequence[str], bins: int = 8)
     probs = ", ".join(str(i / bins) for i in range(1, bins))
     q = rows.agg(*(F.expr(f"percentile({c}, array({probs}))").alias(f"_q_{c}") for c in features))
     met = rows.crossJoin(F.broadcast(q))
-    key = F.concat_ws("|", *(F.size(F.filter(f"_q_{c}", lambda v, c=c: v < F.col(c))).cast("string") for c in features))
+
+    def bin_of(c: str) -> Column:
+        return F.size(F.filter(f"_q_{c}", lambda v: v < F.col(c))).cast("string")
+
+    key = F.concat_ws("|", *map(bin_of, features))
     return met.withColumn("strat_key", key).drop(*(f"_q_{c}" for c in features))
 
 
