@@ -34,10 +34,16 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends there, and lost executors cost nothing."""
+    """Write ``df`` to the shared folder and read it back: lineage ends there, and lost executors cost nothing.
+
+    Spark deletes a finished write's shuffle files once the driver's JVM has
+    collected its plan, which on an idle driver is up to half an hour later; so
+    the collection is asked for here.
+    """
     spark = df.sparkSession
     path = scratch_path(spark, label)
     df.write.parquet(path)
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 

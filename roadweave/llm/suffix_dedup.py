@@ -143,26 +143,33 @@ def expand_intervals(symbols: np.ndarray, order: np.ndarray, depth: int) -> np.n
     end that is met first at length l has a common prefix of l.
     """
     n = len(symbols)
-    bwt = symbols[order - 1]
-    kinds, codes = np.unique(bwt, return_inverse=True)
-    counts = np.bincount(codes, minlength=len(kinds))
-    first = np.concatenate(([0], np.cumsum(counts)))[:-1]
-    occurs = np.zeros((len(kinds), n + 1), dtype=np.int32)
-    for c in range(len(kinds)):
-        np.cumsum(codes == c, out=occurs[c, 1:])
+    codes = symbols[order - 1].astype(np.int64)
+    counts = np.bincount(codes)
+    kinds = len(counts)
+    last_to_first = np.empty(n, dtype=np.int64)
+    last_to_first[np.argsort(codes, kind="stable")] = np.arange(n)
     unset = np.ones(n + 1, dtype=bool)
     unset[0] = unset[n] = False
     lo, hi = np.array([0]), np.array([n])
     for _ in range(depth):
         if not len(lo):
             break
-        a, b = occurs[:, lo], occurs[:, hi]
-        c, i = np.nonzero(b > a)
-        new_lo, new_hi = first[c] + a[c, i], first[c] + b[c, i]
-        ends, at = np.unique(new_hi, return_index=True)
-        fresh = unset[ends]
-        unset[ends] = False
-        lo, hi = new_lo[at[fresh]], ends[fresh]
+        sizes = hi - lo
+        one = lo[sizes == 1]  # of a single suffix there is one extension
+        lo, sizes = lo[sizes > 1], sizes[sizes > 1]
+        begins = np.concatenate(([0], np.cumsum(sizes)))
+        places = np.repeat(lo - begins[:-1], sizes) + np.arange(begins[-1])
+        key = np.repeat(np.arange(len(lo)) * kinds, sizes) + codes[places]
+        by_key = np.argsort(key, kind="stable")
+        turn = np.flatnonzero(np.concatenate(([True], np.diff(key[by_key]) != 0))) if len(key) else np.zeros(0, dtype=np.int64)
+        ends = np.concatenate((turn[1:], [len(key)])) - 1 if len(key) else turn
+        # the first and the last suffix of an interval that a character extends bound the new interval
+        new_lo = np.concatenate((last_to_first[places[by_key[turn]]], last_to_first[one]))
+        new_hi = np.concatenate((last_to_first[places[by_key[ends]]], last_to_first[one])) + 1
+        fresh = np.flatnonzero(unset[new_hi])
+        met, at = np.unique(new_hi[fresh], return_index=True)
+        unset[met] = False
+        lo, hi = new_lo[fresh[at]], met
     return unset[1:n]
 
 
