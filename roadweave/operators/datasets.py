@@ -126,9 +126,9 @@ def upscale(pairs: DataFrame, copies: int, tag: str, key: str = "pair_id") -> Da
 def balance_classes(rows: DataFrame, key: str, label: str = "label", seed: int = 0) -> DataFrame:
     """The larger class cut to the smaller one's size in hash order. The cut is found from counts of hash ranges, not by a sort in one task."""
     counts = rows.groupBy(label).count()
-    least = counts.agg(F.min("count").alias("k"))
+    least = counts.agg(F.min("count").alias("_k"))
     ranked = rank_in_ranges(rows.withColumn("_u", unit_hash(key, seed=seed)), [label], "_u", [key])
-    return ranked.crossJoin(F.broadcast(least)).filter(F.col("rn") <= F.col("k")).drop("_u", "rn", "k")
+    return ranked.crossJoin(F.broadcast(least)).filter(F.col("rn") <= F.col("_k")).drop("_u", "rn", "_k")
 
 
 def rank_in_ranges(rows: DataFrame, keys: Sequence[str], u: str, tie: Sequence[str], ranges: int = 256) -> DataFrame:
