@@ -7,15 +7,20 @@ import uuid
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+def shared_path(spark: SparkSession, label: str) -> str:
+    """A new path in the session's shared checkpoint folder (a temporary folder only where none is set, as in local tests)."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-shared-")
+    return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage with a Parquet table in the session's shared checkpoint folder (a temporary one in local tests)."""
+    """Cut lineage with a Parquet table in the shared folder."""
     spark = df.sparkSession
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-shared-")
-    path = f"{path.rstrip('/')}/graph-{uuid.uuid4().hex}"
+    path = shared_path(spark, "graph")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

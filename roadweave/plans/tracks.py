@@ -543,3 +543,17 @@ def random_negatives(spark, d):
 def random_masks(spark, d):
     m = datasets.random_masks(endpoints(detections(spark, d)), 2, 0.5, 2.0)
     return m.select("frag_id", "mask_idx", r6("mask_start").alias("mask_start"), r6("mask_end").alias("mask_end"))
+
+
+@query()
+def streaming_merge(spark, d):
+    """The event-time stream over the fragments, ten files in order of their end, and the final pass over what stays open."""
+    from ..operators.graph import shared_path
+    from ..streaming import online
+
+    e = endpoints(detections(spark, d)).select("frag_id", "scenario", "direction", "first_t", "last_t", "start_x", "end_x", "start_y", "end_y")
+    e = e.withColumn("event_time", F.timestamp_seconds("last_t"))
+    where = shared_path(spark, "stream")
+    e.repartitionByRange(10, "last_t").sortWithinPartitions("last_t").write.parquet(f"{where}/in")
+    merged = online.merge_all(online.fragment_feed(spark, f"{where}/in", "1 hour", 1), spark.read.parquet(f"{where}/in"), f"{where}/out", f"{where}/checkpoint", 24.0)
+    return merged.select("scenario", "direction", F.array_join("frag_ids", ",").alias("frag_ids"), F.size("frag_ids").alias("n"))
