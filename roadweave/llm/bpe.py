@@ -29,7 +29,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ._common import read
 
-CACHE_PARTS = 600_000
+CACHE_PARTS = 300_000
+BATCH_PARTS = 16_384
 CACHED_CHARS = 40
 _BREAK = re.compile(r" (?=\S)")
 _ODD = re.compile(r" (?:\s|\Z)")
@@ -167,6 +168,10 @@ class Encoder:
         return ids
 
     def _made(self, parts: list[str]) -> list[bytes]:
+        """Ids of parts, some at a time, because the library's own records are many times as large as the ids."""
+        return [ids for i in range(0, len(parts), BATCH_PARTS) for ids in self._encoded(parts[i : i + BATCH_PARTS])]
+
+    def _encoded(self, parts: list[str]) -> list[bytes]:
         found = [x.ids for x in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
         ends = np.cumsum([4 * len(x) for x in found], dtype=np.int64).tolist()
         flat = np.fromiter(chain.from_iterable(found), dtype="<u4", count=ends[-1] // 4 if ends else 0).tobytes()
