@@ -43,7 +43,7 @@ from .shingles import BYTE_VALUES, STEP_BYTES, mix, powers
 
 MIN_BYTES = 200
 GRAM = 32
-BUCKET_BYTES = 1 << 18
+BUCKET_BYTES = 1 << 21
 _BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 _INVERSES = tuple(pow(b, -1, 1 << 64) for b in _BASES)
 
