@@ -298,10 +298,10 @@ def comparison_pivot(spark, d):
     return aggregates.comparison_pivot(results(spark, d), ["1-URGENT", "2-HIGH"]).select("metric", r6("1-URGENT").alias("urgent"), r6("2-HIGH").alias("high"))
 
 
-@query(f"WITH {ROWS} SELECT anchor_id, candidate_id, round(0.4 * base + 0.25 * base + 0.2 * base + 0.1 * (1 - least(1, gap / 40)) + 0.05 * (1 - least(1, cost)), 6) AS score, round(base, 6) AS quality FROM rows_")
+@query(f"WITH {ROWS} SELECT anchor_id, candidate_id, round(0.4 * base + 0.25 * base + 0.2 * base + 0.1 * (1 - least(1, gap / 40)) + 0.05 * (1 - least(1, cost)), 9) AS score, round(base, 6) AS quality FROM rows_")
 def composite_score(spark, d):
     b = F.col("base")
-    return rows(spark, d).select("anchor_id", "candidate_id", r6(aggregates.composite_score(b, b, b, F.col("gap") / 40, F.col("cost"))).alias("score"), r6(aggregates.mean_quality(b, b)).alias("quality"))
+    return rows(spark, d).select("anchor_id", "candidate_id", F.round(aggregates.composite_score(b, b, b, F.col("gap") / 40, F.col("cost")), 9).alias("score"), r6(aggregates.mean_quality(b, b)).alias("quality"))
 
 
 @query(f"WITH {ROWS}, w AS (SELECT cost AS a, CASE WHEN base > 0.02 THEN base END AS b FROM rows_) SELECT round(avg(CASE WHEN b IS NULL THEN a ELSE (0.7 * a + 0.3 * b) END), 6) AS score FROM w")
