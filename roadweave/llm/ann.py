@@ -9,6 +9,11 @@ of its nearest centroid and, near a boundary, to further lists (at most
 best-first walk over an in-memory neighbour graph.  A query visits lists in
 order of distance while the ratio to the nearest one stays below ``prune``.
 
+How many lists a query visits is chosen in the job: at most ``TRIAL_QUERIES``
+queries, taken by a hash, are answered by brute force over the whole table, and the
+number of lists grows from ``probes`` until the lists visited hold ``RECALL`` of
+their true neighbours (all lists and no pruning at the latest, which is exact).
+
 The centroids (at most ``MAX_CENTROIDS``) are the only thing shipped to all
 tasks.  Lists longer than ``block_rows`` are dealt into blocks by a hash, and the
 queries of a block likewise, so no group grows with the data.  Queries are looked
@@ -45,6 +50,8 @@ PROBES = 24
 PRUNE = 1.6
 DEGREE = 24
 BEAM = 48
+TRIAL_QUERIES = 256
+RECALL = 0.97
 
 
 def balanced_centroids(sample: np.ndarray, k: int, rounds: int = 8, seed: int = 7) -> np.ndarray:
@@ -88,6 +95,10 @@ class CentroidGraph:
         """Ids and similarities of about the ``n`` nearest centroids of each row, nearest first."""
         k = len(self.centroids)
         n, beam = min(n, k), min(max(beam, n), k)
+        if 4 * beam >= k:  # so wide a walk meets about all of them
+            sims = x @ self.centroids.T
+            ids = np.argsort(-sims, axis=1, kind="stable")[:, :n]
+            return ids, np.take_along_axis(sims, ids, axis=1)
         seen = np.zeros((len(x), k), dtype=bool)
         ids = np.repeat(self.entries[None, :], len(x), axis=0)
         sims = x @ self.centroids[self.entries].T
@@ -141,6 +152,11 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
+def _within(sims: np.ndarray, ratio: float) -> np.ndarray:
+    d = _distances(sims)
+    return np.isfinite(sims) & (d <= np.maximum(ratio * d[:, :1], 1e-6))
+
+
 def _spread(table: DataFrame, graph: CentroidGraph, width: int, ratio: float, name: str) -> DataFrame:
     """``table`` (with v) once for each list within ``ratio`` of the nearest: column ``list``."""
 
@@ -149,16 +165,62 @@ def _spread(table: DataFrame, graph: CentroidGraph, width: int, ratio: float, na
             at = batch.schema.get_field_index("v")
             for i in range(0, batch.num_rows, 512):
                 part = batch.slice(i, 512)
-                ids, sims = graph.search(_unit(_matrix(part.column(at))), width)
-                d = _distances(sims)
-                keep = np.isfinite(sims) & (d <= np.maximum(ratio * d[:, :1], 1e-6))
-                rows, cols = np.nonzero(keep)
+                ids, sims = graph.search(_unit(_matrix(part.column(at))), width, max(BEAM, 2 * width))
+                rows, cols = np.nonzero(_within(sims, ratio))
                 made = part.take(pa.array(rows))
                 yield pa.RecordBatch.from_arrays([*made.columns, pa.array(ids[rows, cols], pa.int32())], [*made.schema.names, name])
 
     return table.mapInArrow(work, T.StructType([*table.schema.fields, T.StructField(name, T.IntegerType())]))
 
 
+def true_neighbours(distinct: DataFrame, asked: np.ndarray, own: np.ndarray, k: int) -> DataFrame:
+    """q, vid: the ``k`` nearest of all ``distinct`` vectors to each row of ``asked`` (unit vectors, few), without its own vid."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sims, vids = np.full((len(asked), k), -np.inf), np.full((len(asked), k), -1)
+        for batch in batches:
+            for i in range(0, batch.num_rows, 4096):
+                part = batch.slice(i, 4096)
+                vid = part.column(part.schema.get_field_index("vid")).to_numpy()
+                new = asked @ _unit(_matrix(part.column(part.schema.get_field_index("v")))).T
+                new[own[:, None] == vid[None, :]] = -np.inf
+                sims = np.concatenate([sims, new], axis=1)
+                vids = np.concatenate([vids, np.broadcast_to(vid, new.shape)], axis=1)
+                best = np.argpartition(-sims, k - 1, axis=1)[:, :k]
+                sims, vids = np.take_along_axis(sims, best, axis=1), np.take_along_axis(vids, best, axis=1)
+        rows, cols = np.nonzero(np.isfinite(sims))
+        yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int32()), pa.array(vids[rows, cols], pa.int64()), pa.array(sims[rows, cols])], ["q", "vid", "s"])
+
+    found = distinct.select("vid", "v").mapInArrow(work, "q int, vid bigint, s double")
+    order = Window.partitionBy("q").orderBy(F.desc("s"), "vid")
+    return found.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= k).select("q", "vid")
+
+
+def chosen_probes(distinct: DataFrame, posted: DataFrame, query_vectors: DataFrame, graph: CentroidGraph, k: int, probes: int, prune: float) -> tuple[int, float, float]:
+    """(probes, prune, recall): the fewest lists, from ``probes`` on, that hold ``RECALL`` of the true neighbours of the trial queries."""
+    lists = len(graph.centroids)
+    trial = query_vectors.orderBy(F.xxhash64("v", F.lit(11))).limit(TRIAL_QUERIES).join(distinct.select("vid", "v"), "v").select("vid", "v").toArrow()
+    if not trial.num_rows:
+        return probes, prune, 1.0
+    asked = _unit(_matrix(trial.column("v").combine_chunks()))
+    truth = true_neighbours(distinct, asked, trial.column("vid").to_numpy(), k)
+    held = posted.select("vid", "list").join(F.broadcast(truth), "vid").groupBy("q", "vid").agg(F.collect_set("list").alias("lists")).collect()
+    if not held:
+        return probes, prune, 1.0
+    width = min(probes, lists)
+    while True:
+        ids, sims = graph.search(asked, width, max(BEAM, 2 * width))
+        for ratio in (prune, float("inf")):
+            keep = _within(sims, ratio)
+            visited = [set(i[w].tolist()) for i, w in zip(ids, keep, strict=True)]
+            recall = sum(not visited[r["q"]].isdisjoint(r["lists"]) for r in held) / len(held)
+            if recall >= RECALL:
+                return width, ratio, recall
+        if width == lists:
+            return width, float("inf"), recall
+        width = min(lists, -(-width * 5 // 4))
+
+
 def nearest(
     vectors: DataFrame,
     is_query,
@@ -189,6 +251,7 @@ def nearest(
     graph = CentroidGraph(balanced_centroids(points, lists))
 
     posted = materialize(_spread(distinct.select("vid", "ids", "v"), graph, REPLICAS, CLOSURE, "list"), "lists")
+    probes, prune, _ = chosen_probes(distinct, posted, query_vectors, graph, k, probes, prune)
     sent = _spread(query_vectors, graph, probes, prune, "list")
     sizes = {r["list"]: r["count"] for r in posted.groupBy("list").count().collect()}  # at most MAX_CENTROIDS rows
     asked = materialize(sent, "probes")

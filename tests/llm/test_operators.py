@@ -179,6 +179,23 @@ def test_nearest_against_brute_force(spark):
     assert [r.rank for r in few] == [1, 2]
 
 
+def test_nearest_recall_with_many_more_lists_than_probes(spark):
+    n, every = 6000, 30
+    x = np.random.default_rng(4).normal(size=(n, 64)).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    assert n // 20 > 10 * ann.PROBES
+    got = collections.defaultdict(set)
+    for r in ann.nearest(df, F.col("id") % every == 0, 5, list_rows=20).collect():
+        got[r.query_id].add(r.vec_id)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    hit = 0
+    for q in range(0, n, every):
+        s = unit @ unit[q]
+        s[q] = -9
+        hit += len(got[q] & set(np.argsort(-s)[:5].tolist()))
+    assert hit >= 0.94 * 5 * (n // every)
+
+
 def test_quality_held_out(spark):
     rng = random.Random(2)
     rows = [(i, " ".join(w + ("!!" if i % 5 == 0 else "") for w in prose(rng, 40).split())) for i in range(400)] + [(9999, None), (None, "no key")]
