@@ -1,7 +1,8 @@
 """Layout-aware HTML to text (operator 9).
 
 A tree builder with implied tags (paragraphs end at blocks, list items at list
-items, cells and rows at cells and rows, unclosed elements at the end) and a
+items, cells and rows at cells and rows, the head at the first thing that cannot
+stand in it, unclosed elements at the end) and a
 renderer that emits all visible text: navigation, articles and footers alike.
 Hidden are head matter, scripts, styles, templates, elements with ``hidden`` or
 an inline ``display:none`` / ``visibility:hidden``, form values, and what a closed
@@ -51,6 +52,7 @@ _CLOSES = {
     "tfoot": (frozenset({"thead", "tbody", "tfoot"}), frozenset({"table"})),
     "body": (frozenset({"head"}), frozenset()),
 }
+_IN_HEAD = frozenset("title meta link base basefont bgsound style script noscript noframes template head".split())
 _P_SCOPE = frozenset({"table", "td", "th", "caption", "button", "object"})
 _BLANKS = re.compile(r"[ \t\n\r\f]+")
 _UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
@@ -78,14 +80,21 @@ class _Builder(HTMLParser):
             if self.open[i].tag in scope:
                 return
 
+    def _end_head(self) -> None:
+        """End a head that is the open element: what comes next cannot stand in it."""
+        if self.open[-1].tag == "head":
+            self.open.pop()
+
     def _push(self, tag: str, attrs: dict) -> None:
         node = Node(tag, attrs)
         self.open[-1].children.append(node)
         self.open.append(node)
 
     def handle_starttag(self, tag, attrs):
-        if tag == "html":
+        if tag == "html" or tag == "head" and any(isinstance(c, Node) or c.strip() for c in self.root.children):
             return
+        if tag not in _IN_HEAD:
+            self._end_head()
         if tag in BLOCKS:
             self._close(frozenset({"p"}), _P_SCOPE)
         if tag in _CLOSES:
@@ -112,6 +121,8 @@ class _Builder(HTMLParser):
         return self._close(frozenset({tag}), scope - {tag})
 
     def handle_data(self, data):
+        if not _BLANKS.fullmatch(data):
+            self._end_head()
         self.open[-1].children.append(data)
 
 

@@ -290,6 +290,18 @@ def test_html_rendering():
     assert html_text.render("</p></td><td>loose<li>item") != ""
 
 
+def test_html_head_without_end():
+    for page in (
+        "<html><head><title>T</title><p>Hello<p>you",
+        "<head><title>T</title><link rel=x><script>z</script>\n<base href=/><style>s</style><p>Hello</p><p>you</p></html>",
+        "<title>T</title><meta charset=x><head><title>T</title><p>Hello<p>you",
+        "<head><head><title>T</title></head><p>Hello<p>you",
+        "<head><title>T</title>Hello<p>you",
+        "<head><noscript><p>no</noscript><template><p>no</template><body><p>Hello<p>you",
+    ):
+        assert html_text.render(page).split() == ["Hello", "you"], page
+
+
 def test_html_table(spark):
     df = spark.createDataFrame([(1, "<p>x", "old"), (2, None, "old")], "page_id long, html string, text string")
     assert {r.page_id: r.text for r in html_text.extract_text(df).collect()} == {1: "x", 2: ""}
