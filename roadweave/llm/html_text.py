@@ -5,8 +5,10 @@ items, cells and rows at cells and rows, the head at the first thing that cannot
 stand in it, unclosed elements at the end) and a
 renderer that emits all visible text: navigation, articles and footers alike.
 Hidden are head matter, scripts, styles, templates, elements with ``hidden`` or
-an inline ``display:none`` / ``visibility:hidden``, form values, and what a closed
-``details`` holds besides its summary.  Blocks begin on lines of their own,
+an inline ``display:none`` / ``visibility:hidden``, values of ``input``, MathML
+annotations, what an ``svg`` holds outside its text or in its title, description and
+definitions, and what a closed ``details`` holds besides its summary.  A ``select``
+shows its chosen option, a list box all of them; a ``textarea`` shows its content.  Blocks begin on lines of their own,
 paragraphs, headings, lists and tables stand apart by an empty line, list items
 carry a bullet or their number and are indented by depth, preformatted text
 keeps its blanks, and the cells of a table are padded to the width of their
@@ -23,6 +25,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from html import unescape
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -35,7 +38,7 @@ from .bpe import slices
 
 # Fixed values of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = frozenset("head script style template noscript title meta link datalist iframe object audio video canvas svg math select textarea".split())
+HIDDEN = frozenset("head script style template noscript title meta link datalist iframe object audio video canvas".split())
 PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table pre blockquote figure hr".split())
 BLOCKS = PARAGRAPHS | frozenset(
     "address article aside body caption center dd details dialog div dt fieldset figcaption footer form header hgroup html legend li main menu nav section summary tr".split()
@@ -52,8 +55,19 @@ _CLOSES = {
     "tfoot": (frozenset({"thead", "tbody", "tfoot"}), frozenset({"table"})),
     "body": (frozenset({"head"}), frozenset()),
 }
+# Inside svg and math: never shown; where html goes on; html tags that end them.
+_UNSHOWN = {
+    "svg": frozenset("title desc defs metadata symbol clippath mask pattern marker lineargradient radialgradient filter".split()),
+    "math": frozenset("annotation annotation-xml mphantom".split()),
+}
+_HTML_AGAIN = frozenset("foreignobject desc title mi mo mn ms mtext annotation-xml".split())
+_ENDS_FOREIGN = frozenset(
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split()
+)
 _IN_HEAD = frozenset("title meta link base basefont bgsound style script noscript noframes template head".split())
 _P_SCOPE = frozenset({"table", "td", "th", "caption", "button", "object"})
+#: Parsers that read tags inside a textarea are told not to; the references in it are then resolved here.
+_TAGS_IN_TEXTAREA = "textarea" not in getattr(HTMLParser, "RCDATA_CONTENT_ELEMENTS", ())
 _BLANKS = re.compile(r"[ \t\n\r\f]+")
 _UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
@@ -70,6 +84,16 @@ class _Builder(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = Node("html", {})
         self.open = [self.root]
+        self.foreign = False  # whether svg or math was met
+
+    def _foreign(self) -> int:
+        """Index of the svg or math whose rules hold here, 0 if none."""
+        for i in range(len(self.open) - 1 if self.foreign else 0, 0, -1):
+            if self.open[i].tag in _UNSHOWN:
+                return i
+            if self.open[i].tag in _HTML_AGAIN:
+                break
+        return 0
 
     def _close(self, tags: frozenset[str], scope: frozenset[str]) -> None:
         """End the nearest open one of ``tags``, with all in it, unless one of ``scope`` stands between."""
@@ -95,20 +119,37 @@ class _Builder(HTMLParser):
             return
         if tag not in _IN_HEAD:
             self._end_head()
+        attrs = dict(attrs)
+        if at := self._foreign():
+            if tag in _ENDS_FOREIGN:
+                del self.open[at:]
+            else:
+                unshown = tag in _UNSHOWN[self.open[at].tag] or attrs.get("display") == "none" or attrs.get("visibility") in ("hidden", "collapse")
+                return self._push(tag, attrs | {"hidden": ""} if unshown else attrs)
+        if tag in _UNSHOWN:
+            self.foreign = True
+        if tag in ("select", "input", "textarea"):
+            self._close(frozenset({"select"}), frozenset({"table"}))
+        if tag in ("option", "optgroup"):
+            self._close(frozenset({"option"}), frozenset({"select", "datalist"}))
+        if tag == "optgroup":
+            self._close(frozenset({"optgroup"}), frozenset({"select", "datalist"}))
         if tag in BLOCKS:
             self._close(frozenset({"p"}), _P_SCOPE)
         if tag in _CLOSES:
             self._close(*_CLOSES[tag])
         if tag in ("td", "th") and self.open[-1].tag in ("table", "tbody", "thead", "tfoot"):
             self._push("tr", {})
-        self._push(tag, dict(attrs))
+        self._push(tag, attrs)
+        if tag == "textarea" and _TAGS_IN_TEXTAREA:
+            self.set_cdata_mode(tag)
         if tag in VOID:
             self.open.pop()
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
-        if tag not in VOID and tag in ("svg", "math", "path"):
-            self.handle_endtag(tag)
+        if self.open[-1].tag == tag and (tag in _UNSHOWN or self._foreign() or tag in _HTML_AGAIN and self._inside_foreign()):
+            self.open.pop()
 
     def handle_endtag(self, tag):
         if tag == "br":
@@ -120,9 +161,19 @@ class _Builder(HTMLParser):
             scope = _P_SCOPE
         return self._close(frozenset({tag}), scope - {tag})
 
+    def _inside_foreign(self) -> bool:
+        """Whether the open element is a child of svg or math content."""
+        last = self.open.pop()
+        found = self._foreign() > 0
+        self.open.append(last)
+        return found
+
     def handle_data(self, data):
         if not _BLANKS.fullmatch(data):
             self._end_head()
+        at = self._foreign()
+        if at and self.open[at].tag == "svg" and all(n.tag != "text" for n in self.open[at:]):
+            return
         self.open[-1].children.append(data)
 
 
@@ -171,6 +222,36 @@ class _Out:
         return "\n".join(x.rstrip() for x in "".join(self.parts).split("\n")).strip("\n")
 
 
+def _options(select: Node) -> tuple[list[str], bool]:
+    """The options that a select shows, and whether it is a list box, which shows all with the labels of their groups."""
+    size = select.attrs.get("size") or "1"
+    box = "multiple" in select.attrs or size.isdigit() and int(size) > 1
+    met: list[tuple[Node | None, str, bool]] = []
+    stack: list[tuple[Node, bool]] = [(select, False)]
+    while stack:
+        node, off = stack.pop()
+        if node is not select and not _visible(node):
+            continue
+        off = off or node is not select and "disabled" in node.attrs
+        if node.tag == "option":
+            texts, inner = [], [node]
+            while inner:
+                part = inner.pop()
+                if isinstance(part, str):
+                    texts.append(part)
+                elif _visible(part):
+                    inner.extend(reversed(part.children))
+            met.append((node, node.attrs.get("label") or "".join(texts), off))
+            continue
+        if node.tag == "optgroup" and box and node.attrs.get("label"):
+            met.append((None, node.attrs["label"], off))
+        stack.extend((c, off) for c in reversed(node.children) if isinstance(c, Node))
+    if box:
+        return [text for _, text, _ in met], True
+    chosen = [text for node, text, _ in met if "selected" in node.attrs][-1:]
+    return chosen or [text for _, text, off in met if not off][:1], False
+
+
 def _visible(node: Node) -> bool:
     if node.tag in HIDDEN or "hidden" in node.attrs:
         return False
@@ -192,6 +273,9 @@ def render(html: str | None) -> str:
         return ""
     builder = _Builder()
     builder.feed(html)
+    if _TAGS_IN_TEXTAREA and builder.cdata_elem == "textarea":  # not ended: the parser would drop its content
+        builder.handle_data(builder.rawdata)
+        builder.rawdata = ""
     builder.close()
     out = _Out()
     outs = [out]
@@ -215,6 +299,21 @@ def render(html: str | None) -> str:
                 if node.attrs.get("alt"):
                     out.text(node.attrs["alt"], False)
                 continue
+            if tag == "select":
+                shown, box = _options(node)
+                for text in shown:
+                    if box:
+                        out.ask(1)
+                    out.text(f" {text} ", False)
+                if box:
+                    out.ask(1)
+                continue
+            if tag in ("text", "textarea"):
+                out.ask(1)
+            if tag == "textarea":
+                pre += 1
+                held = "".join(c for c in node.children if isinstance(c, str)).removeprefix("\n")
+                node.children = [unescape(held) if _TAGS_IN_TEXTAREA else held]
             if tag in ("td", "th") and tables:
                 out = _Out()
                 outs.append(out)
@@ -266,8 +365,10 @@ def render(html: str | None) -> str:
                 out._begin()
             ordered, number = lists[-1] if lists else (False, 1)
             out.indent = out.indent[: -len(f"{number - 1}. " if ordered else "- ")]
-        elif tag == "pre":
+        elif tag in ("pre", "textarea"):
             pre -= 1
+        if tag in ("text", "textarea"):
+            out.ask(1)
         if tag in BLOCKS:
             inner = tag in ("ul", "ol") and lists
             out.ask(2 if tag in PARAGRAPHS and not inner else 1)

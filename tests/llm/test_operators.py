@@ -302,6 +302,22 @@ def test_html_head_without_end():
         assert html_text.render(page).split() == ["Hello", "you"], page
 
 
+def test_html_math_svg_and_forms():
+    show = html_text.render
+    assert show("<p>if <math><semantics><mrow><mi>x</mi><mo>=</mo><mn>2</mn></mrow><annotation>tex</annotation></semantics></math> then") == "if x=2 then"
+    chart = "<p>Up<svg><title>t</title><desc/><defs><text>no</text></defs>loose<g><rect/><text x=1>Jan</text><text>Feb <tspan>b</tspan></text></g></svg>on"
+    assert show(chart) == "Up\nJan\nFeb b\non"
+    assert show("<svg><foreignObject><p>in</p></foreignObject><path d=x></svg><p>out") == "in\n\nout"
+    assert show("<svg><g><p>out<math><mtext/>a</math>") == "outa"
+    assert show("a <textarea>\nx  &amp; y\n z</textarea> b") == "a\nx  & y\n z\nb"
+    assert show("<textarea><b>x</b> &lt;</textarea><b>y</b> &lt;") == "<b>x</b> <\ny <"
+    assert show("<p>a<textarea>open &amp; b") == "a\nopen & b"
+    assert show("Size <select><option>S<option selected>M<option>L</select> now") == "Size M now"
+    assert show("<select><option disabled>pick<optgroup label=g><option>S<option>M</select>") == "S"
+    assert show("<select multiple><optgroup label=g><option>S<option label=Mid>M</select>x") == "g\nS\nMid\nx"
+    assert show("<input value=no><datalist><option>no</datalist>yes") == "yes"
+
+
 def test_html_table(spark):
     df = spark.createDataFrame([(1, "<p>x", "old"), (2, None, "old")], "page_id long, html string, text string")
     assert {r.page_id: r.text for r in html_text.extract_text(df).collect()} == {1: "x", 2: ""}
