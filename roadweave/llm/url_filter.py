@@ -1,14 +1,14 @@
 """URL filter with a weighted vocabulary and host/path rules (operator 8).
 
-An Aho-Corasick automaton counts strict and soft terms in ``host + path`` (A-Z
-lower-cased).  A hit counts only if the characters beside it are no ASCII
+An Aho-Corasick automaton counts strict and soft terms in the whole url, query and
+fragment too (A-Z lower-cased).  A hit counts only if the characters beside it are no ASCII
 letters or digits.  One strict term, or ``soft_limit`` *distinct* soft terms,
 reject the url.  Rules come first: a rule ``(host, path)`` fits its host and all
 subdomains if the url's path starts with the rule's path, and the longest
 fitting rule gives the verdict.
 
-Cases: a null url, or one without ``://``, has empty host and path and is
-allowed; an empty table gives an empty result; repeated rows are judged one by
+Cases: a null url is allowed; one without ``://`` has empty host and path and is
+judged by its terms; an empty table gives an empty result; repeated rows are judged one by
 one; other columns of the input are carried along unless they are called
 host, path, rule, strict_hits, soft_hits or verdict, which are replaced.
 
@@ -104,7 +104,7 @@ def filter_urls(
             columns: list[list] = [[] for _ in _ADDED]
             for address in batch.column(batch.schema.get_field_index(url)).to_pylist():
                 host, path = split_url(address)
-                text = (host + path).translate(_LOWER)
+                text = (address or "").translate(_LOWER)
                 hits: tuple[set[int], set[int]] = (set(), set())
                 for end, (k, size, is_strict) in machine.iter(text) if terms else ():
                     before = text[end - size] if end >= size else ""

@@ -280,6 +280,21 @@ def test_url_filter(spark):
     assert url_filter.filter_urls(df.limit(0)).count() == 0
 
 
+def test_url_filter_reads_query_fragment_and_bare_urls(spark):
+    urls = ["https://x.net/search?q=porn", "https://x.net/#free+loan", "https://x.net/free?x=LOAN", "x.net/casino", "https://x.com/fr/?q=porn", "https://x.net/?q=popcorn", "https://x.net/?q=free"]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r.page_id: (r.host, r.path, r.strict_hits, r.soft_hits, r.verdict) for r in url_filter.filter_urls(df).collect()}
+    assert got == {
+        0: ("x.net", "/search", 1, 0, "block"),
+        1: ("x.net", "/", 0, 2, "block"),
+        2: ("x.net", "/free", 0, 2, "block"),
+        3: ("", "", 1, 0, "block"),
+        4: ("x.com", "/fr/", 1, 0, "allow"),
+        5: ("x.net", "/", 0, 0, "allow"),
+        6: ("x.net", "/", 0, 1, "allow"),
+    }
+
+
 def test_html_rendering():
     page = "<title>t</title><ul><li>One<li>Two<ul><li>in</ul></ul><h1>H</h1><p>a <b>b</b>c<br>d<p>e &amp;<table><tr><th>A<th>Long<tr><td>1<td>2</table><pre> x\n  y</pre><div>f</div><div>g<i style='display:none'>no</i></div><script>z</script>"
     assert html_text.render(page) == "- One\n- Two\n  - in\n\nH\n\na bc\nd\n\ne &\n\nA | Long\n1 | 2\n\n x\n  y\n\nf\ng"
