@@ -46,6 +46,15 @@ def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.select("node").distinct().join(edges.select(F.col("u").alias("node"), "v"), "node", "left").select("node", F.coalesce("v", "node").alias("component"))
 
 
+def with_component(pairs: DataFrame, keys: tuple[str, ...], a: str, b: str) -> DataFrame:
+    """``pairs`` with the component of the two-sided graph of ``a`` and ``b`` ids within ``keys``; what happens in one does not bear on another."""
+    side = lambda c, s: F.concat_ws("\x1f", F.lit(s), *(F.col(k).cast("string") for k in keys), F.col(c).cast("string"))
+    pairs = checkpointed(pairs)
+    edges = pairs.select(side(a, "a").alias("a"), side(b, "b").alias("b")).distinct()
+    parts = connected_components(edges.select(F.col("a").alias("node")), edges).select(F.col("node").alias("_node"), "component")
+    return pairs.join(parts, side(a, "a") == F.col("_node")).drop("_node")
+
+
 def assign(weight: np.ndarray) -> list[tuple[int, int]]:
     """Pairs (row, column) of a maximum-weight matching of non-negative weights (0: no edge), by shortest augmenting paths."""
     best = weight.argmax(axis=1)
@@ -141,7 +150,8 @@ def verify_paths(paths: DataFrame, costs: DataFrame, limit: float = 10.0) -> Dat
 def greedy_chains(pairs: DataFrame, threshold: float, keys: tuple[str, ...] = ("scenario", "direction")) -> DataFrame:
     """Chains grown in start order: each fragment takes its best unused successor above ``threshold``.
 
-    ``pairs``: keys, src, dst, src_t, score.  Order decides, so a (scenario, direction) is one group.
+    ``pairs``: keys, src, dst, src_t, score.  Order decides only within a component of the
+    graph of pairs above ``threshold``, so each is a group.
     """
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -154,4 +164,5 @@ def greedy_chains(pairs: DataFrame, threshold: float, keys: tuple[str, ...] = ("
                 out.append((r.src, r.dst, r.score))
         return pd.DataFrame(out, columns=["src", "dst", "score"])
 
-    return pairs.groupBy(*keys).applyInPandas(work, "src string, dst string, score double")
+    parts = with_component(pairs.filter(F.col("score") >= threshold), keys, "src", "dst")
+    return parts.groupBy(*keys, "component").applyInPandas(work, "src string, dst string, score double")

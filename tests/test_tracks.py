@@ -100,6 +100,21 @@ def test_greedy_matching(spark):
     assert [(r.g_id, r.t_id) for r in mot.greedy_matches(p, [0.5]).collect()] == [("g1", "t1")]
 
 
+def test_a_scene_is_not_one_group(spark):
+    n = 30
+    g = boxes(spark, [(f, f"g{i}", 100 * i + f) for i in range(n) for f in range(3)])
+    t = boxes(spark, [(f, f"t{i}", 100 * i + f) for i in range(n) for f in range(3)])
+    pairs = mot.iou_pairs(g, t)
+    chains = spark.createDataFrame([(0, 1, f"a{i}", f"b{i}", float(i), 1.0) for i in range(n)], "scenario int, direction int, src string, dst string, src_t double, score double")
+    made = {"clear": mot.clear_matches(pairs), "identity": mot.identity_metrics(pairs, g, t), "chains": graph.greedy_chains(chains, 0.5)}
+    for name, out in made.items():
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert "component" in plan.split("FlatMapGroupsInPandas [", 1)[1].split("]")[0], name
+    assert made["clear"].count() == 3 * n
+    assert made["identity"].first()["idtp"] == 3 * n
+    assert made["chains"].count() == n
+
+
 def test_roc_and_calibration(spark):
     r = spark.createDataFrame([(1.0, 1), (2.0, 1), (3.0, 0), (4.0, 1)], "cost double, label int").withColumn("score", -F.col("cost"))
     assert calibrate.roc_auc(r, "score").first()["auc"] == pytest.approx(2 / 3)
