@@ -157,6 +157,27 @@ def triplets(positives: DataFrame, negatives: DataFrame, per: int = 3, seed: int
     return positives.join(negatives, "anchor").filter("positive != negative").withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= per).drop("rn")
 
 
+def nearest_negatives(positives: DataFrame, negatives: DataFrame, vectors: DataFrame, metric: str = "cosine") -> DataFrame:
+    """(anchor, positive, negative, distance): per pair the anchor's negative that is nearest to it in embedding space.
+
+    positives: anchor, positive; negatives: anchor, negative; vectors: id, v (array of numbers). ``metric``: cosine or l2.
+    Ties go to the smaller negative; ids without a vector, and zero vectors under cosine, take no part.
+    """
+    if metric not in ("cosine", "l2"):
+        raise ValueError(metric)
+    a = vectors.select(F.col("id").alias("anchor"), F.col("v").cast("array<double>").alias("a"))
+    b = vectors.select(F.col("id").alias("negative"), F.col("v").cast("array<double>").alias("b"))
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda i, j: i * j), F.lit(0.0), lambda s, i: s + i)
+    if metric == "cosine":
+        distance = 1 - dot("a", "b") / F.nullif(F.sqrt(dot("a", "a") * dot("b", "b")), F.lit(0.0))
+    else:
+        distance = F.sqrt(F.aggregate(F.zip_with("a", "b", lambda i, j: (i - j) * (i - j)), F.lit(0.0), lambda s, i: s + i))
+    met = negatives.select("anchor", "negative").distinct().join(a, "anchor").join(b, "negative").select("anchor", "negative", distance.alias("distance"))
+    pairs = positives.select("anchor", "positive").distinct().join(met.filter("distance is not null"), "anchor").filter("positive != negative")
+    best = pairs.groupBy("anchor", "positive").agg(F.min_by("negative", F.struct("distance", "negative")).alias("negative"), F.min("distance").alias("distance"))
+    return best.select("anchor", "positive", "negative", "distance")
+
+
 def largest_remainder(total: int, shares: Sequence[float]) -> list[int]:
     raw = [total * s for s in shares]
     out = [int(x) for x in raw]

@@ -115,6 +115,15 @@ def test_a_scene_is_not_one_group(spark):
     assert made["chains"].count() == n
 
 
+def test_nearest_negatives(spark):
+    v = spark.createDataFrame([(0, [1.0, 0.0]), (1, [9.0, 1.0]), (2, [1.0, 1.0]), (3, [0.0, 0.0]), (4, [1.0, 1.0])], "id long, v array<double>")
+    p = spark.createDataFrame([(0, 7), (0, 1)], "anchor long, positive long")
+    n = spark.createDataFrame([(0, i) for i in (1, 2, 3, 4, 5)], "anchor long, negative long")
+    near = lambda metric: {r.positive: (r.negative, round(r.distance, 6)) for r in datasets.nearest_negatives(p, n, v, metric).collect()}
+    assert near("cosine") == {7: (1, 0.006116), 1: (2, 0.292893)}
+    assert near("l2") == {7: (2, 1.0), 1: (2, 1.0)}
+
+
 def test_roc_and_calibration(spark):
     r = spark.createDataFrame([(1.0, 1), (2.0, 1), (3.0, 0), (4.0, 1)], "cost double, label int").withColumn("score", -F.col("cost"))
     assert calibrate.roc_auc(r, "score").first()["auc"] == pytest.approx(2 / 3)
