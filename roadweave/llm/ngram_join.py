@@ -12,14 +12,23 @@ against its most frequent pivot, and what is linked that way is contracted.
 Regions that still hold several components are joined again, whole and exactly:
 pivots inside the region make Voronoi cells, a document is replicated to each
 cell whose pivot is at most twice the radius farther than its own (triangle
-inequality), and cells are joined recursively.  Documents already linked to the
-pivot need no comparison with each other.  Regions that outgrow a task are cut
-into tiles of blocks, so no group and no task grows with the data.  Before sets travel,
-sketches of 256 bytes (counts by hash bucket, which bound an intersection from
-above) drop the members of a region that can't be linked with any other.
+inequality), and cells are joined recursively.  Components are united as links
+are found and only links that unite two of them leave a task, so a group of
+near copies gives as many links as it has members, not pairs.
+
+A region that outgrows a task is dealt to blocks by hash, twice, and contracted
+after each deal; most such regions are one component by then and done.  What
+still has several is decided exactly: shells as wide as the radius around a
+pivot hold documents of like distance, only blocks of the same or the next shell
+can hold a link (triangle inequality again), and blocks of the region's largest
+component don't meet each other.  No group and no task grows with the data.
+Before sets travel, sketches of 256 bytes (counts by hash bucket, which bound an
+intersection from above) drop the members of a region that can't be linked with
+any other; regions of more than ``SCREEN_ROWS`` open members skip that filter.
 
 Equal sets are one node, so copies never meet in pairs.  Nodes are named by 64
-bits of their digest.
+bits of a digest; where 64 further bits tell that sets of one name differ, both
+together name them.
 
 Cases: null and empty texts, and texts of separators only, have no shingles and
 are linked with nothing; repeated rows are one node and get the same component;
@@ -46,6 +55,8 @@ from .shingles import shingle_sets
 
 BUCKETS = 1 << 16
 TILE_ROWS = 512
+TILE_ITEMS = 1 << 21
+SCREEN_ROWS = 4096
 LEAF = 96
 SKETCH = 256
 PIVOTS = 6
@@ -87,8 +98,14 @@ def _may_link(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, perc
     return 100 * most.astype(np.int64) >= percent * (na[:, None] + nb[None, :] - most)
 
 
+def _digest(items: bytes) -> tuple[int, int]:
+    """Two 64-bit names of a set."""
+    made = hashlib.blake2b(items, digest_size=16).digest()
+    return int.from_bytes(made[:8], "little", signed=True), int.from_bytes(made[8:], "little", signed=True)
+
+
 def _signatures(docs: DataFrame, key: str, text: str, words: int, percent: int) -> DataFrame:
-    """(doc, n, node, prefix, sketch) for each row."""
+    """(row, doc, n, node, second, prefix, sketch) for each row."""
     counts = docs.sparkSession.sparkContext.broadcast(_bucket_counts(docs, text, words))
     key_type = docs.select(key).schema[0].dataType.simpleString()
 
@@ -96,12 +113,12 @@ def _signatures(docs: DataFrame, key: str, text: str, words: int, percent: int)
         order = counts.value
         for batch in batches:
             for part in slices(batch, 1, 4 << 20):
-                sizes, nodes, prefixes, sketches = [], [], [], []
+                sizes, names, prefixes, sketches = [], [], [], []
                 for s in shingle_sets(part.column(1).to_pylist(), words):
                     n = len(s)
                     sizes.append(n)
                     sketches.append(_sketch(s))
-                    nodes.append(int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True))
+                    names.append(_digest(s.tobytes()))
                     take = n - -(-percent * n // 100) + 1 if n else 0
                     if take < n:
                         rank = order[(s >> np.uint64(48)).astype(np.int64)]
@@ -110,31 +127,45 @@ def _signatures(docs: DataFrame, key: str, text: str, words: int, percent: int)
                     prefixes.append(s.view(np.int64))
                 ends = np.concatenate(([0], np.cumsum([len(p) for p in prefixes]))).astype(np.int32)
                 flat = np.concatenate(prefixes) if prefixes else np.zeros(0, dtype=np.int64)
+                nodes, seconds = (pa.array([x[i] for x in names], pa.int64()) for i in (0, 1))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(sizes, pa.int32()), pa.array(nodes, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array(sketches, pa.binary())],
-                    ["doc", "n", "node", "prefix", "sketch"],
+                    [part.column(0), pa.array(sizes, pa.int32()), nodes, seconds, pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array(sketches, pa.binary())],
+                    ["doc", "n", "node", "second", "prefix", "sketch"],
                 )
 
-    made = docs.select(key, text).mapInArrow(work, f"doc {key_type}, n int, node bigint, prefix array<bigint>, sketch binary")
-    return materialize(made, "signatures")
+    made = docs.select(key, text).mapInArrow(work, f"doc {key_type}, n int, node bigint, second bigint, prefix array<bigint>, sketch binary")
+    return materialize(made.withColumn("row", F.monotonically_increasing_id()), "signatures")
+
+
+def _nodes(signatures: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``signatures`` with names that only equal sets share, and one row of it for each name."""
+    firsts = signatures.groupBy("node").agg(F.min("row").alias("row"), F.min("second").alias("lo"), F.max("second").alias("hi"))
+    firsts = materialize(firsts, "firsts")
+    shared = firsts.filter("lo != hi").select("node")
+    if not shared.isEmpty():
+        marked = signatures.join(shared.withColumn("shared", F.lit(True)), "node", "left")
+        signatures = marked.withColumn("node", F.when(F.col("shared"), F.xxhash64("node", "second")).otherwise(F.col("node"))).drop("shared")
+        signatures = materialize(signatures, "signatures")
+        firsts = signatures.groupBy("node").agg(F.min("row").alias("row"))
+    return signatures, materialize(signatures.join(firsts.select("row"), "row", "left_semi"), "nodes")
 
 
 def _sets(docs: DataFrame, key: str, text: str, words: int, wanted: DataFrame) -> DataFrame:
-    """(node, items) for ``wanted`` (doc, node), one row of ``docs`` for each node; items are the hashes as bytes."""
+    """(node, items) for ``wanted`` (doc, node, second), one row of ``docs`` for each node; items are the hashes as bytes."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, 1, 4 << 20):
-                wanted_nodes, nodes, items = part.column(0).to_pylist(), [], []
-                for want, s in zip(wanted_nodes, shingle_sets(part.column(1).to_pylist(), words), strict=True):
+            for part in slices(batch, 2, 4 << 20):
+                names, nodes, items = zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True), [], []
+                for (node, second), s in zip(names, shingle_sets(part.column(2).to_pylist(), words), strict=True):
                     raw = s.tobytes()
-                    if int.from_bytes(hashlib.blake2b(raw, digest_size=8).digest(), "little", signed=True) == want:
-                        nodes.append(want)
+                    if _digest(raw)[1] == second:
+                        nodes.append(node)
                         items.append(raw)
                 yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(items, pa.binary())], ["node", "items"])
 
     rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
-    met = rows.join(wanted, F.col("k").eqNullSafe(F.col("doc"))).select("node", "t")
+    met = rows.join(wanted, F.col("k").eqNullSafe(F.col("doc"))).select("node", "second", "t")
     sets = materialize(met.mapInArrow(work, "node bigint, items binary"), "sets")
     again = sets.groupBy("node").count().filter("count > 1")  # only where a key and its text are repeated
     return sets if again.isEmpty() else sets.dropDuplicates(["node"])
@@ -180,9 +211,10 @@ def _similar(rows: list[np.ndarray], others: list[np.ndarray]) -> np.ndarray:
 
 
 def join_region(sets: list[np.ndarray], labels: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Places (i, j) of linked sets with different labels; sets are sorted and distinct.
+    """Places (i, j) of linked sets, one link for each two labels it unites: a forest of labels.  Sets are sorted and distinct.
 
     Voronoi cells around pivots, windows of twice the radius, recursion, and products at the leaves.
+    Cells and leaves whose members are of one label by then are left out.
     """
     n = np.array([len(s) for s in sets], dtype=np.float64)
     flat = np.concatenate(sets) if sets else np.zeros(0, dtype=np.uint64)
@@ -192,11 +224,12 @@ def join_region(sets: list[np.ndarray], labels: np.ndarray, percent: int) -> lis
     local = [x[x >= 0] for x in np.split(name[inverse], np.cumsum(n.astype(np.int64))[:-1])]
     local = [np.sort(x) for x in local]
     radius = 1 - percent / 100
-    found: set[tuple[int, int]] = set()
+    label = np.unique(labels, return_inverse=True)[1]
+    found: list[tuple[int, int]] = []
     stack = [np.arange(len(sets))]
     while stack:
         ids = stack.pop()
-        if len(np.unique(labels[ids])) < 2:
+        if len(ids) < 2 or (label[ids] == label[ids[0]]).all():
             continue
         if len(ids) > LEAF:
             pivots = ids[np.linspace(0, len(ids) - 1, PIVOTS).astype(np.int64)]
@@ -208,45 +241,51 @@ def join_region(sets: list[np.ndarray], labels: np.ndarray, percent: int) -> lis
             if max(map(len, cells)) <= 0.8 * len(ids):
                 stack += [ids[list(c)] for c in cells if len(c) > 1]
                 continue
-        for at in range(0, len(ids), 256):
-            part = ids[at : at + 256]
-            shared = _similar([local[i] for i in part], [local[i] for i in ids[at:]]).astype(np.int64)
-            union = n[part][:, None].astype(np.int64) + n[ids[at:]][None, :].astype(np.int64) - shared
-            hit = (100 * shared >= percent * union) & (labels[part][:, None] != labels[ids[at:]][None, :])
-            found |= {(int(part[i]), int(ids[at + j])) for i, j in zip(*np.nonzero(hit), strict=True) if part[i] != ids[at + j]}
-    return sorted(found)
+        for at in range(0, len(ids), 64):
+            part, rest = ids[at : at + 64], ids[at:]
+            if (label[rest] == label[rest[0]]).all():
+                break
+            shared = _similar([local[i] for i in part], [local[i] for i in rest]).astype(np.int64)
+            union = n[part][:, None].astype(np.int64) + n[rest][None, :].astype(np.int64) - shared
+            for i, hit in zip(part, 100 * shared >= percent * union, strict=True):
+                others = rest[hit]
+                while len(others := others[label[others] != label[i]]):
+                    found.append((int(i), int(others[0])))
+                    label[label == label[others[0]]] = label[i]
+    return found
+
+
+def _dealt(rows: DataFrame, keys: list[str], seed: int) -> DataFrame:
+    """``rows`` (node, n, ...) with the block of their group by ``keys``, and the number of its blocks; blocks have ``TILE_ROWS`` rows and ``TILE_ITEMS`` hashes on average at most."""
+    most = F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / TILE_ROWS), F.ceil(F.sum(F.col("n").cast("bigint")) / TILE_ITEMS))
+    blocks = rows.groupBy(*keys).agg(most.cast("int").alias("blocks"))
+    return rows.join(blocks, keys).withColumn("block", F.pmod(F.xxhash64("node", F.lit(seed)), "blocks").cast("int"))
 
 
 def _tiles(rows: DataFrame) -> DataFrame:
-    """``rows`` (p, node, settled, ...) once for each tile (x, y) of region p they are needed in.
+    """``rows`` (p, node, n, cell, main, ...) once for each tile they are needed in: columns x and y name it.
 
-    A tile pairs two blocks of a region.  Open blocks meet each other and all
-    settled blocks; settled blocks don't meet.  Regions without open rows have no tiles.
+    A tile pairs two blocks of region p of the same cell or of neighbouring ones.
+    Blocks of main rows don't meet each other.
     """
-    blocks = lambda n: F.greatest(F.lit(1), F.ceil(n / TILE_ROWS)).cast("int")
-    sizes = rows.groupBy("p").agg(
-        blocks(F.sum((~F.col("settled")).cast("int"))).alias("nu"), blocks(F.sum(F.col("settled").cast("int"))).alias("ns"), F.count_if(~F.col("settled")).alias("open")
-    )
-    dealt = rows.join(sizes.filter("open > 0"), "p").withColumn("at", F.xxhash64("node"))
-    i = F.pmod("at", "nu").cast("int")
-    every = F.sequence(F.lit(0), F.col("nu") - 1)
-    # open block i meets open block j >= i in tile (i, j), and settled block s in tile (i, nu + s); small regions are one tile
-    with_open = F.transform(every, lambda j: F.struct(F.least(i, j).alias("x"), F.greatest(i, j).alias("y")))
-    with_settled = F.transform(F.sequence(F.lit(0), F.col("ns") - 1), lambda s: F.struct(i.alias("x"), (F.col("nu") + s).alias("y")))
-    settled = F.transform(every, lambda j: F.struct(j.alias("x"), (F.col("nu") + F.pmod("at", "ns").cast("int")).alias("y")))
-    one = F.array(F.struct(F.lit(0).alias("x"), F.lit(0).alias("y")))
-    tiles = F.when((F.col("nu") == 1) & (F.col("ns") == 1), one).when(F.col("settled"), settled).otherwise(F.concat(with_open, with_settled))
-    return dealt.select(*rows.columns, F.explode(tiles).alias("tile")).select(*rows.columns, "tile.x", "tile.y")
-
-
-def _screened(members: DataFrame, signatures: DataFrame, percent: int) -> DataFrame:
+    keys = ["p", "cell", "main"]
+    dealt = _dealt(rows, keys, 0).withColumn("x", F.struct("cell", "main", "block"))
+    blocks = materialize(dealt.select("p", "x").distinct(), "blocks")
+    other = blocks.withColumnRenamed("x", "y")
+    near = F.abs(F.col("x.cell") - F.col("y.cell")) <= 1
+    pairs = blocks.join(other, "p").filter(near & (F.col("x") <= F.col("y")) & ~(F.col("x.main") & F.col("y.main")))
+    sides = pairs.select("p", "x", "y", F.explode(F.array_distinct(F.array("x", "y"))).alias("side"))
+    return dealt.withColumnRenamed("x", "side").join(sides, ["p", "side"]).select(*rows.columns, "x", "y")
+
+
+def _screened(members: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """(p, node): members of a region that may be linked with another member, by sketches alone.  None that is linked is lost.
 
     Who may be linked with the pivot stays at once and needs no comparison with its like.
     """
     pairs = members.select("p", "pn", "node", "n").distinct()
     used = pairs.select("node").union(pairs.select("p")).distinct()
-    sketches = materialize(signatures.join(used, "node").groupBy("node").agg(F.max("sketch").alias("sketch")), "sketches")
+    sketches = materialize(nodes.join(used, "node", "left_semi").select("node", "sketch"), "sketches")
 
     @F.pandas_udf("boolean")
     def near(a: pd.Series, b: pd.Series, na: pd.Series, nb: pd.Series) -> pd.Series:
@@ -259,11 +298,11 @@ def _screened(members: DataFrame, signatures: DataFrame, percent: int) -> DataFr
         return pd.Series(out)
 
     met = pairs.join(sketches, "node").join(sketches.select(F.col("node").alias("p"), F.col("sketch").alias("p_sketch")), "p")
-    rows = met.select("p", "node", "n", "sketch", near("sketch", "p_sketch", F.col("n"), F.col("pn")).alias("settled"))
+    rows = met.select("p", "node", "n", "sketch", near("sketch", "p_sketch", F.col("n"), F.col("pn")).alias("main"), F.lit(0).alias("cell"))
     rows = materialize(rows, "screened")
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        open_rows = ~pdf["settled"].to_numpy()
+        open_rows = ~pdf["main"].to_numpy()
         known = (pdf["sketch"].map(len) > 0).to_numpy()
         sketch = np.full((len(pdf), SKETCH), 255, dtype=np.uint8)
         sketch[known] = np.frombuffer(b"".join(pdf["sketch"][known]), dtype=np.uint8).reshape(-1, SKETCH)
@@ -274,31 +313,79 @@ def _screened(members: DataFrame, signatures: DataFrame, percent: int) -> DataFr
         stays |= hit.any(axis=0)
         return pdf.loc[stays, ["p", "node"]]
 
-    found = _tiles(rows).groupBy("p", "x", "y").applyInPandas(work, "p bigint, node bigint")
-    several = rows.filter("settled").groupBy("p").count().filter("count > 1").select("p")  # the pivot is near itself
-    return found.unionByName(rows.filter("settled").join(several, "p", "left_semi").select("p", "node")).distinct()
+    regions = rows.groupBy("p").agg(F.count_if(~F.col("main")).alias("open"), F.count_if("main").alias("near")).filter("open > 0 OR near > 1")
+    named = materialize(rows.join(regions, "p").select(*rows.columns, "open", "near"), "screened")
+    few = named.filter((F.col("open") > 0) & (F.col("open") <= SCREEN_ROWS)).drop("open", "near")
+    dealt = _tiles(few).select("p", "x", "y", "node", "n", "main", "sketch")
+    found = dealt.groupBy("p", "x", "y").applyInPandas(work, "p bigint, node bigint")
+    whole = named.filter((F.col("open") > SCREEN_ROWS) | (F.col("main") & (F.col("near") > 1))).select("p", "node")  # the pivot is near itself
+    return found.unionByName(whole).distinct()
 
 
-def _region_links(members: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links between documents of one region that the pivots left in different components.  members: (token, node, p)."""
-    own = labels.select("node", "label")
-    named = members.join(own, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    open_tokens = named.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi").select("token")
-    rows = named.join(open_tokens, "token", "left_semi").select("p", "node", "label").distinct()
-    pivots = labels.select(F.col("node").alias("p"), F.col("label").alias("p_label"))
-    rows = rows.join(pivots, "p", "left").withColumn("settled", F.col("label") == F.coalesce("p_label", "p"))
-    rows = materialize(rows.select("p", "node", "label", "settled"), "regions")
-    met = _tiles(rows).join(sets, "node")
+def _joined(dealt: DataFrame, sets: DataFrame, keys: list[str], percent: int) -> DataFrame:
+    """Links (a, b) that unite different labels inside each group by ``keys`` of ``dealt`` (node, label, ...)."""
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
         nodes = pdf["node"].to_numpy()
         found = join_region([np.frombuffer(x, dtype=np.uint64) for x in pdf["items"]], pdf["label"].to_numpy(), percent)
         return pd.DataFrame({"a": [nodes[i] for i, _ in found], "b": [nodes[j] for _, j in found]}, dtype="int64")
 
-    return met.groupBy("p", "x", "y").applyInPandas(work, "a bigint, b bigint").distinct()
+    tasks = int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes, much work: not to be coalesced
+    met = dealt.join(sets, "node").select(*keys, "node", "label", "items").repartition(tasks, *keys)
+    return met.groupBy(*keys).applyInPandas(work, "a bigint, b bigint")
+
+
+def _several(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """``rows`` (p, node, n) of regions with several labels, with each row's ``label``."""
+    named = rows.join(labels, "node", "left").select("p", "node", "n", F.coalesce("label", "node").alias("label"))
+    several = named.groupBy("p").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi").select("p")
+    return materialize(named.join(several, "p", "left_semi"), "regions")
+
 
+def _shells(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``rows`` with ``cell``, the distance to the region's least node in whole radii, and ``main``, whether the label is its most frequent."""
 
-def _members(signatures: DataFrame, percent: int) -> DataFrame:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cells = []
+            for x, y in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
+                both = np.sort(np.concatenate((np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64))), kind="stable")
+                shared = int((both[1:] == both[:-1]).sum())
+                union = len(both) - shared
+                cells.append(100 * (union - shared) // max(1, union * (100 - percent)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(cells, pa.int32())], ["p", "node", "n", "cell"])
+
+    least = rows.groupBy("p").agg(F.min("node").alias("q"))
+    met = rows.join(least, "p").join(sets, "node").join(sets.select(F.col("node").alias("q"), F.col("items").alias("q_items")), "q")
+    cells = met.select("p", "node", "n", "items", "q_items").mapInArrow(work, "p bigint, node bigint, n int, cell int")
+    counts = rows.groupBy("p", "label").count()
+    largest = counts.groupBy("p").agg(F.max_by("label", F.struct("count", "label")).alias("largest"))
+    named = rows.select("p", "node", "label").join(cells, ["p", "node"]).join(largest, "p")
+    return materialize(named.select("p", "node", "n", "label", "cell", (F.col("label") == F.col("largest")).alias("main")), "shells")
+
+
+def _region_labels(members: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``labels`` (node, label) after the links inside each region.  members: (token, node, n, p)."""
+
+    def with_links(links: DataFrame) -> DataFrame:
+        more = materialize(links, "region-links")
+        return labels if more.isEmpty() else materialize(components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(more)), "labels")
+
+    named = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    open_tokens = named.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi").select("token")
+    rows = named.join(open_tokens, "token", "left_semi").select("p", "node", "n").distinct()
+    for seed in (1, 2):
+        rows = _several(rows, labels)
+        dealt = materialize(_dealt(rows, ["p"], seed), "dealt")
+        labels = with_links(_joined(dealt, sets, ["p", "block"], percent))
+        rows = dealt.filter("blocks > 1").select("p", "node", "n")  # the others are decided
+        if rows.isEmpty():
+            return labels
+    rows = _several(rows, labels)
+    return labels if rows.isEmpty() else with_links(_joined(_tiles(_shells(rows, sets, percent)), sets, ["p", "x", "y"], percent))
+
+
+def _members(nodes: DataFrame, percent: int) -> DataFrame:
     """(token, node, n, p, pn): regions with at least two documents of linkable sizes, and each one's pivot.
 
     Of two linked documents the smaller has a shared shingle even in its first
@@ -306,9 +393,9 @@ def _members(signatures: DataFrame, percent: int) -> DataFrame:
     wide; a document counts in its own and the next, so linkable sizes meet.
     """
     short = F.col("pos") <= F.col("n") - F.ceil(F.lit(2 * percent) * F.col("n") / (100 + percent) - 1e-9)
-    tokens = signatures.select("node", "n", F.posexplode("prefix").alias("pos", "token")).select("node", "n", "token", short.alias("short"))
+    tokens = nodes.select("node", "n", F.posexplode("prefix").alias("pos", "token")).select("node", "n", "token", short.alias("short"))
     groups = tokens.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.max("short").alias("short")).filter("lo != hi AND short")
-    met = materialize(tokens.join(groups.select("token"), "token").distinct(), "met")
+    met = materialize(tokens.join(groups.select("token"), "token"), "met")
 
     own = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent) + 1e-9)
     classed = met.withColumn("class", F.explode(F.array(own, own + 1))).withColumn("token", F.struct("token", "class")).drop("class")
@@ -321,21 +408,17 @@ def _members(signatures: DataFrame, percent: int) -> DataFrame:
 
 def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
     """(key, n_shingles, component_id) for each row of ``docs``: components of links of ``percent`` similarity at least."""
-    signatures = _signatures(docs, key, text, words, percent)
-    members = _members(signatures, percent)
-    members = materialize(members.join(_screened(members, signatures, percent), ["p", "node"], "left_semi"), "members")
+    signatures, nodes = _nodes(_signatures(docs, key, text, words, percent))
+    members = _members(nodes, percent)
+    members = materialize(members.join(_screened(members, nodes, percent), ["p", "node"], "left_semi"), "members")
     near = (100 * F.col("pn") >= percent * F.col("n")) & (F.col("node") != F.col("p"))
     counted = members.filter(near).groupBy("node", "p").count().groupBy("node").agg(F.max(F.struct("count", "p")).alias("best"))
     stars = materialize(counted.select(F.col("node").alias("a"), F.col("best.p").alias("b")), "stars")
 
     used = members.select("node").distinct()
-    wanted = signatures.join(used, "node").groupBy("node").agg(F.min("doc").alias("doc"))
-    sets = _sets(docs, key, text, words, wanted)
-    links = materialize(_verified(stars, sets, percent), "verified")
-    labels = materialize(components(links), "labels")
-    more = materialize(_region_links(members.select("token", "node", "p"), labels, sets, percent), "region-links")
-    if not more.isEmpty():
-        labels = materialize(components(links.unionByName(more)), "labels")
+    sets = _sets(docs, key, text, words, nodes.join(used, "node", "left_semi").select("doc", "node", "second"))
+    labels = materialize(components(materialize(_verified(stars, sets, percent), "verified")), "labels")
+    labels = _region_labels(members.select("token", "node", "n", "p"), labels, sets, percent)
 
     alone = F.col("n") == 0
     named = signatures.select("doc", "n", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))

@@ -95,6 +95,33 @@ def shingles(text, k):
     return frozenset(tuple(words[i : i + k]) for i in range(len(words) - k + 1)) if k else frozenset()
 
 
+def brute_groups(pool, words, percent):
+    """(set size, least linked place) of each text, by all pairs."""
+    sets = [shingles(t, words) for t in pool]
+    names = {x: i for i, x in enumerate(sorted(set().union(*sets)))}
+    parent = list(range(len(pool)))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    matrix = np.zeros((len(pool), len(names)), dtype=np.float32)
+    for row, x in zip(matrix, sets, strict=True):
+        row[[names[i] for i in x]] = 1
+    shared, sizes = matrix @ matrix.T, matrix.sum(1)
+    linked = (100 * shared >= percent * (sizes[:, None] + sizes[None, :] - shared)) & (shared > 0)
+    for i, j in zip(*np.nonzero(np.triu(linked, 1)), strict=True):
+        a, b = find(int(i)), find(int(j))
+        parent[max(a, b)] = min(a, b)
+    return {i: (len(x), find(i)) for i, x in enumerate(sets)}
+
+
+def joined_groups(spark, pool, words, percent):
+    df = spark.createDataFrame(list(enumerate(pool)), "doc_id long, text string")
+    return {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.similar_groups(df, words=words, percent=percent).collect()}
+
+
 @pytest.mark.parametrize("words,percent", [(3, 90), (5, 80), (1, 50)])
 def test_ngram_join(spark, words, percent):
     rng = random.Random(words)
@@ -105,23 +132,41 @@ def test_ngram_join(spark, words, percent):
             copy = [w if rng.random() > 0.03 else "edit" + str(rng.randrange(99)) for w in base]
             pool.append(" ".join(copy))
     pool += ["", None, " ", "one", "ONE", "one two"]
-    sets = [shingles(t, words) for t in pool]
-    parent = list(range(len(pool)))
+    assert joined_groups(spark, pool, words, percent) == brute_groups(pool, words, percent)
 
-    def find(i):
-        while parent[i] != i:
-            i = parent[i]
-        return i
 
-    for i in range(len(pool)):
-        for j in range(i):
-            shared = len(sets[i] & sets[j])
-            if sets[i] and sets[j] and 100 * shared >= percent * (len(sets[i]) + len(sets[j]) - shared):
-                a, b = find(i), find(j)
-                parent[max(a, b)] = min(a, b)
-    df = spark.createDataFrame(list(enumerate(pool)), "doc_id long, text string")
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.similar_groups(df, words=words, percent=percent).collect()}
-    assert got == {i: (len(s), find(i)) for i, s in enumerate(sets)}
+@pytest.mark.parametrize("rate", [0.004, 0.02])
+def test_ngram_join_of_regions_larger_than_a_task(spark, monkeypatch, rate):
+    """Families that share a passage, and a pivot that few of them are linked with; blocks are a few rows, so every round runs."""
+    monkeypatch.setattr(ngram_join, "TILE_ROWS", 7)
+    monkeypatch.setattr(ngram_join, "SCREEN_ROWS", 40)
+    rng = random.Random(8)
+    shared = [rng.choice(WORDS) + str(rng.randrange(4000)) for _ in range(60)]
+    pool = [" ".join(shared + [rng.choice(WORDS) + str(rng.randrange(4000)) for _ in range(4)])]
+    for _ in range(3):
+        base = shared + [rng.choice(WORDS) + str(rng.randrange(4000)) for _ in range(12)]
+        for _ in range(100):
+            pool.append(" ".join(w if rng.random() > rate else f"edit{rng.randrange(10**6)}" for w in base))
+    assert joined_groups(spark, pool, 3, 90) == brute_groups(pool, 3, 90)
+
+
+def test_ngram_join_of_one_large_group(spark):
+    rng = random.Random(9)
+    base = [rng.choice(WORDS) + str(rng.randrange(4000)) for _ in range(150)]
+    pool = [" ".join(base[:140])]
+    for i in range(3000):
+        copy = list(base)
+        copy[20 + i % 100] = f"own{i}"
+        pool.append(" ".join(copy))
+    assert joined_groups(spark, pool, 3, 90) == brute_groups(pool, 3, 90)
+
+
+def test_ngram_join_of_names_that_clash(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "_digest", lambda items: (len(items) // 8 % 3, int(np.bitwise_xor.reduce(np.frombuffer(items, dtype=np.int64))) if items else 0))
+    rng = random.Random(4)
+    pool = [prose(rng, 40) for _ in range(20)]
+    pool += [t + " tail" for t in pool[:5]] + pool[:3]
+    assert joined_groups(spark, pool, 3, 80) == brute_groups(pool, 3, 80)
 
 
 def test_ngram_join_edge_tables(docs):
@@ -137,14 +182,23 @@ def test_join_region_matches_all_pairs():
         s = base.copy()
         s[rng.random(80) < 0.06] = rng.integers(0, 1 << 60)
         sets.append(np.unique(s))
-    got = set(ngram_join.join_region(sets, np.arange(len(sets)), 90))
+    got = ngram_join.join_region(sets, np.arange(len(sets)), 90)
     want = set()
     for i in range(len(sets)):
         for j in range(i + 1, len(sets)):
             shared = len(np.intersect1d(sets[i], sets[j]))
             if 100 * shared >= 90 * (len(sets[i]) + len(sets[j]) - shared):
                 want.add((i, j))
-    assert {(min(p), max(p)) for p in got} == want
+    assert {(min(p), max(p)) for p in got} <= want
+
+    def groups(links):
+        label = list(range(len(sets)))
+        for i, j in links:
+            label = [label[i] if x == label[j] else x for x in label]
+        return {frozenset(k for k, x in enumerate(label) if x == y) for y in label}
+
+    assert groups(got) == groups(want)
+    assert len(got) == len(sets) - len(groups(want))  # a forest
 
 
 def test_components(spark):
