@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,3 +53,39 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only; null counts as empty."""
     return F.translate(F.coalesce(text, F.lit("")), UPPER, UPPER.lower())
+
+
+def map_groups(rows: DataFrame, keys: list[str], work: Callable[[pa.RecordBatch, np.ndarray], pa.RecordBatch], schema: str) -> DataFrame:
+    """``work(batch, bounds)`` over batches of whole groups by ``keys`` (bigint, no nulls); group g is rows bounds[g] to bounds[g + 1].
+
+    For many small groups of bounded size: there is no call for each group as in
+    ``applyInPandas``.  Shuffle partitions aren't coalesced, as few bytes may be much work.
+    """
+
+    def bounds_of(batch: pa.RecordBatch) -> np.ndarray:
+        turns = np.zeros(max(0, batch.num_rows - 1), dtype=bool)
+        for name in keys:
+            k = batch.column(name).to_numpy()
+            turns |= k[1:] != k[:-1]
+        return np.concatenate(([0], np.flatnonzero(turns) + 1, [batch.num_rows]))
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if batch.num_rows:
+                if held and any(held[-1].column(k)[-1].as_py() != batch.column(k)[0].as_py() for k in keys):
+                    whole = pa.concat_batches(held)
+                    held = []
+                    yield work(whole, bounds_of(whole))
+                last = int(bounds_of(batch)[-2])
+                if last:
+                    whole = pa.concat_batches([*held, batch.slice(0, last)])
+                    held = []
+                    yield work(whole, bounds_of(whole))
+                held.append(batch.slice(last))
+        if held:
+            whole = pa.concat_batches(held)
+            yield work(whole, bounds_of(whole))
+
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(tasks, *keys).sortWithinPartitions(*keys).mapInArrow(each, schema)

@@ -48,7 +48,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import materialize, read
+from ._common import map_groups, materialize, read
 from .bpe import slices
 from .components import components
 from .shingles import shingle_sets
@@ -89,15 +89,6 @@ def _sketch(items: np.ndarray) -> bytes:
     return b"" if counts.max() > 255 else counts.astype(np.uint8).tobytes()
 
 
-def _may_link(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, percent: int) -> np.ndarray:
-    """Whether sets of sizes na, nb with sketches a, b (rows) can be linked: buckets bound the intersection from above."""
-    most = np.zeros((len(a), len(b)), dtype=np.int32)
-    for i in range(0, len(a), max(1, (1 << 21) // max(1, b.size))):
-        part = a[i : i + max(1, (1 << 21) // max(1, b.size))]
-        most[i : i + len(part)] = np.minimum(part[:, None, :], b[None, :, :]).sum(axis=2, dtype=np.int32)
-    return 100 * most.astype(np.int64) >= percent * (na[:, None] + nb[None, :] - most)
-
-
 def _digest(items: bytes) -> tuple[int, int]:
     """Two 64-bit names of a set."""
     made = hashlib.blake2b(items, digest_size=16).digest()
@@ -216,6 +207,8 @@ def join_region(sets: list[np.ndarray], labels: np.ndarray, percent: int) -> lis
     Voronoi cells around pivots, windows of twice the radius, recursion, and products at the leaves.
     Cells and leaves whose members are of one label by then are left out.
     """
+    if len(sets) == 2:
+        return [(0, 1)] if labels[0] != labels[1] and _linked(*sets, percent) else []
     n = np.array([len(s) for s in sets], dtype=np.float64)
     flat = np.concatenate(sets) if sets else np.zeros(0, dtype=np.uint64)
     values, inverse, seen = np.unique(flat, return_inverse=True, return_counts=True)
@@ -263,19 +256,17 @@ def _dealt(rows: DataFrame, keys: list[str], seed: int) -> DataFrame:
 
 
 def _tiles(rows: DataFrame) -> DataFrame:
-    """``rows`` (p, node, n, cell, main, ...) once for each tile they are needed in: columns x and y name it.
+    """``rows`` (p, node, n, cell, apart, ...) once for each tile they are needed in.
 
     A tile pairs two blocks of region p of the same cell or of neighbouring ones.
-    Blocks of main rows don't meet each other.
+    Blocks of rows set apart don't meet each other.
     """
-    keys = ["p", "cell", "main"]
-    dealt = _dealt(rows, keys, 0).withColumn("x", F.struct("cell", "main", "block"))
+    dealt = _dealt(rows, ["p", "cell", "apart"], 0).withColumn("x", F.struct("cell", "apart", "block"))
     blocks = materialize(dealt.select("p", "x").distinct(), "blocks")
-    other = blocks.withColumnRenamed("x", "y")
     near = F.abs(F.col("x.cell") - F.col("y.cell")) <= 1
-    pairs = blocks.join(other, "p").filter(near & (F.col("x") <= F.col("y")) & ~(F.col("x.main") & F.col("y.main")))
-    sides = pairs.select("p", "x", "y", F.explode(F.array_distinct(F.array("x", "y"))).alias("side"))
-    return dealt.withColumnRenamed("x", "side").join(sides, ["p", "side"]).select(*rows.columns, "x", "y")
+    pairs = blocks.join(blocks.withColumnRenamed("x", "y"), "p").filter(near & (F.col("x") <= F.col("y")) & ~(F.col("x.apart") & F.col("y.apart")))
+    sides = pairs.select("p", F.xxhash64("x", "y").alias("tile"), F.explode(F.array_distinct(F.array("x", "y"))).alias("x"))
+    return dealt.join(sides, ["p", "x"]).select(*rows.columns, "tile")
 
 
 def _screened(members: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
@@ -301,38 +292,54 @@ def _screened(members: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     rows = met.select("p", "node", "n", "sketch", near("sketch", "p_sketch", F.col("n"), F.col("pn")).alias("main"), F.lit(0).alias("cell"))
     rows = materialize(rows, "screened")
 
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        open_rows = ~pdf["main"].to_numpy()
-        known = (pdf["sketch"].map(len) > 0).to_numpy()
-        sketch = np.full((len(pdf), SKETCH), 255, dtype=np.uint8)
-        sketch[known] = np.frombuffer(b"".join(pdf["sketch"][known]), dtype=np.uint8).reshape(-1, SKETCH)
-        n, own = pdf["n"].to_numpy().astype(np.int64), pdf["node"].to_numpy()
-        hit = _may_link(sketch[open_rows], sketch, n[open_rows], n, percent) & (own[open_rows][:, None] != own[None, :])
-        stays = np.zeros(len(pdf), dtype=bool)
-        stays[open_rows] = hit.any(axis=1)
-        stays |= hit.any(axis=0)
-        return pdf.loc[stays, ["p", "node"]]
+    def work(batch: pa.RecordBatch, bounds: np.ndarray) -> pa.RecordBatch:
+        main, n, own = (batch.column(x).to_numpy(zero_copy_only=False) for x in ("main", "n", "node"))
+        raw = batch.column("sketch").to_pylist()
+        sketch = np.frombuffer(b"".join(x or b"\xff" * SKETCH for x in raw), dtype=np.uint8).reshape(-1, SKETCH)
+        size = np.diff(bounds)
+        group = np.repeat(np.arange(len(size)), size)
+        asks = np.flatnonzero(~main)
+        ends = np.cumsum(size[group[asks]])
+        n, stays, at = n.astype(np.int64), np.zeros(batch.num_rows, dtype=bool), 0
+        while at < len(asks):
+            end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + (1 << 14), side="right")))
+            some = asks[at:end]
+            times = size[group[some]]
+            left = np.repeat(some, times)
+            right = np.arange(times.sum()) + np.repeat(bounds[group[some]] - np.cumsum(times) + times, times)
+            small, large = np.minimum(n[left], n[right]), np.maximum(n[left], n[right])
+            fit = (own[left] != own[right]) & (100 * small >= percent * large) & ~(stays[left] & stays[right])
+            left, right = left[fit], right[fit]
+            most = np.minimum(sketch[left], sketch[right]).sum(axis=1, dtype=np.int32).astype(np.int64)
+            hit = 100 * most >= percent * (n[left] + n[right] - most)
+            stays[left[hit]] = stays[right[hit]] = True
+            at = end
+        return batch.select(["p", "node"]).filter(pa.array(stays))
 
     regions = rows.groupBy("p").agg(F.count_if(~F.col("main")).alias("open"), F.count_if("main").alias("near")).filter("open > 0 OR near > 1")
-    named = materialize(rows.join(regions, "p").select(*rows.columns, "open", "near"), "screened")
-    few = named.filter((F.col("open") > 0) & (F.col("open") <= SCREEN_ROWS)).drop("open", "near")
-    dealt = _tiles(few).select("p", "x", "y", "node", "n", "main", "sketch")
-    found = dealt.groupBy("p", "x", "y").applyInPandas(work, "p bigint, node bigint")
+    large = F.col("open") + F.col("near") > TILE_ROWS
+    named = rows.join(regions, "p").withColumn("apart", F.col("main") & large)
+    asked = named.filter((F.col("open") > 0) & (F.col("open") <= SCREEN_ROWS))
+    wanted = ["p", "tile", "node", "n", "main", "sketch"]
+    one = asked.filter(~large).withColumn("tile", F.lit(0).cast("bigint")).select(*wanted)
+    several = _tiles(asked.filter(large).drop("open", "near")).select(*wanted)
+    found = map_groups(one.unionByName(several), ["p", "tile"], work, "p bigint, node bigint")
     whole = named.filter((F.col("open") > SCREEN_ROWS) | (F.col("main") & (F.col("near") > 1))).select("p", "node")  # the pivot is near itself
     return found.unionByName(whole).distinct()
 
 
-def _joined(dealt: DataFrame, sets: DataFrame, keys: list[str], percent: int) -> DataFrame:
-    """Links (a, b) that unite different labels inside each group by ``keys`` of ``dealt`` (node, label, ...)."""
+def _joined(dealt: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that unite different labels inside each tile of a region.  dealt: (p, tile, node, label)."""
 
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        nodes = pdf["node"].to_numpy()
-        found = join_region([np.frombuffer(x, dtype=np.uint64) for x in pdf["items"]], pdf["label"].to_numpy(), percent)
-        return pd.DataFrame({"a": [nodes[i] for i, _ in found], "b": [nodes[j] for _, j in found]}, dtype="int64")
+    def work(batch: pa.RecordBatch, bounds: np.ndarray) -> pa.RecordBatch:
+        nodes, labels = batch.column("node").to_numpy(), batch.column("label").to_numpy()
+        items = [np.frombuffer(x, dtype=np.uint64) for x in batch.column("items").to_pylist()]
+        found = [(x + i, x + j) for x, y in zip(bounds[:-1], bounds[1:], strict=True) for i, j in join_region(items[x:y], labels[x:y], percent)]
+        at = np.array(found, dtype=np.int64).reshape(-1, 2)
+        return pa.RecordBatch.from_arrays([pa.array(nodes[at[:, 0]]), pa.array(nodes[at[:, 1]])], ["a", "b"])
 
-    tasks = int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes, much work: not to be coalesced
-    met = dealt.join(sets, "node").select(*keys, "node", "label", "items").repartition(tasks, *keys)
-    return met.groupBy(*keys).applyInPandas(work, "a bigint, b bigint")
+    met = dealt.select("p", F.col("tile").cast("bigint").alias("tile"), "node", "label").join(sets, "node")
+    return map_groups(met, ["p", "tile"], work, "a bigint, b bigint")
 
 
 def _several(rows: DataFrame, labels: DataFrame) -> DataFrame:
@@ -343,7 +350,7 @@ def _several(rows: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _shells(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """``rows`` with ``cell``, the distance to the region's least node in whole radii, and ``main``, whether the label is its most frequent."""
+    """``rows`` with ``cell``, the distance to the region's least node in whole radii; rows of its most frequent label are set ``apart``."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -361,7 +368,7 @@ def _shells(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     counts = rows.groupBy("p", "label").count()
     largest = counts.groupBy("p").agg(F.max_by("label", F.struct("count", "label")).alias("largest"))
     named = rows.select("p", "node", "label").join(cells, ["p", "node"]).join(largest, "p")
-    return materialize(named.select("p", "node", "n", "label", "cell", (F.col("label") == F.col("largest")).alias("main")), "shells")
+    return materialize(named.select("p", "node", "n", "label", "cell", (F.col("label") == F.col("largest")).alias("apart")), "shells")
 
 
 def _region_labels(members: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -377,12 +384,12 @@ def _region_labels(members: DataFrame, labels: DataFrame, sets: DataFrame, perce
     for seed in (1, 2):
         rows = _several(rows, labels)
         dealt = materialize(_dealt(rows, ["p"], seed), "dealt")
-        labels = with_links(_joined(dealt, sets, ["p", "block"], percent))
+        labels = with_links(_joined(dealt.withColumnRenamed("block", "tile"), sets, percent))
         rows = dealt.filter("blocks > 1").select("p", "node", "n")  # the others are decided
         if rows.isEmpty():
             return labels
     rows = _several(rows, labels)
-    return labels if rows.isEmpty() else with_links(_joined(_tiles(_shells(rows, sets, percent)), sets, ["p", "x", "y"], percent))
+    return labels if rows.isEmpty() else with_links(_joined(_tiles(_shells(rows, sets, percent)), sets, percent))
 
 
 def _members(nodes: DataFrame, percent: int) -> DataFrame:
