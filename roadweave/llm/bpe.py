@@ -3,7 +3,9 @@
 The ``tokenizers`` library runs over Arrow batches.  A text is first cut before
 each blank that a non-blank character follows: at these places every pattern of
 the byte-level family ends a match, so the parts are encoded independently and
-equal parts are encoded once (a bounded cache per worker).  Long texts need little
+equal parts are encoded once (a bounded cache per worker, of two generations, so
+that frequent parts stay when it is full).  What the cache lacks is encoded as one
+text; ids are dealt back to parts by the lengths of their bytes.  Long texts need little
 more memory than their own ids.  Decoding reverses the byte table: ids become
 bytes first and the bytes are read as UTF-8 only when they are joined, so
 characters split over several ids are whole again.
@@ -29,9 +31,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ._common import read
 
-CACHE_PARTS = 300_000
-BATCH_PARTS = 16_384
-CACHED_CHARS = 40
+CACHE_PARTS = 250_000
+BATCH_PARTS = 4_096
+CACHED_BYTES = 48
 _BREAK = re.compile(r" (?=\S)")
 _ODD = re.compile(r" (?:\s|\Z)")
 
@@ -104,7 +106,10 @@ class Encoder:
     """Ids of texts as little-endian unsigned 32-bit bytes; one per worker process and vocabulary."""
 
     def __init__(self, tokenizer):
-        self.tokenizer, self.known = tokenizer, {}
+        self.tokenizer, self.known, self.before = tokenizer, {}, {}
+        vocabulary = tokenizer.get_vocab(with_added_tokens=False)
+        self.lengths = np.zeros(1 + max(vocabulary.values()), dtype=np.int64)  # a character of a token stands for a byte
+        self.lengths[list(vocabulary.values())] = list(map(len, vocabulary))
 
     @staticmethod
     def shared(path: str, pattern: str | None) -> Encoder:
@@ -118,7 +123,8 @@ class Encoder:
         """Ids of each text.  What the cache lacks is encoded once for all ``texts``."""
         texts = [t or "" for t in texts]
         odd = [i for i, t in enumerate(texts) if _ODD.search(t)]
-        even = [i for i in range(len(texts)) if i not in set(odd)] if odd else range(len(texts))
+        held = set(odd)
+        even = [i for i in range(len(texts)) if i not in held]
         out: list[bytes] = [b""] * len(texts)
         cut = pc.split_pattern(pa.array([texts[i] for i in even], pa.large_string()), " ")
         for rows, parts in ((even, cut), (odd, pa.array([_BREAK.split(texts[i]) for i in odd], pa.large_list(pa.large_string())))):
@@ -138,35 +144,45 @@ class Encoder:
         used = np.zeros(len(words.dictionary), dtype=bool)
         used[codes[rest]] = True
         places = np.flatnonzero(used)
-        ids = self._ids(words.dictionary.take(pa.array(places)).to_pylist())
-        ids += self._made(words.dictionary.take(pa.array(first)).to_pylist())
-        place = np.zeros(len(used), dtype=np.int64)
+        ids = self._ids(words.dictionary.take(pa.array(places)))
+        firsts = self._made(words.dictionary.take(pa.array(first)).to_pylist())
+        place = np.zeros(len(used), dtype=np.int32)
         place[places] = np.arange(len(places))
-        codes = place[codes]
-        codes[offsets[:-1]] = len(places) + np.arange(len(first))
-        sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
-        starts = np.concatenate(([0], np.cumsum(sizes)))
-        flat = np.frombuffer(b"".join(ids), dtype="<u4")
-        ends = np.concatenate(([0], np.cumsum(sizes[codes])))
-        joined = flat[np.repeat(starts[codes] - ends[:-1], sizes[codes]) + np.arange(ends[-1])]
-        bounds = ends[offsets].tolist()
-        return [joined[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-
-    def _ids(self, words: list[str]) -> list[bytes]:
+        codes, bounds, of = place[codes], offsets.tolist(), ids.__getitem__
+        return [x + b"".join(map(of, codes[a + 1 : b].tolist())) for x, a, b in zip(firsts, bounds[:-1], bounds[1:], strict=True)]
+
+    def _ids(self, distinct: pa.Array) -> list[bytes]:
         """Ids of distinct words, each with the blank before it."""
-        known = self.known
-        ids = list(map(known.get, words))
+        words = distinct.to_numpy(zero_copy_only=False).tolist()
+        ids = list(map(self.known.get, words))
         gaps = [i for i, x in enumerate(ids) if x is None]
-        if gaps:
-            new = [words[i] for i in gaps]
-            if len(known) + len(new) > CACHE_PARTS:
-                known.clear()
-            for i, word, made in zip(gaps, new, self._made([" " + w for w in new]), strict=True):
-                ids[i] = made
-                if len(word) <= CACHED_CHARS:
-                    known[word] = made
+        for i, x in zip(gaps, map(self.before.get, [words[i] for i in gaps]), strict=True):
+            ids[i] = x
+        new = [i for i in gaps if ids[i] is None]
+        sizes = pc.binary_length(distinct).to_numpy()
+        for at in range(0, len(new), BATCH_PARTS):
+            some = new[at : at + BATCH_PARTS]
+            for i, x in zip(some, self._encoded_joined([" " + words[i] for i in some], sizes[some] + 1), strict=True):
+                ids[i] = x
+        kept = np.array(gaps, dtype=np.int64)
+        kept = kept[sizes[kept] <= CACHED_BYTES].tolist()
+        for at in range(0, len(kept), BATCH_PARTS):
+            if len(self.known) >= CACHE_PARTS:
+                self.known, self.before = {}, self.known
+            some = kept[at : at + BATCH_PARTS]
+            self.known.update(zip([words[i] for i in some], [ids[i] for i in some], strict=True))
         return ids
 
+    def _encoded_joined(self, parts: list[str], sizes: np.ndarray) -> list[bytes]:
+        """Ids of parts of ``sizes`` bytes that begin with a blank and another character, so that no match reaches from one into the next."""
+        found = np.array(self.tokenizer.encode("".join(parts), add_special_tokens=False).ids, dtype="<u4")
+        at, ends = np.cumsum(self.lengths[found]), np.cumsum(sizes)
+        places = np.searchsorted(at, ends)
+        if not len(at) or places[-1] >= len(at) or (at[places] != ends).any():
+            return self._encoded(parts)
+        flat, bounds = found.tobytes(), (4 * (places + 1)).tolist()
+        return [flat[a:b] for a, b in zip([0, *bounds], bounds, strict=False)]
+
     def _made(self, parts: list[str]) -> list[bytes]:
         """Ids of parts, some at a time, because the library's own records are many times as large as the ids."""
         return [ids for i in range(0, len(parts), BATCH_PARTS) for ids in self._encoded(parts[i : i + BATCH_PARTS])]

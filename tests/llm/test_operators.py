@@ -317,6 +317,29 @@ def test_packing(spark, docs):
     assert all(sum(packing.piece_lengths(n, 2048)) == n for n in range(1, 5000))
 
 
+def test_packing_of_long_texts_over_batches(spark):
+    """Texts of many sequences, batches of two rows: no id is lost, and little is padded."""
+    import public_tokenizers
+
+    path, rng = public_tokenizers.path("byte_bpe_50k.json"), random.Random(6)
+    texts = [prose(rng, n) for n in [6000, 3, 900, 1, 2500, *(rng.randrange(1, 500) for _ in range(120))]]
+    tokenizer = bpe.tokenizer_from_file(path)
+    held = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        pieces = packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1), path).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", held)
+    by_doc, bins = collections.defaultdict(list), collections.Counter()
+    for p in pieces:
+        by_doc[p.doc_id].append((p.start, np.frombuffer(p.ids, "<u4").tolist()))
+        bins[p.sequence_id] += p.length
+    for i, t in enumerate(texts):
+        assert [x for _, ids in sorted(by_doc[i]) for x in ids] == [*tokenizer.encode(t, add_special_tokens=False).ids, 1]
+    total = sum(bins.values())
+    assert max(bins.values()) <= 2048 and total / (2048 * len(bins)) > 0.95
+
+
 def test_url_filter(spark):
     urls = ["http://A.example.org/es/x", "http://example.org/en/12?q", "http://b.org", "http://b.org/", "https://x.com/de/1#f", "https://x.com/fr/casino", "http://n.net/casino", "http://n.net/casinos", "http://n.net/free-spam", "http://n.net/free/free", "nothing", None, "HTTP://Spam-Farm.net?x", "a://b://c/d"]
     df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumn("host", F.lit("clash"))
@@ -393,7 +416,7 @@ def test_html_table(spark):
     assert html_text.extract_text(df.limit(0)).count() == 0
 
 
-def test_bpe_equals_tiktoken(spark, docs, texts):
+def test_bpe_equals_tiktoken(spark, docs, texts, monkeypatch):
     import public_tokenizers
     import tiktoken
 
@@ -403,10 +426,16 @@ def test_bpe_equals_tiktoken(spark, docs, texts):
     source = docs.collect()
     want = collections.Counter((r.doc_id, tuple(reference.encode_ordinary(r.text or "")), (r.text or "").encode()) for r in source)
     assert collections.Counter((r.doc_id, tuple(np.frombuffer(r.ids, "<u4").tolist()), bytes(r.decoded)) for r in rows) == want
-    encoder, rng = bpe.Encoder.shared(path, pattern), random.Random(1)
+    encoder, rng = bpe.Encoder(bpe.tokenizer_from_ranks(path, pattern)), random.Random(1)
     odd = list("ab Z9  \n\t'sred!?.é") + [chr(c) for c in (0x85, 0xA0, 0x1C, 0x2028, 0x3000, 0x200B, 0x660, 0x1F600, 0x301)]
     made = ["".join(rng.choice(odd) for _ in range(rng.randrange(14))) for _ in range(2000)] + ["<|endoftext|>"]
     assert [np.frombuffer(i, "<u4").tolist() for i in encoder.encode(made)] == [reference.encode_ordinary(t) for t in made]
+    rows = [" ".join(rng.choice(["\u00e9t\u00e9", "don't", "x\n", "\ty", "a\u00a0", "\U0001f600"]) + str(rng.randrange(500)) + rng.choice(["", "\n", "\t\t", " "]) for _ in range(30)) for _ in range(200)]
+    monkeypatch.setattr(bpe, "CACHE_PARTS", 64)  # both generations turn over many times
+    monkeypatch.setattr(bpe, "BATCH_PARTS", 16)
+    for at in range(0, 200, 20):
+        assert [np.frombuffer(i, "<u4").tolist() for i in encoder.encode(rows[at : at + 20])] == [reference.encode_ordinary(t) for t in rows[at : at + 20]]
+    assert len(encoder.known) <= 64 + 16 and len(encoder.before) <= 64 + 16
     found = bpe.offsets(encoder.tokenizer, "a日b")
     assert [i for i, _, _ in found] == reference.encode_ordinary("a日b")
 
