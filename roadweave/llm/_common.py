@@ -19,16 +19,18 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the session's ``spark.checkpoint.dir``.
+    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session or its context.
 
-    Where the session names none (local tests) a temporary folder is set once.
+    Where none is set, a local session (one JVM, as in tests) gets a temporary
+    folder; a cluster doesn't, as its executors would not see it.
     """
-    path = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    path = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not path:
-        held = spark.sparkContext.getCheckpointDir()
-        path = held or tempfile.mkdtemp(prefix="spark-shared-")
-        if not held:
-            spark.sparkContext.setCheckpointDir(path)
+        if context.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        path = tempfile.mkdtemp(prefix="spark-")
+        context.setCheckpointDir(path)
     return path.rstrip("/")
 
 

@@ -97,20 +97,23 @@ class Model:
 
 def fit(positives: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = STEPS, rate: float = 0.02, decay: float = 1e-3) -> Model:
     """Adam on the non-negative risk with logistic loss; where the negative part falls below zero its gradient is turned."""
-    both = np.concatenate([positives, unlabelled]).astype(np.float64)
-    mean, scale = both.mean(0), both.std(0) + 0.05
-    p, u = (positives - mean) / scale, (unlabelled - mean) / scale
-    w, b = np.zeros(both.shape[1]), 0.0
+    rows = len(positives) + len(unlabelled)
+    mean = (positives.sum(0, dtype=np.float64) + unlabelled.sum(0, dtype=np.float64)) / rows
+    squares = sum((np.square(x[i : i + 512] - mean)).sum(0) for x in (positives, unlabelled) for i in range(0, len(x), 512))
+    scale = np.sqrt(squares / rows) + 0.05
+    p, u = (((x - mean.astype(np.float32)) / scale.astype(np.float32)).astype(np.float32, copy=False) for x in (positives, unlabelled))
+    w, b = np.zeros(len(mean)), 0.0
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     for t in range(1, steps + 1):
-        zp, zu = p @ w + b, u @ w + b
+        narrow = w.astype(np.float32)
+        zp, zu = (p @ narrow).astype(np.float64) + b, (u @ narrow).astype(np.float64) + b
         sp, su = 1 / (1 + np.exp(-np.clip(zp, -60, 60))), 1 / (1 + np.exp(-np.clip(zu, -60, 60)))
         negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
         gp = -prior * (1 - sp) / len(p)  # of prior * loss(z, +1)
         gn_p, gn_u = -prior * sp / len(p), su / len(u)  # of the negative part
         if negative < 0:
             gp, gn_p, gn_u = np.zeros_like(gp), -gn_p, -gn_u
-        g = np.concatenate([p.T @ (gp + gn_p) + u.T @ gn_u + decay * w, [(gp + gn_p).sum() + gn_u.sum()]])
+        g = np.concatenate([p.T @ (gp + gn_p).astype(np.float32) + u.T @ gn_u.astype(np.float32) + decay * w, [(gp + gn_p).sum() + gn_u.sum()]])
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         w, b = w - step[:-1], b - step[-1]
@@ -126,8 +129,11 @@ def _sampled(docs: DataFrame, ids: DataFrame, key: str, text: str) -> np.ndarray
             x = features([(t or "").encode() for t in batch.column(0).to_pylist()])
             yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in x], pa.binary())], ["x"])
 
-    rows = [r.x for r in chosen.mapInArrow(work, "x binary").collect()]
-    return np.frombuffer(b"".join(rows), dtype=np.float32).reshape(-1, WIDTH)
+    found = chosen.mapInArrow(work, "x binary").toArrow().column(0)
+    out = np.empty((len(found), WIDTH), dtype=np.float32)
+    for row, x in zip(out, found, strict=True):
+        row[:] = np.frombuffer(x.as_buffer(), dtype=np.float32)
+    return out
 
 
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", sample_rows: int = SAMPLE_ROWS) -> Model | float:
