@@ -12,8 +12,17 @@ from pyspark.sql import functions as F
 
 
 def shared_path(spark: SparkSession, label: str) -> str:
-    """A new path in the session's shared checkpoint folder (a temporary folder only where none is set, as in local tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-shared-")
+    """A new path in the folder that driver and executors share: ``spark.checkpoint.dir`` of the session or its context.
+
+    A local session (one JVM, as in tests) without one gets a temporary folder; a cluster must name one.
+    """
+    context = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not root:
+        if context.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = tempfile.mkdtemp(prefix="spark-")
+        context.setCheckpointDir(root)
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
