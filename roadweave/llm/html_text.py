@@ -12,11 +12,12 @@ shows its chosen option, a list box all of them; a ``textarea`` shows its conten
 paragraphs, headings, lists and tables stand apart by an empty line, list items
 carry a bullet or their number and are indented by depth, preformatted text
 keeps its blanks, and the cells of a table are padded to the width of their
-column.  Work is per page, without shuffle; the walk keeps its own stack, so deep
+column; a cell of several lines (a table or preformatted text in it) makes its row as high.  Work is per page, without shuffle; the walk keeps its own stack, so deep
 nesting is no problem.
 
 Cases: a null or empty page gives an empty text; text without any tag is
-rendered as inline text; broken markup is rendered as far as it goes; repeated
+rendered as inline text; broken markup is rendered as far as it goes: comments,
+processing instructions and declarations without an end hide the rest, numbers that are none count as missing; repeated
 rows are rendered one by one; an empty table gives an empty result; other
 columns are carried along unless they are called ``text``, which is replaced.
 """
@@ -69,6 +70,9 @@ _P_SCOPE = frozenset({"table", "td", "th", "caption", "button", "object"})
 #: Parsers that read tags inside a textarea are told not to; the references in it are then resolved here.
 _TAGS_IN_TEXTAREA = "textarea" not in getattr(HTMLParser, "RCDATA_CONTENT_ELEMENTS", ())
 _BLANKS = re.compile(r"[ \t\n\r\f]+")
+_NUMBER = re.compile(r"[ \t\n\r\f]*([+-]?[0-9]{1,9})(?![0-9])")
+_REFERENCE = re.compile(r"&#([xX]?)0*([0-9a-fA-F]+)")
+_COMMENT_END = re.compile(r"--!?>")
 _UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
@@ -119,7 +123,7 @@ class _Builder(HTMLParser):
             return
         if tag not in _IN_HEAD:
             self._end_head()
-        attrs = dict(attrs)
+        attrs = dict(reversed(attrs))  # the first of a name counts
         if at := self._foreign():
             if tag in _ENDS_FOREIGN:
                 del self.open[at:]
@@ -168,6 +172,24 @@ class _Builder(HTMLParser):
         self.open.append(last)
         return found
 
+    def parse_comment(self, i, report=True):
+        if short := re.compile(r"-?>").match(self.rawdata, i + 4):
+            return short.end()
+        end = _COMMENT_END.search(self.rawdata, i + 4)
+        return end.end() if end else len(self.rawdata)
+
+    def parse_html_declaration(self, i):
+        raw = self.rawdata
+        if raw.startswith("<![CDATA[", i) and self._foreign():
+            end = raw.find("]]>", i)
+            self.handle_data(raw[i + 9 : end if end >= 0 else len(raw)])
+            return end + 3 if end >= 0 else len(raw)
+        return self.parse_pi(i)
+
+    def parse_pi(self, i):
+        """Processing instructions, document types and unknown declarations show nothing."""
+        return self.rawdata.find(">", i) + 1 or len(self.rawdata)
+
     def handle_data(self, data):
         if not _BLANKS.fullmatch(data):
             self._end_head()
@@ -222,10 +244,14 @@ class _Out:
         return "\n".join(x.rstrip() for x in "".join(self.parts).split("\n")).strip("\n")
 
 
+def _number(node: Node, name: str, default: int = 1) -> int:
+    found = _NUMBER.match(node.attrs.get(name) or "")
+    return int(found[1]) if found else default
+
+
 def _options(select: Node) -> tuple[list[str], bool]:
     """The options that a select shows, and whether it is a list box, which shows all with the labels of their groups."""
-    size = select.attrs.get("size") or "1"
-    box = "multiple" in select.attrs or size.isdigit() and int(size) > 1
+    box = "multiple" in select.attrs or _number(select, "size") > 1
     met: list[tuple[Node | None, str, bool]] = []
     stack: list[tuple[Node, bool]] = [(select, False)]
     while stack:
@@ -259,12 +285,23 @@ def _visible(node: Node) -> bool:
     return not (style and _UNSEEN.search(style))
 
 
-def _aligned(rows: list[list[str]]) -> list[str]:
+def _aligned(rows: list[list[list[str]]]) -> list[str]:
+    """Lines of a table whose cells are lists of lines."""
     width = [0] * max(map(len, rows), default=0)
     for row in rows:
         for i, cell in enumerate(row):
-            width[i] = max(width[i], len(cell))
-    return [" | ".join(c.ljust(width[i]) for i, c in enumerate(row)).rstrip() for row in rows]
+            width[i] = max(width[i], *map(len, cell), 0)
+    high = [max(map(len, row)) or 1 for row in rows]
+    return [" | ".join((c[k] if k < len(c) else "").ljust(width[i]) for i, c in enumerate(row)).rstrip() for row, n in zip(rows, high, strict=True) for k in range(n)]
+
+
+def _short_reference(found: re.Match) -> str:
+    """A reference without leading zeros, and with a number that stays small where it names no character."""
+    base, digits = found[1], found[2]
+    if not base and not digits[0].isdecimal():
+        return found[0]
+    end = re.compile("[0-9]+" if not base else ".+").match(digits).end()
+    return f"&#{base}{digits[:end] if end < 8 else 'fffd' if base else 65533}{digits[end:]}"
 
 
 def render(html: str | None) -> str:
@@ -272,14 +309,14 @@ def render(html: str | None) -> str:
     if not html:
         return ""
     builder = _Builder()
-    builder.feed(html)
+    builder.feed(_REFERENCE.sub(_short_reference, html) if "&#" in html else html)
     if _TAGS_IN_TEXTAREA and builder.cdata_elem == "textarea":  # not ended: the parser would drop its content
         builder.handle_data(builder.rawdata)
         builder.rawdata = ""
     builder.close()
     out = _Out()
     outs = [out]
-    tables: list[list[list[str]]] = []
+    tables: list[list[list[list[str]]]] = []
     lists: list[list] = []
     pre = 0
     stack: list[tuple[bool, Node | str]] = [(True, builder.root)]
@@ -321,8 +358,7 @@ def render(html: str | None) -> str:
                 inner = tag in ("ul", "ol") and lists
                 out.ask(2 if tag in PARAGRAPHS and not inner else 1)
             if tag in ("ul", "ol", "menu"):
-                start = node.attrs.get("start") or "1"
-                lists.append([tag == "ol", int(start) if start.lstrip("-").isdigit() else 1])
+                lists.append([tag == "ol", _number(node, "start")])
             elif tag == "li":
                 ordered, number = lists[-1] if lists else (False, 1)
                 mark = f"{number}. " if ordered else "- "
@@ -347,13 +383,12 @@ def render(html: str | None) -> str:
             stack.extend((True, c) for c in reversed(shown))
             continue
         if tag in ("td", "th") and tables and len(outs) > 1:
-            cell = _BLANKS.sub(" ", outs.pop().result())
+            cell = [x for x in outs.pop().result().split("\n") if x]
             out = outs[-1]
             if not tables[-1]:
                 tables[-1].append([])
             tables[-1][-1].append(cell)
-            spanned = node.attrs.get("colspan") or "1"
-            tables[-1][-1] += [""] * (min(int(spanned), 1000) - 1 if spanned.isdigit() else 0)
+            tables[-1][-1] += [[]] * (min(_number(node, "colspan"), 1000) - 1)
         elif tag == "table":
             for line in _aligned([r for r in tables.pop() if r]):
                 out.ask(1)
