@@ -15,9 +15,12 @@ the corpus (the same document included) is removed.
    first by backward extension.  That yields common prefixes by increasing value;
    it stops at ``min_bytes``, and places that have none by then start a repeated
    string.
-4. Anchors with more distinct segments than a bucket takes (a passage in a large
-   share of all documents) are decided window by window: counts of 128-bit window
-   hashes, combined on the map side.
+4. An anchor with more distinct segments than a bucket takes (at the edge of a
+   passage in a large share of all documents) is split: windows are told apart by
+   the place of the anchor in them, in two ranges, then four and so on, and by
+   the bytes that all windows of a range have in common.  Equal windows stay
+   together.  Steps 2 and 3 follow for the parts, until each fits a bucket; in
+   the end a range is one place, and what it has in common is the whole window.
 
 Nothing but counts reaches the driver, and no group grows with the data.
 
@@ -219,27 +222,62 @@ def _bucket_runs(texts: DataFrame, buckets: int, min_bytes: int) -> DataFrame:
     return dealt.groupBy("bucket").applyInPandas(work, "row bigint, start bigint, n int")
 
 
-def _window_runs(texts: DataFrame, min_bytes: int) -> DataFrame:
-    """The same for segments of crowded anchors: windows are counted by two 64-bit hashes."""
+def parts_of(text: bytes, anchor: int, parts: int, min_bytes: int) -> list[tuple[int, int, int]]:
+    """(name, first window, number of windows) of the runs of a segment's windows that have the anchor in one of ``parts`` ranges of places.
+
+    The name is made of the anchor, the range and the bytes that every window with the anchor in that range has.
+    """
+    b = np.frombuffer(text, dtype=np.uint8)
+    gram = min(GRAM, min_bytes)
+    width, windows = min_bytes - gram + 1, np.arange(len(b) - min_bytes + 1)
+    sums = _prefix(b, 0)
+    grams = mix((sums[gram:] - sums[:-gram]) * powers(_INVERSES[0], len(sums))[: len(b) - gram + 1])
+    met = np.flatnonzero(grams == np.int64(anchor).astype(np.uint64))
+    at = met[np.searchsorted(met, windows)]  # of each window, the first place of the anchor
+    part = (at - windows) * parts // width
+    turn = np.flatnonzero(np.concatenate(([True], (at[1:] != at[:-1]) | (part[1:] != part[:-1]))))
+    at, part = at[turn], part[turn]
+    least, most = -(-part * width // parts), -(-(part + 1) * width // parts) - 1
+    common = _hash(sums, at - least, at + min_bytes - most, 0)
+    names = mix(common ^ mix(np.int64(anchor).astype(np.uint64) + (part.astype(np.uint64) + np.uint64(1)) * np.uint64(_BASES[1]) * np.uint64(parts)))
+    return list(zip(names.view(np.int64).tolist(), turn.tolist(), np.diff(np.concatenate((turn, [len(windows)]))).tolist(), strict=True))
+
+
+def _split(texts: DataFrame, parts: int, min_bytes: int) -> DataFrame:
+    """(row, h, s, start, n, bytes): segments (row, h, start, n, bytes) cut into parts, h being the part's name and s a hash of its bytes."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, 4, 1 << 20):
-                rows, starts, hashes = [], [], ([], [])
-                for row, start, text in zip(*(part.column(i).to_pylist() for i in (0, 2, 4)), strict=True):
+            for some in slices(batch, 3, 1 << 20):
+                out: list[tuple] = []
+                for row, h, start, text in zip(*(some.column(i).to_pylist() for i in range(4)), strict=True):
                     b = np.frombuffer(text, dtype=np.uint8)
-                    at = np.arange(len(b) - min_bytes + 1)
-                    for which in (0, 1):
-                        hashes[which].append(_hash(_prefix(b, which), at, at + min_bytes, which))
-                    rows.append(np.full(len(at), row))
-                    starts.append(start + at)
-                if rows:
-                    columns = [np.concatenate(rows), np.concatenate(starts), *(np.concatenate(x).view(np.int64) for x in hashes)]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["row", "start", "x", "y"])
-
-    windows = materialize(texts.select("row", "h", "start", "n", "bytes").mapInArrow(work, "row bigint, start bigint, x bigint, y bigint"), "windows")
-    again = windows.groupBy("x", "y").count().filter("count > 1").select("x", "y")
-    return windows.join(again, ["x", "y"]).select("row", "start", F.lit(1).alias("n"))
+                    found = parts_of(text, h, parts, min_bytes)
+                    firsts, counts = (np.array([f[i] for f in found], dtype=np.int64) for i in (1, 2))
+                    hashes = _hash(_prefix(b, 1), firsts, firsts + counts + min_bytes - 1, 1).view(np.int64).tolist()
+                    out += [(row, name, x, start + first, n, text[first : first + n + min_bytes - 1]) for (name, first, n), x in zip(found, hashes, strict=True)]
+                types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+                columns = zip(*out, strict=True) if out else [[]] * 6
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["row", "h", "s", "start", "n", "bytes"])
+
+    return texts.select("row", "h", "start", "bytes").mapInArrow(work, "row bigint, h bigint, s bigint, start bigint, n int, bytes binary")
+
+
+def _crowded_runs(texts: DataFrame, min_bytes: int, bucket_bytes: int) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Runs (row, start, n) of repeated windows among segments of crowded anchors, and what is left for buckets (row, h, start, n, bytes)."""
+    decided, small, parts = [], [], 1
+    while not texts.isEmpty():
+        parts *= 2
+        cut = materialize(_split(texts, parts, min_bytes), "split")
+        kinds = materialize(cut.groupBy("h", "s").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("row", "start")).alias("one"), F.max("n").alias("n")), "split-kinds")
+        decided.append(cut.join(kinds.filter("c > 1").select("h", "s"), ["h", "s"], "left_semi").select("row", "start", "n"))
+        names = kinds.groupBy("h").agg(F.count(F.lit(1)).alias("kinds"), F.min("c").alias("least"), F.sum(F.col("n") + min_bytes).alias("size"))
+        names = names.filter("kinds > 1 AND least = 1").select("h", (F.col("size") > bucket_bytes // 2).alias("crowded"))
+        ones = kinds.join(names, "h").select("h", "s", "one.row", "one.start", "crowded")
+        left = materialize(cut.join(ones, ["h", "s", "row", "start"]).select("row", "h", "start", "n", "bytes", "crowded"), "split-open")
+        small.append(left.filter("NOT crowded").drop("crowded"))
+        texts = left.filter("crowded").drop("crowded")
+    return decided, small
 
 
 def repeats(docs: DataFrame, min_bytes: int = MIN_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
@@ -253,18 +291,22 @@ def repeats(docs: DataFrame, min_bytes: int = MIN_BYTES, bucket_bytes: int = BUC
     mixed = met.filter("mixed").groupBy("h", "s").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("row", "start", "n")).alias("one"))
     mixed = materialize(mixed, "mixed")
     open_anchors = mixed.groupBy("h").agg(F.count(F.lit(1)).alias("kinds"), F.min("c").alias("least"), F.sum(F.col("one.n") + min_bytes).alias("size"))
-    open_anchors = materialize(open_anchors.filter("least = 1"), "open")
     crowded = F.col("size") > bucket_bytes // 2
-    total = open_anchors.filter(~crowded).agg(F.sum("size")).first()[0] or 0
-    places = mixed.join(open_anchors.select("h", crowded.alias("crowded")), "h").select("h", "one.row", "one.start", "one.n", "crowded")
+    open_anchors = materialize(open_anchors.filter("least = 1").select("h", crowded.alias("crowded")), "open")
+    places = mixed.join(open_anchors, "h").select("h", "one.row", "one.start", "one.n", "crowded")
     places = places.join(anchors.select("row", "k", "rid"), "row")
-    texts = _texts(docs, places, min_bytes).join(open_anchors.select("h", crowded.alias("crowded")), "h")
+    texts = _texts(docs, places, min_bytes).join(open_anchors, "h")
     texts = materialize(texts.select("row", "h", "start", "n", "bytes", "crowded"), "open-texts")
+    decided, small = _crowded_runs(texts.filter("crowded").drop("crowded"), min_bytes, bucket_bytes)
+    for part in small:
+        texts = texts.filter("NOT crowded").unionByName(part.withColumn("crowded", F.lit(False)))
+    texts = texts.filter("NOT crowded").drop("crowded")
+    total = texts.agg(F.sum(F.length("bytes") + 1)).first()[0] or 0
     sure = met.filter("NOT mixed").select("row", "start", "n")
     twice = met.filter("mixed").join(mixed.filter("c > 1").select("h", "s"), ["h", "s"], "left_semi").select("row", "start", "n")
-    found = _bucket_runs(texts.filter("NOT crowded"), int(total // bucket_bytes) + 1, min_bytes)
-    each = _window_runs(texts.filter("crowded"), min_bytes)
-    all_runs = sure.unionByName(twice).unionByName(found).unionByName(each)
+    all_runs = sure.unionByName(twice).unionByName(_bucket_runs(texts, int(total // bucket_bytes) + 1, min_bytes))
+    for part in decided:
+        all_runs = all_runs.unionByName(part)
     by_row = all_runs.groupBy("row").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
     named = by_row.join(anchors.select("row", "k", "rid"), "row")
     return materialize(named.groupBy("k", "rid").agg(F.flatten(F.collect_list("spans")).alias("spans")), "repeats")
