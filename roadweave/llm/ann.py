@@ -23,7 +23,8 @@ Score: cosine in double precision on the original vectors, summed for each pair
 in the same order, so equal vectors tie exactly; ties go to the smaller id.
 
 Cases: vectors that are null, of norm zero, or hold nulls or non-finite numbers
-take no part, as query or candidate; with fewer than k candidates all are
+take no part, as query or candidate, and neither do those of another length than
+most vectors have (the larger length on a tie); with fewer than k candidates all are
 returned; repeated ids with different vectors are separate rows; an empty table
 gives an empty result; other columns are not read.
 """
@@ -140,7 +141,9 @@ def usable(vectors: DataFrame, key: str, vector: str) -> DataFrame:
     v = F.col(vector)
     good = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     norm = F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
-    return vectors.filter(v.isNotNull() & good).filter(norm > 0).select(F.col(key).alias("id"), v.cast("array<double>").alias("v"))
+    good_rows = vectors.filter(v.isNotNull() & good).filter(norm > 0).select(F.col(key).alias("id"), v.cast("array<double>").alias("v"))
+    length = good_rows.groupBy(F.size("v").alias("n")).count().agg(F.max(F.struct("count", "n")).alias("most")).first()["most"]
+    return good_rows.filter(F.size("v") == length["n"]) if length else good_rows
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -261,7 +264,7 @@ def nearest(
     )
     deal = lambda column, n: F.pmod(F.xxhash64(column), F.col(n))
     left = posted.join(F.broadcast(blocks), "list").select(
-        "list", deal("vid", "vb").alias("b"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("qb") - 1)).alias("c"), "ids", "v"
+        "list", deal("vid", "vb").alias("b"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("qb") - 1)).alias("c"), "vid", "ids", "v"
     )
     right = asked.join(F.broadcast(blocks), "list").select(
         "list", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("vb") - 1)).alias("b"), deal("qid", "qb").alias("c"), "qid", "v"
@@ -273,7 +276,7 @@ def nearest(
             x = np.stack(held["v"].to_numpy()).astype(np.float64)
             norms = np.sqrt((x * x).sum(axis=1))
             unit = x / norms[:, None]
-            first = held["ids"].to_numpy()
+            first, vids = held["ids"].to_numpy(), held["vid"].to_numpy()
             q = np.stack(asked["v"].to_numpy()).astype(np.float64)
             sims = _unit(q) @ unit.T
             top = min(k + 1, len(x))
@@ -282,14 +285,14 @@ def nearest(
                 found = np.flatnonzero(sims[i] >= floor[i])
                 near, a = np.ascontiguousarray(x[found]), q[i]
                 exact = (near * a).sum(axis=1) / (norms[found] * np.sqrt((a * a).sum()))
-                named = [(qid, int(v), s) for j, s in zip(found, exact, strict=True) for v in first[j]]
-                named.sort(key=lambda r: (-r[2], r[1]))
+                named = [(qid, vids[j], int(v), s) for j, s in zip(found, exact, strict=True) for v in first[j]]
+                named.sort(key=lambda r: (-r[3], r[2]))
                 out += named[: k + 1]
-        return pd.DataFrame(out, columns=["qid", "vec_id", "score"]).astype({"qid": "int64", "vec_id": "int64", "score": "float64"})
+        return pd.DataFrame(out, columns=["qid", "vid", "vec_id", "score"]).astype({"qid": "int64", "vid": "int64", "vec_id": "int64", "score": "float64"})
 
-    found = left.groupBy("list", "b", "c").cogroup(right.groupBy("list", "b", "c")).applyInPandas(search, "qid bigint, vec_id bigint, score double")
+    found = left.groupBy("list", "b", "c").cogroup(right.groupBy("list", "b", "c")).applyInPandas(search, "qid bigint, vid bigint, vec_id bigint, score double")
     order = [F.desc("score"), F.asc("vec_id")]
-    best = found.dropDuplicates(["qid", "vec_id"]).withColumn("n", F.row_number().over(Window.partitionBy("qid").orderBy(*order)))
+    best = found.dropDuplicates(["qid", "vid", "vec_id"]).withColumn("n", F.row_number().over(Window.partitionBy("qid").orderBy(*order)))
     best = best.filter(F.col("n") <= k + 1).groupBy("qid").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))).alias("best"))
     named = materialize(query_vectors.join(best, "qid").select("v", "best"), "found")
     others = F.slice(F.filter("best", lambda r: r["vec_id"] != F.col("id")), 1, k)
