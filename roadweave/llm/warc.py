@@ -196,6 +196,8 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                     if [p["segment"] or 1 for p in parts] != list(range(1, len(parts) + 1)):
                         raise ValueError(f"{r['origin']} lacks a segment or has one twice")
                     block = b"".join(p["block"] for p in parts)
+                    if parts[0]["segment"] is not None and parts[-1]["total"] is None:
+                        raise ValueError(f"{r['origin']} lacks its last segment, which states the total length")
                     if (parts[-1]["total"] or len(block)) != len(block):
                         raise ValueError(f"{r['origin']} has not the total length it states")
                     head, _, body = block.partition(b"\r\n\r\n")

@@ -79,6 +79,44 @@ def test_suffix_dedup(docs, m, bucket):
     assert suffix_dedup.remove_repeats(docs).columns == docs.columns
 
 
+def test_parts_of_a_crowded_anchor_keep_equal_windows_together():
+    rng, m = random.Random(2), 60
+    shared = bytes(rng.choice(b"abcdef ") for _ in range(90))
+    data = [bytes(rng.choice(b"ab") for _ in range(rng.randrange(60))) + shared + bytes(rng.choice(b"ab") for _ in range(rng.randrange(60))) for _ in range(60)] + [b"xyz" * 70]
+    for parts in (2, 4, 8, 64):
+        names: dict[bytes, set] = collections.defaultdict(set)
+        seen = 0
+        for t in data:
+            for h, _, start, n, _ in zip(*suffix_dedup.segments_of(t, m), strict=True):
+                piece = t[start : start + n + m - 1]
+                found = suffix_dedup.parts_of(piece, int(h.view(np.int64)), parts, m)
+                assert [x for _, a, k in found for x in range(a, a + k)] == list(range(n))
+                for name, a, k in found:
+                    for i in range(a, a + k):
+                        names[piece[i : i + m]].add(name)
+                        seen += 1
+        assert all(len(x) == 1 for x in names.values()) and len(names) < seen
+        if parts == 64:  # one place each: a name is a window
+            assert len({min(x) for x in names.values()}) == len(names)
+
+
+def test_suffix_dedup_of_a_passage_in_most_documents(spark):
+    """Segments of one anchor outgrow a bucket many times; each is decided like brute force."""
+    rng, m = random.Random(12), 50
+    passage = prose(rng, 12)
+    texts = [prose(rng, 6) + passage + prose(rng, 6) for _ in range(120)] + [prose(rng, 20), "short"]
+    data = [t.encode() for t in texts]
+    seen = collections.Counter(t[i : i + m] for t in data for i in range(len(t) - m + 1))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.n_removed, r.n_spans) for r in suffix_dedup.repeated_spans(df, min_bytes=m, bucket_bytes=1500).collect()}
+    for d, t in enumerate(data):
+        cover = bytearray(len(t))
+        for i in range(len(t) - m + 1):
+            if seen[t[i : i + m]] > 1:
+                cover[i : i + m] = b"\1" * m
+        assert got[d] == (sum(cover), sum(1 for i, c in enumerate(cover) if c and (i == 0 or not cover[i - 1])))
+
+
 def test_interval_expansion_random():
     rng = random.Random(5)
     for _ in range(60):
@@ -250,6 +288,37 @@ def test_nearest_recall_with_many_more_lists_than_probes(spark):
     assert hit >= 0.94 * 5 * (n // every)
 
 
+def test_nearest_with_repeated_ids_and_other_lengths(spark):
+    rows = [(0, [1.0, 0.0]), (1, [1.0, 0.1]), (1, [0.0, 1.0]), (1, [0.0, 1.0]), (2, [1.0, 1.0]), (3, [1.0, 0.0, 0.0]), (4, [None, 1.0]), (5, [0.0, 0.0]), (6, None), (7, []), (8, [float("nan"), 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [(r.rank, r.vec_id, round(r.score, 6)) for r in ann.nearest(df, F.col("id") == 0, 5).orderBy("rank").collect()]
+    assert got == [(1, 1, 0.995037), (2, 2, 0.707107), (3, 1, 0.0)]
+    assert ann.nearest(df.limit(0), F.col("id") == 0, 5).count() == 0
+
+
+def test_quality_risk_against_plain_loops():
+    """The fitted weights lower the non-negative risk computed row by row, and more steps don't raise it much."""
+    rng = np.random.default_rng(1)
+    p, u = rng.normal(0.7, 1, (80, 6)).astype(np.float32), np.concatenate([rng.normal(0.7, 1, (60, 6)), rng.normal(-0.7, 1, (90, 6))]).astype(np.float32)
+
+    def risk(model):
+        def loss(x, y):
+            return float(np.log1p(np.exp(-y * (sum((a - m) / s * w for a, m, s, w in zip(x, model.mean, model.scale, model.weights, strict=True)) + model.bias))))
+
+        plus = sum(loss(x, 1) for x in p) / len(p)
+        minus = sum(loss(x, -1) for x in u) / len(u) - 0.4 * sum(loss(x, -1) for x in p) / len(p)
+        return 0.4 * plus + max(0.0, minus)
+
+    first, half, full = (quality.fit(p, u, 0.4, steps=n) for n in (0, 100, 400))
+    assert risk(full) <= risk(half) + 0.01 < risk(first)
+    best = risk(full)
+    for i in range(6):  # no single weight does much better elsewhere
+        for step in (-0.3, 0.3):
+            w = full.weights.copy()
+            w[i] += step
+            assert risk(quality.Model(w, full.bias, full.mean, full.scale, 0.4)) > best - 0.01
+
+
 def test_quality_held_out(spark):
     rng = random.Random(2)
     rows = [(i, " ".join(w + ("!!" if i % 5 == 0 else "") for w in prose(rng, 40).split())) for i in range(400)] + [(9999, None), (None, "no key")]
@@ -280,6 +349,19 @@ def test_warc_round_trip(spark, tmp_path):
     assert records.filter("kind = 'continuation'").count() > 3
 
 
+def test_warc_without_its_last_segment(spark, tmp_path):
+    """A record whose last continuation is lost is refused, chunked or not."""
+    head = "WARC-Type: {kind}\r\nWARC-Record-ID: <{id}>\r\n{more}WARC-Page-ID: 1\r\nContent-Length: {n}\r\n\r\n{block}\r\n\r\n"
+    first = "HTTP/1.1 200 OK\r\n\r\nhalf"
+    text = warc.VERSION_LINE + head.format(kind="response", id="a", more="WARC-Segment-Number: 1\r\n", n=len(first), block=first)
+    last = warc.VERSION_LINE + head.format(kind="continuation", id="b", more=f"WARC-Segment-Origin-ID: <a>\r\nWARC-Segment-Number: 2\r\nWARC-Segment-Total-Length: {len(first) + 4}\r\n", n=4, block="over")
+    (tmp_path / "whole.warc").write_text(text + last, newline="")
+    (tmp_path / "lost.warc").write_text(text, newline="")
+    assert [bytes(r.payload) for r in warc.read_warc(spark, str(tmp_path / "whole.warc")).collect()] == [b"halfover"]
+    with pytest.raises(Exception, match="lacks its last segment"):
+        warc.read_warc(spark, str(tmp_path / "lost.warc")).collect()
+
+
 def test_chunk_framing():
     for text in ("", "a", "é" * 5000, "WARC/1.1WARC/1.1\r\n"):
         framed = warc.chunked(text, 100)
@@ -410,6 +492,63 @@ def test_html_math_svg_and_forms():
     assert show("<input value=no><datalist><option>no</datalist>yes") == "yes"
 
 
+def test_html_broken_markup():
+    show = html_text.render
+    assert show("a<td colspan='²'>x") == "ax"
+    assert show("<table><tr><td colspan='²'>x<td colspan=99999999999999>y</table>") == "x | y"
+    assert show("<ol start='²'><li>a") == show("<ol start='" + "9" * 5000 + "'><li>a") == "1. a"
+    assert show("<ol start=' -2'><li>a<li>b") == "-2. a\n-1. b"
+    assert show("a<![foo[ x") == show("a<!-- x") == show("a<?php x") == show("a<!doctype") == "a"
+    assert show("<!-->a<!--->b<!-- c --!>d<!-- - -- > -->e<?php x ?>f") == "abdef"
+    assert show("<svg><text><![CDATA[a<b>]]></text></svg>") == "a<b>"
+    assert show("&#" + "9" * 6000 + ";x &#0000000000065;") == "\ufffdx A"
+    assert show("<p style='a' style='display:none'>a") == "a"
+
+
+def test_html_cells_of_several_lines():
+    show = html_text.render
+    assert show("<table><tr><td><table><tr><td>a<td>bb<tr><td>c<td>d</table><td>z</table>") == "a | bb | z\nc | d  |"
+    assert show("<table><tr><td><pre>a\n  b</pre><td>c<tr><td>long cell<td>e</table>") == "a         | c\n  b       |\nlong cell | e"
+
+
+def test_html_of_mutated_pages():
+    """No markup raises, and no page shows what is not in it."""
+    rng = random.Random(0)
+    bits = ["<", ">", "<!--", "-->", "<![", "]]>", "<?", "&#", "&#x", "'", '"', "=", "</", "/>", "<table>", "</table>", "<td colspan=", "<ol start=", "<select size=", "<svg>", "<math>", "<pre>", "<textarea>", "</textarea>", "<script>", "</script>", "<li>", "\0", "<title>", "²", "9" * 5000]
+    tags = "div p span b ul ol li table tr td th h1 pre svg math text select option textarea details summary a".split()
+    for _ in range(10_000):
+        page = "".join(rng.choice([f"<{rng.choice(tags)}>", f"</{rng.choice(tags)}>", "w ", rng.choice(bits)]) for _ in range(rng.randrange(30)))
+        assert isinstance(html_text.render(page), str), page
+
+
+def test_html_shows_all_visible_words_in_order():
+    """Random trees against a plain walk: every word outside hidden elements, once and in order."""
+    rng, serial = random.Random(5), iter(range(10**9))
+
+    def tree(depth):
+        words, html = [], []
+        for _ in range(rng.randrange(1, 4)):
+            kind = rng.choice("text block inline list hidden table".split()) if depth else "text"
+            if kind == "text":
+                word = f"w{next(serial)}"
+                words.append(word)
+                html.append(f" {word} ")
+            elif kind == "table":
+                rows = [[tree(0) for _ in range(2)] for _ in range(2)]
+                words += [w for r in rows for inner, _ in r for w in inner]
+                html.append("<table>" + "".join("<tr>" + "".join(f"<td>{h}" for _, h in r) for r in rows) + "</table>")
+            else:
+                inner, made = tree(depth - 1)
+                opened, closed = {"block": ("<div>", "</div>"), "inline": ("<em>", "</em>"), "list": ("<ul><li>", "</ul>"), "hidden": ("<div hidden>", "</div>")}[kind]
+                words += [] if kind == "hidden" else inner
+                html.append(opened + made + closed)
+        return words, "".join(html)
+
+    for _ in range(300):
+        words, page = tree(4)
+        assert [w for w in html_text.render(page).split() if w.startswith("w")] == words
+
+
 def test_html_table(spark):
     df = spark.createDataFrame([(1, "<p>x", "old"), (2, None, "old")], "page_id long, html string, text string")
     assert {r.page_id: r.text for r in html_text.extract_text(df).collect()} == {1: "x", 2: ""}
