@@ -113,9 +113,22 @@ def comparison_pivot(m: DataFrame, methods: Sequence[str]) -> DataFrame:
     return m.groupBy("metric").pivot("method", list(methods)).agg(F.avg("value"))
 
 
-def composite_score(hota: Column, mota: Column, idf1: Column, sw: Column, fg: Column) -> Column:
-    """.40 HOTA + .25 MOTA + .20 IDF1 + .10 (1 - sw) + .05 (1 - fg), switches and fragments capped at 1."""
-    return 0.40 * hota + 0.25 * mota + 0.20 * idf1 + 0.10 * (1 - clip(sw, 0.0, 1.0)) + 0.05 * (1 - clip(fg, 0.0, 1.0))
+# The most switches and fragments an object has had in each scenario, and elsewhere.
+MOST_SWITCHES = {"i": 2.0, "ii": 20.0, "iii": 5.0}
+MOST_FRAGMENTS = {"i": 6.0, "ii": 6.0, "iii": 6.0}
+OTHER_SWITCHES, OTHER_FRAGMENTS = 5.0, 6.0
+
+
+def composite_score(hota: Column, mota: Column, idf1: Column, sw: Column, fg: Column, scenario: Column | None = None) -> Column:
+    """.40 HOTA + .25 MOTA + .20 IDF1 + .10 (1 - sw) + .05 (1 - fg); switches and fragments are shares of the scenario's maxima, 1 at most."""
+
+    def share(c: Column, most: dict[str, float], other: float) -> Column:
+        limit = F.lit(other)
+        for name, value in most.items() if scenario is not None else ():
+            limit = F.when(scenario == name, value).otherwise(limit)
+        return F.least(c / limit, F.lit(1.0))
+
+    return 0.40 * hota + 0.25 * mota + 0.20 * idf1 + 0.10 * (1 - share(sw, MOST_SWITCHES, OTHER_SWITCHES)) + 0.05 * (1 - share(fg, MOST_FRAGMENTS, OTHER_FRAGMENTS))
 
 
 def mean_quality(hota: Column, idf1: Column) -> Column:

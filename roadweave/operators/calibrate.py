@@ -91,7 +91,7 @@ def shortcut_risk(x: DataFrame, features: Sequence[str], label: str = "label") -
 
 
 def histogram_overlap(x: DataFrame, value: str, label: str = "label", bins: int = 200) -> DataFrame:
-    """Shared mass of the two classes' histograms between percentiles 0.5 and 99.5, and Cohen's d."""
+    """Shared mass of the two classes' histograms between percentiles 0.5 and 99.5 (1 for a constant), and the absolute Cohen's d (0 without spread)."""
     q = x.agg(F.expr(f"percentile({value}, array(0.005, 0.995))").alias("q")).select(F.col("q")[0].alias("lo"), F.col("q")[1].alias("hi"))
     inside = x.crossJoin(F.broadcast(q)).filter((F.col(value) >= F.col("lo")) & (F.col(value) <= F.col("hi")))
     b = F.least(F.floor((F.col(value) - F.col("lo")) / F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0)) * bins), F.lit(bins - 1))
@@ -99,8 +99,11 @@ def histogram_overlap(x: DataFrame, value: str, label: str = "label", bins: int
     total = inside.agg(F.sum(F.col(label)).alias("all_pos"), F.sum(1 - F.col(label)).alias("all_neg"))
     overlap = h.crossJoin(F.broadcast(total)).agg(F.sum(F.least(_ratio(F.col("p"), F.col("all_pos")), _ratio(F.col("n"), F.col("all_neg")))).alias("overlap"))
     pos, neg = F.when(F.col(label) == 1, F.col(value)), F.when(F.col(label) == 0, F.col(value))
-    d = x.agg(((F.avg(pos) - F.avg(neg)) / F.sqrt((F.var_samp(pos) + F.var_samp(neg)) / 2)).alias("cohens_d"))
-    return overlap.crossJoin(d)
+    n1, n2 = F.count(pos), F.count(neg)
+    pooled = F.sqrt(((n1 - 1) * F.var_pop(pos) + (n2 - 1) * F.var_pop(neg)) / F.nullif(n1 + n2 - 2, F.lit(0)))
+    d = x.agg(F.when(pooled < 1e-12, 0.0).otherwise(F.abs(F.avg(pos) - F.avg(neg)) / pooled).alias("cohens_d"))
+    met = overlap.crossJoin(d).crossJoin(F.broadcast(q))
+    return met.select(F.when(F.col("lo") == F.col("hi"), 1.0).otherwise(F.col("overlap")).alias("overlap"), "cohens_d")
 
 
 def choose_threshold(roc: DataFrame, strategy: str, value: float | None = None) -> DataFrame:

@@ -6,6 +6,8 @@ is arithmetic over columns and arrays of at most 25 samples, all inside the JVM.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -55,33 +57,35 @@ def end_profile(f: DataFrame) -> DataFrame:
 
 
 def with_profiles(pairs: DataFrame, profiles: DataFrame) -> DataFrame:
-    """Both fragments' profiles beside each pair (a_frag_id, b_frag_id)."""
-    a = profiles.select(*(F.col(c).alias(f"a_{c}") for c in profiles.columns))
-    b = profiles.select(*(F.col(c).alias(f"b_{c}") for c in profiles.columns))
+    """Both fragments' profiles beside each pair (a_frag_id, b_frag_id): of a what concerns its end, of b what concerns its start."""
+    a = profiles.select(*(F.col(c).alias(f"a_{c}") for c in profiles.columns if not c.startswith("head_")))
+    b = profiles.select(*(F.col(c).alias(f"b_{c}") for c in profiles.columns if not c.startswith("tail_")))
     return pairs.select("a_frag_id", "b_frag_id").join(a, "a_frag_id").join(b, "b_frag_id").withColumn("gap", F.col("b_first_t") - F.col("a_last_t"))
 
 
 def stitch_cost(p: DataFrame, time_win: float, cx: float = 0.2, mx: float = 0.1, cy: float = 2.0, my: float = 0.1, penalty: float = 0.1) -> DataFrame:
-    """Cost of b following a, from the longer one's line and a cone that widens with the gap; null outside the window.
+    """Cost of b following a, from the longer one's line and a cone that widens with time; ``INVALID`` outside the window.
 
-    The longer fragment (a on ties) predicts where the other one's samples should be.
+    The longer fragment (a on ties) predicts where each of the other one's nearest samples should be.
+    The cost is the mean over these samples of the Bhattacharyya distance in x and y: a
+    prediction has the cone's width at its time, a sample the width at the first
+    sample in x and the samples' own variance (``cy`` squared at least) in y.  A
+    line of one sample is flat.
     """
     first = F.col("a_n") >= F.col("b_n")
     pick = lambda a, b: F.when(first, F.col(a)).otherwise(F.col(b))
-    seen = {c: pick(f"b_head_{c}", f"a_tail_{c}") for c in ("t", "x", "y")}
     origin = pick("a_last_t", "b_first_t")
-    p = p.withColumns({"_t": F.transform(seen["t"], lambda v: v - origin), "_x": seen["x"], "_y": seen["y"], "_raw": pick("a_tail_x_slope", "b_head_x_slope"), "_sy": pick("a_tail_y_slope", "b_head_y_slope"), "_iy": pick("a_tail_y_at", "b_head_y_at")})
+    p = p.withColumns({"_t": F.transform(pick("b_head_t", "a_tail_t"), lambda v: v - origin), "_x": pick("b_head_x", "a_tail_x"), "_y": pick("b_head_y", "a_tail_y"), "_raw": pick("a_tail_x_slope", "b_head_x_slope"), "_sy": pick("a_tail_y_slope", "b_head_y_slope"), "_iy": pick("a_tail_y_at", "b_head_y_at")})
     wrong = F.col("_raw") * F.col("a_direction") < 0
     p = p.withColumns({"_sx": F.when(wrong, 0.0).otherwise(F.col("_raw")), "_ix": F.when(wrong, pick("a_tail_x_mean", "b_head_x_mean")).otherwise(pick("a_tail_x_at", "b_head_x_at"))})
-    # the mean prediction is linear in the mean time; the cone is taken where the gap ends
-    dt = mean(F.col("_t"))
-    sd_x = cx + mx * F.abs(dt) * F.abs(F.col("_raw"))
-    sd_y = cy + my * F.abs(dt) * F.abs(F.col("_sy"))
-    seen_y = F.greatest(var_pop(F.col("_y")), F.lit(cy * cy))
-    d = bhattacharyya(F.col("_ix") + F.col("_sx") * dt, sd_x * sd_x, mean(F.col("_x")), sd_x * sd_x) + bhattacharyya(F.col("_iy") + F.col("_sy") * dt, sd_y * sd_y, mean(F.col("_y")), seen_y)
+    p = p.withColumns({"_wx": mx * F.abs("_raw"), "_wy": my * F.abs("_sy"), "_seen": F.greatest(var_pop(F.col("_y")), F.lit(cy * cy))})
+    p = p.withColumn("_first", F.pow(cx + F.abs(at("_t", 1)) * F.col("_wx"), 2))  # all samples lie on one side of the origin
+    dx = F.zip_with("_t", "_x", lambda v, u: bhattacharyya(F.col("_ix") + F.col("_sx") * v, F.pow(cx + F.abs(v) * F.col("_wx"), 2), u, F.col("_first")))
+    dy = F.zip_with("_t", "_y", lambda v, u: bhattacharyya(F.col("_iy") + F.col("_sy") * v, F.pow(cy + F.abs(v) * F.col("_wy"), 2), u, F.col("_seen")))
+    cost = (total(dx) + total(dy)) / F.size("_t") + penalty * F.col("gap")
     good = (F.col("gap") >= 0) & (F.col("gap") <= time_win)
-    cost = F.when(good, d + penalty * F.col("gap"))
-    return p.withColumn("cost", cost).drop("_t", "_x", "_y", "_raw", "_sx", "_sy", "_ix", "_iy")
+    cost = F.when(good, F.coalesce(sure(cost), F.lit(INVALID))).otherwise(INVALID)
+    return p.withColumn("cost", cost).drop("_t", "_x", "_y", "_raw", "_sx", "_sy", "_ix", "_iy", "_wx", "_wy", "_seen", "_first")
 
 
 def stitch_cost_simple(pairs: DataFrame) -> DataFrame:
@@ -111,28 +115,121 @@ def overlap_cost(aligned: DataFrame) -> DataFrame:
     return aligned.groupBy("a_frag_id", "b_frag_id").agg(F.avg(d).alias("cost"))
 
 
+# Residuals, their weights and limits.
 RESIDUALS = ("projection_x", "projection_y", "velocity", "acceleration", "lane", "dimension")
 PHYSICS_WEIGHTS = (1.0, 1.0, 0.75, 1.25, 0.5, 0.4)
+NO_RESIDUAL = 1000.0
+
 
+def physics_profile(f: DataFrame, dt_floor: float = 0.04, min_points: int = 3) -> DataFrame:
+    """Per fragment: ends, velocities at the ends, mean size, and the line through its last second of samples.
 
-def physics_residuals(p: DataFrame, time_win: float, max_acceleration: float = 10.0, lane_ft: float = 12.0) -> DataFrame:
-    """Six non-negative residuals of a pair with profiles; null where the pair is no successor."""
-    ok = (F.col("a_direction") == F.col("b_direction")) & (F.col("gap") >= 0) & (F.col("gap") <= time_win)
-    clamp = lambda c: F.when(F.col(c) * F.col("a_direction") < 0, 0.0).otherwise(F.col(c))
-    va, vb = clamp("a_tail_x_slope"), clamp("b_head_x_slope")
-    acceleration = F.abs(vb - va) / F.greatest(F.col("gap"), F.lit(1e-3))
+    The number of samples is one second over the median step (``dt_floor`` at least). Fewer than
+    ``min_points`` give a flat line at their weighted mean, and so does a slope against the direction.
+    Missing sizes count as 15 and 6; velocity, where no column has it, is taken from positions.
+    """
+    n = F.size("t")
+    steps = F.array_sort(F.filter(F.zip_with(F.slice("t", F.lit(2), n - 1), F.slice("t", F.lit(1), n - 1), lambda a, b: a - b), lambda v: v > 1e-6))
+    m = F.size(steps)
+    middle = (F.element_at(steps, F.floor((m + 1) / 2).cast("int")) + F.element_at(steps, F.floor(m / 2 + 1).cast("int"))) / 2
+    step = F.greatest(F.when(m > 0, middle).otherwise(dt_floor), F.lit(dt_floor))
+    k = F.when(n < 2, n).otherwise(F.least(n, F.greatest(F.lit(1), F.rint(1 / step).cast("int")))).cast("int")
+    filled = lambda c, default: F.coalesce(mean(F.transform(c, lambda v: F.when(v.isNull() | F.isnan(v), default).otherwise(v))), F.lit(default)) if c in f.columns else F.lit(default)
+    if "velocity" in f.columns:
+        v0, v1 = at("velocity", 1), at("velocity", -1)
+    else:
+        rate = lambda i, j: (at("x", j) - at("x", i)) / F.greatest(at("t", j) - at("t", i), F.lit(1e-6))
+        v0, v1 = rate(1, 2), rate(-2, -1)
+    out = f.select("frag_id", F.when(F.coalesce(F.col("direction"), F.lit(1)) < 0, -1).otherwise(1).alias("direction"), at("t", 1).alias("first_t"), at("t", -1).alias("last_t"), at("x", 1).alias("start_x"), at("x", -1).alias("end_x"), at("y", 1).alias("start_y"), at("y", -1).alias("end_y"),
+        F.coalesce(sure(v0), F.lit(0.0)).alias("v_start"), F.coalesce(sure(v1), F.lit(0.0)).alias("v_end"), filled("length", 15.0).alias("mean_length"), filled("width", 6.0).alias("mean_width"), k.alias("k"), *(F.slice(F.col(c), F.size(c) - k + 1, k).alias(f"_{c}") for c in ("t", "x", "y")))
+    rel = F.transform("_t", lambda v: v - F.col("last_t"))
+    for c in ("x", "y"):
+        slope, start, level = line_fit(rel, F.col(f"_{c}"), weights(F.col("k"), True))
+        flat = F.col("k") < min_points
+        if c == "x":
+            flat = flat | (slope * F.col("direction") < 0)
+        out = out.withColumns({f"{c}_slope": F.when(flat, 0.0).otherwise(slope), f"{c}_at": F.when(flat, level).otherwise(start)})
+    return out.drop("k", "_t", "_x", "_y")
+
+
+def physics_residuals(pairs: DataFrame, profiles: DataFrame, time_win: float, dt_floor: float = 0.04, max_acceleration: float = 15.0, lane_ft: float = 6.0) -> DataFrame:
+    """Six non-negative residuals of each pair (a_frag_id, b_frag_id); all ``NO_RESIDUAL`` where b can't follow a or a value is no number."""
+    a, b = (profiles.select(*(F.col(c).alias(f"{p}_{c}") for c in profiles.columns)) for p in "ab")
+    p = pairs.select("a_frag_id", "b_frag_id").join(a, "a_frag_id").join(b, "b_frag_id").withColumn("gap", F.col("b_first_t") - F.col("a_last_t"))
+    gap = F.col("gap")
+    ok = (F.col("a_direction") == F.col("b_direction")) & (gap >= 0) & (gap <= time_win)
     residuals = (
-        F.abs(F.col("a_end_x") + va * F.col("gap") - F.col("b_start_x")), F.abs(F.col("a_end_y") + F.col("a_tail_y_slope") * F.col("gap") - F.col("b_start_y")), F.abs(vb - va),
-        F.greatest(acceleration - max_acceleration, F.lit(0.0)), F.greatest(F.abs(F.col("b_start_y") - F.col("a_end_y")) - lane_ft, F.lit(0.0)),
-        F.abs(F.col("a_mean_length") - F.col("b_mean_length")) + F.abs(F.col("a_mean_width") - F.col("b_mean_width")) if "a_mean_length" in p.columns else F.lit(0.0))
-    return p.withColumns({n: F.when(ok, r) for n, r in zip(RESIDUALS, residuals, strict=True)})
+        F.abs(F.col("a_x_at") + F.col("a_x_slope") * gap - F.col("b_start_x")), F.abs(F.col("a_y_at") + F.col("a_y_slope") * gap - F.col("b_start_y")), F.abs(F.col("a_v_end") - F.col("b_v_start")),
+        F.greatest(F.abs(F.col("b_v_start") - F.col("a_v_end")) / F.greatest(gap, F.lit(dt_floor)) - max_acceleration, F.lit(0.0)), F.greatest(F.abs(F.col("b_start_y") - F.col("a_end_y")) - lane_ft, F.lit(0.0)),
+        F.abs(F.col("a_mean_length") - F.col("b_mean_length")) + F.abs(F.col("a_mean_width") - F.col("b_mean_width")))
+    return p.withColumns({n: F.when(ok, F.coalesce(sure(r), F.lit(NO_RESIDUAL))).otherwise(NO_RESIDUAL) for n, r in zip(RESIDUALS, residuals, strict=True)})
+
+
+def damped_residuals() -> tuple[Column, ...]:
+    """The residuals damped: log for projections, velocity and size, root for acceleration, lane as it is."""
+    positive = lambda n: F.greatest(F.col(n), F.lit(0.0))
+    x, y, v, acceleration, lane, size = RESIDUALS
+    return F.log1p(F.abs(x)), F.log1p(F.abs(y)), F.log1p(F.abs(v)), F.sqrt(positive(acceleration)), positive(lane), F.log1p(positive(size))
+
+
+def physics_cost(p: DataFrame, time_win: float, w: tuple[float, ...] = PHYSICS_WEIGHTS, time_penalty: float = 0.0) -> DataFrame:
+    """Weighted sum of damped residuals and the gap; ``INVALID`` outside the window."""
+    if len(w) != len(RESIDUALS):
+        raise ValueError(f"{len(RESIDUALS)} weights are needed")
+    parts = [max(k, 0.0) * c for k, c in zip(w, damped_residuals(), strict=True)]
+    cost = sum(parts[1:], parts[0]) + time_penalty * F.col("gap")
+    good = (F.col("gap") >= 0) & (F.col("gap") <= time_win)
+    return p.withColumn("cost", F.when(good, F.coalesce(sure(cost), F.lit(INVALID))).otherwise(INVALID))
+
+
+PairCost = Callable[[DataFrame, DataFrame], DataFrame]
+
 
+def pair_cost(kind: str = "bhattacharyya", time_win: float = 15.0, **config) -> PairCost:
+    """A pair cost by name: a function of (pairs, fragments with arrays) that gives a_frag_id, b_frag_id, gap and cost.
 
-def physics_cost(p: DataFrame, w: tuple[float, ...] = PHYSICS_WEIGHTS, time_penalty: float = 0.1) -> DataFrame:
-    """Weighted sum of damped residuals (log for projections, root for acceleration and lane) and the gap."""
-    damp = (F.log1p, F.log1p, F.log1p, F.sqrt, F.sqrt, lambda c: F.greatest(c, F.lit(0.0)))
-    parts = [max(k, 0.0) * f(F.col(n)) for k, f, n in zip(w, damp, RESIDUALS, strict=True)]
-    return p.withColumn("cost", sum(parts[1:], parts[0]) + time_penalty * F.col("gap"))
+    ``bhattacharyya`` takes cx, mx, cy, my and penalty; ``physics_only`` takes dt_floor, max_acceleration,
+    lane_ft, w and time_penalty; ``distance`` takes nothing.  ``score`` and ``gate_rank`` wrap other costs:
+    ``score`` a table of (a_frag_id, b_frag_id, score) and the options of ``score_to_cost``, ``gate_rank``
+    two pair costs (gate, rank) and a threshold.  Any function of the same form can stand in their place.
+    Pairs outside the window cost ``INVALID``.
+    """
+    ends = lambda f: f.select("frag_id", at("t", 1).alias("first_t"), at("t", -1).alias("last_t"), at("x", 1).alias("start_x"), at("x", -1).alias("end_x"), at("y", 1).alias("start_y"), at("y", -1).alias("end_y"))
+
+    def gaps(pairs: DataFrame, f: DataFrame) -> DataFrame:
+        a, b = (ends(f).select(*(F.col(c).alias(f"{p}_{c}") for c in ends(f).columns)) for p in "ab")
+        return pairs.select("a_frag_id", "b_frag_id").join(a, "a_frag_id").join(b, "b_frag_id").withColumn("gap", F.col("b_first_t") - F.col("a_last_t"))
+
+    def within(p: DataFrame) -> DataFrame:
+        good = (F.col("gap") >= 0) & (F.col("gap") <= time_win)
+        return p.select("a_frag_id", "b_frag_id", "gap", F.when(good, F.coalesce(sure(F.col("cost")), F.lit(INVALID))).otherwise(INVALID).alias("cost"))
+
+    def bhattacharyya_cost(pairs: DataFrame, f: DataFrame) -> DataFrame:
+        return within(stitch_cost(with_profiles(pairs, end_profile(f)), time_win, **config))
+
+    def physics_only(pairs: DataFrame, f: DataFrame) -> DataFrame:
+        profile = {k: config[k] for k in ("dt_floor", "min_points") if k in config}
+        limits = {k: config[k] for k in ("dt_floor", "max_acceleration", "lane_ft") if k in config}
+        of_cost = {k: config[k] for k in ("w", "time_penalty") if k in config}
+        return within(physics_cost(physics_residuals(pairs, physics_profile(f, **profile), time_win, **limits), time_win, **of_cost))
+
+    def distance(pairs: DataFrame, f: DataFrame) -> DataFrame:
+        return within(stitch_cost_simple(gaps(pairs, f)))
+
+    def score(pairs: DataFrame, f: DataFrame) -> DataFrame:
+        options = {k: v for k, v in config.items() if k != "scores"}
+        met = gaps(pairs, f).join(config["scores"], ["a_frag_id", "b_frag_id"], "left")
+        return within(met.withColumn("cost", score_to_cost(F.col("score"), F.col("gap"), **options)))
+
+    def gate_rank(pairs: DataFrame, f: DataFrame) -> DataFrame:
+        gate, rank = config["gate"](pairs, f), config["rank"](pairs, f).select("a_frag_id", "b_frag_id", F.col("cost").alias("rank_cost"))
+        met = gate.join(rank, ["a_frag_id", "b_frag_id"], "left")
+        return within(met.withColumn("cost", gate_rank_cost(F.col("cost"), F.col("rank_cost"), config.get("threshold", 3.0))))
+
+    known = {"bhattacharyya": bhattacharyya_cost, "physics_only": physics_only, "distance": distance, "score": score, "gate_rank": gate_rank}
+    if kind not in known:
+        raise ValueError(f"no pair cost named {kind}; there are {', '.join(known)}")
+    return known[kind]
 
 
 def logistic_cost(p: Column, gap: Column, scale: float = 5.0, mode: str = "linear", offset: float = 5.0) -> Column:
@@ -176,16 +273,19 @@ def mahalanobis_score(dx: Column, dy: Column, l11: Column, l21: Column, l22: Col
     return m, m + F.log(l11) + F.log(l22) + 1.8378770664093453
 
 
-def hardness_score(pairs: DataFrame) -> DataFrame:
-    """Mean of closeness scores in [0, 1]: y, velocity, time, expected x gap, length; missing parts are skipped."""
-    near = lambda d, far: F.greatest(F.lit(0.0), 1 - F.abs(d) / far)
+def hardness_score(pairs: DataFrame, max_dy: float = 8.0, max_dv: float = 30.0, max_gap: float = 5.0) -> DataFrame:
+    """Mean of closeness scores up to 1: mean y, mean velocity, time, directional x gap against the expected one, mean length.
+
+    Scores of unknown velocities or lengths are left out; without a's velocity, 50 feet a second are expected.
+    """
+    near = lambda d, far: F.when(d.isNotNull(), F.greatest(F.lit(0.0), 1 - d / far))
     gap = F.col("b_first_t") - F.col("a_last_t")
-    expected = F.col("a_velocity") * gap
+    x = F.when(F.col("a_direction") == 1, F.col("b_start_x") - F.col("a_end_x")).otherwise(F.col("a_end_x") - F.col("b_start_x"))
+    expected = F.coalesce(F.abs("a_velocity"), F.lit(50.0)) * gap
     parts = F.array(
-        near(F.col("a_end_y") - F.col("b_start_y"), 10.0), near(F.col("a_velocity") - F.col("b_velocity"), 20.0), near(gap, 5.0),
-        near(F.abs(F.col("b_start_x") - F.col("a_end_x")) - F.abs(expected), 100.0), near(F.col("a_mean_length") - F.col("b_mean_length"), 5.0))
-    known = F.filter(parts, lambda x: x.isNotNull())
-    return pairs.withColumn("hardness", mean(known))
+        near(F.abs(F.col("a_mean_y") - F.col("b_mean_y")), max_dy), near(F.abs(F.col("a_velocity") - F.col("b_velocity")), max_dv), near(gap, max_gap),
+        near(F.abs(x - expected), 100.0), near(F.abs(F.col("a_mean_length") - F.col("b_mean_length")), 10.0))
+    return pairs.withColumn("hardness", mean(F.filter(parts, lambda v: v.isNotNull())))
 
 
 def displacement_targets(p: DataFrame, time_win: float, k: int = 10) -> DataFrame:

@@ -202,11 +202,11 @@ def gap_stratified(pairs: DataFrame, total: int, edges: Sequence[float] = (5.0,
     return first.orderBy(F.desc("in_quota"), "_u", "a_frag_id", "b_frag_id").limit(total).drop("_u", "rn", "in_quota")
 
 
-def hardness_buckets(rows: DataFrame, difficulty: str = "difficulty", wrong: str = "misclassified", label: str = "label") -> DataFrame:
-    """easy, medium, hard by the class's difficulty quantiles .25 and .60; what the model got wrong is hard."""
-    q = rows.groupBy(label).agg(F.expr(f"percentile({difficulty}, array(0.25, 0.60))").alias("q"))
+def hardness_buckets(rows: DataFrame, difficulty: str = "difficulty", wrong: str = "misclassified", label: str = "label", hard: float = 0.25, medium: float = 0.60) -> DataFrame:
+    """hard: the class's most difficult quarter and what the model got wrong; medium: up to 60 %; easy: the rest."""
+    q = rows.groupBy(label).agg(F.expr(f"percentile({difficulty}, array({1 - medium}, {1 - hard}))").alias("q"))
     d = F.col(difficulty)
-    kind = F.when(F.col(wrong) | (d > F.col("q")[1]), "hard").when(d > F.col("q")[0], "medium").otherwise("easy")
+    kind = F.when(F.col(wrong) | (d >= F.col("q")[1]), "hard").when(d >= F.col("q")[0], "medium").otherwise("easy")
     return rows.join(F.broadcast(q), label).withColumn("bucket", kind).drop("q")
 
 

@@ -55,12 +55,15 @@ def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.select("node").distinct().join(edges.select(F.col("u").alias("node"), "v"), "node", "left").select("node", F.coalesce("v", "node").alias("component"))
 
 
-def with_component(pairs: DataFrame, keys: tuple[str, ...], a: str, b: str) -> DataFrame:
-    """``pairs`` with the component of the two-sided graph of ``a`` and ``b`` ids within ``keys``; what happens in one does not bear on another."""
+def with_component(pairs: DataFrame, keys: tuple[str, ...], a: str, b: str, two_sided: bool = True) -> DataFrame:
+    """``pairs`` with the component of the graph of ``a`` and ``b`` ids within ``keys``; what happens in one does not bear on another.
+
+    Two-sided: an id as ``a`` and the same as ``b`` are two nodes.
+    """
     side = lambda c, s: F.concat_ws("\x1f", F.lit(s), *(F.col(k).cast("string") for k in keys), F.col(c).cast("string"))
     pairs = checkpointed(pairs)
-    edges = pairs.select(side(a, "a").alias("a"), side(b, "b").alias("b")).distinct()
-    parts = connected_components(edges.select(F.col("a").alias("node")), edges).select(F.col("node").alias("_node"), "component")
+    edges = pairs.select(side(a, "a").alias("a"), side(b, "b" if two_sided else "a").alias("b")).distinct()
+    parts = connected_components(edges.select(F.col("a").alias("node")).distinct(), edges).select(F.col("node").alias("_node"), "component")
     return pairs.join(parts, side(a, "a") == F.col("_node")).drop("_node")
 
 
@@ -157,21 +160,28 @@ def verify_paths(paths: DataFrame, costs: DataFrame, limit: float = 10.0) -> Dat
 
 
 def greedy_chains(pairs: DataFrame, threshold: float, keys: tuple[str, ...] = ("scenario", "direction")) -> DataFrame:
-    """Chains grown in start order: each fragment takes its best unused successor above ``threshold``.
+    """Chains one after the other: the earliest fragment that is in none starts one, and it is extended by the best
+    unused successor above ``threshold`` until there is none.  Equal scores go to the smaller id.
 
-    ``pairs``: keys, src, dst, src_t, score.  Order decides only within a component of the
-    graph of pairs above ``threshold``, so each is a group.
+    ``pairs``: keys, src, dst, src_t (start of src), score; dst starts after src.  Order decides only within a
+    component of the graph of pairs above ``threshold``, so each is a group.
     """
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf[pdf["score"] >= threshold].sort_values(["src_t", "src", "score", "dst"], ascending=[True, True, False, True])
-        used, done, out = set(), set(), []
+        pdf = pdf.sort_values(["src_t", "src", "score", "dst"], ascending=[True, True, False, True])
+        after: dict = {}
         for r in pdf.itertuples():
-            if r.src not in done and r.dst not in used:
-                done.add(r.src)
-                used.add(r.dst)
-                out.append((r.src, r.dst, r.score))
+            after.setdefault(r.src, []).append((r.dst, r.score))
+        used, out = set(), []
+        for start in after:
+            here = start if start not in used else None
+            while here is not None:
+                used.add(here)
+                link = next(((d, s) for d, s in after.get(here, ()) if d not in used), None)
+                if link:
+                    out.append((here, *link))
+                here = link and link[0]
         return pd.DataFrame(out, columns=["src", "dst", "score"])
 
-    parts = with_component(pairs.filter(F.col("score") >= threshold), keys, "src", "dst")
+    parts = with_component(pairs.filter(F.col("score") > threshold), keys, "src", "dst", two_sided=False)
     return parts.groupBy(*keys, "component").applyInPandas(work, "src string, dst string, score double")

@@ -37,10 +37,18 @@ def prefixed(df: DataFrame, prefix: str) -> DataFrame:
 
 
 def candidate_pairs(ends: DataFrame, time_win: float, max_x_gap: float = 800.0, same_scenario: bool = False) -> DataFrame:
-    """Ordered pairs where b starts within ``time_win`` after a ends, same direction, x gap at most ``max_x_gap``."""
+    """Ordered pairs where b starts within ``time_win`` after a ends, same direction, x gap at most ``max_x_gap``.
+
+    With a finite x gap, cells of that width are part of the key: a looks into its end's cell and both neighbours.
+    """
     a, b = prefixed(ends, "a_"), prefixed(ends, "b_")
     keys = ["direction", "scenario"] if same_scenario else ["direction"]
-    pairs = bucket_range_join(a, b, keys, F.col("a_last_t"), "b_first_t", time_win)
+    if 0 < max_x_gap < float("inf"):
+        c = F.floor(F.col("a_end_x") / max_x_gap)
+        a = a.withColumn("a_cell", F.explode(F.array(c - 1, c, c + 1)))
+        b = b.withColumn("b_cell", F.floor(F.col("b_start_x") / max_x_gap))
+        keys.append("cell")
+    pairs = bucket_range_join(a, b, keys, F.col("a_last_t"), "b_first_t", time_win).drop("a_cell", "b_cell")
     pairs = pairs.filter((F.col("a_frag_id") != F.col("b_frag_id")) & (F.abs(F.col("b_start_x") - F.col("a_end_x")) <= max_x_gap))
     return pairs.withColumn("gap", F.col("b_first_t") - F.col("a_last_t"))
 
@@ -66,7 +74,7 @@ def strict_candidates(ends: DataFrame, max_gap: float = 5.0, x_range: tuple[floa
 
 
 def overlap_pairs(ends: DataFrame, bucket: float) -> DataFrame:
-    """Unordered pairs (a_id < b_id) that overlap in time and in x, x being extended by the mean length.
+    """Unordered pairs (a_id < b_id) that overlap in time (touching is none) and in x, x being extended by the mean length.
 
     Both sides are exploded to the time buckets they cover; a pair counts in the
     bucket where its overlap begins, so it appears once.
@@ -82,7 +90,8 @@ def overlap_pairs(ends: DataFrame, bucket: float) -> DataFrame:
     begin = F.greatest("a_first_t", "b_first_t")
     return a.join(b, on).filter(
         (F.col("a_frag_id") < F.col("b_frag_id"))
-        & (begin <= F.least("a_last_t", "b_last_t"))
+        & (F.col("a_last_t") > F.col("b_first_t"))
+        & (F.col("b_last_t") > F.col("a_first_t"))
         & (F.floor(begin / bucket) == F.col("a_k"))
         & (F.greatest("a_x_lo", "b_x_lo") <= F.least("a_x_hi", "b_x_hi"))
     ).select("a_frag_id", "b_frag_id", F.col("a_direction").alias("direction"), begin.alias("overlap_start"), F.least("a_last_t", "b_last_t").alias("overlap_end"))

@@ -26,16 +26,25 @@ def top_candidate(rows: DataFrame, cost: str = "cost") -> DataFrame:
 
 
 def cap_group(rows: DataFrame, k: int, mode: str = "positives_first", seed: int = 0) -> DataFrame:
-    """At most ``k`` rows an anchor: positives first and the rest in hash order, or the k cheapest."""
+    """At most ``k`` rows an anchor: positives first and the rest in hash order, the k cheapest, or (one_of_each) one
+    positive and one negative where there are both, then any, all in hash order."""
     u = unit_hash("anchor_id", "candidate_id", seed=seed)
-    order = [F.desc(F.coalesce(F.col("label") == 1, F.lit(False))), u, F.col("candidate_id")] if mode == "positives_first" else [F.col("cost"), F.col("candidate_id")]
+    if mode == "one_of_each":
+        by_label = Window.partitionBy("anchor_id", "label").orderBy(u, "candidate_id")
+        both = F.min("label").over(Window.partitionBy("anchor_id")) != F.max("label").over(Window.partitionBy("anchor_id"))
+        lead = F.coalesce(both & F.col("label").isNotNull() & (F.row_number().over(by_label) == 1), F.lit(False))
+        rows, order = rows.withColumn("_lead", lead), [F.desc("_lead"), u, F.col("candidate_id")]
+    elif mode == "positives_first":
+        order = [F.desc(F.coalesce(F.col("label") == 1, F.lit(False))), u, F.col("candidate_id")]
+    else:
+        order = [F.col("cost"), F.col("candidate_id")]
     w = Window.partitionBy("anchor_id").orderBy(*order)
-    return rows.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= k).drop("rn")
+    return rows.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= k).drop("rn", "_lead")
 
 
 def middle_slice(rows: DataFrame, group: str, order: str) -> DataFrame:
-    """Positions n // 4 up to max(n // 4 + 1, 3 n // 4) of a group, hardest first."""
-    w = Window.partitionBy(group).orderBy(F.desc(order), "candidate_id")
+    """Positions n // 4 up to max(n // 4 + 1, 3 n // 4) of a group in rising order."""
+    w = Window.partitionBy(group).orderBy(order, "candidate_id")
     n = F.count(F.lit(1)).over(Window.partitionBy(group))
     lo = F.floor(n / 4)
     hi = F.greatest(lo + 1, F.floor(3 * n / 4))
@@ -43,14 +52,21 @@ def middle_slice(rows: DataFrame, group: str, order: str) -> DataFrame:
     return ranked.filter((F.col("rn") >= F.col("lo")) & (F.col("rn") < F.col("hi"))).drop("rn", "lo", "hi")
 
 
-def semi_hard_negatives(rows: DataFrame, margin: float, k: int) -> DataFrame:
-    """Per anchor k negatives: those nearest above the cheapest positive within margin + 0.3, then the hardest below, then any."""
-    pos = F.min(F.when(F.col("label") == 1, F.col("cost"))).over(Window.partitionBy("anchor_id"))
-    n = rows.withColumn("pos", pos).filter((F.col("label") == 0) & F.col("pos").isNotNull())
+def semi_hard_negatives(rows: DataFrame, margin: float, k: int, seed: int = 0) -> DataFrame:
+    """Per anchor negatives of its first tier that has any, compared with the cheapest positive.
+
+    Tier 0: less than margin + 0.3 above it, the ``k`` nearest; tier 1: not above it, the ``k`` cheapest;
+    tier 2: one of the others in hash order.
+    """
+    by_anchor = Window.partitionBy("anchor_id")
+    n = rows.withColumn("pos", F.min(F.when(F.col("label") == 1, F.col("cost"))).over(by_anchor)).filter((F.col("label") == 0) & F.col("pos").isNotNull())
     d = F.col("cost") - F.col("pos")
-    tier = F.when((d >= 0) & (d <= margin + 0.3), 0).when(d < 0, 1).otherwise(2)
-    w = Window.partitionBy("anchor_id").orderBy("tier", F.abs(d), "candidate_id")
-    return n.withColumn("tier", tier).withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= k).drop("rn", "pos")
+    n = n.withColumn("tier", F.when((d > 0) & (d < margin + 0.3), 0).when(d <= 0, 1).otherwise(2))
+    place = F.when(F.col("tier") < 2, d).otherwise(unit_hash("anchor_id", "candidate_id", seed=seed))
+    w = Window.partitionBy("anchor_id").orderBy("tier", place, "candidate_id")
+    ranked = n.withColumns({"first": F.min("tier").over(by_anchor), "rn": F.row_number().over(w)})
+    most = F.when(F.col("tier") < 2, F.lit(k)).otherwise(1)
+    return ranked.filter((F.col("tier") == F.col("first")) & (F.col("rn") <= most)).drop("rn", "pos", "first")
 
 
 def rank_correlation(rows: DataFrame, x: str, y: str) -> DataFrame:
@@ -156,21 +172,25 @@ def sliced_metrics(outcomes: DataFrame, base: str, other: str) -> DataFrame:
     return F.broadcast(all_buckets).join(found, ["slice", "bucket"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
-def ranking_gate(rows: DataFrame, score: str = "cost") -> DataFrame:
-    """One row: cross-class pairwise accuracy, top-1 accuracy, mean rank correlation with the label, and the decision.
+def ranking_gate(rows: DataFrame, score: str = "cost", other: str = "base", min_candidates: int = 2) -> DataFrame:
+    """One row: cross-class pairwise accuracy, top-1 accuracy, mean rank correlation of the two costs, and the decision.
 
-    Pairwise accuracy counts, for each positive, the negatives that cost more; ties count half. Sorted counts, no pair join.
+    An anchor counts with ``min_candidates`` labelled candidates, both labels and finite costs. Pairwise accuracy
+    counts, for each positive, the negatives that cost strictly more. Sorted counts, no pair join.
     """
-    known = rows.filter("label is not null")
+    labelled = rows.filter("label is not null")
+    finite = lambda c: F.coalesce(F.abs(F.col(c)) < float("inf"), F.lit(False)) & ~F.isnan(c)
+    seen = labelled.groupBy("anchor_id").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.min(finite(score) & finite(other)).alias("finite"))
+    known = labelled.join(seen.filter((F.col("n") >= min_candidates) & (F.col("lo") == 0) & (F.col("hi") == 1) & F.col("finite")).select("anchor_id"), "anchor_id", "left_semi")
     per_cost = known.groupBy("anchor_id", score).agg(F.sum(F.col("label")).alias("p"), F.sum(1 - F.col("label")).alias("q"))
     w = Window.partitionBy("anchor_id").orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, -1)
     wins = per_cost.withColumn("above", F.coalesce(F.sum("q").over(w), F.lit(0)))
-    per_anchor = wins.groupBy("anchor_id").agg(F.sum(F.col("p") * (F.col("above") + F.col("q") / 2)).alias("won"), F.sum("p").alias("p"), F.sum("q").alias("q"))
-    per_anchor = per_anchor.filter("p > 0 and q > 0")
+    per_anchor = wins.groupBy("anchor_id").agg(F.sum(F.col("p") * F.col("above")).alias("won"), F.sum("p").alias("p"), F.sum("q").alias("q"))
     top = known.groupBy("anchor_id").agg(F.min(F.struct(score, "candidate_id", "label")).alias("b")).select("anchor_id", (F.col("b.label") == 1).cast("double").alias("top1"))
-    rho = rank_correlation(known.withColumn("target", 1 - F.col("label")), score, "target").select("anchor_id", "rho")
+    rho = rank_correlation(known, score, other).select("anchor_id", "rho")
+    none = lambda c: F.coalesce(c, F.lit(0.0))
     out = per_anchor.join(top, "anchor_id").join(rho, "anchor_id").agg(
-        F.count(F.lit(1)).alias("anchors"), (F.sum("won") / F.sum(F.col("p") * F.col("q"))).alias("pairwise"), F.avg("top1").alias("top1"), F.avg("rho").alias("spearman"))
+        F.count(F.lit(1)).alias("anchors"), none(F.sum("won") / F.sum(F.col("p") * F.col("q"))).alias("pairwise"), none(F.avg("top1")).alias("top1"), none(F.avg("rho")).alias("spearman"))
     return out.withColumn("passed", (F.col("pairwise") >= 0.95) & (F.col("top1") >= 0.85) & (F.col("spearman") >= 0.55))
 
 

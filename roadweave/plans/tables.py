@@ -65,12 +65,17 @@ def cap_group_cheapest(spark, d):
     return ranking.cap_group(rows(spark, d), 2, "cheapest").select("anchor_id", "candidate_id")
 
 
-@query(f"WITH {ROWS}, r AS (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY cost DESC, candidate_id) - 1 AS rn, count(*) OVER (PARTITION BY anchor_id) AS n FROM rows_) SELECT anchor_id, candidate_id FROM r WHERE rn >= n // 4 AND rn < greatest(n // 4 + 1, 3 * n // 4)")
+@query(f"WITH {ROWS}, u AS (SELECT *, {UNIT_HASH_SQL.format('anchor_id, candidate_id', 0)} AS u FROM rows_), l AS (SELECT *, coalesce(min(label) OVER (PARTITION BY anchor_id) <> max(label) OVER (PARTITION BY anchor_id) AND label IS NOT NULL AND row_number() OVER (PARTITION BY anchor_id, label ORDER BY u, candidate_id) = 1, false) AS lead FROM u), r AS (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY lead DESC, u, candidate_id) AS rn FROM l) SELECT anchor_id, candidate_id, label FROM r WHERE rn <= 3")
+def cap_group_one_of_each(spark, d):
+    return ranking.cap_group(rows(spark, d), 3, "one_of_each").select("anchor_id", "candidate_id", "label")
+
+
+@query(f"WITH {ROWS}, r AS (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY cost, candidate_id) - 1 AS rn, count(*) OVER (PARTITION BY anchor_id) AS n FROM rows_) SELECT anchor_id, candidate_id FROM r WHERE rn >= n // 4 AND rn < greatest(n // 4 + 1, 3 * n // 4)")
 def middle_slice(spark, d):
     return ranking.middle_slice(rows(spark, d), "anchor_id", "cost").select("anchor_id", "candidate_id")
 
 
-@query(f"WITH {ROWS}, p AS (SELECT *, min(CASE WHEN label = 1 THEN cost END) OVER (PARTITION BY anchor_id) AS pos FROM rows_), t AS (SELECT *, CASE WHEN cost - pos BETWEEN 0 AND 0.5 + 0.3 THEN 0 WHEN cost < pos THEN 1 ELSE 2 END AS tier FROM p WHERE label = 0 AND pos IS NOT NULL), r AS (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY tier, abs(cost - pos), candidate_id) AS rn FROM t) SELECT anchor_id, candidate_id, tier FROM r WHERE rn <= 2")
+@query(f"WITH {ROWS}, p AS (SELECT anchor_id, min(cost) AS pos FROM rows_ WHERE label = 1 GROUP BY anchor_id), n AS (SELECT anchor_id, candidate_id, cost - pos AS d, {UNIT_HASH_SQL.format('anchor_id, candidate_id', 0)} AS u FROM rows_ JOIN p USING (anchor_id) WHERE label = 0), has AS (SELECT anchor_id, bool_or(d > 0 AND d < 0.8) AS soft, bool_or(d <= 0) AS hard FROM n GROUP BY anchor_id), r AS (SELECT n.*, soft, hard, row_number() OVER (PARTITION BY anchor_id, (d > 0 AND d < 0.8), (d <= 0) ORDER BY d, candidate_id) AS near, row_number() OVER (PARTITION BY anchor_id ORDER BY u, candidate_id) AS any_ FROM n JOIN has USING (anchor_id)) SELECT anchor_id, candidate_id, CASE WHEN soft THEN 0 WHEN hard THEN 1 ELSE 2 END AS tier FROM r WHERE CASE WHEN soft THEN d > 0 AND d < 0.8 AND near <= 2 WHEN hard THEN d <= 0 AND near <= 2 ELSE any_ = 1 END")
 def semi_hard_negatives(spark, d):
     return ranking.semi_hard_negatives(rows(spark, d), 0.5, 2).select("anchor_id", "candidate_id", "tier")
 
@@ -113,10 +118,13 @@ def sliced_metrics(spark, d):
     return ranking.sliced_metrics(_outcomes(spark, d), "base", "other").select("slice", "bucket", "n", r6("base_error").alias("base_error"), r6("other_error").alias("other_error"))
 
 
-@query(f"""WITH {ROWS}, k AS (SELECT * FROM rows_ WHERE label IS NOT NULL), w AS (SELECT p.anchor_id, sum(CASE WHEN n.cost > p.cost THEN 1.0 WHEN n.cost = p.cost THEN 0.5 ELSE 0 END) AS won, count(*) AS pairs FROM k p JOIN k n ON p.anchor_id = n.anchor_id AND p.label = 1 AND n.label = 0 GROUP BY p.anchor_id),
-t AS (SELECT anchor_id, (arg_min(label, (cost, candidate_id)) = 1)::INT AS top1 FROM k GROUP BY anchor_id) SELECT count(*) AS anchors, round(sum(won) / sum(pairs), 6) AS pairwise, round(avg(top1), 6) AS top1 FROM w JOIN t USING (anchor_id)""")
+@query(f"""WITH {ROWS}, k AS (SELECT * FROM rows_ WHERE label IS NOT NULL AND anchor_id IN (SELECT anchor_id FROM rows_ WHERE label IS NOT NULL GROUP BY anchor_id HAVING count(*) >= 2 AND min(label) = 0 AND max(label) = 1)),
+w AS (SELECT p.anchor_id, count(*) FILTER (WHERE p.cost < n.cost) AS won, count(*) AS pairs FROM k p JOIN k n ON p.anchor_id = n.anchor_id AND p.label = 1 AND n.label = 0 GROUP BY p.anchor_id),
+t AS (SELECT anchor_id, (arg_min(label, (cost, candidate_id)) = 1)::INT AS top1 FROM k GROUP BY anchor_id),
+r AS (SELECT anchor_id, row_number() OVER (PARTITION BY anchor_id ORDER BY cost, candidate_id)::DOUBLE AS a, row_number() OVER (PARTITION BY anchor_id ORDER BY base, candidate_id)::DOUBLE AS b FROM k), c AS (SELECT anchor_id, coalesce(corr(a, b), 0.0) AS rho FROM r GROUP BY anchor_id)
+SELECT count(*) AS anchors, round(sum(won) / sum(pairs), 6) AS pairwise, round(avg(top1), 6) AS top1, round(avg(rho), 6) AS spearman FROM w JOIN t USING (anchor_id) JOIN c USING (anchor_id)""")
 def ranking_gate(spark, d):
-    return ranking.ranking_gate(rows(spark, d)).select("anchors", r6("pairwise").alias("pairwise"), r6("top1").alias("top1"))
+    return ranking.ranking_gate(rows(spark, d)).select("anchors", *(r6(c).alias(c) for c in ("pairwise", "top1", "spearman")))
 
 
 @query(f"WITH {OUTCOMES}, bad AS (SELECT anchor_id FROM o WHERE NOT other_correct) SELECT anchor_id, candidate_id, label FROM rows_ WHERE anchor_id IN (SELECT anchor_id FROM bad) ORDER BY anchor_id, candidate_id LIMIT 100")
@@ -216,7 +224,7 @@ def shortcut_risk(spark, d):
     return s.select("feature", *(r6(c).alias(c) for c in ("r", "ks", "risk")))
 
 
-@query(f"WITH {SCORES}, q AS (SELECT quantile_cont(p, 0.005) AS lo, quantile_cont(p, 0.995) AS hi FROM scores), i AS (SELECT label, least(floor((p - lo) / (hi - lo) * 50), 49) AS b FROM scores, q WHERE p BETWEEN lo AND hi), h AS (SELECT b, sum(label) AS a, sum(1 - label) AS z FROM i GROUP BY b), o AS (SELECT sum(least(a / (SELECT sum(label) FROM i), z / (SELECT sum(1 - label) FROM i))) AS overlap FROM h) SELECT round(overlap, 6) AS overlap, round((SELECT (avg(p) FILTER (WHERE label = 1) - avg(p) FILTER (WHERE label = 0)) / sqrt((var_samp(p) FILTER (WHERE label = 1) + var_samp(p) FILTER (WHERE label = 0)) / 2) FROM scores), 6) AS cohens_d FROM o")
+@query(f"WITH {SCORES}, q AS (SELECT quantile_cont(p, 0.005) AS lo, quantile_cont(p, 0.995) AS hi FROM scores), i AS (SELECT label, least(floor((p - lo) / (hi - lo) * 50), 49) AS b FROM scores, q WHERE p BETWEEN lo AND hi), h AS (SELECT b, sum(label) AS a, sum(1 - label) AS z FROM i GROUP BY b), o AS (SELECT sum(least(a / (SELECT sum(label) FROM i), z / (SELECT sum(1 - label) FROM i))) AS overlap FROM h) SELECT round(overlap, 6) AS overlap, round((SELECT abs(avg(p) FILTER (WHERE label = 1) - avg(p) FILTER (WHERE label = 0)) / sqrt(((sum(label) - 1) * var_pop(p) FILTER (WHERE label = 1) + (sum(1 - label) - 1) * var_pop(p) FILTER (WHERE label = 0)) / (count(*) - 2)) FROM scores), 6) AS cohens_d FROM o")
 def histogram_overlap(spark, d):
     return calibrate.histogram_overlap(scores(spark, d), "p", bins=50).select(r6("overlap").alias("overlap"), r6("cohens_d").alias("cohens_d"))
 
@@ -293,15 +301,19 @@ def best_performer(spark, d):
     return aggregates.best_performer(results(spark, d)).withColumn("mean", r6("mean"))
 
 
-@query(f"WITH {RESULTS} SELECT metric, round(avg(value) FILTER (WHERE method = '1-URGENT'), 6) AS urgent, round(avg(value) FILTER (WHERE method = '2-HIGH'), 6) AS high FROM res GROUP BY metric")
+PRIORITIES = {"1-URGENT": "urgent", "2-HIGH": "high", "3-MEDIUM": "medium", "4-NOT SPECIFIED": "unspecified", "5-LOW": "low"}
+
+
+@query(f"WITH {RESULTS} SELECT metric, " + ", ".join(f"round(avg(value) FILTER (WHERE method = '{m}'), 6) AS {c}" for m, c in PRIORITIES.items()) + " FROM res GROUP BY metric")
 def comparison_pivot(spark, d):
-    return aggregates.comparison_pivot(results(spark, d), ["1-URGENT", "2-HIGH"]).select("metric", r6("1-URGENT").alias("urgent"), r6("2-HIGH").alias("high"))
+    return aggregates.comparison_pivot(results(spark, d), list(PRIORITIES)).select("metric", *(r6(m).alias(c) for m, c in PRIORITIES.items()))
 
 
-@query(f"WITH {ROWS} SELECT anchor_id, candidate_id, round(0.4 * base + 0.25 * base + 0.2 * base + 0.1 * (1 - least(1, gap / 40)) + 0.05 * (1 - least(1, cost)), 9) AS score, round(base, 6) AS quality FROM rows_")
+@query(f"WITH {ROWS}, m(scenario, sw, fg) AS (VALUES (0, 2.0::DOUBLE, 6.0::DOUBLE), (1, 20.0, 6.0), (2, 5.0, 6.0), (3, 5.0, 6.0)) SELECT anchor_id, candidate_id, round(0.4 * base + 0.25 * base + 0.2 * base + 0.1 * (1 - least(1, gap / sw)) + 0.05 * (1 - least(1, cost / fg)), 9) AS score, round(base, 6) AS quality FROM rows_ JOIN m ON anchor_id % 4 = scenario")
 def composite_score(spark, d):
-    b = F.col("base")
-    return rows(spark, d).select("anchor_id", "candidate_id", F.round(aggregates.composite_score(b, b, b, F.col("gap") / 40, F.col("cost")), 9).alias("score"), r6(aggregates.mean_quality(b, b)).alias("quality"))
+    b, names = F.col("base"), F.array(*(F.lit(n) for n in ("i", "ii", "iii", "other")))
+    r = rows(spark, d).withColumn("scenario", F.element_at(names, (F.col("anchor_id") % 4 + 1).cast("int")))
+    return r.select("anchor_id", "candidate_id", F.round(aggregates.composite_score(b, b, b, F.col("gap"), F.col("cost"), F.col("scenario")), 9).alias("score"), r6(aggregates.mean_quality(b, b)).alias("quality"))
 
 
 @query(f"WITH {ROWS}, w AS (SELECT cost AS a, CASE WHEN base > 0.02 THEN base END AS b FROM rows_) SELECT round(avg(CASE WHEN b IS NULL THEN a ELSE (0.7 * a + 0.3 * b) END), 6) AS score FROM w")
@@ -310,16 +322,17 @@ def selection_score(spark, d):
     return ranking.selection_score(w, {"a": 0.7, "b": 0.3}).agg(r6(F.avg("selection_score")).alias("score"))
 
 
-@query("WITH f AS (SELECT DISTINCT o_orderstatus AS scenario, o_custkey AS feature FROM orders WHERE o_orderkey % 4 = 0) SELECT a.scenario AS a, b.scenario AS b, round(count(*) FILTER (WHERE a.feature = b.feature) / ((SELECT count(*) FROM f WHERE scenario = a.scenario) + (SELECT count(*) FROM f WHERE scenario = b.scenario) - count(*) FILTER (WHERE a.feature = b.feature)), 6) AS jaccard FROM f a JOIN f b ON a.scenario < b.scenario GROUP BY a.scenario, b.scenario")
+@query("WITH f AS (SELECT DISTINCT o_orderstatus AS scenario, o_custkey AS feature FROM orders) SELECT a.scenario AS a, b.scenario AS b, round(count(*) FILTER (WHERE a.feature = b.feature) / ((SELECT count(*) FROM f WHERE scenario = a.scenario) + (SELECT count(*) FROM f WHERE scenario = b.scenario) - count(*) FILTER (WHERE a.feature = b.feature)), 6) AS jaccard FROM f a JOIN f b ON a.scenario < b.scenario GROUP BY a.scenario, b.scenario")
 def set_jaccard(spark, d):
-    f = table(spark, d, "orders").filter("o_orderkey % 4 = 0").select(F.col("o_orderstatus").alias("scenario"), F.col("o_custkey").alias("feature"))
+    f = table(spark, d, "orders").select(F.col("o_orderstatus").alias("scenario"), F.col("o_custkey").alias("feature"))
     return ranking.set_jaccard(f).withColumn("jaccard", r6("jaccard"))
 
 
-@query("SELECT o_orderstatus AS status, source_tag, count(*) AS n FROM (SELECT o_orderstatus, 'a' AS source_tag FROM orders UNION ALL SELECT o_orderstatus, 'b' FROM orders WHERE o_orderkey % 2 = 0) GROUP BY ALL")
+@query("SELECT status, source_tag, count(*) AS n FROM (SELECT o_orderstatus AS status, 'a' AS source_tag FROM orders UNION ALL SELECT l_linestatus, 'b' FROM lineitem) GROUP BY ALL")
 def stack_datasets(spark, d):
-    o = table(spark, d, "orders").select("o_orderkey", F.col("o_orderstatus").alias("status"))
-    return ranking.stack(o, o.filter("o_orderkey % 2 = 0")).groupBy("status", "source_tag").agg(F.count(F.lit(1)).alias("n"))
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("key"), F.col("o_orderstatus").alias("status"))
+    i = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("key"), F.col("l_linestatus").alias("status"))
+    return ranking.stack(o, i).groupBy("status", "source_tag").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 45)")
@@ -377,7 +390,7 @@ def balance_classes(spark, d):
     return datasets.balance_classes(scores(spark, d), "doc_id").select("doc_id", "label")
 
 
-@query(f"WITH {SCORES}, q AS (SELECT label, quantile_cont(p, 0.25) AS a, quantile_cont(p, 0.6) AS b FROM scores GROUP BY label) SELECT doc_id, CASE WHEN rest > 90 OR p > b THEN 'hard' WHEN p > a THEN 'medium' ELSE 'easy' END AS bucket FROM scores JOIN q USING (label)")
+@query(f"WITH {SCORES}, q AS (SELECT label, quantile_cont(p, 0.4) AS a, quantile_cont(p, 0.75) AS b FROM scores GROUP BY label) SELECT doc_id, CASE WHEN rest > 90 OR p >= b THEN 'hard' WHEN p >= a THEN 'medium' ELSE 'easy' END AS bucket FROM scores JOIN q USING (label)")
 def hardness_buckets(spark, d):
     s = scores(spark, d).withColumns({"difficulty": F.col("p"), "misclassified": F.col("rest") > 90})
     return datasets.hardness_buckets(s).select("doc_id", "bucket")

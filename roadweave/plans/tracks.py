@@ -192,7 +192,7 @@ def strict_candidates(spark, d):
 
 OVERLAPS = f"""{ENDPOINTS_SQL}, ext AS (SELECT *, least(start_x, end_x) - CASE WHEN direction = -1 THEN mean_length ELSE 0 END AS lo, greatest(start_x, end_x) + CASE WHEN direction = 1 THEN mean_length ELSE 0 END AS hi FROM frag),
 over AS (SELECT a.frag_id AS a_frag_id, b.frag_id AS b_frag_id, greatest(a.first_t, b.first_t) AS s, least(a.last_t, b.last_t) AS e FROM ext a JOIN ext b ON a.direction = b.direction AND a.frag_id < b.frag_id
-  AND greatest(a.first_t, b.first_t) <= least(a.last_t, b.last_t) AND greatest(a.lo, b.lo) <= least(a.hi, b.hi))"""
+  AND NOT (a.last_t <= b.first_t OR b.last_t <= a.first_t) AND greatest(a.lo, b.lo) <= least(a.hi, b.hi))"""
 
 
 @query(f"WITH {OVERLAPS} SELECT a_frag_id, b_frag_id, round(s, 6) AS overlap_start, round(e, 6) AS overlap_end FROM over")
@@ -292,11 +292,14 @@ def normalization_stats(spark, d):
     return s.select(*(r6(c).alias(c) for c in s.columns))
 
 
-@query(f"""WITH {DETECTIONS_SQL}, g AS (SELECT frag_id, idx, CASE WHEN lag(x) OVER w IS NULL AND lead(x) OVER w IS NULL THEN 0 WHEN lag(x) OVER w IS NULL THEN lead(x) OVER w - x WHEN lead(x) OVER w IS NULL THEN x - lag(x) OVER w ELSE (lead(x) OVER w - lag(x) OVER w) / 2 END AS dx,
+CURVES = """g AS (SELECT frag_id, idx, CASE WHEN lag(x) OVER w IS NULL AND lead(x) OVER w IS NULL THEN 0 WHEN lag(x) OVER w IS NULL THEN lead(x) OVER w - x WHEN lead(x) OVER w IS NULL THEN x - lag(x) OVER w ELSE (lead(x) OVER w - lag(x) OVER w) / 2 END AS dx,
  CASE WHEN lag(y) OVER w IS NULL AND lead(y) OVER w IS NULL THEN 0 WHEN lag(y) OVER w IS NULL THEN lead(y) OVER w - y WHEN lead(y) OVER w IS NULL THEN y - lag(y) OVER w ELSE (lead(y) OVER w - lag(y) OVER w) / 2 END AS dy FROM det WINDOW w AS (PARTITION BY frag_id ORDER BY idx)),
 h AS (SELECT *, CASE WHEN lag(dx) OVER w IS NULL AND lead(dx) OVER w IS NULL THEN 0 WHEN lag(dx) OVER w IS NULL THEN lead(dx) OVER w - dx WHEN lead(dx) OVER w IS NULL THEN dx - lag(dx) OVER w ELSE (lead(dx) OVER w - lag(dx) OVER w) / 2 END AS ddx,
  CASE WHEN lag(dy) OVER w IS NULL AND lead(dy) OVER w IS NULL THEN 0 WHEN lag(dy) OVER w IS NULL THEN lead(dy) OVER w - dy WHEN lead(dy) OVER w IS NULL THEN dy - lag(dy) OVER w ELSE (lead(dy) OVER w - lag(dy) OVER w) / 2 END AS ddy FROM g WINDOW w AS (PARTITION BY frag_id ORDER BY idx)),
-k AS (SELECT frag_id, abs(dx * ddy - dy * ddx) / (pow(dx * dx + dy * dy, 1.5) + 1e-6) AS k FROM h)
+k AS (SELECT frag_id, abs(dx * ddy - dy * ddx) / (pow(dx * dx + dy * dy, 1.5) + 1e-6) AS k FROM h)"""
+
+
+@query(f"""WITH {DETECTIONS_SQL}, {CURVES}
 SELECT frag_id, round(avg(k), 4) AS curvature_mean, count(*) AS n FROM k GROUP BY frag_id""")
 def curvature(spark, d):
     det = detections(spark, d)
@@ -388,9 +391,21 @@ def candidate_log(spark, d):
     return ranking.candidate_log(costs.stitch_cost_simple(_pairs(spark, d))).select("candidate_id", "anchor_id", r6("gap").alias("gap"), "label")
 
 
-@query(f"WITH {PAIRS} SELECT a_id AS a_frag_id, b_id AS b_frag_id, round((greatest(0, 1 - abs(a_end_y - b_start_y) / 10) + 1.0 + greatest(0, 1 - abs(gap) / 5) + greatest(0, 1 - abs(abs(b_start_x - a_end_x)) / 100) + greatest(0, 1 - abs(a_ml - b_ml) / 5)) / 5, 6) AS hardness FROM pairs")
+VELOCITIES = """vel AS (SELECT frag_id, idx, x, t, (lead(x) OVER w - x) / (lead(t) OVER w - t) AS step FROM det WINDOW w AS (PARTITION BY frag_id ORDER BY idx)),
+velocities AS (SELECT frag_id, idx, coalesce(step, lag(step) OVER (PARTITION BY frag_id ORDER BY idx), 0.0) AS velocity FROM vel), mv AS (SELECT frag_id, avg(velocity) AS v FROM velocities GROUP BY frag_id)"""
+HARDNESS = """(greatest(0, 1 - abs({a}.mean_y - {b}.mean_y) / 8) + greatest(0, 1 - abs(va.v - vb.v) / 30) + greatest(0, 1 - ({b}.first_t - {a}.last_t) / 5)
+  + greatest(0, 1 - abs(CASE WHEN {a}.direction = 1 THEN {b}.start_x - {a}.end_x ELSE {a}.end_x - {b}.start_x END - abs(va.v) * ({b}.first_t - {a}.last_t)) / 100) + greatest(0, 1 - abs({a}.mean_length - {b}.mean_length) / 10)) / 5""".format(a="a", b="b")
+
+
+def _with_velocity(spark, d):
+    det = detections(spark, d)
+    v = prepare.with_velocity(det).groupBy("frag_id").agg(F.avg("velocity").alias("velocity"))
+    return endpoints(det).join(v, "frag_id")
+
+
+@query(f"WITH {PAIRS}, {VELOCITIES} SELECT a_id AS a_frag_id, b_id AS b_frag_id, round({HARDNESS}, 6) AS hardness FROM pairs JOIN frag a ON a.frag_id = a_id JOIN frag b ON b.frag_id = b_id JOIN mv va ON va.frag_id = a_id JOIN mv vb ON vb.frag_id = b_id")
 def hardness_score(spark, d):
-    p = _pairs(spark, d).withColumns({"a_velocity": F.lit(0.0), "b_velocity": F.lit(0.0)})
+    p = joins.candidate_pairs(_with_velocity(spark, d), WIN, 20.0)
     return costs.hardness_score(p).select("a_frag_id", "b_frag_id", r6("hardness").alias("hardness"))
 
 
@@ -428,32 +443,82 @@ def resample(spark, d):
     return r.select("frag_id", F.size("t").alias("n"), r6(total(F.col("x"))).alias("sx"))
 
 
-@query()
+# Samples at the ends of fragments, and weighted lines through them, as the definitions of the costs and features give them.
+LINES = f"""{PAIRS}, smp AS (SELECT frag_id, direction, t, x, y, idx + 1 AS rn, count(*) OVER (PARTITION BY frag_id) AS n, min(t) OVER (PARTITION BY frag_id) AS t0, max(t) OVER (PARTITION BY frag_id) AS t1 FROM det),
+ends AS (SELECT 'tail' AS side, frag_id, n, t, t - t1 AS r, x, y, rn - n + least(n, 25) AS j, least(n, 25) AS k FROM smp WHERE rn > n - 25 UNION ALL SELECT 'head', frag_id, n, t, t - t0, x, y, rn, least(n, 25) FROM smp WHERE rn <= 25),
+wts AS (SELECT *, 1e-6 + CASE WHEN k > 1 THEN (CASE side WHEN 'tail' THEN j - 1 ELSE k - j END) * ((1 - 1e-6) / (k - 1)) ELSE 0 END AS w FROM ends),
+cen AS (SELECT *, sum(w * r) OVER p / sum(w) OVER p AS rm, sum(w * x) OVER p / sum(w) OVER p AS xm, sum(w * y) OVER p / sum(w) OVER p AS ym FROM wts WINDOW p AS (PARTITION BY side, frag_id)),
+fit AS (SELECT side, frag_id, max(n) AS n, max(rm) AS rm, max(xm) AS xm, max(ym) AS ym, CASE WHEN sum(w * (r - rm)^2) > 1e-12 THEN sum(w * (r - rm) * (x - xm)) / sum(w * (r - rm)^2) ELSE 0 END AS sx, CASE WHEN sum(w * (r - rm)^2) > 1e-12 THEN sum(w * (r - rm) * (y - ym)) / sum(w * (r - rm)^2) ELSE 0 END AS sy FROM cen GROUP BY side, frag_id)"""
+STITCH = f"""{LINES}, c AS (SELECT p.a_id, p.b_id, p.gap, p.dir, a.n >= b.n AS ahead, CASE WHEN a.n >= b.n THEN p.a_id ELSE p.b_id END AS anchor, CASE WHEN a.n >= b.n THEN p.b_id ELSE p.a_id END AS seen, CASE WHEN a.n >= b.n THEN a.last_t ELSE b.first_t END AS origin FROM pairs p JOIN frag a ON a.frag_id = p.a_id JOIN frag b ON b.frag_id = p.b_id),
+m AS (SELECT c.a_id, c.b_id, c.gap, f.sx AS raw, CASE WHEN f.sx * c.dir < 0 THEN 0 ELSE f.sx END AS sx, CASE WHEN f.sx * c.dir < 0 THEN f.xm ELSE f.xm - f.sx * f.rm END AS ix, f.sy, f.ym - f.sy * f.rm AS iy, e.t - c.origin AS v, e.x, e.y, e.j
+  FROM c JOIN fit f ON f.frag_id = c.anchor AND f.side = CASE WHEN ahead THEN 'tail' ELSE 'head' END JOIN ends e ON e.frag_id = c.seen AND e.side = CASE WHEN ahead THEN 'head' ELSE 'tail' END),
+z AS (SELECT *, pow(0.2 + 0.1 * abs(v) * abs(raw), 2) AS px, pow(2.0 + 0.1 * abs(v) * abs(sy), 2) AS py, first_value(pow(0.2 + 0.1 * abs(v) * abs(raw), 2)) OVER (PARTITION BY a_id, b_id ORDER BY j) AS qx, greatest(var_pop(y) OVER (PARTITION BY a_id, b_id), 4.0) AS qy FROM m),
+stitched AS (SELECT a_id, b_id, gap, avg((ix + sx * v - x)^2 / (4 * (px + qx)) + 0.5 * ln((px + qx) / 2 / sqrt(px * qx)) + (iy + sy * v - y)^2 / (4 * (py + qy)) + 0.5 * ln((py + qy) / 2 / sqrt(py * qy))) + 0.1 * gap AS cost FROM z GROUP BY a_id, b_id, gap)"""
+
+
+@query(f"WITH {STITCH} SELECT a_id AS a_frag_id, b_id AS b_frag_id, round(gap, 6) AS gap, round(cost, 4) AS cost FROM stitched")
 def stitch_cost(spark, d):
     p = costs.with_profiles(_pairs(spark, d), costs.end_profile(fragments(detections(spark, d))))
-    return costs.stitch_cost(p, WIN).select("a_frag_id", "b_frag_id", r6("gap").alias("gap"), r6("cost").alias("cost"))
+    return costs.stitch_cost(p, WIN).select("a_frag_id", "b_frag_id", r6("gap").alias("gap"), F.round("cost", 4).alias("cost"))
 
 
-@query()
+PHYSICS = f"""{PAIRS}, smp AS (SELECT frag_id, direction, t, x, y, idx + 1 AS rn, count(*) OVER (PARTITION BY frag_id) AS n, max(t) OVER (PARTITION BY frag_id) AS t1, t - lag(t) OVER w AS d, (x - lag(x) OVER w) / greatest(t - lag(t) OVER w, 1e-6) AS v FROM det WINDOW w AS (PARTITION BY frag_id ORDER BY idx)),
+step AS (SELECT frag_id, max(n) AS n, greatest(coalesce(median(d) FILTER (WHERE d > 1e-6), 0.04), 0.04) AS s, coalesce(max(v) FILTER (WHERE rn = 2), 0.0) AS v_start, coalesce(max(v) FILTER (WHERE rn = n), 0.0) AS v_end FROM smp GROUP BY frag_id),
+kk AS (SELECT *, CASE WHEN n < 2 THEN n ELSE least(n, greatest(1, CAST(round_even(1 / s, 0) AS BIGINT))) END AS k FROM step),
+w AS (SELECT smp.frag_id, direction, k, t - t1 AS r, x, y, 1e-6 + CASE WHEN k > 1 THEN (rn - smp.n + k - 1) * ((1 - 1e-6) / (k - 1)) ELSE 0 END AS w FROM smp JOIN kk USING (frag_id) WHERE rn > smp.n - k),
+cen AS (SELECT *, sum(w * r) OVER p / sum(w) OVER p AS rm, sum(w * x) OVER p / sum(w) OVER p AS xm, sum(w * y) OVER p / sum(w) OVER p AS ym FROM w WINDOW p AS (PARTITION BY frag_id)),
+raw AS (SELECT frag_id, max(direction) AS direction, max(k) AS k, max(rm) AS rm, max(xm) AS xm, max(ym) AS ym, CASE WHEN sum(w * (r - rm)^2) > 1e-12 THEN sum(w * (r - rm) * (x - xm)) / sum(w * (r - rm)^2) ELSE 0 END AS sx, CASE WHEN sum(w * (r - rm)^2) > 1e-12 THEN sum(w * (r - rm) * (y - ym)) / sum(w * (r - rm)^2) ELSE 0 END AS sy FROM cen GROUP BY frag_id),
+fit AS (SELECT frag_id, CASE WHEN k < 3 OR sx * direction < 0 THEN 0 ELSE sx END AS sx, CASE WHEN k < 3 OR sx * direction < 0 THEN xm ELSE xm - sx * rm END AS ix, CASE WHEN k < 3 THEN 0 ELSE sy END AS sy, CASE WHEN k < 3 THEN ym ELSE ym - sy * rm END AS iy FROM raw),
+res AS (SELECT p.a_id AS a_frag_id, p.b_id AS b_frag_id, abs(ix + sx * gap - p.b_start_x) AS projection_x, abs(iy + sy * gap - p.b_start_y) AS projection_y, abs(va.v_end - vb.v_start) AS velocity,
+  greatest(0, abs(vb.v_start - va.v_end) / greatest(gap, 0.04) - 15) AS acceleration, greatest(0, abs(p.b_start_y - p.a_end_y) - 6) AS lane, abs(a.mean_length - b.mean_length) + abs(a.mean_width - b.mean_width) AS dimension
+  FROM pairs p JOIN frag a ON a.frag_id = p.a_id JOIN frag b ON b.frag_id = p.b_id JOIN fit ON fit.frag_id = p.a_id JOIN kk va ON va.frag_id = p.a_id JOIN kk vb ON vb.frag_id = p.b_id)"""
+
+
+@query(f"WITH {PHYSICS} SELECT a_frag_id, b_frag_id, " + ", ".join(f"round({c}, 5) AS {c}" for c in costs.RESIDUALS) + ", round(ln(1 + projection_x) + ln(1 + projection_y) + 0.75 * ln(1 + velocity) + 1.25 * sqrt(acceleration) + 0.5 * lane + 0.4 * ln(1 + dimension), 5) AS cost FROM res")
 def physics_cost(spark, d):
-    p = costs.with_profiles(_pairs(spark, d), costs.end_profile(fragments(detections(spark, d))))
-    return costs.physics_cost(costs.physics_residuals(p, WIN)).select("a_frag_id", "b_frag_id", *(r6(c).alias(c) for c in costs.RESIDUALS), r6("cost").alias("cost"))
+    p = costs.physics_residuals(_pairs(spark, d), costs.physics_profile(fragments(detections(spark, d))), WIN)
+    return costs.physics_cost(p, WIN).select("a_frag_id", "b_frag_id", *(F.round(c, 5).alias(c) for c in (*costs.RESIDUALS, "cost")))
 
 
-@query()
+@query(f"WITH {STITCH}, d AS (SELECT a_id, b_id, sqrt((b_start_x - a_end_x)^2 + (b_start_y - a_end_y)^2) AS distance FROM pairs) SELECT a_id AS a_frag_id, b_id AS b_frag_id, round(CASE WHEN distance > 3 THEN distance ELSE cost END, 4) AS cost FROM d JOIN stitched USING (a_id, b_id)")
+def cost_by_name(spark, d):
+    """A gate on the distance and the stitch cost as rank, both picked by name."""
+    cost = costs.pair_cost("gate_rank", WIN, gate=costs.pair_cost("distance", WIN), rank=costs.pair_cost("bhattacharyya", WIN))
+    return cost(_pairs(spark, d), fragments(detections(spark, d))).select("a_frag_id", "b_frag_id", F.round("cost", 4).alias("cost"))
+
+
+@query(f"WITH {LINES} SELECT a_id AS a_frag_id, b_id AS b_frag_id, CAST(least(10, count(e.t)) AS INTEGER) AS n, count(e.t) > 0 AS valid FROM pairs JOIN frag a ON a.frag_id = a_id LEFT JOIN ends e ON e.frag_id = b_id AND e.side = 'head' AND e.t - a.last_t BETWEEN 0 AND {WIN} GROUP BY a_id, b_id")
 def displacement_targets(spark, d):
     p = costs.with_profiles(_pairs(spark, d), costs.end_profile(fragments(detections(spark, d))))
     return costs.displacement_targets(p, WIN).select("a_frag_id", "b_frag_id", F.size("targets").alias("n"), "valid")
 
 
-@query()
+FEATURES = f"""{LINES}, {CURVES}, {VELOCITIES}, curved AS (SELECT frag_id, avg(k) AS cm, stddev_pop(k) AS cs FROM k GROUP BY frag_id),
+act AS (SELECT frag_id, coalesce(avg(vx) FILTER (WHERE rn <= 25), 0.0) AS ax, coalesce(avg(vy) FILTER (WHERE rn <= 25), 0.0) AS ay FROM (SELECT frag_id, rn, (lead(x) OVER w - x) / (lead(t) OVER w - t + 1e-6) AS vx, (lead(y) OVER w - y) / (lead(t) OVER w - t + 1e-6) AS vy FROM smp WINDOW w AS (PARTITION BY frag_id ORDER BY rn)) GROUP BY frag_id),
+ff AS (SELECT det.frag_id, count(*) AS n, min(t) AS t0, max(t) AS t1, arg_min(x, det.idx) AS x0, arg_max(x, det.idx) AS x1, avg(y) AS ym, stddev_pop(y) AS ys, avg(velocity) AS vm, arg_min(velocity, det.idx) AS v0, arg_max(velocity, det.idx) AS v1, avg(length) AS lm, avg(width) AS wm, avg(conf) AS cm, min(conf) AS cn FROM det JOIN velocities v ON v.frag_id = det.frag_id AND v.idx = det.idx GROUP BY det.frag_id),
+proj AS (SELECT a_id, b_id, f.xm + f.sx * (e.t - a.last_t - f.rm) AS px, f.ym + f.sy * (e.t - a.last_t - f.rm) AS py, e.x, e.y FROM pairs JOIN frag a ON a.frag_id = a_id JOIN fit f ON f.frag_id = a_id AND f.side = 'tail' JOIN ends e ON e.frag_id = b_id AND e.side = 'head'),
+pr AS (SELECT a_id, b_id, avg(x - px) AS exm, stddev_pop(x - px) AS exs, max(abs(x - px)) AS exx, avg(y - py) AS eym, stddev_pop(y - py) AS eys, max(abs(y - py)) AS eyx, avg(px) AS mpx, avg(py) AS mpy, avg(x) AS mx, avg(y) AS my_, var_pop(px) + 1e-6 AS vpx, var_pop(py) + 1e-6 AS vpy, var_pop(x) + 1e-6 AS vx, var_pop(y) + 1e-6 AS vy FROM proj GROUP BY a_id, b_id),
+bd AS (SELECT *, (mpx - mx)^2 / (4 * (vpx + vx)) + 0.5 * ln((vpx + vx) / 2 / sqrt(vpx * vx)) + (mpy - my_)^2 / (4 * (vpy + vy)) + 0.5 * ln((vpy + vy) / 2 / sqrt(vpy * vy)) AS bd FROM pr)"""
+FEATURE_SQL = {
+    "time_gap": "b.t0 - a.t1", "duration_a": "a.t1 - a.t0", "duration_b": "b.t1 - b.t0", "duration_ratio": "(a.t1 - a.t0) / (b.t1 - b.t0 + 1e-6)", "spatial_gap": "CASE WHEN dir = 1 THEN b.x0 - a.x1 ELSE a.x1 - b.x0 END",
+    "y_mean_a": "a.ym", "y_mean_b": "b.ym", "y_diff": "abs(b.ym - a.ym)", "y_std_a": "a.ys", "y_std_b": "b.ys", "vel_a_mean": "a.vm", "vel_b_mean": "b.vm", "vel_diff": "abs(a.v1 - b.v0)", "vel_ratio": "a.v1 / (b.v0 + 1e-6)",
+    "length_a": "a.lm", "length_b": "b.lm", "length_diff": "abs(a.lm - b.lm)", "width_a": "a.wm", "width_b": "b.wm", "width_diff": "abs(a.wm - b.wm)", "height_a": "0.0::DOUBLE", "height_b": "0.0::DOUBLE", "height_diff": "0.0::DOUBLE",
+    "conf_a_mean": "a.cm", "conf_b_mean": "b.cm", "conf_a_min": "a.cn", "conf_b_min": "b.cn", "direction_match": "1.0::DOUBLE",
+    "projection_error_x_mean": "exm", "projection_error_x_std": "exs", "projection_error_x_max": "exx", "projection_error_y_mean": "eym", "projection_error_y_std": "eys", "projection_error_y_max": "eyx",
+    "bhattacharyya_distance": "bd", "bhattacharyya_coeff": "CASE WHEN bd < 100 THEN exp(-bd) ELSE 0 END", "velocity_fit_x": "f.sx", "velocity_fit_y": "f.sy", "velocity_actual_x_mean": "act.ax", "velocity_actual_y_mean": "act.ay",
+    "velocity_mismatch_x": "CASE WHEN b.n > 1 THEN abs(f.sx - act.ax) ELSE 0 END", "velocity_mismatch_y": "CASE WHEN b.n > 1 THEN abs(f.sy - act.ay) ELSE 0 END",
+    "curvature_a_mean": "ca.cm", "curvature_a_std": "ca.cs", "curvature_b_mean": "cb.cm", "curvature_b_std": "cb.cs", "curvature_diff": "abs(ca.cm - cb.cm)",
+}
+
+
+@query(f"WITH {FEATURES} SELECT a_id AS a_frag_id, b_id AS b_frag_id, " + ", ".join(f"CAST(round({'ln(1 + bd)' if n == 'bhattacharyya_distance' else e}, {3 if n == 'vel_ratio' else 6}) AS DOUBLE) AS {n}" for n, e in FEATURE_SQL.items()) + " FROM pairs JOIN ff a ON a.frag_id = a_id JOIN ff b ON b.frag_id = b_id JOIN bd USING (a_id, b_id) JOIN fit f ON f.frag_id = a_id AND f.side = 'tail' JOIN act ON act.frag_id = b_id JOIN curved ca ON ca.frag_id = a_id JOIN curved cb ON cb.frag_id = b_id")
 def pair_features(spark, d):
     from ..operators.features import fragment_features
     from ..operators.features import pair_features as features
 
-    det = prepare.with_velocity(detections(spark, d))
-    p = features(_pairs(spark, d), fragment_features(det))
-    return p.select("a_frag_id", "b_frag_id", *(r6(c).alias(c) for c in p.columns[2:]))
+    p = features(_pairs(spark, d), fragment_features(prepare.with_velocity(detections(spark, d))))
+    p = p.withColumn("bhattacharyya_distance", F.log1p("bhattacharyya_distance"))  # up to 1e12 where variances are 1e-6
+    return p.select("a_frag_id", "b_frag_id", *(F.round(c, 3 if c == "vel_ratio" else 6).alias(c) for c in p.columns[2:]))
 
 
 def _links(spark, d):
@@ -511,10 +576,11 @@ def track_coverage(spark, d):
     return mot.track_coverage(g, mot.clear_matches(mot.iou_pairs(g, t))).withColumn("ratio", r6("ratio"))
 
 
-@query()
+@query(f"""WITH {ENDPOINTS_SQL}, {VELOCITIES}, b AS (SELECT *, CAST(trunc(first_t) AS INTEGER) AS bt, CAST(trunc(start_x / 10) AS INTEGER) AS bx FROM frag),
+h AS (SELECT a.frag_id AS a_frag_id, b.frag_id AS b_frag_id, {HARDNESS} AS hardness FROM b a JOIN b ON a.direction = b.direction AND b.bt BETWEEN a.bt AND a.bt + 3 AND b.bx BETWEEN a.bx - 3 AND a.bx + 3 AND a.frag_id <> b.frag_id AND a.gt_id <> b.gt_id AND b.first_t > a.last_t AND b.first_t - a.last_t <= 5 JOIN mv va ON va.frag_id = a.frag_id JOIN mv vb ON vb.frag_id = b.frag_id)
+SELECT a_frag_id, b_frag_id, round(hardness, 6) AS hardness FROM h WHERE hardness >= 0.5 ORDER BY round(hardness, 9) DESC, a_frag_id, b_frag_id LIMIT 500""")
 def hard_negatives(spark, d):
-    e = endpoints(detections(spark, d)).withColumn("velocity", F.lit(0.0))
-    return datasets.hard_negatives(e, 500, 1.0, 10.0, 5.0).select("a_frag_id", "b_frag_id", r6("hardness").alias("hardness"))
+    return datasets.hard_negatives(_with_velocity(spark, d), 500, 1.0, 10.0, 5.0).select("a_frag_id", "b_frag_id", r6("hardness").alias("hardness"))
 
 
 @query()

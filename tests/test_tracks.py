@@ -22,18 +22,109 @@ PAIR = [("a", 1, [0, 0.04, 0.08, 0.12, 0.16], [100, 102, 104, 106, 108], [20, 20
 def test_pair_features(spark):
     pairs = spark.createDataFrame([("a", "b")], "a_frag_id string, b_frag_id string")
     row = pair_features(pairs, fragment_features(detections(spark, PAIR))).first()
-    want = {"time_gap": 0.04, "spatial_gap": 2.0, "duration_a": 0.16, "duration_b": 0.08, "y_diff": 0.4, "vel_diff": 0, "length_diff": 0, "conf_a_min": 0.95, "direction_match": 1, "height_a": 0}
+    slope, at = np.polyfit(PAIR[0][2], PAIR[0][4], 1, w=np.sqrt(np.linspace(1e-6, 1, 5)))
+    off = np.array([20 - (slope * u + at) for u in PAIR[1][2]])
+    want = {
+        "time_gap": 0.04, "spatial_gap": 2.0, "duration_a": 0.16, "duration_b": 0.08, "duration_ratio": 2, "y_diff": 0.4, "y_mean_a": 20.4, "y_mean_b": 20, "y_std_a": np.std([20, 20.5, 21, 20.5, 20]), "y_std_b": 0,
+        "vel_a_mean": 50, "vel_diff": 0, "vel_ratio": 1, "length_a": 4.5, "length_diff": 0, "width_b": 2, "conf_a_min": 0.95, "conf_b_mean": 0.95, "direction_match": 1, "height_a": 0,
+        "projection_error_x_mean": 0, "projection_error_x_max": 0, "projection_error_y_mean": off.mean(), "projection_error_y_std": off.std(), "projection_error_y_max": abs(off).max(),
+        "velocity_fit_x": 50, "velocity_fit_y": slope, "velocity_actual_x_mean": 2 / (0.04 + 1e-6), "velocity_actual_y_mean": 0, "velocity_mismatch_x": 50 - 2 / (0.04 + 1e-6), "velocity_mismatch_y": abs(slope), "curvature_b_mean": 0,
+    }
     for name, value in want.items():
-        assert row[name] == pytest.approx(value, abs=1e-6), name
-    assert len(BASIC) == 28 and len(BASIC + ADVANCED) == 47 and len(row) == 49
-    assert row["projection_error_x_max"] == pytest.approx(0, abs=1e-6)
-
-
-def test_stitch_cost_window(spark):
-    f = prepare.with_endpoints(prepare.to_fragments(detections(spark, PAIR).drop("velocity"))).withColumns({"gt_id": F.lit(1), "scenario": F.lit(0)})
+        assert row[name] == pytest.approx(value, abs=1e-4, rel=1e-5), name
+    assert tuple(row.asDict())[2:] == BASIC + ADVANCED and len(BASIC) == 28 and len(ADVANCED) == 19
+
+
+def fragments(spark, tracks):
+    return prepare.with_endpoints(prepare.to_fragments(detections(spark, tracks).drop("velocity"))).withColumns({"gt_id": F.lit(1), "scenario": F.lit(0)})
+
+
+def test_stitch_cost_against_loops(spark):
+    """The mean distance of each sample from the longer track's line, forward and backward, and the window."""
+    tracks = [*PAIR, ("c", 1, [0.3, 0.4], [120, 117], [21, 22]), ("d", 1, [1.0, 1.1, 1.3, 1.5], [160, 158, 157, 150], [20, 20, 21, 22])]
+    pairs = [("a", "b"), ("b", "a"), ("b", "c"), ("c", "d"), ("a", "d")]
+    f = fragments(spark, tracks)
+    df = spark.createDataFrame(pairs, "a_frag_id string, b_frag_id string")
+    got = {(r.a_frag_id, r.b_frag_id): r.cost for r in costs.stitch_cost(costs.with_profiles(df, costs.end_profile(f)), 15.0).collect()}
+    held = {n: (np.array(t, float), np.array(x, float), np.array(y, float)) for n, _, t, x, y in tracks}
+
+    def line(t, v, w):
+        (slope, at) = np.linalg.lstsq(np.stack([t, np.ones_like(t)], 1) * np.sqrt(w)[:, None], v * np.sqrt(w), rcond=None)[0]
+        return slope, at
+
+    def cost(a, b):
+        (ta, xa, ya), (tb, xb, yb) = held[a], held[b]
+        if tb[0] < ta[-1]:
+            return 1e6
+        ahead = len(ta) >= len(tb)
+        (t, x, y), (mt, mx, my) = (held[a], held[b]) if ahead else (held[b], held[a])
+        w = np.linspace(1e-6, 1, len(t)) if ahead else np.linspace(1, 1e-6, len(t))
+        (sx, ix), (sy, iy) = line(t, x, w), line(t, y, w)
+        dt = (mt - ta[-1]) if ahead else (tb[0] - mt)
+        wide_x, wide_y = 0.2 + 0.1 * dt * abs(sx), 2.0 + 0.1 * dt * abs(sy)
+        if sx < 0:
+            sx, ix = 0, (w * x).sum() / w.sum()
+        total = 0
+        for k in range(len(mt)):
+            for diff, v1, v2 in ((sx * mt[k] + ix - mx[k], wide_x[k] ** 2, wide_x[0] ** 2), (sy * mt[k] + iy - my[k], wide_y[k] ** 2, max(np.var(my), 4.0))):
+                v = (v1 + v2) / 2
+                total += diff**2 / (8 * v) + 0.5 * np.log(v / np.sqrt(v1 * v2))
+        return total / len(mt) + 0.1 * (tb[0] - ta[-1])
+
+    for pair in pairs:
+        assert got[pair] == pytest.approx(cost(*pair), rel=1e-6), pair
+
+
+def test_pair_cost_by_name(spark):
+    f = fragments(spark, PAIR)
     pairs = spark.createDataFrame([("a", "b"), ("b", "a")], "a_frag_id string, b_frag_id string")
-    got = {r.a_frag_id: r.cost for r in costs.stitch_cost(costs.with_profiles(pairs, costs.end_profile(f)), 15.0).collect()}
-    assert got["b"] is None and math.isfinite(got["a"])
+    of = lambda cost: {r.a_frag_id: r.cost for r in cost(pairs, f).collect()}
+    assert of(costs.pair_cost("distance")) == {"a": pytest.approx(2.0), "b": 1e6}
+    assert of(costs.pair_cost("physics_only"))["b"] == 1e6
+    own = lambda p, f: p.withColumns({"gap": F.lit(0.0), "cost": F.lit(7.0)})
+    assert of(costs.pair_cost("gate_rank", gate=costs.pair_cost("distance"), rank=own)) == {"a": 7.0, "b": 1e6}
+    scores = spark.createDataFrame([("a", "b", 0.5)], "a_frag_id string, b_frag_id string, score double")
+    assert of(costs.pair_cost("score", scores=scores, scale=4.0)) == {"a": pytest.approx(2.0 + 0.004), "b": 1e6}
+    with pytest.raises(ValueError, match="no pair cost named"):
+        costs.pair_cost("nothing")
+
+
+def physics(spark, tracks, **options):
+    pairs = spark.createDataFrame([("a", "b")], "a_frag_id string, b_frag_id string")
+    profiles = costs.physics_profile(fragments(spark, tracks), **options)
+    return costs.physics_residuals(pairs, profiles, 15.0), profiles
+
+
+def test_physics_residuals(spark):
+    good = [("a", 1, [0, 0.04, 0.08, 0.12], [0, 1, 2, 3], [4, 4, 4.1, 4.1]), ("b", 1, [0.16, 0.20, 0.24], [4, 5, 6], [4.1, 4.1, 4.2])]
+    p, _ = physics(spark, good)
+    row = costs.physics_cost(p, 15.0).first()
+    assert all(row[n] < 5 for n in costs.RESIDUALS) and row.velocity == pytest.approx(0, abs=1e-9) and math.isfinite(row.cost)
+    far = [("a", 1, [0, 0.04, 0.08], [0, 1, 2], [4, 4, 4]), ("b", 1, [20.0, 20.04], [4, 5], [4, 4])]
+    row = costs.physics_cost(physics(spark, far)[0], 15.0).first()
+    assert [row[n] for n in costs.RESIDUALS] == [1000.0] * 6 and row.cost == 1e6
+    _, short = physics(spark, [("a", 1, [0, 0.1], [5, 6], [2, 2.2]), ("b", 1, [1.0], [0], [0])])
+    a = {r.frag_id: r for r in short.collect()}["a"]
+    assert (a.x_slope, a.y_slope) == (0, 0) and a.x_at == pytest.approx(6, abs=1e-5)
+    _, wrong = physics(spark, [("a", 1, [0, 0.04, 0.08, 0.12, 0.16], [10, 9.8, 9.6, 9.4, 9.2], [0, 0, 0, 0, 0]), ("b", 1, [1.0], [0], [0])])
+    assert {r.frag_id: r.x_slope for r in wrong.collect()}["a"] == 0
+    damped = spark.createDataFrame([(0.5, 1.0, 2.0, 0.0, 3.0, 0.4)], list(costs.RESIDUALS)).select(*costs.damped_residuals()).first()
+    assert tuple(damped) == pytest.approx((math.log(1.5), math.log(2), math.log(3), 0, 3, math.log(1.4)))
+
+
+def test_chains_are_grown_to_their_end(spark):
+    """a takes c before b is looked at, and c takes d at once, so b can't have d."""
+    rows = [("a", "c", 0.0, 0.9), ("b", "d", 1.0, 0.95), ("c", "d", 2.0, 0.8), ("d", "e", 3.0, 0.5), ("b", "e", 1.0, 0.7)]
+    df = spark.createDataFrame([(0, 1, *r) for r in rows], "scenario int, direction int, src string, dst string, src_t double, score double")
+    assert {(r.src, r.dst) for r in graph.greedy_chains(df, 0.5).collect()} == {("a", "c"), ("c", "d"), ("b", "e")}
+
+
+def test_semi_hard_negatives_come_from_one_tier(spark):
+    rows = [("A", 0, 2.0, 1), ("A", 1, 2.1, 0), ("A", 2, 2.5, 0), ("A", 3, 1.0, 0), ("B", 0, 2.0, 1), ("B", 1, 2.0, 0), ("B", 2, 0.5, 0), ("B", 3, 1.5, 0), ("C", 0, 2.0, 1), ("C", 1, 9.0, 0), ("C", 2, 8.0, 0)]
+    df = spark.createDataFrame(rows, "anchor_id string, candidate_id long, cost double, label int")
+    got = sorted((r.anchor_id, r.candidate_id, r.tier) for r in ranking.semi_hard_negatives(df, 0.5, 2).collect())
+    assert [x for x in got if x[0] != "C"] == [("A", 1, 0), ("A", 2, 0), ("B", 2, 1), ("B", 3, 1)]
+    assert len([x for x in got if x[0] == "C" and x[2] == 2]) == 1
 
 
 def test_resample_fixture():
