@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numeric import clip
+from .prefix import percentiles
 
 HISTOGRAM_EDGES = (0.0, 0.5, 1.0, 2.0, 3.0, 5.0, 10.0)
 
@@ -91,11 +91,14 @@ def unpivot(x: DataFrame, ids: Sequence[str], features: Sequence[str]) -> DataFr
 
 
 def feature_audit(x: DataFrame, features: Sequence[str], label: str = "label") -> DataFrame:
-    """Per feature and class: mean, std, min, quartiles, max, share of zeros. One pass over the unpivoted table."""
-    q = F.expr("percentile(value, array(0.25, 0.5, 0.75))")
-    out = unpivot(x, [label], features).groupBy("feature", label).agg(
-        F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), F.min("value").alias("min"), q.alias("q"),
+    """Per feature and class: mean, std, min, quartiles, max, share of zeros."""
+    u = unpivot(x, [label], features)
+    out = u.groupBy("feature", label).agg(
+        F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), F.min("value").alias("min"),
         F.max("value").alias("max"), F.avg((F.col("value") == 0).cast("double")).alias("zero_fraction"))
+    of_class = F.coalesce(F.col(label), F.lit(-1)).alias("_class")
+    q = percentiles(u.select("feature", "value", of_class), "value", (0.25, 0.5, 0.75), ["feature", "_class"])
+    out = out.withColumn("_class", F.coalesce(F.col(label), F.lit(-1))).join(q, ["feature", "_class"], "left")
     return out.select("feature", label, "n", "mean", "std", "min", F.col("q")[0].alias("p25"), F.col("q")[1].alias("p50"), F.col("q")[2].alias("p75"), "max", "zero_fraction")
 
 

@@ -1,8 +1,6 @@
 """Classification metrics, ROC work, thresholds and calibration.
 
-Running sums over a whole table never sit in one task: rows are grouped by
-distinct score, the scores are cut into ranges, ranges are summed, and each
-range's offset is added to the sums inside it.
+Running sums and percentiles over a whole table never sit in one task (``prefix``).
 """
 
 from __future__ import annotations
@@ -13,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .aggregates import unpivot
+from .prefix import percentiles, running_sums
 
 
 def _ratio(a: Column, b: Column) -> Column:
@@ -33,17 +32,7 @@ def classification_metrics(rows: DataFrame, p: str = "p", label: str = "label",
 def cumulative_counts(rows: DataFrame, score: str, label: str = "label", keys: Sequence[str] = (), ranges: int = 64) -> DataFrame:
     """score and, per distinct one (falling): p, n of that score and the sums tp, fp down to it, by two-level prefix sums."""
     per = rows.groupBy(*keys, F.col(score).alias("score")).agg(F.sum(F.col(label)).cast("long").alias("p"), F.sum(1 - F.col(label)).cast("long").alias("n"))
-    if keys:
-        w = Window.partitionBy(*keys).orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-        return per.withColumns({"tp": F.sum("p").over(w), "fp": F.sum("n").over(w)})
-    cuts = per.select(F.percentile_approx("score", F.lit([i / ranges for i in range(1, ranges)]), F.lit(10_000)).alias("q")).select(F.array_distinct("q").alias("q"))
-    placed = per.crossJoin(F.broadcast(cuts)).withColumn("r", F.size(F.filter("q", lambda v: v > F.col("score")))).drop("q")
-    totals = placed.groupBy("r").agg(F.sum("p").alias("tp0"), F.sum("n").alias("fp0"))
-    before = Window.orderBy("r").rowsBetween(Window.unboundedPreceding, -1)  # over at most ``ranges`` rows
-    offsets = totals.select("r", F.coalesce(F.sum("tp0").over(before), F.lit(0)).alias("tp0"), F.coalesce(F.sum("fp0").over(before), F.lit(0)).alias("fp0"))
-    w = Window.partitionBy("r").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    local = placed.withColumns({"tp": F.sum("p").over(w), "fp": F.sum("n").over(w)})
-    return local.join(F.broadcast(offsets), "r").select("score", "p", "n", (F.col("tp") + F.col("tp0")).alias("tp"), (F.col("fp") + F.col("fp0")).alias("fp"))
+    return running_sums(per, keys, "score", {"tp": "p", "fp": "n"}, descending=True, ranges=ranges)
 
 
 def roc_curve(rows: DataFrame, score: str, label: str = "label") -> DataFrame:
@@ -92,7 +81,7 @@ def shortcut_risk(x: DataFrame, features: Sequence[str], label: str = "label") -
 
 def histogram_overlap(x: DataFrame, value: str, label: str = "label", bins: int = 200) -> DataFrame:
     """Shared mass of the two classes' histograms between percentiles 0.5 and 99.5 (1 for a constant), and the absolute Cohen's d (0 without spread)."""
-    q = x.agg(F.expr(f"percentile({value}, array(0.005, 0.995))").alias("q")).select(F.col("q")[0].alias("lo"), F.col("q")[1].alias("hi"))
+    q = percentiles(x, value, (0.005, 0.995)).select(F.col("q")[0].alias("lo"), F.col("q")[1].alias("hi"))
     inside = x.crossJoin(F.broadcast(q)).filter((F.col(value) >= F.col("lo")) & (F.col(value) <= F.col("hi")))
     b = F.least(F.floor((F.col(value) - F.col("lo")) / F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0)) * bins), F.lit(bins - 1))
     h = inside.groupBy(b.alias("b")).agg(F.sum(F.col(label)).alias("p"), F.sum(1 - F.col(label)).alias("n"))
@@ -149,8 +138,9 @@ def weighted_threshold(reports: DataFrame) -> DataFrame:
 
 def separation_report(pairs: DataFrame) -> DataFrame:
     """Per class: min, p5, p25, median, p75, p95, max of the cost."""
-    q = F.expr("percentile(cost, array(0.05, 0.25, 0.5, 0.75, 0.95))").alias("q")
-    g = pairs.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.min("cost").alias("min"), q, F.max("cost").alias("max"))
+    g = pairs.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.min("cost").alias("min"), F.max("cost").alias("max"))
+    q = percentiles(pairs.withColumn("_class", F.coalesce("label", F.lit(-1))), "cost", (0.05, 0.25, 0.5, 0.75, 0.95), ["_class"])
+    g = g.withColumn("_class", F.coalesce("label", F.lit(-1))).join(q, "_class", "left")
     return g.select("label", "n", "min", *(F.col("q")[i].alias(n) for i, n in enumerate(("p5", "p25", "p50", "p75", "p95"))), "max")
 
 
@@ -176,8 +166,8 @@ def agreement_grid(pairs: DataFrame, scales: Sequence[float], penalties: Sequenc
 def quantile_calibration(rows: DataFrame, source: str, target: str, points: int = 101) -> DataFrame:
     """Knots that match the quantiles of two columns; targets outside [0, 10] don't count."""
     good = rows.filter(F.col(target).between(0, 10) & F.col(source).isNotNull() & ~F.isnan(source))
-    probs = ", ".join(str(i / (points - 1)) for i in range(points))
-    q = good.agg(F.expr(f"percentile({source}, array({probs}))").alias("x"), F.expr(f"percentile({target}, array({probs}))").alias("y"))
+    probs = [i / (points - 1) for i in range(points)]
+    q = percentiles(good, source, probs, name="x").crossJoin(F.broadcast(percentiles(good, target, probs, name="y")))
     return q.select(F.posexplode(F.arrays_zip("x", "y")).alias("i", "k")).select("i", "k.x", "k.y")
 
 

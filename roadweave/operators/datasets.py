@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.numeric import mean, unit_hash
 from .costs import hardness_score
 from .joins import binned_neighbors
+from .prefix import percentiles
 
 # Corridor centres, camera boundaries (ft).
 CENTRES = (225.0, 625.0, 1125.0, 1625.0)
@@ -204,7 +205,7 @@ def gap_stratified(pairs: DataFrame, total: int, edges: Sequence[float] = (5.0,
 
 def hardness_buckets(rows: DataFrame, difficulty: str = "difficulty", wrong: str = "misclassified", label: str = "label", hard: float = 0.25, medium: float = 0.60) -> DataFrame:
     """hard: the class's most difficult quarter and what the model got wrong; medium: up to 60 %; easy: the rest."""
-    q = rows.groupBy(label).agg(F.expr(f"percentile({difficulty}, array({1 - medium}, {1 - hard}))").alias("q"))
+    q = percentiles(rows, difficulty, (1 - medium, 1 - hard), [label])
     d = F.col(difficulty)
     kind = F.when(F.col(wrong) | (d >= F.col("q")[1]), "hard").when(d >= F.col("q")[0], "medium").otherwise("easy")
     return rows.join(F.broadcast(q), label).withColumn("bucket", kind).drop("q")
@@ -212,9 +213,9 @@ def hardness_buckets(rows: DataFrame, difficulty: str = "difficulty", wrong: str
 
 def stratification_key(rows: DataFrame, features: Sequence[str], bins: int = 8) -> DataFrame:
     """Quantile bins of the features joined by '|'."""
-    probs = ", ".join(str(i / bins) for i in range(1, bins))
-    q = rows.agg(*(F.expr(f"percentile({c}, array({probs}))").alias(f"_q_{c}") for c in features))
-    met = rows.crossJoin(F.broadcast(q))
+    met = rows
+    for c in features:
+        met = met.crossJoin(F.broadcast(percentiles(rows, c, [i / bins for i in range(1, bins)], name=f"_q_{c}")))
 
     def bin_of(c: str) -> Column:
         return F.size(F.filter(f"_q_{c}", lambda v: v < F.col(c))).cast("string")

@@ -108,13 +108,6 @@ def align_overlap(pairs: DataFrame, d: DataFrame, dt: float) -> DataFrame:
     return side("a").join(side("b"), ["a_frag_id", "b_frag_id", "slot"])
 
 
-def frame_join(gt: DataFrame, tracker: DataFrame, keys: Sequence[str] = ("scenario", "direction", "frame")) -> DataFrame:
-    """Ground truth and tracker boxes of each frame side by side, unmatched frames kept."""
-    g = gt.select(*keys, *(F.col(c).alias(f"g_{c}") for c in ("id", "x", "y", "length", "width")))
-    t = tracker.select(*keys, *(F.col(c).alias(f"t_{c}") for c in ("id", "x", "y", "length", "width")))
-    return g.join(t, list(keys), "full")
-
-
 def binned_neighbors(ends: DataFrame, dt: float, dx: float, radius_t: tuple[int, int], radius_x: int) -> DataFrame:
     """Pairs in neighbouring space-time bins, same direction; bins truncate toward zero. One side is exploded."""
     binned = ends.select("frag_id", "direction", "gt_id", "first_t", "last_t", "start_x", "end_x", (F.col("first_t") / dt).cast("int").alias("bt"), (F.col("start_x") / dx).cast("int").alias("bx"))

@@ -236,7 +236,12 @@ def choose_threshold(spark, d):
     return a.select("strategy", r6(F.col("tpr") - F.col("fpr")).alias("best")).union(b.select("strategy", r6("tpr").alias("best")))
 
 
-@query()
+_BEST = "SELECT '{0}' AS strategy, arg_max(threshold, (({2})::INT, round(CASE WHEN {2} THEN {1} ELSE precision END, 9), threshold)) AS threshold FROM roc"
+_F = "coalesce((1 + {0}) * precision * tpr / nullif({0} * precision + tpr, 0), 0.0)"
+_CHOICES = [("youden", "tpr - fpr", "true"), ("fpr_ceiling", "tpr", "fpr <= 0.05"), ("fpr_ceiling", "tpr", "fpr <= 0.2"), ("precision_floor", "tpr", "precision >= 0.9"), ("f_beta", _F.format(0.1**2), "true"), ("f_beta", _F.format(0.5**2), "true")]
+
+
+@query(f"WITH {CURVE}, c AS ({' UNION ALL '.join(_BEST.format(*x) for x in _CHOICES)}) SELECT round(threshold, 6) AS threshold, array_to_string(list_sort(list_distinct(list(strategy))), ',') AS strategies FROM c GROUP BY threshold")
 def threshold_candidates(spark, d):
     roc = calibrate.roc_curve(scores(spark, d), "p")
     values = [("youden", None), ("fpr_ceiling", 0.05), ("fpr_ceiling", 0.2), ("precision_floor", 0.9), ("f_beta", 0.1), ("f_beta", 0.5)]
@@ -404,13 +409,13 @@ def stratification_key(spark, d):
     return datasets.stratification_key(scores(spark, d), ("p", "rest")).select("doc_id", "strat_key")
 
 
-@query()
+@query(f"WITH {STRAT}, u AS (SELECT *, count(*) OVER (PARTITION BY strat_key) AS n, {UNIT_HASH_SQL.format('doc_id', 0)} AS u FROM k), l AS (SELECT *, row_number() OVER (PARTITION BY strat_key ORDER BY u, doc_id) = 1 AS lead FROM u) SELECT doc_id, strat_key FROM l ORDER BY lead DESC, CASE WHEN lead THEN n ELSE -ln(greatest(u, 1e-12)) * sqrt(n) END, doc_id LIMIT 100")
 def diverse_sample(spark, d):
     s = datasets.stratification_key(scores(spark, d), ("p", "rest"))
     return datasets.diverse_sample(s, 100, "doc_id").select("doc_id", "strat_key")
 
 
-@query()
+@query(f"WITH {SCORES}, x AS (SELECT * FROM scores WHERE rest >= 10), q AS (SELECT label, quantile_cont(p, 0.4) AS a, quantile_cont(p, 0.75) AS b FROM x GROUP BY label), h AS (SELECT doc_id, label, CASE WHEN p >= b THEN 24 WHEN p >= a THEN 12 ELSE 4 END AS quota, {UNIT_HASH_SQL.format('doc_id', 0)} AS u FROM x JOIN q USING (label)), r AS (SELECT *, row_number() OVER (PARTITION BY label, quota ORDER BY u, doc_id) AS rn FROM h) SELECT doc_id, label, 'base' AS source_tag FROM scores WHERE rest < 10 UNION ALL SELECT doc_id, label, 'extra' FROM r WHERE rn <= quota")
 def balanced_build(spark, d):
     s = scores(spark, d).withColumns({"difficulty": F.col("p"), "misclassified": F.lit(False)})
     base = scores(spark, d).filter("rest < 10").select("doc_id", "label")

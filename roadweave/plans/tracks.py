@@ -11,6 +11,7 @@ from ..adapters import DETECTIONS_SQL, ENDPOINTS_SQL, detections, endpoints, fra
 from ..functions.numeric import UNIT_HASH_SQL, total
 from ..operators import aggregates, costs, datasets, joins, mot, prepare, ranking, smooth
 from ..operators.graph import connected_components, extract_paths, greedy_chains, path_cover, verify_paths
+from ..operators.prefix import percentiles
 from ..sources import io
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -46,7 +47,8 @@ def _pairs(spark, d):
 @query(f"WITH {PAIRS}, c AS (SELECT CASE WHEN a_gt = b_gt THEN 1 ELSE 0 END AS label, gap, sqrt((b_start_x - a_end_x)^2 + (b_start_y - a_end_y)^2) AS cost FROM pairs) SELECT label, count(*) AS n, round(avg(gap), 6) AS gap, round(avg(cost), 6) AS cost, round(quantile_cont(cost, 0.5), 6) AS median_cost FROM c GROUP BY label")
 def candidate_cost_by_label(spark, d):
     p = costs.stitch_cost_simple(_pairs(spark, d)).withColumn("label", (F.col("a_gt_id") == F.col("b_gt_id")).cast("int"))
-    return p.groupBy("label").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("gap")).alias("gap"), r6(F.avg("cost")).alias("cost"), r6(F.expr("percentile(cost, 0.5)")).alias("median_cost"))
+    middle = percentiles(p, "cost", (0.5,), ["label"])
+    return p.groupBy("label").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("gap")).alias("gap"), r6(F.avg("cost")).alias("cost")).join(middle, "label").select("label", "n", "gap", "cost", r6(F.col("q")[0]).alias("median_cost"))
 
 
 @query(f"WITH {PAIRS} SELECT a_id AS a_frag_id, b_id AS b_frag_id, round(gap, 6) AS gap FROM pairs")
@@ -595,17 +597,17 @@ def correlated_noise(spark, d):
     return datasets.correlated_noise(f).select("frag_id", F.size("x").alias("n"), r6(total(F.col("y"))).alias("sy"))
 
 
-@query()
+@query(f"WITH {DETECTIONS_SQL}, u AS (SELECT frag_id, idx, {UNIT_HASH_SQL.format('frag_id, idx', 0)} AS u, count(*) OVER w AS n, max(idx) OVER w AS last FROM det WINDOW w AS (PARTITION BY frag_id)), r AS (SELECT *, row_number() OVER (PARTITION BY frag_id ORDER BY CASE WHEN idx > 0 AND idx < last THEN u ELSE 2.0 END, idx) AS rank FROM u) SELECT frag_id, count(*) AS n FROM r WHERE NOT (idx > 0 AND idx < last AND u < 0.3 AND rank <= n - 2) GROUP BY frag_id")
 def point_dropout(spark, d):
     return datasets.point_dropout(detections(spark, d), 0.3, 2).groupBy("frag_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+@query(f"WITH {ENDPOINTS_SQL}, p AS (SELECT a.frag_id AS a_frag_id, b.frag_id AS b_frag_id, b.first_t - a.last_t AS gap FROM frag a JOIN frag b ON a.direction = b.direction AND b.first_t >= a.last_t AND b.first_t <= a.last_t + 4 AND a.frag_id <> b.frag_id AND a.gt_id <> b.gt_id) SELECT a_frag_id, b_frag_id, round(gap, 6) AS gap FROM p ORDER BY {UNIT_HASH_SQL.format('a_frag_id, b_frag_id', 0)}, a_frag_id, b_frag_id LIMIT 200")
 def random_negatives(spark, d):
     return joins.random_negatives(endpoints(detections(spark, d)), 200, 2.0).withColumn("gap", r6("gap"))
 
 
-@query()
+@query(f"WITH {ENDPOINTS_SQL}, m AS (SELECT frag_id, first_t, last_t, i AS mask_idx, 0.5 + 1.5 * {UNIT_HASH_SQL.format('frag_id, i', 0)} AS len, {UNIT_HASH_SQL.format('frag_id, i', 1)} AS v FROM frag, (VALUES (0), (1)) x(i)) SELECT frag_id, mask_idx, round(first_t + greatest(0.0, last_t - first_t - len) * v, 6) AS mask_start, round(first_t + greatest(0.0, last_t - first_t - len) * v + len, 6) AS mask_end FROM m")
 def random_masks(spark, d):
     m = datasets.random_masks(endpoints(detections(spark, d)), 2, 0.5, 2.0)
     return m.select("frag_id", "mask_idx", r6("mask_start").alias("mask_start"), r6("mask_end").alias("mask_end"))
