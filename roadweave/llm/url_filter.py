@@ -12,7 +12,7 @@ judged by its terms; an empty table gives an empty result; repeated rows are jud
 one; other columns of the input are carried along unless they are called
 host, path, rule, strict_hits, soft_hits or verdict, which are replaced.
 
-Terms and rules are parameters.  They are shipped to tasks in the closure, so
+Terms and rules are parameters; ``read_vocabulary`` takes terms from a file.  They are shipped to tasks in the closure, so
 their size is that of the lists the caller passes, never that of the data.
 """
 
@@ -73,6 +73,20 @@ def _best_rule(host: str, path: str, by_host: dict[str, list[tuple[str, str]]])
     return best
 
 
+def read_vocabulary(spark: SparkSession, path: str, most: int = 1_000_000) -> tuple[list[str], list[str]]:
+    """(strict, soft) terms of a text file with a weight and a term on each line, such as ``strict casino`` or ``soft free``.
+
+    Blank lines and lines that begin with # don't count; more than ``most`` terms, and other weights, are errors.
+    """
+    lines = F.trim(F.col("value"))
+    kept = spark.read.text(path).select(lines.alias("line")).filter((F.col("line") != "") & ~F.col("line").startswith("#"))
+    pair = kept.select(F.regexp_extract("line", r"^(strict|soft)\s+(.+)$", 1).alias("weight"), F.regexp_extract("line", r"^(strict|soft)\s+(.+)$", 2).alias("term")).distinct().limit(most + 1)
+    rows = sorted(tuple(r) for r in pair.collect())
+    if len(rows) > most or any(not w for w, _ in rows):
+        raise ValueError(f"{path} has more than {most} terms or lines without a weight")
+    return [t for w, t in rows if w == "strict"], [t for w, t in rows if w == "soft"]
+
+
 def filter_urls(
     pages: DataFrame,
     url: str = "url",
@@ -141,13 +155,13 @@ def oracle_sql() -> str:
     lower = f"translate({{}}, '{UPPER}', '{UPPER.lower()}')"
     return f"""
 WITH parts AS (
-  SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+  SELECT page_id, coalesce(url, '') AS url, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
 hosts AS (
-  SELECT page_id, regexp_extract(rest, '^[^/?#]*') AS raw_host, substr(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1) AS tail FROM parts),
+  SELECT page_id, url, regexp_extract(rest, '^[^/?#]*') AS raw_host, substr(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1) AS tail FROM parts),
 split AS (
-  SELECT page_id, {lower.format('raw_host')} AS host, regexp_extract(tail, '^[^?#]*') AS path FROM hosts),
+  SELECT page_id, url, {lower.format('raw_host')} AS host, regexp_extract(tail, '^[^?#]*') AS path FROM hosts),
 counted AS (
-  SELECT page_id, host, path, {lower.format('host || path')} AS low, CASE {rule} END AS rule FROM split),
+  SELECT page_id, host, path, {lower.format('url')} AS low, CASE {rule} END AS rule FROM split),
 hits AS (
   SELECT page_id, host, path, rule, {' + '.join(map(_term_sql, STRICT_TERMS))} AS strict_hits,
     {' + '.join(map(_term_sql, SOFT_TERMS))} AS soft_hits FROM counted)

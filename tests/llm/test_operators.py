@@ -439,6 +439,20 @@ def test_url_filter(spark):
     assert url_filter.filter_urls(df.limit(0)).count() == 0
 
 
+def test_url_vocabulary_of_a_file(spark, tmp_path):
+    terms = [f"strict bad{i}" for i in range(3000)] + [f"soft meh{i}" for i in range(3000)]
+    (tmp_path / "terms.txt").write_text("# terms\n\n" + "\n".join(terms) + "\nstrict bad1\n")
+    strict, soft = url_filter.read_vocabulary(spark, str(tmp_path / "terms.txt"))
+    assert len(strict) == len(soft) == 3000
+    urls = ["http://a.net/bad2999/", "http://a.net/xbad7", "http://a.net/?q=meh5-meh5", "http://a.net/meh5#meh2998"]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r.page_id: r.verdict for r in url_filter.filter_urls(df, strict=strict, soft=soft, rules=()).collect()}
+    assert got == {0: "block", 1: "allow", 2: "allow", 3: "block"}
+    (tmp_path / "odd.txt").write_text("hard x\n")
+    with pytest.raises(ValueError):
+        url_filter.read_vocabulary(spark, str(tmp_path / "odd.txt"))
+
+
 def test_url_filter_reads_query_fragment_and_bare_urls(spark):
     urls = ["https://x.net/search?q=porn", "https://x.net/#free+loan", "https://x.net/free?x=LOAN", "x.net/casino", "https://x.com/fr/?q=porn", "https://x.net/?q=popcorn", "https://x.net/?q=free"]
     df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
