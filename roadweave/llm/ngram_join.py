@@ -430,7 +430,7 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", wor
     alone = F.col("n") == 0
     named = signatures.select("doc", "n", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     named = materialize(named.select("doc", "n", "label"), "labelled")
-    least_doc = named.filter(~alone).groupBy("label").agg(F.min("doc").alias("component_id"))
+    least_doc = materialize(named.filter(~alone).groupBy("label").agg(F.min("doc").alias("component_id")), "least")  # so that Spark can split a hot label in the join
     linked = named.filter(~alone).join(least_doc, "label").select(F.col("doc").alias(key), F.col("n").cast("bigint").alias("n_shingles"), "component_id")
     return linked.unionByName(named.filter(alone).select(F.col("doc").alias(key), F.lit(0).cast("bigint").alias("n_shingles"), F.col("doc").alias("component_id")))
 

@@ -285,7 +285,7 @@ def repeats(docs: DataFrame, min_bytes: int = MIN_BYTES, bucket_bytes: int = BUC
     anchors = _anchors(docs, min_bytes)
     segs = anchors.select("row", F.explode("segs").alias("g")).select("row", "g.h", "g.s", "g.start", "g.n", "g.twice")
     groups = segs.groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.min("s").alias("lo"), F.max("s").alias("hi"), F.max("twice").alias("twice"))
-    groups = groups.filter("c > 1 OR twice").select("h", F.expr("lo != hi OR c = 1").alias("mixed"))
+    groups = materialize(groups.filter("c > 1 OR twice").select("h", F.expr("lo != hi OR c = 1").alias("mixed")), "groups")  # so that Spark can split a hot anchor in the join
     met = segs.drop("twice").join(groups, "h")
     met = materialize(met, "shared")
     mixed = met.filter("mixed").groupBy("h", "s").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("row", "start", "n")).alias("one"))
