@@ -33,7 +33,7 @@ def running_sums(per: DataFrame, keys: Sequence[str], by: str, sums: dict[str, s
 def percentiles(rows: DataFrame, value: str, probabilities: Sequence[float], keys: Sequence[str] = (), name: str = "q") -> DataFrame:
     """keys and an array of the exact percentiles of ``value``, interpolated between ranks; nulls don't count.
 
-    Keys without a value have no row; without keys and values there is no row at all.
+    Keys without a value have no row; without keys there is one row, null if there is no value.
     """
     keys = list(keys)
     known = rows.select(*keys, F.col(value).cast("double").alias("_v")).filter("_v is not null")
@@ -51,4 +51,4 @@ def percentiles(rows: DataFrame, value: str, probabilities: Sequence[float], key
     hit = met.select(*keys, "_v", "_c", "_upto", "_n", F.explode(here).alias("_p")).withColumn("_at", F.col("_p")[1] * (F.col("_n") - 1))
     ends = hit.groupBy(*keys, F.col("_p")[0].cast("int").alias("_i"), "_at").agg(F.max(F.when(holds(F.floor("_at")), F.col("_v"))).alias("_lo"), F.max(F.when(holds(F.ceil("_at")), F.col("_v"))).alias("_hi"))
     between = F.when(F.ceil("_at") == F.floor("_at"), F.col("_lo")).otherwise((F.ceil("_at") - F.col("_at")) * F.col("_lo") + (F.col("_at") - F.floor("_at")) * F.col("_hi"))
-    return ends.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_i", between.alias("q")))).alias("_s")).select(*keys, F.col("_s").getField("q").alias(name))
+    return ends.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_i", between.alias("q")))).alias("_s")).select(*keys, F.when(F.size("_s") > 0, F.col("_s").getField("q")).alias(name))

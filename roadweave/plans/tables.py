@@ -460,3 +460,34 @@ def coefficient_table(spark, d):
 def influence(spark, d):
     r = rows(spark, d).filter("label is not null").withColumn("key", F.concat_ws("-", "anchor_id", "candidate_id"))
     return models.influence(models.fit_logistic(r, ["cost", "base", "gap"]), r, "key").select("key", r6("leverage").alias("leverage"), r6("cooks").alias("cooks"), "influential")
+
+
+@query(f"WITH {SCORES} SELECT doc_id, CASE WHEN rest > 50 THEN 'p' || doc_id ELSE '' END AS pair_id, 'unknown' AS source_split_tag, scenario, -1 AS mask_idx FROM scores")
+def feature_metadata(spark, d):
+    x = scores(spark, d).select("doc_id", "scenario", F.when(F.col("rest") > 50, F.concat(F.lit("p"), "doc_id")).alias("pair_id"))
+    return io.with_metadata(x).select("doc_id", "pair_id", "source_split_tag", "scenario", "mask_idx")
+
+
+def _labelled(spark, d):
+    return scores(spark, d).withColumn("label", F.col("label").cast("double"))
+
+
+@query()
+def l1_path(spark, d):
+    return models.l1_path(_labelled(spark, d), FEATURES).select(r6("reg").alias("reg"), "feature", r6("coefficient").alias("coefficient"), "selected")
+
+
+@query()
+def recursive_elimination(spark, d):
+    return models.recursive_elimination(_labelled(spark, d), FEATURES, 1)
+
+
+@query()
+def permutation_importance(spark, d):
+    r = _labelled(spark, d)
+    return models.permutation_importance(models.fit_logistic(r, FEATURES), r, FEATURES, "doc_id", 2).select("feature", r6("importance").alias("importance"), r6("std").alias("std"))
+
+
+@query()
+def subset_comparison(spark, d):
+    return models.subset_comparison(_labelled(spark, d), "doc_id", {"all": FEATURES, "sizes": ("n_chars", "rest")}).withColumn("auc", r6("auc"))

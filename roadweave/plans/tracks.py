@@ -74,6 +74,21 @@ def normalize_fragments(spark, d):
     return f.select("frag_id", F.size("t").cast("bigint").alias("n"), r6(total(F.col("t"))).alias("total_t"))
 
 
+@query(f"WITH {ENDPOINTS_SQL} SELECT frag_id, CASE n % 3 WHEN 0 THEN 'v' || gt_id WHEN 1 THEN 's' || gt_id END AS gt_id FROM frag")
+def vehicle_of_fragment(spark, d):
+    e = endpoints(detections(spark, d))
+    ids = F.when(F.col("n") % 3 == 0, F.array(F.array(F.struct(F.concat(F.lit("v"), "gt_id").alias("$oid"))))).when(F.col("n") % 3 == 1, F.array().cast("array<array<struct<`$oid`:string>>>"))
+    f = e.select("frag_id", ids.alias("gt_ids"), F.when(F.col("n") % 3 != 2, F.concat(F.lit("s"), "gt_id")).alias("_source_gt_id"))
+    return prepare.with_gt_id(f).select("frag_id", "gt_id")
+
+
+@query(f"WITH {ENDPOINTS_SQL} SELECT frag_id, CASE WHEN n % 2 = 0 THEN 'c' || n WHEN n % 3 = 0 THEN CAST(gt_id AS VARCHAR) ELSE frag_id END AS fragment_id FROM frag")
+def fragment_id_fallback(spark, d):
+    e = endpoints(detections(spark, d))
+    f = e.select("frag_id", F.when(F.col("n") % 2 == 0, F.concat(F.lit("c"), "n")).alias("calib_id"), F.when(F.col("n") % 3 == 0, F.col("gt_id")).alias("local_fragment_id"))
+    return prepare.with_fragment_id(f, F.col("frag_id")).select("frag_id", "fragment_id")
+
+
 @query(f"WITH {ENDPOINTS_SQL} SELECT frag_id, gt_id, n FROM frag WHERE direction = -1")
 def filter_direction(spark, d):
     return prepare.filter_direction(endpoints(detections(spark, d)), -1).select("frag_id", "gt_id", "n")
@@ -578,6 +593,13 @@ def track_coverage(spark, d):
     return mot.track_coverage(g, mot.clear_matches(mot.iou_pairs(g, t))).withColumn("ratio", r6("ratio"))
 
 
+@query()
+def fragment_rates(spark, d):
+    g, t = _gt_tracker(spark, d)
+    clear = mot.clear_metrics(mot.clear_matches(mot.iou_pairs(g, t)), g, t)
+    return mot.fragment_rates(clear).select("scenario", "direction", "n_trajectories", r6("fragments_per").alias("fragments_per"), r6("switches_per").alias("switches_per"))
+
+
 @query(f"""WITH {ENDPOINTS_SQL}, {VELOCITIES}, b AS (SELECT *, CAST(trunc(first_t) AS INTEGER) AS bt, CAST(trunc(start_x / 10) AS INTEGER) AS bx FROM frag),
 h AS (SELECT a.frag_id AS a_frag_id, b.frag_id AS b_frag_id, {HARDNESS} AS hardness FROM b a JOIN b ON a.direction = b.direction AND b.bt BETWEEN a.bt AND a.bt + 3 AND b.bx BETWEEN a.bx - 3 AND a.bx + 3 AND a.frag_id <> b.frag_id AND a.gt_id <> b.gt_id AND b.first_t > a.last_t AND b.first_t - a.last_t <= 5 JOIN mv va ON va.frag_id = a.frag_id JOIN mv vb ON vb.frag_id = b.frag_id)
 SELECT a_frag_id, b_frag_id, round(hardness, 6) AS hardness FROM h WHERE hardness >= 0.5 ORDER BY round(hardness, 9) DESC, a_frag_id, b_frag_id LIMIT 500""")

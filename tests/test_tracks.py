@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from roadweave.functions.numeric import softplus
 from roadweave.operators import calibrate, costs, datasets, graph, joins, mot, prepare, ranking, smooth
 from roadweave.operators.features import ADVANCED, BASIC, fragment_features, pair_features
+from roadweave.operators.prefix import percentiles, running_sums
 from roadweave.sources import io
 from roadweave.streaming import online
 
@@ -222,6 +223,32 @@ def test_roc_and_calibration(spark):
     assert calibrate.expected_calibration_error(p).first()["ece"] == pytest.approx(0.25)
 
 
+def test_percentiles_and_running_sums_per_key(spark):
+    rng = np.random.default_rng(3)
+    rows = [(k, float(v) if rng.random() > 0.1 else None) for k, n in (("a", 700), ("b", 1), ("c", 90)) for v in rng.integers(0, 60, n)] + [("d", None)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    probs = [0.0, 0.1, 0.5, 0.77, 1.0]
+    held = {k: [v for n, v in rows if n == k and v is not None] for k in "abcd"}
+    got = {r.k: r.q for r in percentiles(df, "v", probs, ["k"]).collect()}
+    assert got == {k: pytest.approx(np.quantile(v, probs)) for k, v in held.items() if v}
+    assert percentiles(df, "v", [0.5]).first().q == pytest.approx([np.median(sum(held.values(), []))])
+    assert [r.q for r in percentiles(df.limit(0), "v", [0.5]).collect()] == [None]
+    assert percentiles(df.limit(0), "v", [0.5], ["k"]).count() == 0
+    per = df.filter("v is not null").groupBy("k", "v").count()
+    for r in running_sums(per, ["k"], "v", {"upto": "count"}, descending=True, ranges=8).collect():
+        assert r.upto == sum(1 for x in held[r.k] if x >= r.v)
+
+
+def test_boxes_meet_across_cells(spark):
+    rng = np.random.default_rng(4)
+    rows = lambda p: [(0, 1, int(f), f"{p}{i}", float(x), float(y), float(w), 3.0) for i, (f, x, y, w) in enumerate(zip(rng.integers(0, 3, 60), rng.normal(0, 60, 60), rng.normal(0, 2, 60), rng.uniform(1, 90, 60), strict=True))]
+    g, t = rows("g"), rows("t")
+    schema = "scenario int, direction int, frame long, id string, x double, y double, length double, width double"
+    want = {(a[3], b[3]) for a in g for b in t if a[2] == b[2] and abs(a[4] - b[4]) < (a[6] + b[6]) / 2 and abs(a[5] - b[5]) < 3}
+    got = [(r.g_id, r.t_id) for r in mot.iou_pairs(spark.createDataFrame(g, schema), spark.createDataFrame(t, schema), cell=20.0).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_gate_rank_and_scores(spark):
     rows = spark.createDataFrame([(4.2, 0.1), (1.0, 0.7), (2.4, float("nan")), (2.4, float("inf"))], "g double, r double")
     assert [r[0] for r in rows.select(costs.gate_rank_cost(F.col("g"), F.col("r"))).collect()] == [4.2, 0.7, 2.4, 2.4]
