@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ._common import read
 
-CACHE_PARTS = 250_000
+CACHE_PARTS = 150_000
 BATCH_PARTS = 4_096
 CACHED_BYTES = 48
 _BREAK = re.compile(r" (?=\S)")
