@@ -244,28 +244,28 @@ def parts_of(text: bytes, anchor: int, parts: int, min_bytes: int) -> list[tuple
 
 
 def _split(texts: DataFrame, parts: int, min_bytes: int) -> DataFrame:
-    """(row, h, s, start, n, bytes): segments (row, h, start, n, bytes) cut into parts, h being the part's name and s a hash of its bytes."""
+    """(row, anchor, h, s, start, n, bytes): segments (row, anchor, start, bytes) cut into parts, h being the part's name and s a hash of its bytes."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for some in slices(batch, 3, 1 << 20):
                 out: list[tuple] = []
-                for row, h, start, text in zip(*(some.column(i).to_pylist() for i in range(4)), strict=True):
+                for row, anchor, start, text in zip(*(some.column(i).to_pylist() for i in range(4)), strict=True):
                     b = np.frombuffer(text, dtype=np.uint8)
-                    found = parts_of(text, h, parts, min_bytes)
+                    found = parts_of(text, anchor, parts, min_bytes)
                     firsts, counts = (np.array([f[i] for f in found], dtype=np.int64) for i in (1, 2))
                     hashes = _hash(_prefix(b, 1), firsts, firsts + counts + min_bytes - 1, 1).view(np.int64).tolist()
-                    out += [(row, name, x, start + first, n, text[first : first + n + min_bytes - 1]) for (name, first, n), x in zip(found, hashes, strict=True)]
-                types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
-                columns = zip(*out, strict=True) if out else [[]] * 6
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["row", "h", "s", "start", "n", "bytes"])
+                    out += [(row, anchor, name, x, start + first, n, text[first : first + n + min_bytes - 1]) for (name, first, n), x in zip(found, hashes, strict=True)]
+                types = [pa.int64()] * 5 + [pa.int32(), pa.binary()]
+                columns = zip(*out, strict=True) if out else [[]] * len(types)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["row", "anchor", "h", "s", "start", "n", "bytes"])
 
-    return texts.select("row", "h", "start", "bytes").mapInArrow(work, "row bigint, h bigint, s bigint, start bigint, n int, bytes binary")
+    return texts.select("row", "anchor", "start", "bytes").mapInArrow(work, "row bigint, anchor bigint, h bigint, s bigint, start bigint, n int, bytes binary")
 
 
 def _crowded_runs(texts: DataFrame, min_bytes: int, bucket_bytes: int) -> tuple[list[DataFrame], list[DataFrame]]:
     """Runs (row, start, n) of repeated windows among segments of crowded anchors, and what is left for buckets (row, h, start, n, bytes)."""
-    decided, small, parts = [], [], 1
+    decided, small, parts, texts = [], [], 1, texts.withColumn("anchor", F.col("h"))
     while not texts.isEmpty():
         parts *= 2
         cut = materialize(_split(texts, parts, min_bytes), "split")
@@ -274,8 +274,8 @@ def _crowded_runs(texts: DataFrame, min_bytes: int, bucket_bytes: int) -> tuple[
         names = kinds.groupBy("h").agg(F.count(F.lit(1)).alias("kinds"), F.min("c").alias("least"), F.sum(F.col("n") + min_bytes).alias("size"))
         names = names.filter("kinds > 1 AND least = 1").select("h", (F.col("size") > bucket_bytes // 2).alias("crowded"))
         ones = kinds.join(names, "h").select("h", "s", "one.row", "one.start", "crowded")
-        left = materialize(cut.join(ones, ["h", "s", "row", "start"]).select("row", "h", "start", "n", "bytes", "crowded"), "split-open")
-        small.append(left.filter("NOT crowded").drop("crowded"))
+        left = materialize(cut.join(ones, ["h", "s", "row", "start"]).select("row", "anchor", "h", "start", "n", "bytes", "crowded"), "split-open")
+        small.append(left.filter("NOT crowded").drop("crowded", "anchor"))
         texts = left.filter("crowded").drop("crowded")
     return decided, small
 
