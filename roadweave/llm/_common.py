@@ -91,3 +91,17 @@ def map_groups(rows: DataFrame, keys: list[str], work: Callable[[pa.RecordBatch,
 
     tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return rows.repartition(tasks, *keys).sortWithinPartitions(*keys).mapInArrow(each, schema)
+
+
+def ranked(rows: DataFrame, order: list[Column], name: str, label: str) -> DataFrame:
+    """``rows`` with their place (1, 2, ...) in ``order`` as column ``name``, from a range partition and the number of rows per task.
+
+    Order by columns that tell rows apart, so that no range is crowded.
+    """
+    placed = materialize(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_place", F.monotonically_increasing_id()), label)
+    task = F.shiftrightunsigned("_place", 33)
+    counts = sorted(placed.groupBy(task.alias("task")).count().collect())
+    before = np.concatenate(([0], np.cumsum([r["count"] for r in counts]))).tolist()
+    starts = rows.sparkSession.createDataFrame([(r["task"], b) for r, b in zip(counts, before, strict=False)], "_task bigint, _before bigint")
+    place = F.col("_before") + F.col("_place").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    return placed.join(F.broadcast(starts), task == F.col("_task")).select(*rows.columns, place.alias(name))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, exact_dedup, html_text, ngram_join, packing, quality, suffix_dedup, url_filter, warc
+from . import ann, bpe, clusters, exact_dedup, html_text, importance, mixing, ngram_join, packing, quality, suffix_dedup, url_filter, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_url_filter": url_filter.op8_url_filter,
         "op9_html_extraction": html_text.op9_html_extraction,
         "op10_byte_bpe": bpe.op10_byte_bpe,
+        "op11_importance_resampling": importance.op11_importance_resampling,
+        "op12_centroid_clusters": clusters.op12_centroid_clusters,
+        "op13_source_mixing": mixing.op13_source_mixing,
     }
 
 
@@ -29,4 +32,6 @@ def oracle_sql() -> dict[str, str]:
         "op1_exact_dedup": exact_dedup.oracle_sql(),
         "op6_warc": warc.oracle_sql(),
         "op8_url_filter": url_filter.oracle_sql(),
+        "op11_importance_resampling": importance.oracle_sql(),
+        "op12_centroid_clusters": clusters.oracle_sql(),
     }
