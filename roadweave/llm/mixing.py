@@ -43,7 +43,7 @@ MOST = 2
 SEED = 13
 GROUP_BITS = 6
 GROUP = 1 << GROUP_BITS
-CLASS_BITS = 4
+CLASS_BITS = 3
 WORD = 1 << 20
 COPIES = 4096
 _UNIT = "struct<h: bigint, doc: {id}, size: bigint, n: bigint, sure: bigint, base: bigint, mass: bigint>"
