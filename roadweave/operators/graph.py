@@ -1,13 +1,12 @@
-"""Merge components, path cover and paths over fragment graphs."""
+"""Merge components, paths and greedy chains over fragment graphs."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -67,82 +66,6 @@ def with_component(pairs: DataFrame, keys: tuple[str, ...], a: str, b: str, two_
     return pairs.join(parts, side(a, "a") == F.col("_node")).drop("_node")
 
 
-def assign(weight: np.ndarray) -> list[tuple[int, int]]:
-    """Pairs (row, column) of a maximum-weight matching of non-negative weights (0: no edge), by shortest augmenting paths."""
-    best = weight.argmax(axis=1)
-    live = np.flatnonzero(weight[np.arange(len(weight)), best] > 0)
-    if len(np.unique(best[live])) == len(live):  # each row can have its best column
-        return [(int(i), int(best[i])) for i in live]
-    n = max(weight.shape)
-    cost = np.zeros((n + 1, n + 1))
-    cost[1 : weight.shape[0] + 1, 1 : weight.shape[1] + 1] = -weight
-    u, v, match, way = np.zeros(n + 1), np.zeros(n + 1), np.zeros(n + 1, dtype=int), np.zeros(n + 1, dtype=int)
-    for i in range(1, n + 1):
-        match[0], j0 = i, 0
-        least, used = np.full(n + 1, np.inf), np.zeros(n + 1, dtype=bool)
-        while match[j0]:
-            used[j0] = True
-            free = ~used
-            free[0] = False
-            reduced = cost[match[j0]] - u[match[j0]] - v
-            better = free & (reduced < least)
-            least[better], way[better] = reduced[better], j0
-            j1 = int(np.argmin(np.where(free, least, np.inf)))
-            step = least[j1]
-            u[match[used]] += step
-            v[used] -= step
-            least[free] -= step
-            j0 = j1
-        while j0:
-            match[j0] = match[way[j0]]
-            j0 = way[j0]
-    return [(match[j] - 1, j - 1) for j in range(1, n + 1) if match[j] <= weight.shape[0] and j <= weight.shape[1] and weight[match[j] - 1, j - 1] > 0]
-
-
-def mutual_best(edges: DataFrame) -> DataFrame:
-    """Rounds of edges that are the best of both their ends, until none is left: a matching of at least half the best weight, without a large group."""
-    out, left = None, checkpointed(edges)
-    while not left.isEmpty():
-        order = [F.desc("weight"), "src", "dst"]
-        by_src = F.row_number().over(Window.partitionBy("src").orderBy(*order))
-        by_dst = F.row_number().over(Window.partitionBy("dst").orderBy(*order))
-        good = checkpointed(left.withColumns({"i": by_src, "j": by_dst}).filter("i = 1 and j = 1").select("src", "dst", "weight"))
-        out = good if out is None else out.union(good)
-        left = checkpointed(left.join(good.select("src"), "src", "left_anti").join(good.select("dst"), "dst", "left_anti"))
-    return out if out is not None else edges.select("src", "dst", "weight")
-
-
-def path_cover(candidates: DataFrame, threshold: float, gain: float = 1.0, max_edges: int = 20_000) -> DataFrame:
-    """Links (src, dst, weight): each fragment has at most one successor and one predecessor, total ``gain * (threshold - cost)`` is largest.
-
-    ``candidates``: src, dst, cost.  Exact per component of the candidate graph; components with
-    more than ``max_edges`` edges are matched by rounds of mutual bests instead, so no group outgrows a task.
-    """
-    edges = checkpointed(candidates.filter(F.col("cost") <= threshold).select("src", "dst", (gain * (threshold - F.col("cost"))).alias("weight")))
-    side = lambda c, s: F.concat(F.lit(s), F.col(c).cast("string"))
-    graph = edges.select(side("src", "s").alias("a"), side("dst", "d").alias("b"))
-    parts = connected_components(graph.select(F.col("a").alias("node")).union(graph.select("b")), graph)
-    named = edges.join(parts.select(F.col("node").alias("_s"), "component"), side("src", "s") == F.col("_s")).drop("_s")
-    sizes = named.groupBy("component").count()
-    named = checkpointed(named.join(sizes, "component"))
-
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["weight", "src", "dst"], ascending=[False, True, True])
-        rows, r = np.unique(pdf["src"].to_numpy().astype(str), return_inverse=True)
-        cols, c = np.unique(pdf["dst"].to_numpy().astype(str), return_inverse=True)
-        w = np.zeros((len(rows), len(cols)))
-        np.maximum.at(w, (r, c), pdf["weight"].to_numpy())
-        found = assign(w)
-        return pd.DataFrame({"src": [rows[i] for i, _ in found], "dst": [cols[j] for _, j in found], "weight": [w[i, j] for i, j in found]})
-
-    types = dict(edges.dtypes)
-    exact = named.filter(F.col("count") <= max_edges).select("component", F.col("src").cast("string"), F.col("dst").cast("string"), "weight")
-    exact = exact.groupBy("component").applyInPandas(work, "src string, dst string, weight double")
-    exact = exact.select(F.col("src").cast(types["src"]), F.col("dst").cast(types["dst"]), "weight")
-    large = named.filter(F.col("count") > max_edges).select("src", "dst", "weight")
-    return exact if large.isEmpty() else exact.union(mutual_best(large))
-
-
 def extract_paths(ends: DataFrame, links: DataFrame) -> DataFrame:
     """(path, fragment ids in time order): components of the chosen links; single fragments are paths too."""
     parts = connected_components(ends.select(F.col("frag_id").alias("node")), links.select(F.col("src").alias("a"), F.col("dst").alias("b")))

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from ..adapters import DETECTIONS_SQL, ENDPOINTS_SQL, detections, endpoints, fragments
 from ..functions.numeric import UNIT_HASH_SQL, total
 from ..operators import aggregates, costs, datasets, joins, mot, prepare, ranking, smooth
-from ..operators.graph import connected_components, extract_paths, greedy_chains, path_cover, verify_paths
+from ..operators.graph import connected_components, extract_paths, greedy_chains, verify_paths
+from ..operators.matching import path_cover
 from ..operators.prefix import percentiles
 from ..sources import io
 
@@ -540,7 +541,7 @@ def pair_features(spark, d):
 
 def _links(spark, d):
     c = costs.stitch_cost_simple(_pairs(spark, d)).filter("cost <= 4")
-    return path_cover(c.select(F.col("a_frag_id").alias("src"), F.col("b_frag_id").alias("dst"), "cost"), 4.0)
+    return path_cover(c.select(F.col("a_frag_id").alias("src"), F.col("b_frag_id").alias("dst"), F.col("a_last_t").alias("src_at"), F.col("b_first_t").alias("dst_at"), "cost"), 4.0)
 
 
 @query()

@@ -142,29 +142,6 @@ def test_merge_components(spark):
     assert {r.node: r.component for r in graph.connected_components(nodes, edges.limit(0)).collect()} == {i: i for i in (1, 2, 3, 4)}
 
 
-def test_path_cover_is_optimal(spark):
-    c = spark.createDataFrame([("a", "c", 1.0), ("b", "c", 1.2), ("a", "d", 1.5)], "src string, dst string, cost double")
-    got = {(r.src, r.dst) for r in graph.path_cover(c, 4.0).collect()}
-    assert got == {("a", "d"), ("b", "c")}
-    greedy = graph.path_cover(c, 4.0, max_edges=1).collect()
-    assert len({r.src for r in greedy}) == len(greedy) == len({r.dst for r in greedy})
-
-
-def test_assignment_against_all_permutations():
-    from itertools import permutations
-
-    rng = np.random.default_rng(0)
-    for _ in range(60):
-        n, m = rng.integers(1, 6, 2)
-        w = np.where(rng.random((n, m)) < 0.6, rng.random((n, m)), 0)
-        big = np.zeros((max(n, m),) * 2)
-        big[:n, :m] = w
-        best = max(sum(big[i, p[i]] for i in range(len(big))) for p in permutations(range(len(big))))
-        found = graph.assign(w)
-        assert sum(w[i, j] for i, j in found) == pytest.approx(best)
-        assert len({i for i, _ in found}) == len(found) == len({j for _, j in found})
-
-
 def test_smoothing_keeps_a_line():
     z = np.arange(8.0)
     z[3] = np.nan
