@@ -235,6 +235,6 @@ def test_mix_copies_clashes_and_empty(spark):
     df = spark.createDataFrame(docs, "doc_id long, text string, source string").selectExpr("*", "1 as size", "'t' as target", "2 as n")
     got = mixing.mix(df, percent=50).collect()
     assert len(got) == len(docs)
-    assert abs(sum(r.taken for r in got) - got[0].target) < 64
+    assert abs(sum(r.taken for r in got) - max(r.target for r in got)) < 64
     assert mixing.mix(df.limit(0)).count() == 0
     assert {r.taken for r in mixing.mix(df.filter("text is null")).collect()} == {0}
