@@ -73,28 +73,36 @@ def strict_candidates(ends: DataFrame, max_gap: float = 5.0, x_range: tuple[floa
     return pairs.filter((F.col("gap") > 0) & (x >= x_range[0]) & (x <= x_range[1]) & (F.abs(F.col("a_mean_y") - F.col("b_mean_y")) <= max_dy))
 
 
-def overlap_pairs(ends: DataFrame, bucket: float) -> DataFrame:
-    """Unordered pairs (a_id < b_id) that overlap in time (touching is none) and in x, x being extended by the mean length.
+def with_extent(ends: DataFrame) -> DataFrame:
+    """``x_lo`` and ``x_hi``: the stretch of road that a track covers, extended by its mean length in travel direction."""
+    return ends.withColumns(
+        {"x_lo": F.least("start_x", "end_x") - F.when(F.col("direction") == -1, F.col("mean_length")).otherwise(0.0),
+         "x_hi": F.greatest("start_x", "end_x") + F.when(F.col("direction") == 1, F.col("mean_length")).otherwise(0.0)}
+    )
+
+
+def overlaps(a, b):
+    """Whether two tracks overlap in time (touching is none) and in x. ``a``, ``b``: (first_t, last_t, x_lo, x_hi), columns or arrays alike."""
+    return (a[1] > b[0]) & (b[1] > a[0]) & (a[2] <= b[3]) & (b[2] <= a[3])
+
+
+def overlap_pairs(ends: DataFrame, bucket: float, wanted: DataFrame | None = None) -> DataFrame:
+    """Unordered pairs (a_id < b_id) of tracks that overlap in time and in extended x; with ``wanted``, only pairs with one of its tracks.
 
     Both sides are exploded to the time buckets they cover; a pair counts in the
     bucket where its overlap begins, so it appears once.
     """
-    ext = ends.withColumns(
-        {"x_lo": F.least("start_x", "end_x") - F.when(F.col("direction") == -1, F.col("mean_length")).otherwise(0.0),
-         "x_hi": F.greatest("start_x", "end_x") + F.when(F.col("direction") == 1, F.col("mean_length")).otherwise(0.0)}
-    )
     cover = F.explode(F.sequence(F.floor(F.col("first_t") / bucket), F.floor(F.col("last_t") / bucket)))
-    ext = ext.select("frag_id", "direction", "first_t", "last_t", "x_lo", "x_hi", cover.alias("k"))
-    a, b = prefixed(ext, "a_"), prefixed(ext, "b_")
+    covered = lambda t: with_extent(t).select("frag_id", "direction", "first_t", "last_t", "x_lo", "x_hi", cover.alias("k"))
+    a, b = prefixed(covered(ends if wanted is None else wanted), "a_"), prefixed(covered(ends), "b_")
     on = (F.col("a_direction") == F.col("b_direction")) & (F.col("a_k") == F.col("b_k"))
     begin = F.greatest("a_first_t", "b_first_t")
-    return a.join(b, on).filter(
-        (F.col("a_frag_id") < F.col("b_frag_id"))
-        & (F.col("a_last_t") > F.col("b_first_t"))
-        & (F.col("b_last_t") > F.col("a_first_t"))
-        & (F.floor(begin / bucket) == F.col("a_k"))
-        & (F.greatest("a_x_lo", "b_x_lo") <= F.least("a_x_hi", "b_x_hi"))
-    ).select("a_frag_id", "b_frag_id", F.col("a_direction").alias("direction"), begin.alias("overlap_start"), F.least("a_last_t", "b_last_t").alias("overlap_end"))
+    side = lambda p: [F.col(f"{p}_{c}") for c in ("first_t", "last_t", "x_lo", "x_hi")]
+    order = F.col("a_frag_id") < F.col("b_frag_id") if wanted is None else F.col("a_frag_id") != F.col("b_frag_id")
+    met = a.join(b, on).filter(order & overlaps(side("a"), side("b")) & (F.floor(begin / bucket) == F.col("a_k")))
+    first, last = (F.col("a_frag_id"), F.col("b_frag_id")) if wanted is None else (F.least("a_frag_id", "b_frag_id"), F.greatest("a_frag_id", "b_frag_id"))
+    out = met.select(first.alias("a_frag_id"), last.alias("b_frag_id"), F.col("a_direction").alias("direction"), begin.alias("overlap_start"), F.least("a_last_t", "b_last_t").alias("overlap_end"))
+    return out if wanted is None else out.distinct()
 
 
 def align_overlap(pairs: DataFrame, d: DataFrame, dt: float) -> DataFrame:
