@@ -636,15 +636,104 @@ def random_masks(spark, d):
     return m.select("frag_id", "mask_idx", r6("mask_start").alias("mask_start"), r6("mask_end").alias("mask_end"))
 
 
-@query()
+# Merge components: overlapping pairs (not touching ones) whose merge cost is at most .5, closed transitively.
+MERGED = f"""WITH RECURSIVE {ALIGNED}, g AS (SELECT a_frag_id, b_frag_id, count(*) AS k, sum((ax - bx)^2) AS dx2, sum((ay - b_y)^2) AS dy2, avg(al) AS la, avg(aw) AS wa, avg(bl) AS lb, avg(bw) AS wb FROM al GROUP BY ALL),
+mp AS (SELECT a_frag_id, b_frag_id FROM g WHERE 0.125 * (dx2 / ((la + lb) / 2) + dy2 / ((wa + wb) / 2)) / (k + 1) + 0.5 * ln((la + lb) / 2 * ((wa + wb) / 2) / sqrt(la * wa * lb * wb)) <= 0.5),
+ed AS (SELECT a_frag_id AS u, b_frag_id AS v FROM mp UNION ALL SELECT b_frag_id, a_frag_id FROM mp),
+walk(node, component) AS (SELECT frag_id, frag_id FROM frag UNION SELECT ed.v, walk.component FROM walk JOIN ed ON ed.u = walk.node)
+SELECT node, min(component) AS component FROM walk GROUP BY node"""
+
+
+@query(MERGED)
+def merged_tracks(spark, d):
+    from ..streaming.online import merge_batch
+
+    det = detections(spark, d)
+    return merge_batch(endpoints(det), det, 12.0, 1.0, 0.5)
+
+
+def _files(rows, number, folder):
+    """Rows as files 0, 1, ... by ``number`` (a column of small integers), written in that order, as a feed takes them."""
+    numbered = rows.withColumn("_file", number)
+    for n in sorted(r[0] for r in numbered.select("_file").distinct().collect()):
+        numbered.filter(F.col("_file") == n).drop("_file").coalesce(1).write.mode("append").parquet(folder)
+
+
+#: Four files in order of the fragments' ends; one vehicle in eleven comes with the last file, whenever it ended.
+FILE_OF_SQL = "CASE WHEN gt_id % 11 = 3 THEN 4 ELSE least(3, CAST(floor(last_t / 180) AS INTEGER)) END"
+FILE_OF = F.expr("CASE WHEN gt_id % 11 = 3 THEN 4 ELSE least(3, CAST(floor(last_t / 180) AS INT)) END")
+
+
+def _merge_stream(spark, d, close=True):
+    from ..operators.graph import shared_path
+    from ..streaming import online
+
+    det, where = detections(spark, d), shared_path(spark, "stream")
+    samples = fragments(det).select("frag_id", *online.SAMPLES)
+    tracks = endpoints(det).join(samples, "frag_id").withColumn("event_time", F.timestamp_seconds("last_t"))
+    _files(tracks.select("gt_id", *(f.name for f in online.TRACKS)), FILE_OF, f"{where}/in")
+    online.merge_stream(online.fragment_feed(spark, f"{where}/in", "1 second", 1, online.TRACKS), where, 24.0, 1.0, 0.5, 200.0, close)
+    return where, endpoints(det), det
+
+
+@query(MERGED)
 def streaming_merge(spark, d):
-    """The event-time stream over the fragments, ten files in order of their end, and the final pass over what stays open."""
+    """The event-time stream over the fragments, some of them late, and the final pass: the same components as ``merged_tracks``."""
+    from ..streaming import online
+
+    where, ends, det = _merge_stream(spark, d)
+    return online.finish_merge(where, ends, det, 12.0, 1.0, 0.5)
+
+
+@query(f"""WITH {ENDPOINTS_SQL}, f AS (SELECT frag_id, first_t, last_t, {FILE_OF_SQL} AS file FROM frag), w AS (SELECT (floor(max(last_t) * 1000) - 1000) / 1000 AS mark FROM f WHERE file < 4)
+SELECT frag_id, first_t < mark - 24 AS recheck FROM f, w WHERE file = 4 AND last_t < mark""")
+def late_fragments(spark, d):
+    from ..streaming import online
+
+    where, _, _ = _merge_stream(spark, d, close=False)
+    return online.late_rows(where, spark)
+
+
+@query()
+def streaming_stitch(spark, d):
+    """Paths of the stream, with the optimal cover of a 15 hour window."""
+    from ..operators.graph import shared_path
+    from ..streaming import online
+
+    e = endpoints(detections(spark, d)).withColumn("event_time", F.timestamp_seconds("last_t"))
+    where = shared_path(spark, "stream")
+    feed = e.select("gt_id", *(f.name for f in online.ENDS))
+    _files(feed, FILE_OF, f"{where}/in")
+    online.end_marks(feed).coalesce(1).write.mode("append").parquet(f"{where}/in")
+    paths = online.stitch_stream(online.fragment_feed(spark, f"{where}/in", "1 second"), where, WIN, 4.0)
+    return paths.select("scenario", "direction", F.array_join("frag_ids", ",").alias("frag_ids"), F.size("frag_ids").alias("n"), r6("weight").alias("weight"), "late")
+
+
+@query("SELECT user_id AS _id, count(*) > 0 AS seen FROM events GROUP BY user_id")
+def stream_sink(spark, d):
+    """Events by files, one row per user in the sink, however often the user comes again."""
+    from ..adapters import table
+    from ..operators.graph import shared_path
+    from ..streaming import online
+
+    where = shared_path(spark, "stream")
+    e = table(spark, d, "events").select(F.col("user_id").alias("_id"), "event_id", F.col("ts").cast("timestamp").alias("event_time"))
+    _files(e, F.col("event_id") % 4, f"{where}/in")
+    stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(f"{where}/in").withWatermark("event_time", "1 hour")
+    online.sink_new(stream, f"{where}/out", f"{where}/checkpoint").awaitTermination()
+    return spark.read.schema("_id bigint, batch bigint").parquet(f"{where}/out").groupBy("_id").agg((F.count(F.lit(1)) == 1).alias("seen"))
+
+
+@query(f"WITH {DETECTIONS_SQL} SELECT count(*) AS n, count(*) FILTER (WHERE conf < 0.2) AS low_confidence, count(*) AS rows_in FROM det")
+def stream_counters(spark, d):
+    """What a listener counts while detections pass by files."""
     from ..operators.graph import shared_path
     from ..streaming import online
 
-    e = endpoints(detections(spark, d)).select("frag_id", "scenario", "direction", "first_t", "last_t", "start_x", "end_x", "start_y", "end_y")
-    e = e.withColumn("event_time", F.timestamp_seconds("last_t"))
     where = shared_path(spark, "stream")
-    e.repartitionByRange(10, "last_t").sortWithinPartitions("last_t").write.parquet(f"{where}/in")
-    merged = online.merge_all(online.fragment_feed(spark, f"{where}/in", "1 hour", 1), spark.read.parquet(f"{where}/in"), f"{where}/out", f"{where}/checkpoint", 24.0)
-    return merged.select("scenario", "direction", F.array_join("frag_ids", ",").alias("frag_ids"), F.size("frag_ids").alias("n"))
+    det = detections(spark, d).select("frag_id", "idx", "conf")
+    _files(det, (F.col("conf") * 3).cast("int"), f"{where}/in")
+    feed = spark.readStream.schema(det.schema).option("maxFilesPerTrigger", 1).parquet(f"{where}/in")
+    start = lambda: online.counters(feed).writeStream.format("noop").option("checkpointLocation", f"{where}/checkpoint").trigger(availableNow=True).start()
+    t = online.counted(spark, start)
+    return spark.createDataFrame([(t["rows"], t["low_confidence"], t["rows_in"])], "n bigint, low_confidence bigint, rows_in bigint")

@@ -9,7 +9,6 @@ from roadweave.operators import calibrate, costs, datasets, graph, joins, mot, p
 from roadweave.operators.features import ADVANCED, BASIC, fragment_features, pair_features
 from roadweave.operators.prefix import percentiles, running_sums
 from roadweave.sources import io
-from roadweave.streaming import online
 
 
 def detections(spark, tracks):
@@ -138,7 +137,8 @@ def test_resample_fixture():
 def test_merge_components(spark):
     nodes = spark.createDataFrame([(i,) for i in (1, 2, 3, 4)], "node long")
     edges = spark.createDataFrame([(1, 2), (3, 2)], "a long, b long")
-    assert {r.node: r.component for r in graph.connected_components(nodes, edges).collect()} == {1: 1, 2: 1, 3: 1, 4: 4}
+    for task_edges in (0, 100):
+        assert {r.node: r.component for r in graph.connected_components(nodes, edges, task_edges).collect()} == {1: 1, 2: 1, 3: 1, 4: 4}
     assert {r.node: r.component for r in graph.connected_components(nodes, edges.limit(0)).collect()} == {i: i for i in (1, 2, 3, 4)}
 
 
@@ -280,21 +280,6 @@ def test_sources(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "sink")).count() == 2
 
 
-def test_streaming_merge_equals_batch(spark, tmp_path):
-    rows = [("1", 0, 1, 0.0, 5.0, 0.0, 50.0), ("2", 0, 1, 4.0, 8.0, 40.0, 80.0), ("3", 0, 1, 7.0, 9.0, 70.0, 90.0), ("4", 0, 1, 100.0, 101.0, 0.0, 10.0), ("5", 0, 1, 900.0, 901.0, 0.0, 1.0), ("6", 0, 1, 2000.0, 2001.0, 0.0, 1.0)]
-    df = spark.createDataFrame([(*r, 0.0, 0.0) for r in rows], "frag_id string, scenario int, direction int, first_t double, last_t double, start_x double, end_x double, start_y double, end_y double").withColumn("event_time", F.timestamp_seconds("last_t"))
-    for i in range(len(rows)):
-        df.filter(F.col("frag_id") == str(i + 1)).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    feed = online.fragment_feed(spark, str(tmp_path / "in"), "1 second")
-    q = online.online_merge(feed, 20.0).writeStream.format("memory").queryName("merged").outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start()
-    q.awaitTermination(120)
-    got = {tuple(r.frag_ids) for r in spark.table("merged").collect()}
-    want = {tuple(r.frag_ids) for r in online.batch_merge(df).collect()}
-    assert got <= want and ("1", "2", "3") in got
-    chains = online.stitch_open([], df.drop("event_time").toPandas().to_dict("records"), 200.0, 120.0)
-    assert sorted(i for c in chains for i in c["ids"]) == ["1", "2", "3", "4", "5", "6"]
-
-
 def test_registered_sql_and_queries():
     import __spark_entry__ as e
 
