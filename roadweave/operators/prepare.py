@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -163,34 +159,41 @@ def timespace_table(d: DataFrame, f: DataFrame, bounds: DataFrame) -> DataFrame:
     return d.join(lanes, "frag_id").crossJoin(F.broadcast(earliest)).select("frag_id", "lane", "idx", (F.col("t") - F.col("t0")).alias("t_rel"), "x")
 
 
-def resample_one(t: np.ndarray, values: list[np.ndarray], dt: float, base: float) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Means in bins of ``base`` from the first sample on, linear between bins, every ``dt``."""
-    bins = np.floor((t - t[0]) / base + 1e-9).astype(np.int64)
-    kinds, inverse = np.unique(bins, return_inverse=True)
-    grid = np.arange(0, kinds[-1] + 1, max(1, round(dt / base)))
-    counts = np.bincount(inverse)
-    out = [np.interp(grid, kinds, np.bincount(inverse, weights=v) / counts) for v in values]
-    return t[0] + grid * base, out
+CHANNELS = ("x", "y", "length", "width")
 
 
 def resample(f: DataFrame, dt: float = 0.04, base: float = 0.01, trim: float = 1.0) -> DataFrame:
-    """t, x, y, length, width on a regular grid, at most ``trim`` past the last sample. Fragments without samples go."""
-    channels = ("x", "y", "length", "width")
-    keys = [c for c in f.columns if c not in SAMPLES]
-    schema = ", ".join([f"`{c}` {f.select(c).dtypes[0][1]}" for c in keys] + [f"{c} array<double>" for c in ("t", *channels)])
-
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            pdf = pdf[pdf["t"].map(lambda v: v is not None and len(v) > 0)]
-            made = [resample_one(np.asarray(r.t, float), [np.asarray(getattr(r, c), float) for c in channels], dt, base) for r in pdf.itertuples()]
-            out = pdf[keys].copy()
-            keep = [g <= r[-1] + trim for (g, _), r in zip(made, pdf["t"], strict=True)]
-            out["t"] = [g[k] for (g, _), k in zip(made, keep, strict=True)]
-            for i, c in enumerate(channels):
-                out[c] = [v[i][k] for (_, v), k in zip(made, keep, strict=True)]
-            yield out
-
-    return f.select(*keys, "t", *channels).mapInPandas(work, schema)
+    """t, x, y, length, width on a regular grid from the first sample on: means in bins of ``base``, linear between bins with a value, every ``dt``.
+
+    A channel keeps its first and last value beyond them; the grid ends ``trim`` after the last sample with a position.
+    Fragments without samples go.  One shuffle by fragment; bins know their neighbours, and each makes the grid up to the next.
+    """
+    keys = [c for c in f.columns if c not in SAMPLES and c != "frag_id"]
+    step = max(1, round(dt / base))
+    samples = f.filter(F.size("t") > 0).select("frag_id", *keys, F.element_at("t", 1).alias("t0"), F.explode(F.arrays_zip("t", *CHANNELS)).alias("s"))
+    binned = samples.repartition("frag_id").withColumn("bin", F.floor((F.col("s.t") - F.col("t0")) / base + 1e-9))
+    until = F.max(F.when(F.col("s.x").isNotNull(), F.col("s.t")))
+    means = binned.groupBy("frag_id", "bin").agg(F.first("t0").alias("t0"), until.alias("known"), *(F.first(k).alias(k) for k in keys), *(F.avg(f"s.{c}").alias(c) for c in CHANNELS))
+    order = Window.partitionBy("frag_id").orderBy("bin")
+    upto, after = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(1, Window.unboundedFollowing)
+    have = lambda c: F.when(F.col(c).isNotNull(), F.struct("bin", F.col(c).alias("v")))
+    near = means.withColumns(
+        {"next": F.lead("bin").over(order), "last": F.max("known").over(Window.partitionBy("frag_id"))}
+        | {f"{c}_a": F.last(have(c), ignorenulls=True).over(upto) for c in CHANNELS}
+        | {f"{c}_b": F.first(have(c), ignorenulls=True).over(after) for c in CHANNELS}
+    )
+    first, stop = F.ceil(F.col("bin") / step) * step, F.coalesce(F.col("next") - 1, F.col("bin"))
+    grid = near.filter(first <= stop).withColumn("g", F.explode(F.sequence(first, stop, F.lit(step).cast("bigint"))))
+
+    def value(c: str) -> Column:
+        a, b = F.col(f"{c}_a"), F.col(f"{c}_b")
+        line = a["v"] + (b["v"] - a["v"]) * ((F.col("g") - a["bin"]) / (b["bin"] - a["bin"]))
+        return F.when(b.isNull(), a["v"]).when(a.isNull(), b["v"]).otherwise(line)
+
+    point = F.struct("g", (F.col("t0") + F.col("g") * base).alias("t"), *(value(c).alias(c) for c in CHANNELS))
+    points = grid.filter(F.col("last").isNull() | (F.col("t0") + F.col("g") * base <= F.col("last") + trim)).select("frag_id", *keys, point.alias("p"))
+    out = points.groupBy("frag_id").agg(*(F.first(k).alias(k) for k in keys), F.array_sort(F.collect_list("p")).alias("p"))
+    return out.select("frag_id", *keys, *(F.col("p").getField(c).alias(c) for c in ("t", *CHANNELS)))
 
 
 def head_tail(f: DataFrame, n: int = 25, columns: tuple[str, ...] = ("t", "x", "y")) -> DataFrame:

@@ -454,7 +454,10 @@ def curriculum(spark, d):
 
 
 # Rows-only queries: pandas stages or order-dependent work; pytest holds them against hand-made cases.
-@query()
+@query(f"""WITH {DETECTIONS_SQL}, s AS (SELECT frag_id, t, x, min(t) OVER (PARTITION BY frag_id) AS t0, count(*) OVER (PARTITION BY frag_id) AS n FROM det),
+b AS (SELECT frag_id, CAST(floor((t - t0) / 0.25 + 1e-9) AS BIGINT) AS bin, avg(x) AS x FROM s WHERE n >= 2 GROUP BY ALL), l AS (SELECT *, lead(bin) OVER w AS nb, lead(x) OVER w AS nx FROM b WINDOW w AS (PARTITION BY frag_id ORDER BY bin)),
+g AS (SELECT *, unnest(generate_series(CAST(ceil(bin / 4.0) * 4 AS BIGINT), coalesce(nb - 1, bin), 4)) AS g FROM l)
+SELECT frag_id, CAST(count(*) AS INTEGER) AS n, round(sum(CASE WHEN nb IS NULL THEN x ELSE x + (nx - x) * ((g - bin) / (nb - bin)) END), 6) AS sx FROM g GROUP BY frag_id""")
 def resample(spark, d):
     f = prepare.filter_confidence(fragments(detections(spark, d)), 0.0, 2)
     r = prepare.resample(f.select("frag_id", "t", "x", "y", "length", "width"), 1.0, 0.25)
@@ -574,6 +577,12 @@ def smoothed_tracks_robust(spark, d):
     return s.select("frag_id", r6(total(F.col("x"))).alias("sx"), r6("mae_x").alias("mae_x"), "status")
 
 
+@query()
+def smoothed_tracks_searched(spark, d):
+    s = smooth.smooth(fragments(detections(spark, d)), lam2=0.1, lam3=1e-3, dt=1.0, search=True)
+    return s.select("frag_id", r6(total(F.col("x"))).alias("sx"), r6("mae_x").alias("mae_x"), "status")
+
+
 @query()
 def tracker_evaluation(spark, d):
     g, t = _gt_tracker(spark, d)

@@ -127,11 +127,36 @@ def test_semi_hard_negatives_come_from_one_tier(spark):
     assert len([x for x in got if x[0] == "C" and x[2] == 2]) == 1
 
 
-def test_resample_fixture():
-    t = np.array([0.013, 0.050, 0.091, 0.137, 0.180, 0.260])
-    grid, (x,) = prepare.resample_one(t, [10 * t], 0.04, 0.01)
-    assert grid == pytest.approx([0.013 + 0.04 * k for k in range(7)])
-    assert x == pytest.approx([0.13, 0.6025, 1.002, 1.37, 1.8, 2.2, 2.6], abs=1e-3)
+def plain_resample(t, v, dt, base):
+    bins = np.floor((np.array(t) - t[0]) / base + 1e-9).astype(int)
+    known = sorted({b for b, x in zip(bins, v, strict=True) if x is not None})
+    means = [np.mean([x for b, x in zip(bins, v, strict=True) if b == k and x is not None]) for k in known]
+    grid = np.arange(0, bins[-1] + 1, round(dt / base))
+    return t[0] + grid * base, np.interp(grid, known, means)
+
+
+def test_resample_fixture(spark):
+    t = [0.013, 0.050, 0.091, 0.137, 0.180, 0.260]
+    rng = np.random.default_rng(1)
+    long = np.sort(rng.random(90) * 3).tolist()
+    holes = [None if rng.random() < 0.2 else float(x) for x in rng.normal(size=90)]
+    rows = [("a", 7, t, [10 * x for x in t], [1.0] * 6), ("b", 8, long, holes, long), ("c", 9, [2.0], [5.0], [1.0]), ("d", 9, [], [], []), ("e", 9, None, None, None)]
+    df = spark.createDataFrame(rows, "frag_id string, tag int, t array<double>, x array<double>, y array<double>").withColumns({"length": F.col("y"), "width": F.col("y")})
+    got = {r.frag_id: r for r in prepare.resample(df, 0.04, 0.01).collect()}
+    assert set(got) == {"a", "b", "c"} and got["b"].tag == 8
+    assert got["a"].t == pytest.approx([0.013 + 0.04 * k for k in range(7)])
+    assert got["a"].x == pytest.approx([0.13, 0.6025, 1.002, 1.37, 1.8, 2.2, 2.6], abs=1e-3)
+    grid, x = plain_resample(long, holes, 0.04, 0.01)
+    assert got["b"].t == pytest.approx(grid) and got["b"].x == pytest.approx(x)
+    assert (got["c"].t, got["c"].x) == ([2.0], [5.0])
+    plan = prepare.resample(df)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Pandas" not in plan
+
+
+def test_resample_ends_at_the_trim(spark):
+    df = spark.createDataFrame([("a", [0.0, 0.5, 9.0], [0.0, 5.0, None])], "frag_id string, t array<double>, x array<double>").withColumns({c: F.col("x") for c in ("y", "length", "width")})
+    r = prepare.resample(df, 1.0, 0.25, trim=1.0).first()
+    assert (r.t, r.x) == ([0.0, 1.0], [0.0, 5.0])  # the last known value is at .5
 
 
 def test_merge_components(spark):
@@ -142,14 +167,59 @@ def test_merge_components(spark):
     assert {r.node: r.component for r in graph.connected_components(nodes, edges.limit(0)).collect()} == {i: i for i in (1, 2, 3, 4)}
 
 
-def test_smoothing_keeps_a_line():
-    z = np.arange(8.0)
-    z[3] = np.nan
-    assert smooth.solve_smooth(z, 0.0, 1.0, 1.0) == pytest.approx(np.arange(8.0), abs=1e-4)
-    x, e = smooth.solve_robust(np.array([0, 1, 2, 30, 4, 5, 6.0, 7]), 0.5, 1.0, 1.0, 1.0)
-    assert abs(e[3]) > 5
-    with pytest.raises(ValueError):
-        smooth.solve_smooth(np.array([1.0, 2, 3]), 0, 1, 1)
+def dense_smooth(z, lam2, lam3, dt):
+    n, seen = len(z), ~np.isnan(z)
+    d = lambda k: np.diff(np.eye(n), n=k, axis=0) / dt**k
+    a = np.diag(seen / seen.sum() + 1e-12) + lam2 / (n - 2) * d(2).T @ d(2) + lam3 / (n - 3) * d(3).T @ d(3)
+    return np.linalg.solve(a, np.where(seen, z, 0) / seen.sum())
+
+
+def dense_robust(z, lam1, lam2, lam3, dt):
+    e, x = np.zeros(len(z)), dense_smooth(z, lam2, lam3, dt)
+    for _ in range(50):
+        r = np.where(np.isnan(z), 0, z - x)
+        new = np.sign(r) * np.maximum(np.abs(r) - lam1 / 2, 0)
+        if np.abs(new - e).max() < 1e-9:
+            break
+        e = new
+        x = dense_smooth(z - e, lam2, lam3, dt)
+    return x, e
+
+
+def dense_search(z, lam2, lam3, dt):
+    best, shift, kept = np.inf, np.nanmin(z), None
+    for turn in range(1, 12):
+        x, e = dense_robust(z - shift, turn * 1e-3, lam2, lam3, dt)
+        mae = np.nanmean(np.abs(z - shift - x - e))
+        if mae >= best:
+            break
+        best, kept = mae, x
+    return kept + shift
+
+
+@pytest.mark.parametrize("lam2,lam3", [(0.3, 0.7), (0.0, 1.0), (0.2, 0.0)])
+def test_smoothing_against_dense_solves(lam2, lam3):
+    rng = np.random.default_rng(0)
+    series = []
+    for n in [4, 5, 6, 9, 9, 14, 30, 31, 32, 60]:
+        z = np.cumsum(rng.normal(size=n)) + (rng.random(n) < 0.1) * 20
+        z[rng.random(n) < 0.15] = np.nan
+        z[0], z[n // 2], z[-1] = 1.0, 2.0, 3.0
+        series.append(z)
+    series += [np.array([1.0, 2, 3]), np.full(8, np.nan), np.array([])]
+    for lam1, search, plain in ((None, False, lambda z: dense_smooth(z, lam2, lam3, 0.5)), (0.5, False, lambda z: dense_robust(z, 0.5, lam2, lam3, 0.5)[0]), (None, True, lambda z: dense_search(z, lam2, lam3, 0.5))):
+        got = smooth.smooth_series(series, lam2, lam3, 0.5, lam1, search)
+        assert [g is None for g in got] == [len(z) <= 3 or np.isnan(z).all() for z in series]
+        for z, g in zip(series[:-3], got, strict=False):
+            assert g == pytest.approx(plain(z), abs=1e-5)
+
+
+def test_smoothing_keeps_a_line_and_the_input_where_it_fails(spark):
+    line = [float(i) for i in range(8)]
+    df = spark.createDataFrame([("a", [*line[:3], None, *line[4:]], line), ("b", [1.0, 2.0], [1.0, 2.0]), ("c", None, line)], "frag_id string, x array<double>, y array<double>")
+    got = {r.frag_id: r for r in smooth.smooth(df, 0.0, 1.0, dt=1.0).collect()}
+    assert got["a"].x == pytest.approx(line, abs=1e-4) and got["a"].status == "ok"
+    assert (got["b"].x, got["b"].status, got["c"].status) == ([1.0, 2.0], "too few samples", "too few samples")
 
 
 def boxes(spark, rows):
