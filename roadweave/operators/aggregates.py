@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .prefix import percentiles
+from .prefix import percentiles_of
 
 HISTOGRAM_EDGES = (0.0, 0.5, 1.0, 2.0, 3.0, 5.0, 10.0)
 
@@ -96,9 +96,8 @@ def feature_audit(x: DataFrame, features: Sequence[str], label: str = "label") -
     out = u.groupBy("feature", label).agg(
         F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), F.min("value").alias("min"),
         F.max("value").alias("max"), F.avg((F.col("value") == 0).cast("double")).alias("zero_fraction"))
-    of_class = F.coalesce(F.col(label), F.lit(-1)).alias("_class")
-    q = percentiles(u.select("feature", "value", of_class), "value", (0.25, 0.5, 0.75), ["feature", "_class"])
-    out = out.withColumn("_class", F.coalesce(F.col(label), F.lit(-1))).join(q, ["feature", "_class"], "left")
+    q = percentiles_of(x, features, (0.25, 0.5, 0.75), [label]).select(F.col("column").alias("_f"), F.col(label).alias("_l"), "q")
+    out = out.join(q, (F.col("feature") == F.col("_f")) & F.col(label).eqNullSafe(F.col("_l")), "left")
     return out.select("feature", label, "n", "mean", "std", "min", F.col("q")[0].alias("p25"), F.col("q")[1].alias("p50"), F.col("q")[2].alias("p75"), "max", "zero_fraction")
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.numeric import mean, unit_hash
 from .costs import hardness_score
 from .joins import binned_neighbors
-from .prefix import percentiles
+from .prefix import percentiles, percentiles_of
 
 # Corridor centres, camera boundaries (ft).
 CENTRES = (225.0, 625.0, 1125.0, 1625.0)
@@ -213,9 +213,9 @@ def hardness_buckets(rows: DataFrame, difficulty: str = "difficulty", wrong: str
 
 def stratification_key(rows: DataFrame, features: Sequence[str], bins: int = 8) -> DataFrame:
     """Quantile bins of the features joined by '|'."""
-    met = rows
-    for c in features:
-        met = met.crossJoin(F.broadcast(percentiles(rows, c, [i / bins for i in range(1, bins)], name=f"_q_{c}")))
+    q = percentiles_of(rows, features, [i / bins for i in range(1, bins)])
+    cuts = q.agg(*(F.max(F.when(F.col("column") == c, F.col("q"))).alias(f"_q_{c}") for c in features))  # one row
+    met = rows.crossJoin(F.broadcast(cuts))
 
     def bin_of(c: str) -> Column:
         return F.size(F.filter(f"_q_{c}", lambda v: v < F.col(c))).cast("string")

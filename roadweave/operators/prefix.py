@@ -1,8 +1,11 @@
 """Running sums and exact percentiles without a task that sees all values.
 
-Rows are first counted by distinct value.  The values of each key are cut into
-ranges at approximate quantiles, ranges are summed, and a range's offset is
+Running sums: rows are first counted by distinct value.  The values of each key are
+cut into ranges at approximate quantiles, ranges are summed, and a range's offset is
 added to the sums inside it.
+
+Percentiles: a sketch brackets each rank, and a second pass counts what lies below the
+bracket and, by value, inside; only what is inside is shuffled.
 """
 
 from __future__ import annotations
@@ -12,10 +15,16 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import checkpointed
+
+ACCURACY = 10_000
+MARGINS = tuple(3 / ACCURACY * 8**k for k in range(5))
+
 
 def running_sums(per: DataFrame, keys: Sequence[str], by: str, sums: dict[str, str], descending: bool = False, ranges: int = 64) -> DataFrame:
     """``per`` (one row per keys and ``by``) with a column for each of ``sums`` (name: summed column), the sum down to and including the row."""
     keys = list(keys)
+    per = checkpointed(per)  # read three times
     q = F.percentile_approx(by, F.lit([i / ranges for i in range(1, ranges)]), F.lit(10_000))
     cuts = per.groupBy(*keys).agg(F.array_distinct(q).alias("_q"))
     met = per.join(cuts, keys) if keys else per.crossJoin(F.broadcast(cuts))
@@ -36,19 +45,59 @@ def percentiles(rows: DataFrame, value: str, probabilities: Sequence[float], key
     Keys without a value have no row; without keys there is one row, null if there is no value.
     """
     keys = list(keys)
-    known = rows.select(*keys, F.col(value).cast("double").alias("_v")).filter("_v is not null")
-    per = known.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
-    counted = running_sums(per, keys, "_v", {"_upto": "_c"})
-    n = per.groupBy(*keys).agg(F.sum("_c").alias("_n"))
-    met = counted.join(n, keys) if keys else counted.crossJoin(F.broadcast(n))
-    places = F.lit([[float(i), float(p)] for i, p in enumerate(probabilities)])
-    first, last = F.col("_upto") - F.col("_c"), F.col("_upto") - 1
-
-    def holds(rank):
-        return (rank >= first) & (rank <= last)
-
-    here = F.filter(places, lambda p: holds(F.floor(p[1] * (F.col("_n") - 1))) | holds(F.ceil(p[1] * (F.col("_n") - 1))))
-    hit = met.select(*keys, "_v", "_c", "_upto", "_n", F.explode(here).alias("_p")).withColumn("_at", F.col("_p")[1] * (F.col("_n") - 1))
-    ends = hit.groupBy(*keys, F.col("_p")[0].cast("int").alias("_i"), "_at").agg(F.max(F.when(holds(F.floor("_at")), F.col("_v"))).alias("_lo"), F.max(F.when(holds(F.ceil("_at")), F.col("_v"))).alias("_hi"))
-    between = F.when(F.ceil("_at") == F.floor("_at"), F.col("_lo")).otherwise((F.ceil("_at") - F.col("_at")) * F.col("_lo") + (F.col("_at") - F.floor("_at")) * F.col("_hi"))
-    return ends.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_i", between.alias("q")))).alias("_s")).select(*keys, F.when(F.size("_s") > 0, F.col("_s").getField("q")).alias(name))
+    found = percentiles_of(rows, [value], probabilities, keys)
+    if keys:
+        return found.select(*keys, F.col("q").alias(name))
+    return found.agg(F.max("q").alias(name))
+
+
+def percentiles_of(rows: DataFrame, values: Sequence[str], probabilities: Sequence[float], keys: Sequence[str] = ()) -> DataFrame:
+    """keys, ``column`` (one of ``values``) and ``q``, the exact percentiles of that column: two scans of ``rows`` for any number of columns.
+
+    The first takes quantiles by a sketch, for each probability at several margins on both sides; the second counts values below and inside
+    the narrowest bracket that is sure for the number of values (a few in ``ACCURACY`` of them), where ranks are then exact.
+    Should a sketch be worse than it promises, the bracket that missed is opened to all values.
+    """
+    keys, probs = list(keys), [float(p) for p in probabilities]
+    every = F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in values))
+    long = rows.select(*keys, F.explode(every).alias("_s")).select(*keys, "_s.column", "_s.v").filter("v is not null")
+    group = [*keys, "column"]
+    fractions = sorted({min(1.0, max(0.0, p + side * m)) for p in probs for m in MARGINS for side in (-1, 1)})
+    place = {f: i for i, f in enumerate(fractions)}
+    sketch = long.groupBy(*group).agg(F.count("v").alias("n"), F.percentile_approx("v", F.lit(fractions), F.lit(ACCURACY)).alias("s"))
+
+    def end(p: float, side: int, open_to: float):  # NaN is above all numbers
+        out = F.lit(open_to)
+        for m in reversed(MARGINS):  # the narrowest that holds three ranks more than the sketch may err
+            at = p + side * m
+            known = F.lit(open_to) if at <= 0 or at >= 1 else F.col("s")[place[at]]
+            out = F.when(F.lit(m) >= 3 / ACCURACY + 3 / F.col("n"), known).otherwise(out)
+        return out
+
+    ends = [F.struct(F.lit(i).alias("i"), F.lit(p).alias("p"), end(p, -1, float("-inf")).alias("lo"), end(p, 1, float("nan")).alias("hi")) for i, p in enumerate(probs)]
+    brackets = checkpointed(sketch.select(*group, "n", F.array(*ends).alias("b")))
+    same = lambda t: [F.col(f"{t}.{c}").eqNullSafe(F.col(f"b.{c}")) for c in group]
+
+    def counted(brackets: DataFrame) -> DataFrame:
+        met = long.alias("l").join(brackets.alias("b"), same("l"))
+        below = F.transform(F.filter("b.b", lambda x: F.col("v") < x["lo"]), lambda x: F.struct(x["i"].alias("i"), F.lit(None).cast("double").alias("v")))
+        inside = F.transform(F.filter("b.b", lambda x: (F.col("v") >= x["lo"]) & (F.col("v") <= x["hi"])), lambda x: F.struct(x["i"].alias("i"), F.col("v").alias("v")))
+        hits = met.select(*(F.col(f"b.{c}").alias(c) for c in group), F.explode(F.concat(below, inside)).alias("_h"))
+        counts = checkpointed(hits.groupBy(*group, F.col("_h.i").alias("i"), F.col("_h.v").alias("v")).agg(F.count(F.lit(1)).alias("c")))
+        upto = Window.partitionBy(*group, "i").orderBy(F.asc_nulls_first("v")).rowsBetween(Window.unboundedPreceding, 0)
+        known = brackets.select(*group, "n", F.explode("b").alias("_b")).select(*group, "n", F.col("_b.i").alias("i"), F.col("_b.p").alias("p"))
+        ranks = counts.withColumn("upto", F.sum("c").over(upto)).filter("v is not null").alias("l").join(known.alias("b"), [*same("l"), F.col("l.i") == F.col("b.i")])
+        at = F.col("p") * (F.col("n") - 1)
+        holds = lambda r: (r >= F.col("upto") - F.col("c")) & (r < F.col("upto"))
+        hit = ranks.groupBy(*(F.col(f"b.{c}").alias(c) for c in group), F.col("b.i").alias("i")).agg(
+            F.max(F.when(holds(F.floor(at)), F.col("v"))).alias("lo"), F.max(F.when(holds(F.ceil(at)), F.col("v"))).alias("hi"), F.max(at).alias("at"))
+        between = F.when(F.ceil("at") == F.floor("at"), F.col("lo")).otherwise((F.ceil("at") - F.col("at")) * F.col("lo") + (F.col("at") - F.floor("at")) * F.col("hi"))
+        return hit.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct("i", between.alias("q")))).alias("_s")).select(*group, F.col("_s").getField("q").alias("q"))
+
+    found = checkpointed(counted(brackets))
+    good = (F.size("q") == len(probs)) & F.forall("q", lambda x: x.isNotNull())
+    missed = brackets.alias("b").join(found.filter(good).alias("f"), same("f"), "left_anti")
+    if missed.isEmpty():
+        return found
+    wide = missed.withColumn("b", F.transform("b", lambda x: F.struct(x["i"].alias("i"), x["p"].alias("p"), F.lit(float("-inf")).alias("lo"), F.lit(float("nan")).alias("hi"))))
+    return found.filter(good).unionByName(counted(checkpointed(wide)))

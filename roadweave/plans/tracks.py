@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..adapters import DETECTIONS_SQL, ENDPOINTS_SQL, detections, endpoints, fragments
 from ..functions.numeric import UNIT_HASH_SQL, total
 from ..operators import aggregates, costs, datasets, joins, mot, prepare, ranking, smooth
-from ..operators.graph import connected_components, extract_paths, greedy_chains, verify_paths
+from ..operators.graph import checkpointed, connected_components, extract_paths, greedy_chains, verify_paths
 from ..operators.matching import path_cover
 from ..operators.prefix import percentiles
 from ..sources import io
@@ -48,6 +48,7 @@ def _pairs(spark, d):
 @query(f"WITH {PAIRS}, c AS (SELECT CASE WHEN a_gt = b_gt THEN 1 ELSE 0 END AS label, gap, sqrt((b_start_x - a_end_x)^2 + (b_start_y - a_end_y)^2) AS cost FROM pairs) SELECT label, count(*) AS n, round(avg(gap), 6) AS gap, round(avg(cost), 6) AS cost, round(quantile_cont(cost, 0.5), 6) AS median_cost FROM c GROUP BY label")
 def candidate_cost_by_label(spark, d):
     p = costs.stitch_cost_simple(_pairs(spark, d)).withColumn("label", (F.col("a_gt_id") == F.col("b_gt_id")).cast("int"))
+    p = checkpointed(p.select("label", "gap", "cost"))  # read three times
     middle = percentiles(p, "cost", (0.5,), ["label"])
     return p.groupBy("label").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("gap")).alias("gap"), r6(F.avg("cost")).alias("cost")).join(middle, "label").select("label", "n", "gap", "cost", r6(F.col("q")[0]).alias("median_cost"))
 
