@@ -48,3 +48,14 @@ def unit_hash(*columns: Column | str, seed: int = 0) -> Column:
 
 
 UNIT_HASH_SQL = "(('0x' || substr(md5(concat_ws('|', {0}, '{1}')), 1, 8))::BIGINT / 4294967296.0)"
+
+
+def unit_normal(*columns: Column | str, seed: int = 0) -> Column:
+    """A standard normal number that depends on values only: two ``unit_hash`` numbers through the polar form of Box and Muller."""
+    u, v = unit_hash(*columns, seed=2 * seed), unit_hash(*columns, seed=2 * seed + 1)
+    return F.sqrt(-2 * F.log(1 - u)) * F.cos(2 * F.pi() * v)
+
+
+def unit_normal_sql(columns: str, seed: int = 0) -> str:
+    u, v = UNIT_HASH_SQL.format(columns, 2 * seed), UNIT_HASH_SQL.format(columns, 2 * seed + 1)
+    return f"(sqrt(-2 * ln(1 - {u})) * cos(2 * pi() * {v}))"

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .aggregates import unpivot
-from .prefix import percentiles, running_sums
+from .prefix import percentiles, percentiles_of, running_sums
 
 
 def _ratio(a: Column, b: Column) -> Column:
@@ -96,17 +96,22 @@ def histogram_overlap(x: DataFrame, value: str, label: str = "label", bins: int
 
 
 def choose_threshold(roc: DataFrame, strategy: str, value: float | None = None) -> DataFrame:
-    """One row of a ROC table (threshold is minus the cost): youden, fpr_ceiling, precision_floor or f_beta; the best fallback if none qualifies."""
+    """One row of a ROC table (threshold is minus the cost): youden, fpr_ceiling, precision_floor or f_beta.
+
+    If no row qualifies: for a ceiling the lowest positive false positive rate, for a floor the highest precision.  Equal ones go to the higher threshold.
+    """
+    fallback = F.col("precision")
     if strategy == "youden":
         best, good = F.col("tpr") - F.col("fpr"), F.lit(True)
     elif strategy == "fpr_ceiling":
         best, good = F.col("tpr"), F.col("fpr") <= (0.005 if value is None else value)
+        fallback = F.when(F.col("fpr") > 0, -F.col("fpr")).otherwise(float("-inf"))
     elif strategy == "precision_floor":
         best, good = F.col("tpr"), F.col("precision") >= (0.99 if value is None else value)
     else:
         b2 = (0.1 if value is None else value) ** 2
         best, good = _ratio((1 + b2) * F.col("precision") * F.col("tpr"), b2 * F.col("precision") + F.col("tpr")), F.lit(True)
-    order = F.struct(good.cast("int").alias("good"), F.round(F.when(good, best).otherwise(F.col("precision")), 9).alias("best"), F.col("threshold"))
+    order = F.struct(good.cast("int").alias("good"), F.round(F.when(good, best).otherwise(fallback), 9).alias("best"), F.col("threshold"))
     return roc.agg(F.max_by(F.struct("threshold", "tpr", "fpr", "precision"), order).alias("m")).select(F.lit(strategy).alias("strategy"), "m.*")
 
 
@@ -144,13 +149,35 @@ def separation_report(pairs: DataFrame) -> DataFrame:
     return g.select("label", "n", "min", *(F.col("q")[i].alias(n) for i, n in enumerate(("p5", "p25", "p50", "p75", "p95"))), "max")
 
 
-def threshold_sweep(pairs: DataFrame, thresholds: Sequence[float]) -> DataFrame:
-    """At each threshold the true and false positive rate, precision and mean margin of the positives. One pass: rows are exploded by a short list."""
-    each = pairs.withColumn("threshold", F.explode(F.lit(list(thresholds))))
+def overlap_zone(pairs: DataFrame) -> DataFrame:
+    """One row: the costs between which both classes have pairs; null where they are apart."""
+    ends = lambda y: (F.min(F.when(F.col("label") == y, F.col("cost"))), F.max(F.when(F.col("label") == y, F.col("cost"))))
+    (p_lo, p_hi), (n_lo, n_hi) = ends(1), ends(0)
+    lo, hi = F.greatest(p_lo, n_lo), F.least(p_hi, n_hi)
+    return pairs.agg(F.when(lo < hi, lo).alias("lo"), F.when(lo < hi, hi).alias("hi"))
+
+
+def threshold_sweep(pairs: DataFrame, thresholds: Sequence[float] | DataFrame) -> DataFrame:
+    """At each threshold the true and false positive rate, precision and mean margin of the positives. One pass: rows are exploded by a short list.
+
+    ``thresholds`` may be a table of a few rows with a column ``threshold``; its other columns stay.
+    """
+    if isinstance(thresholds, DataFrame):
+        each = pairs.crossJoin(F.broadcast(thresholds))
+        by = thresholds.columns
+    else:
+        each, by = pairs.withColumn("threshold", F.explode(F.lit(list(thresholds)))), ["threshold"]
     y, hit = F.col("label") == 1, F.col("cost") <= F.col("threshold")
     s = lambda c: F.sum(c.cast("long"))
-    g = each.groupBy("threshold").agg(s(y & hit).alias("tp"), s(~y & hit).alias("fp"), s(y).alias("all_pos"), s(~y).alias("all_neg"), F.avg(F.when(y & hit, F.col("threshold") - F.col("cost"))).alias("margin"))
-    return g.select("threshold", "tp", "fp", _ratio(F.col("tp"), F.col("all_pos")).alias("tpr"), _ratio(F.col("fp"), F.col("all_neg")).alias("fpr"), _ratio(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"), "margin")
+    g = each.groupBy(*by).agg(s(y & hit).alias("tp"), s(~y & hit).alias("fp"), s(y).alias("all_pos"), s(~y).alias("all_neg"), F.avg(F.when(y & hit, F.col("threshold") - F.col("cost"))).alias("margin"))
+    return g.select(*by, "tp", "fp", _ratio(F.col("tp"), F.col("all_pos")).alias("tpr"), _ratio(F.col("fp"), F.col("all_neg")).alias("fpr"), _ratio(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"), "margin")
+
+
+def positive_thresholds(pairs: DataFrame, shares: Sequence[float] = (0.90, 0.95, 0.99)) -> DataFrame:
+    """``threshold_sweep`` at the percentiles of the positives' costs (column ``share``)."""
+    q = percentiles(pairs.filter("label = 1"), "cost", shares)
+    names = F.transform(F.sequence(F.lit(0), F.lit(len(shares) - 1)), lambda i: F.struct(F.element_at(F.lit(list(shares)), i + 1).alias("share"), F.element_at("q", i + 1).alias("threshold")))
+    return threshold_sweep(pairs.filter("label is not null"), q.select(F.inline(names)))
 
 
 def agreement_grid(pairs: DataFrame, scales: Sequence[float], penalties: Sequence[float], threshold: float) -> DataFrame:
@@ -163,11 +190,82 @@ def agreement_grid(pairs: DataFrame, scales: Sequence[float], penalties: Sequenc
     return g.withColumn("agreement", (F.col("tp") + F.col("tn")) / (F.col("tp") + F.col("tn") + F.col("fp") + F.col("fn")))
 
 
+def calibration_rows(rows: DataFrame, source: str, target: str, most: float = 10.0, enough: int = 100, least: int = 20) -> DataFrame:
+    """Rows to fit on: finite source, target from 0 to ``most``; with fewer than ``enough`` up to the target's p95 instead; fewer than ``least`` are an error."""
+    finite = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
+    good = rows.filter(finite(source) & finite(target))
+    fit = good.filter(F.col(target).between(0, most))
+    n = fit.count()
+    if n < enough:
+        cap = percentiles(good, target, (0.95,)).first()["q"]
+        fit = good.filter(F.col(target).between(0, cap[0])) if cap else fit
+        n = fit.count()
+    if n < least:
+        raise ValueError(f"{n} rows to fit on; {least} are needed")
+    return fit
+
+
+def calibration_knots(fit: DataFrame, source: str, target: str, mode: str = "quantile_match", points: int = 101) -> list[tuple[float, float]]:
+    """Knots (x, y) of a piecewise linear map, by rising x: ``linear`` (the identity over the source's range), ``quantile_match`` or ``isotonic``."""
+    if mode == "linear":
+        lo, hi = fit.agg(F.min(source), F.max(source)).first()
+        return [(float(lo), float(lo)), (float(hi), float(hi))]
+    if mode == "quantile_match":
+        found = quantile_calibration(fit, source, target, points).orderBy("i").collect()
+        knots: dict[float, float] = {}
+        for r in found:
+            knots.setdefault(r["x"], r["y"])  # the first of equal quantiles
+        out = list(knots.items())
+    elif mode == "isotonic":
+        from .models import isotonic_calibration
+
+        model = isotonic_calibration(fit, source, target)
+        out = list(zip(model.boundaries.toArray().tolist(), model.predictions.toArray().tolist(), strict=True))
+    else:
+        raise ValueError(f"unknown mode {mode}")
+    if len(out) < 2:
+        lo, hi, y_lo, y_hi = fit.agg(F.min(source), F.max(source), F.min(target), F.max(target)).first()
+        out = [(float(lo), float(y_lo)), (float(hi), float(y_hi))]
+    return sorted(out)
+
+
+def calibrated(rows: DataFrame, source: str, knots: Sequence[tuple[float, float]], name: str = "calibrated") -> DataFrame:
+    """``rows`` with the knots' map of ``source``; flat beyond the ends."""
+    table = F.lit([[float(x), float(y)] for x, y in knots])
+    i = F.size(F.filter(table, lambda k: k[0] <= F.col(source)))
+    a, b = F.element_at(table, F.greatest(i, F.lit(1))), F.element_at(table, F.least(i + 1, F.lit(len(knots))))
+    line = F.when(b[0] > a[0], a[1] + (b[1] - a[1]) * (F.col(source) - a[0]) / F.when(b[0] > a[0], b[0] - a[0])).otherwise(a[1])
+    return rows.withColumn(name, F.when(i == 0, a[1]).otherwise(line))
+
+
+def spearman(rows: DataFrame, a: str, b: str) -> DataFrame:
+    """One row: the correlation of the two columns' ranks, equal values sharing the mean of theirs; 0 where one is constant or there are fewer than two rows."""
+
+    def ranked(c: str) -> DataFrame:
+        per = rows.groupBy(F.col(c).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+        return running_sums(per, [], "_v", {"_upto": "_c"}).select(F.col("_v").alias(c), (F.col("_upto") - (F.col("_c") - 1) / 2).alias(f"_r_{c}"))
+
+    met = rows.select(a, b).join(ranked(a), a).join(ranked(b), b)
+    r = F.corr(f"_r_{a}", f"_r_{b}")
+    return met.agg(F.when(r.isNull() | F.isnan(r), 0.0).otherwise(r).alias("spearman"))
+
+
+def calibration_fit(rows: DataFrame, source: str, target: str, mode: str = "quantile_match", most: float = 10.0) -> tuple[list[tuple[float, float]], DataFrame]:
+    """Knots, and one row: n, the mean absolute error of the source itself (``mae_raw``) and of the calibrated source (``mae``), and its rank correlation with the target."""
+    from .graph import checkpointed
+
+    fit = checkpointed(calibration_rows(rows, source, target, most).select(F.col(source).cast("double").alias(source), F.col(target).cast("double").alias(target)))
+    knots = calibration_knots(fit, source, target, mode)
+    mapped = checkpointed(calibrated(fit, source, knots))
+    error = mapped.agg(F.count(F.lit(1)).alias("n"), F.avg(F.abs(F.col(source) - F.col(target))).alias("mae_raw"), F.avg(F.abs(F.col("calibrated") - F.col(target))).alias("mae"))
+    return knots, error.crossJoin(F.broadcast(spearman(mapped, "calibrated", target)))
+
+
 def quantile_calibration(rows: DataFrame, source: str, target: str, points: int = 101) -> DataFrame:
     """Knots that match the quantiles of two columns; targets outside [0, 10] don't count."""
     good = rows.filter(F.col(target).between(0, 10) & F.col(source).isNotNull() & ~F.isnan(source))
-    probs = [i / (points - 1) for i in range(points)]
-    q = percentiles(good, source, probs, name="x").crossJoin(F.broadcast(percentiles(good, target, probs, name="y")))
+    q = percentiles_of(good, [source, target], [i / (points - 1) for i in range(points)])
+    q = q.agg(*(F.max(F.when(F.col("column") == c, F.col("q"))).alias(n) for c, n in ((source, "x"), (target, "y"))))
     return q.select(F.posexplode(F.arrays_zip("x", "y")).alias("i", "k")).select("i", "k.x", "k.y")
 
 

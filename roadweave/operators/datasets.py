@@ -5,15 +5,13 @@ Every sample is ordered by a hash of values, so it is the same for any partition
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from functools import reduce
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numeric import mean, unit_hash
+from ..functions.numeric import clip, mean, unit_hash, unit_normal
 from .costs import hardness_score
 from .joins import binned_neighbors
 from .prefix import percentiles, percentiles_of
@@ -65,46 +63,48 @@ def random_masks(f: DataFrame, per: int, lo: float, hi: float, seed: int = 0) ->
     return m.select("frag_id", "mask_idx", start.alias("mask_start"), (start + length).alias("mask_end"))
 
 
-def _noisy(f: DataFrame, make, seed: int) -> DataFrame:
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import zlib
+# Standard deviations of the detection noise, and the mean and deviation of the confidence; channels whose values are 1.0 at least.
+NOISE = {"x": 1.5, "y": 0.5, "length": 0.8, "width": 0.15, "height": 0.3}
+VELOCITY_NOISE, CONFIDENCE = 4.0, (0.92, 0.11)
+SIZES = ("length", "width", "height")
+# Standard deviations of the correlated noise, and the share of its running sums.
+CORRELATED = {"velocity": 2.0, "y": 0.5, "t": 0.02, "x": 1.0}
+RUNNING = 0.1
 
-        for pdf in batches:
-            rows = [make(r, np.random.default_rng([seed, zlib.crc32(str(r["frag_id"]).encode())])) for r in pdf.to_dict("records")]
-            yield pd.DataFrame(rows, columns=list(pdf.columns))
 
-    return f.mapInPandas(work, f.schema)
+def _normal(channel: str, seed: int) -> Column:
+    """One number per sample and channel, whatever the partitioning."""
+    return unit_normal("frag_id", "idx", F.lit(channel), seed=seed)
 
 
-# Standard deviations of the detection noise.
-NOISE = {"x": 1.5, "y": 0.5, "length": 0.8, "width": 0.15}
+def detection_noise(d: DataFrame, seed: int = 0) -> DataFrame:
+    """Independent noise on every sample (frag_id, idx, t, x, ...), sizes of 1.0 at least, confidence anew within .1 and 1.
 
-
-def detection_noise(f: DataFrame, seed: int = 0) -> DataFrame:
-    """Independent noise on every sample, sizes of 1.0 at least, confidence from N(.92, .11) within .1 and 1; seeded by fragment."""
-
-    def make(r: dict, g: np.random.Generator) -> dict:
-        for c, sd in NOISE.items():
-            v = np.asarray(r[c], float) + g.normal(0, sd, len(r[c]))
-            r[c] = np.maximum(v, 1.0) if c in ("length", "width") else v
-        if "conf" in r:
-            r["conf"] = np.clip(g.normal(0.92, 0.11, len(r["x"])), 0.1, 1.0)
-        return r
-
-    return _noisy(f, make, seed)
-
-
-def correlated_noise(f: DataFrame, seed: int = 0, scale: float = 0.1) -> DataFrame:
-    """One y offset a fragment; time and x drift by running sums of small steps. Times stay in order."""
-
-    def make(r: dict, g: np.random.Generator) -> dict:
-        n = len(r["t"])
-        r["y"] = np.asarray(r["y"], float) + g.normal(0, 0.5)
-        r["x"] = np.asarray(r["x"], float) + scale * np.cumsum(g.normal(0, 0.5, n))
-        r["t"] = np.maximum.accumulate(np.asarray(r["t"], float) + scale * np.cumsum(g.normal(0, 0.001, n)))
-        return r
-
-    return _noisy(f, make, seed)
+    Velocity becomes the difference of the noisy positions to the next sample over its time (the last repeats the one before; 0 for a single
+    sample; equal times count as 1e-6), with noise.  Heights, sizes and confidences are touched where there are some.
+    """
+    have = [c for c in NOISE if c in d.columns]
+    moved = {c: F.col(c) + NOISE[c] * _normal(c, seed) for c in have}
+    out = d.withColumns({c: F.greatest(v, F.lit(1.0)) if c in SIZES else v for c, v in moved.items()})
+    w = Window.partitionBy("frag_id").orderBy("idx")
+    step = F.lead("t").over(w) - F.col("t")
+    ahead = (F.lead("x").over(w) - F.col("x")) / F.when(step == 0, 1e-6).otherwise(step)
+    out = out.withColumn("_v", ahead).withColumn("_v", F.coalesce("_v", F.lag("_v").over(w), F.lit(0.0)))
+    if "conf" in d.columns:
+        out = out.withColumn("conf", clip(CONFIDENCE[0] + CONFIDENCE[1] * _normal("conf", seed), 0.1, 1.0))
+    return out.withColumn("velocity", F.col("_v") + VELOCITY_NOISE * _normal("velocity", seed)).drop("_v")
+
+
+def correlated_noise(d: DataFrame, seed: int = 0) -> DataFrame:
+    """One y offset a fragment with a tenth as much per sample; time and x drift by a tenth of the running sums of steps; velocity by itself.
+
+    A sample is never before the one before it.
+    """
+    w = Window.partitionBy("frag_id").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
+    drift = lambda c: RUNNING * F.sum(CORRELATED[c] * _normal(c, seed)).over(w)
+    offset = CORRELATED["y"] * (unit_normal("frag_id", F.lit("y"), seed=seed) + RUNNING * _normal("y", seed))
+    out = d.withColumns({"y": F.col("y") + offset, "x": F.col("x") + drift("x"), "t": F.col("t") + drift("t")}).withColumn("t", F.max("t").over(w))
+    return out.withColumn("velocity", F.col("velocity") + CORRELATED["velocity"] * _normal("velocity", seed)) if "velocity" in d.columns else out
 
 
 def point_dropout(d: DataFrame, rate: float = 0.05, min_keep: int = 10, seed: int = 0) -> DataFrame:

@@ -7,15 +7,15 @@ the driver; rows never leave the executors.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 from math import erfc, sqrt
 
 import numpy as np
-import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import unit_hash
@@ -156,22 +156,34 @@ def coefficient_table(model: PipelineModel, rows: DataFrame, features: Sequence[
     return rows.sparkSession.createDataFrame(out, "feature string, coefficient double, se double, z double, p double, lo double, hi double, odds_ratio double")
 
 
+def quadratic_form(names: Sequence[str], matrix: np.ndarray) -> Column:
+    """x'Mx of each row for a positive definite M, as a sum of squares of columns: with M = LL', it is |L'x|^2."""
+    low = np.linalg.cholesky(matrix)
+    parts = [reduce(lambda s, c: s + c, [float(low[i, j]) * F.col(names[i]) for i in range(j, len(names))]) for j in range(len(names))]
+    return reduce(lambda s, c: s + c, [p * p for p in parts])
+
+
+def leverage(rows: DataFrame, features: Sequence[str]) -> DataFrame:
+    """``rows`` with the leverage of each in a linear fit with intercept, from one pass for the moments."""
+    n, s, cross = moments(rows, features)
+    mean = s / n
+    centred = [f"_c{i}" for i in range(len(features))]
+    spread = cross - n * np.outer(mean, mean)
+    d = rows.withColumns({c: F.col(f).cast("double") - float(m) for c, f, m in zip(centred, features, mean, strict=True)})
+    return d.withColumn("leverage", 1 / n + quadratic_form(centred, np.linalg.inv(spread))).drop(*centred)
+
+
 def influence(model: PipelineModel, rows: DataFrame, key: str, label: str = "label") -> DataFrame:
     """Leverage, studentised residual, Cook's distance and their flags for each row."""
     z, names, inverse = _information(model, rows)
     k = len(names)
-    n = rows.count()
-
-    @F.pandas_udf("double")
-    def quadratic(x: pd.Series) -> pd.Series:
-        m = np.stack(x.to_numpy())
-        return pd.Series(np.einsum("ij,jk,ik->i", m, inverse, m))
-
+    n = z.agg(F.count(F.lit(1)).alias("_rows"))
     w = F.col("p") * (1 - F.col("p"))
-    h = z.withColumn("leverage", F.least(w * quadratic(F.array(*names)), F.lit(1 - 1e-9)))
+    h = z.withColumn("leverage", F.least(w * quadratic_form(names, inverse), F.lit(1 - 1e-9)))
     r = (F.col(label) - F.col("p")) / F.sqrt(F.greatest(w, F.lit(1e-12)) * (1 - F.col("leverage")))
     h = h.withColumn("residual", r).withColumn("cooks", F.col("residual") * F.col("residual") * F.col("leverage") / ((1 - F.col("leverage")) * k))
-    return h.select(key, "leverage", "residual", "cooks", (F.col("cooks") > 4 / n).alias("influential"), (F.col("leverage") > 2 * k / n).alias("high_leverage"), (F.abs("residual") > 3).alias("outlier"))
+    h = h.crossJoin(F.broadcast(n))  # one row
+    return h.select(key, "leverage", "residual", "cooks", (F.col("cooks") > 4 / F.col("_rows")).alias("influential"), (F.col("leverage") > 2 * k / F.col("_rows")).alias("high_leverage"), (F.abs("residual") > 3).alias("outlier"))
 
 
 def permutation_importance(model: PipelineModel, rows: DataFrame, features: Sequence[str], key: str, repeats: int = 3) -> DataFrame:

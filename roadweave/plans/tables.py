@@ -236,15 +236,15 @@ def choose_threshold(spark, d):
     return a.select("strategy", r6(F.col("tpr") - F.col("fpr")).alias("best")).union(b.select("strategy", r6("tpr").alias("best")))
 
 
-_BEST = "SELECT '{0}' AS strategy, arg_max(threshold, (({2})::INT, round(CASE WHEN {2} THEN {1} ELSE precision END, 9), threshold)) AS threshold FROM roc"
+_BEST = "SELECT '{0}' AS strategy, arg_max(threshold, (({2})::INT, round(CASE WHEN {2} THEN {1} WHEN '{0}' <> 'fpr_ceiling' THEN precision WHEN fpr > 0 THEN -fpr ELSE -1e9 END, 9), threshold)) AS threshold FROM roc"
 _F = "coalesce((1 + {0}) * precision * tpr / nullif({0} * precision + tpr, 0), 0.0)"
-_CHOICES = [("youden", "tpr - fpr", "true"), ("fpr_ceiling", "tpr", "fpr <= 0.05"), ("fpr_ceiling", "tpr", "fpr <= 0.2"), ("precision_floor", "tpr", "precision >= 0.9"), ("f_beta", _F.format(0.1**2), "true"), ("f_beta", _F.format(0.5**2), "true")]
+_CHOICES = [("youden", "tpr - fpr", "true"), ("fpr_ceiling", "tpr", "fpr <= 0.05"), ("fpr_ceiling", "tpr", "fpr <= 0.2"), ("fpr_ceiling", "tpr", "fpr <= -1"), ("precision_floor", "tpr", "precision >= 0.9"), ("f_beta", _F.format(0.1**2), "true"), ("f_beta", _F.format(0.5**2), "true")]
 
 
 @query(f"WITH {CURVE}, c AS ({' UNION ALL '.join(_BEST.format(*x) for x in _CHOICES)}) SELECT round(threshold, 6) AS threshold, array_to_string(list_sort(list_distinct(list(strategy))), ',') AS strategies FROM c GROUP BY threshold")
 def threshold_candidates(spark, d):
     roc = calibrate.roc_curve(scores(spark, d), "p")
-    values = [("youden", None), ("fpr_ceiling", 0.05), ("fpr_ceiling", 0.2), ("precision_floor", 0.9), ("f_beta", 0.1), ("f_beta", 0.5)]
+    values = [("youden", None), ("fpr_ceiling", 0.05), ("fpr_ceiling", 0.2), ("fpr_ceiling", -1.0), ("precision_floor", 0.9), ("f_beta", 0.1), ("f_beta", 0.5)]
     return calibrate.threshold_candidates(roc, values).withColumn("threshold", r6("threshold"))
 
 
@@ -266,6 +266,29 @@ def threshold_sweep(spark, d):
     return s.select("threshold", "tp", "fp", r6("tpr").alias("tpr"), r6("margin").alias("margin"))
 
 
+@query(f"WITH {ROWS} SELECT round(greatest(min(cost) FILTER (WHERE label = 1), min(cost) FILTER (WHERE label = 0)), 6) AS lo, round(least(max(cost) FILTER (WHERE label = 1), max(cost) FILTER (WHERE label = 0)), 6) AS hi FROM rows_")
+def overlap_zone(spark, d):
+    return calibrate.overlap_zone(rows(spark, d)).select(r6("lo").alias("lo"), r6("hi").alias("hi"))
+
+
+@query(f"""WITH {ROWS}, q AS (SELECT s.share, quantile_cont(r.cost, [0.9, 0.95, 0.99])[s.i] AS threshold FROM rows_ r, (VALUES (1, 0.9::DOUBLE), (2, 0.95::DOUBLE), (3, 0.99::DOUBLE)) s(i, share) WHERE r.label = 1 GROUP BY s.i, s.share)
+SELECT share, round(threshold, 6) AS threshold, count(*) FILTER (WHERE label = 1 AND cost <= threshold) AS tp, count(*) FILTER (WHERE label = 0 AND cost <= threshold) AS fp, round(count(*) FILTER (WHERE label = 0 AND cost <= threshold) / count(*) FILTER (WHERE label = 0), 6) AS fpr,
+  round(avg(threshold - cost) FILTER (WHERE label = 1 AND cost <= threshold), 6) AS margin FROM rows_, q WHERE label IS NOT NULL GROUP BY share, threshold""")
+def positive_thresholds(spark, d):
+    p = calibrate.positive_thresholds(rows(spark, d))
+    return p.select("share", r6("threshold").alias("threshold"), "tp", "fp", r6("fpr").alias("fpr"), r6("margin").alias("margin"))
+
+
+@query(f"""WITH {ROWS}, fit AS (SELECT base AS x, cost AS y FROM rows_ WHERE cost BETWEEN 0 AND 10), q AS (SELECT unnest(quantile_cont(x, [i / 100 FOR i IN range(101)])) AS kx, unnest(quantile_cont(y, [i / 100 FOR i IN range(101)])) AS ky, unnest(range(101)) AS i FROM fit),
+k AS (SELECT kx, arg_min(ky, i) AS ky FROM q GROUP BY kx), s AS (SELECT kx, ky, lead(kx) OVER (ORDER BY kx) AS nx, lead(ky) OVER (ORDER BY kx) AS ny FROM k),
+m AS (SELECT x, y, CASE WHEN nx IS NULL THEN ky ELSE ky + (ny - ky) * (x - kx) / (nx - kx) END AS c FROM fit ASOF JOIN s ON fit.x >= s.kx),
+r AS (SELECT *, rank() OVER (ORDER BY c) + (count(*) OVER (PARTITION BY c) - 1) / 2 AS rc, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2 AS ry FROM m)
+SELECT count(*) AS n, round(avg(abs(x - y)), 6) AS mae_raw, round(avg(abs(c - y)), 6) AS mae, round(corr(rc, ry), 6) AS spearman FROM r""")
+def calibration_quality(spark, d):
+    _, report = calibrate.calibration_fit(rows(spark, d), "base", "cost")
+    return report.select("n", *(r6(c).alias(c) for c in ("mae_raw", "mae", "spearman")))
+
+
 @query(f"WITH {ROWS}, g AS (SELECT scale, penalty, (1 - base) * scale + penalty * gap <= 4 AS o, cost <= 4 AS b FROM rows_, (VALUES (1.0::DOUBLE), (5.0::DOUBLE)) s(scale), (VALUES (0.0::DOUBLE), (0.1::DOUBLE)) p(penalty)) SELECT scale, penalty, count(*) FILTER (WHERE o AND b) AS tp, count(*) FILTER (WHERE NOT o AND NOT b) AS tn, round(avg((o = b)::INT), 6) AS agreement FROM g GROUP BY ALL")
 def agreement_grid(spark, d):
     r = rows(spark, d).select(F.col("cost").alias("base_cost"), F.col("base").alias("score"), "gap")
@@ -456,6 +479,24 @@ def coefficient_table(spark, d):
     return t.select("feature", *(r6(c).alias(c) for c in ("coefficient", "se", "z", "p", "odds_ratio")))
 
 
+@query(f"""WITH {ROWS}, m AS (SELECT anchor_id || '-' || candidate_id AS key, cost - avg(cost) OVER () AS a, gap - avg(gap) OVER () AS b, count(*) OVER () AS n FROM rows_ WHERE label IS NOT NULL), s AS (SELECT sum(a * a) AS aa, sum(a * b) AS ab, sum(b * b) AS bb FROM m)
+SELECT key, round(1 / n + (a * a * bb - 2 * a * b * ab + b * b * aa) / (aa * bb - ab * ab), 9) AS leverage FROM m, s""")
+def leverage(spark, d):
+    r = rows(spark, d).filter("label is not null").withColumn("key", F.concat_ws("-", "anchor_id", "candidate_id"))
+    return models.leverage(r, ["cost", "gap"]).select("key", F.round("leverage", 9).alias("leverage"))
+
+
+@query(f"WITH {ROWS}, c AS (SELECT corr(cost, gap)^2 AS r2 FROM rows_) SELECT f AS feature, round(1 / (1 - r2 + 1e-8), 4) AS vif FROM c, (VALUES ('cost'), ('gap')) v(f)")
+def vif(spark, d):
+    return models.vif_selection(rows(spark, d), ["cost", "gap"]).select("feature", F.round("vif", 4).alias("vif"))
+
+
+@query(f"WITH {ROWS}, t AS (SELECT cost, gap, 2 * cost + 0.01 * base AS twin FROM rows_), c AS (SELECT 'cost' AS a, 'gap' AS b, corr(cost, gap) AS r FROM t UNION ALL SELECT 'cost', 'twin', corr(cost, twin) FROM t UNION ALL SELECT 'gap', 'twin', corr(gap, twin) FROM t) SELECT a, b, round(r, 6) AS r FROM c WHERE abs(r) > 0.8")
+def correlated_groups(spark, d):
+    r = rows(spark, d).withColumn("twin", F.col("cost") * 2 + F.col("base") * 0.01)
+    return models.correlated_groups(r, ["cost", "gap", "twin"]).select("a", "b", r6("r").alias("r"))
+
+
 @query()
 def influence(spark, d):
     r = rows(spark, d).filter("label is not null").withColumn("key", F.concat_ws("-", "anchor_id", "candidate_id"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..adapters import DETECTIONS_SQL, ENDPOINTS_SQL, detections, endpoints, fragments
-from ..functions.numeric import UNIT_HASH_SQL, total
+from ..functions.numeric import UNIT_HASH_SQL, total, unit_normal_sql
 from ..operators import aggregates, costs, datasets, joins, mot, prepare, ranking, smooth
 from ..operators.graph import checkpointed, connected_components, extract_paths, greedy_chains, verify_paths
 from ..operators.matching import path_cover
@@ -618,16 +618,27 @@ def hard_negatives(spark, d):
     return datasets.hard_negatives(_with_velocity(spark, d), 500, 1.0, 10.0, 5.0).select("a_frag_id", "b_frag_id", r6("hardness").alias("hardness"))
 
 
-@query()
+def _sampled(spark, d):
+    """Detections with a height and velocities, of which the latter are made anew."""
+    return detections(spark, d).withColumns({"height": F.col("length") / 2, "velocity": F.lit(0.0)})
+
+
+_N = {c: unit_normal_sql(f"frag_id, idx, '{c}'") for c in ("x", "y", "t", "length", "width", "height", "velocity", "conf")}
+_NOISY = f"""n AS (SELECT frag_id, idx, t, x + 1.5 * {_N['x']} AS x, y + 0.5 * {_N['y']} AS y, greatest(length + 0.8 * {_N['length']}, 1) AS length, greatest(width + 0.15 * {_N['width']}, 1) AS width,
+  greatest(length / 2 + 0.3 * {_N['height']}, 1) AS height, greatest(0.1, least(1, 0.92 + 0.11 * {_N['conf']})) AS conf FROM det),
+a AS (SELECT *, (lead(x) OVER w - x) / CASE WHEN lead(t) OVER w = t THEN 1e-6 ELSE lead(t) OVER w - t END AS v FROM n WINDOW w AS (PARTITION BY frag_id ORDER BY idx))"""
+
+
+@query(f"WITH {DETECTIONS_SQL}, {_NOISY} SELECT frag_id, idx, round(x, 6) AS x, round(y, 6) AS y, round(length, 6) AS length, round(width, 6) AS width, round(height, 6) AS height, round(conf, 6) AS conf, round(coalesce(v, lag(v) OVER (PARTITION BY frag_id ORDER BY idx), 0) + 4 * {_N['velocity']}, 4) AS velocity FROM a")
 def detection_noise(spark, d):
-    f = fragments(detections(spark, d)).select("frag_id", "t", "x", "y", "length", "width", "conf")
-    return datasets.detection_noise(f).select("frag_id", F.size("x").alias("n"), r6(total(F.col("x"))).alias("sx"))
+    n = datasets.detection_noise(_sampled(spark, d))
+    return n.select("frag_id", "idx", *(r6(c).alias(c) for c in ("x", "y", "length", "width", "height", "conf")), F.round("velocity", 4).alias("velocity"))
 
 
-@query()
+@query(f"""WITH {DETECTIONS_SQL}, n AS (SELECT frag_id, idx, y + 0.5 * ({unit_normal_sql("frag_id, 'y'")} + 0.1 * {_N['y']}) AS y, x + 0.1 * sum(1.0 * {_N['x']}) OVER w AS x, t + 0.1 * sum(0.02 * {_N['t']}) OVER w AS t, 2.0 * {_N['velocity']} AS velocity FROM det WINDOW w AS (PARTITION BY frag_id ORDER BY idx))
+SELECT frag_id, idx, round(max(t) OVER (PARTITION BY frag_id ORDER BY idx), 6) AS t, round(x, 6) AS x, round(y, 6) AS y, round(velocity, 6) AS velocity FROM n""")
 def correlated_noise(spark, d):
-    f = fragments(detections(spark, d)).select("frag_id", "t", "x", "y", "length", "width", "conf")
-    return datasets.correlated_noise(f).select("frag_id", F.size("x").alias("n"), r6(total(F.col("y"))).alias("sy"))
+    return datasets.correlated_noise(_sampled(spark, d)).select("frag_id", "idx", *(r6(c).alias(c) for c in ("t", "x", "y", "velocity")))
 
 
 @query(f"WITH {DETECTIONS_SQL}, u AS (SELECT frag_id, idx, {UNIT_HASH_SQL.format('frag_id, idx', 0)} AS u, count(*) OVER w AS n, max(idx) OVER w AS last FROM det WINDOW w AS (PARTITION BY frag_id)), r AS (SELECT *, row_number() OVER (PARTITION BY frag_id ORDER BY CASE WHEN idx > 0 AND idx < last THEN u ELSE 2.0 END, idx) AS rank FROM u) SELECT frag_id, count(*) AS n FROM r WHERE NOT (idx > 0 AND idx < last AND u < 0.3 AND rank <= n - 2) GROUP BY frag_id")
