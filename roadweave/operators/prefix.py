@@ -66,24 +66,35 @@ def percentiles_of(rows: DataFrame, values: Sequence[str], probabilities: Sequen
     place = {f: i for i, f in enumerate(fractions)}
     sketch = long.groupBy(*group).agg(F.count("v").alias("n"), F.percentile_approx("v", F.lit(fractions), F.lit(ACCURACY)).alias("s"))
 
-    def end(p: float, side: int, open_to: float):  # NaN is above all numbers
-        out = F.lit(open_to)
-        for m in reversed(MARGINS):  # the narrowest that holds three ranks more than the sketch may err
-            at = p + side * m
-            known = F.lit(open_to) if at <= 0 or at >= 1 else F.col("s")[place[at]]
-            out = F.when(F.lit(m) >= 3 / ACCURACY + 3 / F.col("n"), known).otherwise(out)
-        return out
-
-    ends = [F.struct(F.lit(i).alias("i"), F.lit(p).alias("p"), end(p, -1, float("-inf")).alias("lo"), end(p, 1, float("nan")).alias("hi")) for i, p in enumerate(probs)]
-    brackets = checkpointed(sketch.select(*group, "n", F.array(*ends).alias("b")))
+    order = sorted(range(len(probs)), key=lambda i: probs[i])  # lower ends of brackets rise
+
+    def places(side: int) -> list[list[int]]:
+        """For each margin, and for none, where each bracket's end is among the fractions; -1 where it is open."""
+        at = [[probs[k] + side * m for k in order] for m in MARGINS]
+        return [[place[f] + 1 if 0 < f < 1 else -1 for f in row] for row in at] + [[-1] * len(probs)]
+
+    # the narrowest margin that holds three ranks more than the sketch may err
+    margin = F.size(F.filter(F.lit(list(MARGINS)), lambda m: m < 3 / ACCURACY + 3 / F.col("n"))) + 1
+
+    def ends(side: int, open_to: float):
+        return F.transform(F.element_at(F.lit(places(side)), margin), lambda at: F.when(at < 0, F.lit(open_to)).otherwise(F.element_at("s", F.greatest(at, F.lit(1)))))
+
+    turn = F.array(*(F.lit(order.index(k) + 1) for k in range(len(probs))))
+    numbered = F.lit([[float(i), probs[k]] for i, k in enumerate(order)])
+    zipped = sketch.select(*group, "n", F.arrays_zip(numbered.alias("at"), ends(-1, float("-inf")).alias("lo"), ends(1, float("nan")).alias("hi")).alias("z"))  # NaN is above all numbers
+    bracket = F.transform("z", lambda x: F.struct(x["at"][0].cast("int").alias("i"), x["at"][1].alias("p"), x["lo"].alias("lo"), x["hi"].alias("hi")))
+    brackets = checkpointed(zipped.select(*group, "n", bracket.alias("b")))
     same = lambda t: [F.col(f"{t}.{c}").eqNullSafe(F.col(f"b.{c}")) for c in group]
 
     def counted(brackets: DataFrame) -> DataFrame:
         met = long.alias("l").join(brackets.alias("b"), same("l"))
-        below = F.transform(F.filter("b.b", lambda x: F.col("v") < x["lo"]), lambda x: F.struct(x["i"].alias("i"), F.lit(None).cast("double").alias("v")))
+        under = F.size(F.filter("b.b", lambda x: F.col("v") < x["lo"]))  # it lies below so many of the last brackets
+        below = F.array(F.struct((-under).alias("i"), F.lit(None).cast("double").alias("v")))
         inside = F.transform(F.filter("b.b", lambda x: (F.col("v") >= x["lo"]) & (F.col("v") <= x["hi"])), lambda x: F.struct(x["i"].alias("i"), F.col("v").alias("v")))
-        hits = met.select(*(F.col(f"b.{c}").alias(c) for c in group), F.explode(F.concat(below, inside)).alias("_h"))
-        counts = checkpointed(hits.groupBy(*group, F.col("_h.i").alias("i"), F.col("_h.v").alias("v")).agg(F.count(F.lit(1)).alias("c")))
+        hits = met.select(*(F.col(f"b.{c}").alias(c) for c in group), F.explode(F.when(under > 0, F.concat(below, inside)).otherwise(inside)).alias("_h"))
+        found = checkpointed(hits.groupBy(*group, F.col("_h.i").alias("i"), F.col("_h.v").alias("v")).agg(F.count(F.lit(1)).alias("c")))
+        lower = found.filter("v is null").select(*group, F.explode(F.sequence(F.lit(len(probs)) + F.col("i"), F.lit(len(probs) - 1))).alias("i"), "v", "c")
+        counts = found.filter("v is not null").unionByName(lower.groupBy(*group, "i", "v").agg(F.sum("c").alias("c")))
         upto = Window.partitionBy(*group, "i").orderBy(F.asc_nulls_first("v")).rowsBetween(Window.unboundedPreceding, 0)
         known = brackets.select(*group, "n", F.explode("b").alias("_b")).select(*group, "n", F.col("_b.i").alias("i"), F.col("_b.p").alias("p"))
         ranks = counts.withColumn("upto", F.sum("c").over(upto)).filter("v is not null").alias("l").join(known.alias("b"), [*same("l"), F.col("l.i") == F.col("b.i")])
@@ -92,10 +103,10 @@ def percentiles_of(rows: DataFrame, values: Sequence[str], probabilities: Sequen
         hit = ranks.groupBy(*(F.col(f"b.{c}").alias(c) for c in group), F.col("b.i").alias("i")).agg(
             F.max(F.when(holds(F.floor(at)), F.col("v"))).alias("lo"), F.max(F.when(holds(F.ceil(at)), F.col("v"))).alias("hi"), F.max(at).alias("at"))
         between = F.when(F.ceil("at") == F.floor("at"), F.col("lo")).otherwise((F.ceil("at") - F.col("at")) * F.col("lo") + (F.col("at") - F.floor("at")) * F.col("hi"))
-        return hit.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct("i", between.alias("q")))).alias("_s")).select(*group, F.col("_s").getField("q").alias("q"))
+        return hit.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct("i", between.alias("q")))).alias("_s")).select(*group, F.transform(turn, lambda k: F.try_element_at(F.col("_s").getField("q"), k)).alias("q"))
 
     found = checkpointed(counted(brackets))
-    good = (F.size("q") == len(probs)) & F.forall("q", lambda x: x.isNotNull())
+    good = F.forall("q", lambda x: x.isNotNull())
     missed = brackets.alias("b").join(found.filter(good).alias("f"), same("f"), "left_anti")
     if missed.isEmpty():
         return found
