@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import unit_hash
+from .prefix import ranked_within
 
 
 def bucket_range_join(left: DataFrame, right: DataFrame, keys: Sequence[str], lo: Column, at: str, width: float) -> DataFrame:
@@ -68,7 +69,7 @@ def directional_gap(pairs_direction: Column, a_end: Column, b_start: Column) ->
 
 def strict_candidates(ends: DataFrame, max_gap: float = 5.0, x_range: tuple[float, float] = (-50.0, 200.0), max_dy: float = 5.0) -> DataFrame:
     """Candidates that truly follow, with a directional x gap in range and close mean y."""
-    pairs = candidate_pairs(ends, max_gap, float("inf"))
+    pairs = candidate_pairs(ends, max_gap, max(map(abs, x_range)))
     x = directional_gap(F.col("a_direction"), F.col("a_end_x"), F.col("b_start_x"))
     return pairs.filter((F.col("gap") > 0) & (x >= x_range[0]) & (x <= x_range[1]) & (F.abs(F.col("a_mean_y") - F.col("b_mean_y")) <= max_dy))
 
@@ -148,17 +149,12 @@ def cross_negatives(ends: DataFrame, groups: Sequence[str], max_gap: float = 10.
 
 
 def lane_negatives(ends: DataFrame, k: int = 29, lane_ft: float = 6.0) -> DataFrame:
-    """Within a direction and lane bin, each fragment with the next ``k`` by start, other vehicles only."""
+    """Within a direction and lane bin, each fragment with the next ``k`` by start, other vehicles only: an equi-join on places in the lane."""
     lane = (F.col("mean_y") / lane_ft).cast("int")
-    w = Window.partitionBy("direction", "lane").orderBy("first_t", "frag_id")
-    ranked = ends.select("frag_id", "gt_id", "direction", lane.alias("lane"), "first_t").withColumn("rn", F.row_number().over(w))
-    after = Window.partitionBy("direction", "lane").orderBy("rn").rowsBetween(1, k)
-    return (
-        ranked.withColumn("next", F.collect_list(F.struct("frag_id", "gt_id")).over(after))
-        .withColumn("b", F.explode("next"))
-        .filter(F.col("b.gt_id") != F.col("gt_id"))
-        .select(F.col("frag_id").alias("a_frag_id"), F.col("b.frag_id").alias("b_frag_id"), "direction", "lane")
-    )
+    placed = ranked_within(ends.select("frag_id", "gt_id", "direction", lane.alias("lane"), "first_t"), ["direction", "lane"], ["first_t", "frag_id"])
+    a = placed.select("direction", "lane", "gt_id", F.col("frag_id").alias("a_frag_id"), F.explode(F.sequence(F.col("rn") + 1, F.col("rn") + k)).alias("rn"))
+    b = placed.select("direction", "lane", "rn", F.col("gt_id").alias("b_gt_id"), F.col("frag_id").alias("b_frag_id"))
+    return a.join(b, ["direction", "lane", "rn"]).filter("gt_id != b_gt_id").select("a_frag_id", "b_frag_id", "direction", "lane")
 
 
 def random_negatives(ends: DataFrame, n: int, time_win: float, seed: int = 0) -> DataFrame:

@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import unit_hash
 from .calibrate import roc_auc
+from .graph import checkpointed
+from .prefix import ranked_within
 
 
 def fit_logistic(train: DataFrame, features: Sequence[str], label: str = "label", l1: float = 0.0, reg: float = 1e-3) -> PipelineModel:
@@ -37,29 +39,55 @@ def predict(model: PipelineModel, rows: DataFrame) -> DataFrame:
     return out.withColumn("p", vector_to_array("probability")[1]).drop("_raw", "_x", "rawPrediction", "probability", "prediction")
 
 
-def folds(rows: DataFrame, key: str, k: int = 5, seed: int = 0) -> DataFrame:
-    return rows.withColumn("fold", F.floor(unit_hash(key, seed=seed) * k).cast("int"))
+def folds(rows: DataFrame, key: str, k: int = 5, seed: int = 0, label: str = "label") -> DataFrame:
+    """``rows`` with a ``fold``: each class is dealt out in hash order, so a fold has its share of every class, to one row."""
+    placed = ranked_within(rows.withColumn("_u", unit_hash(key, seed=seed)), [label], ["_u", key], "_rn")
+    return placed.withColumn("fold", ((F.col("_rn") - 1) % k).cast("int")).drop("_u", "_rn")
 
 
 def out_of_fold(rows: DataFrame, key: str, features: Sequence[str], k: int = 5, **kw) -> DataFrame:
     """Predictions for every row from a model that has not seen its fold."""
-    dealt, out = folds(rows, key, k), None
+    dealt, out = checkpointed(folds(rows, key, k)), None
     for i in range(k):
         made = predict(fit_logistic(dealt.filter(F.col("fold") != i), features, **kw), dealt.filter(F.col("fold") == i))
         out = made if out is None else out.unionByName(made)
     return out
 
 
-def holdout(rows: DataFrame, key: str, features: Sequence[str], share: float = 0.2, seed: int = 0) -> DataFrame:
-    u = unit_hash(key, seed=seed)
-    return predict(fit_logistic(rows.filter(u >= share), features), rows.filter(u < share))
+def held_out(rows: DataFrame, key: str, share: float = 0.2, seed: int = 0, label: str = "label") -> DataFrame:
+    """``rows`` with ``held``: the first ``share`` (rounded up) of each class in hash order."""
+    placed = ranked_within(rows.withColumn("_u", unit_hash(key, seed=seed)), [label], ["_u", key], "_rn")
+    sizes = rows.groupBy(F.col(label).alias("_l")).agg(F.count(F.lit(1)).alias("_n"))  # a row per class
+    met = placed.join(sizes, F.col(label).eqNullSafe(F.col("_l")))
+    return met.withColumn("held", F.col("_rn") <= F.ceil(F.col("_n") * F.lit(share))).drop("_u", "_rn", "_l", "_n")
 
 
-def source_holdout(rows: DataFrame, features: Sequence[str], tag: str, preferred: Sequence[str] = ()) -> DataFrame:
-    """Fit without one source, test on it: a preferred one, else the second largest."""
-    tags = [r[tag] for r in rows.groupBy(tag).count().orderBy(F.desc("count"), tag).limit(50).collect()]
-    held = next((t for t in preferred if t in tags), tags[min(1, len(tags) - 1)])
-    return predict(fit_logistic(rows.filter(F.col(tag) != held), features), rows.filter(F.col(tag) == held))
+def holdout(rows: DataFrame, key: str, features: Sequence[str], share: float = 0.2, seed: int = 0) -> DataFrame:
+    """Predictions for the held-out rows from a model of the others."""
+    dealt = checkpointed(held_out(rows, key, share, seed))
+    return predict(fit_logistic(dealt.filter("not held"), features), dealt.filter("held"))
+
+
+def source_holdout(rows: DataFrame, features: Sequence[str], tag: str, preferred: tuple[str, str] | None = None, label: str = "label") -> DataFrame:
+    """One row: fitted on one source and tested on another, ``preferred`` if there are both, else the largest and the second largest.
+
+    ``status`` is skipped, with a reason, with fewer than two sources or where one of the two has a single class.
+    """
+    spark, schema = rows.sparkSession, "status string, reason string, train_tag string, test_tag string, n_train bigint, n_test bigint, auc double"
+    known = rows.groupBy(F.col(tag).cast("string").alias("tag"))
+    about = known.agg(F.count(F.lit(1)).alias("n"), F.countDistinct(label).alias("classes")).orderBy(F.desc("n"), "tag")
+    two = about.limit(2).collect()
+    if preferred:
+        asked = {r["tag"]: r for r in about.filter(F.col("tag").isin(*preferred)).collect()}
+        two = [asked[t] for t in preferred] if len(asked) == 2 else two
+    if len(two) < 2:
+        return spark.createDataFrame([("skipped", "fewer than two sources", None, None, None, None, None)], schema)
+    train, test = two
+    if min(train["classes"], test["classes"]) < 2:
+        return spark.createDataFrame([("skipped", "a single class", train["tag"], test["tag"], train["n"], test["n"], None)], schema)
+    of = lambda r: rows.filter(F.col(tag).cast("string") == r["tag"])
+    auc = roc_auc(predict(fit_logistic(of(train), features, label), of(test)), "p").first()["auc"]
+    return spark.createDataFrame([("executed", None, train["tag"], test["tag"], train["n"], test["n"], float(auc))], schema)
 
 
 def scenario_validation(rows: DataFrame, key: str, features: Sequence[str], scenario: str = "scenario") -> DataFrame:

@@ -39,6 +39,17 @@ def running_sums(per: DataFrame, keys: Sequence[str], by: str, sums: dict[str, s
     return out.select(*per.columns, *((F.col(n) + F.col(f"_{n}")).alias(n) for n in sums))
 
 
+def ranked_within(rows: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "rn") -> DataFrame:
+    """``rows`` with their place (1, 2, ...) in ``order`` within their key, from a range partition: no task per key.  ``order`` tells rows apart."""
+    by = [*keys, *order]
+    placed = checkpointed(rows.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_place", F.monotonically_increasing_id())).withColumn("_task", F.shiftrightunsigned("_place", 33))
+    runs = placed.groupBy(*keys, "_task").agg(F.min("_place").alias("_from"), F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy(*keys).orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)  # a row per task and key
+    runs = runs.select(*keys, "_task", "_from", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    met = placed.alias("l").join(runs.alias("r"), [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in [*keys, "_task"]])
+    return met.select(*(F.col(f"l.{c}").alias(c) for c in rows.columns), (F.col("_before") + F.col("l._place") - F.col("_from") + 1).alias(name))
+
+
 def percentiles(rows: DataFrame, value: str, probabilities: Sequence[float], keys: Sequence[str] = (), name: str = "q") -> DataFrame:
     """keys and an array of the exact percentiles of ``value``, interpolated between ranks; nulls don't count.
 

@@ -465,6 +465,18 @@ def vif_selection(spark, d):
     return models.vif_selection(r, ["cost", "base", "gap", "twin"]).select("feature", "kept", "step", r6("vif").alias("vif"))
 
 
+@query(f"WITH {SCORES}, r AS (SELECT doc_id, label, row_number() OVER (PARTITION BY label ORDER BY {UNIT_HASH_SQL.format('doc_id', 0)}, doc_id) AS rn, count(*) OVER (PARTITION BY label) AS n FROM scores) SELECT doc_id, CAST((rn - 1) % 5 AS INTEGER) AS fold, rn <= ceil(n * 0.2::DOUBLE) AS held FROM r")
+def stratified_folds(spark, d):
+    s = scores(spark, d)
+    return models.folds(s, "doc_id").select("doc_id", "fold").join(models.held_out(s, "doc_id").select("doc_id", "held"), "doc_id")
+
+
+@query(f"WITH {SCORES}, t AS (SELECT scenario, count(*) AS n, count(DISTINCT label) AS c, row_number() OVER (ORDER BY count(*) DESC, scenario) AS rn FROM scores GROUP BY scenario) SELECT CASE WHEN min(c) < 2 THEN 'skipped' ELSE 'executed' END AS status, max(scenario) FILTER (WHERE rn = 1) AS train_tag, max(scenario) FILTER (WHERE rn = 2) AS test_tag, CAST(max(n) FILTER (WHERE rn = 1) AS BIGINT) AS n_train, CAST(max(n) FILTER (WHERE rn = 2) AS BIGINT) AS n_test FROM t WHERE rn <= 2")
+def source_holdout(spark, d):
+    h = models.source_holdout(scores(spark, d).withColumn("label", F.col("label").cast("double")), ["p", "n_chars", "rest"], "scenario")
+    return h.select("status", "train_tag", "test_tag", "n_train", "n_test")
+
+
 @query()
 def out_of_fold_scores(spark, d):
     o = models.out_of_fold(scores(spark, d).withColumn("label", F.col("label").cast("double")), "doc_id", ["p", "n_chars", "rest"], 3)
