@@ -11,6 +11,7 @@ bracket and, by value, inside; only what is inside is shuffled.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 from .graph import checkpointed
 
 ACCURACY = 10_000
+FEW = 16
 MARGINS = tuple(3 / ACCURACY * 8**k for k in range(5))
 
 
@@ -99,13 +101,21 @@ def percentiles_of(rows: DataFrame, values: Sequence[str], probabilities: Sequen
 
     def counted(brackets: DataFrame) -> DataFrame:
         met = long.alias("l").join(brackets.alias("b"), same("l"))
-        under = F.size(F.filter("b.b", lambda x: F.col("v") < x["lo"]))  # it lies below so many of the last brackets
-        below = F.array(F.struct((-under).alias("i"), F.lit(None).cast("double").alias("v")))
-        inside = F.transform(F.filter("b.b", lambda x: (F.col("v") >= x["lo"]) & (F.col("v") <= x["hi"])), lambda x: F.struct(x["i"].alias("i"), F.col("v").alias("v")))
-        hits = met.select(*(F.col(f"b.{c}").alias(c) for c in group), F.explode(F.when(under > 0, F.concat(below, inside)).otherwise(inside)).alias("_h"))
-        found = checkpointed(hits.groupBy(*group, F.col("_h.i").alias("i"), F.col("_h.v").alias("v")).agg(F.count(F.lit(1)).alias("c")))
-        lower = found.filter("v is null").select(*group, F.explode(F.sequence(F.lit(len(probs)) + F.col("i"), F.lit(len(probs) - 1))).alias("i"), "v", "c")
-        counts = found.filter("v is not null").unionByName(lower.groupBy(*group, "i", "v").agg(F.sum("c").alias("c")))
+        in_ = lambda x: (F.col("v") >= x["lo"]) & (F.col("v") <= x["hi"])
+        if len(probs) <= FEW:  # spelled out, Spark compiles it
+            each = [F.col("b.b")[i] for i in range(len(probs))]
+            under = reduce(lambda s, x: s + (F.col("v") < x["lo"]).cast("int"), each, F.lit(0))
+            inside = reduce(lambda s, x: s | in_(x), each, F.lit(False))
+        else:
+            under, inside = F.size(F.filter("b.b", lambda x: F.col("v") < x["lo"])), F.exists("b.b", in_)
+        names = [F.col(f"b.{c}").alias(c) for c in group]
+        # a value lies below so many of the last brackets; only values inside one are kept apart
+        found = met.select(*names, under.alias("under"), F.when(inside, F.col("v")).alias("v")).groupBy(*group, "under", "v").agg(F.count(F.lit(1)).alias("c"))
+        found = checkpointed(found)
+        lower = found.filter("under > 0").select(*group, F.explode(F.sequence(F.lit(len(probs)) - F.col("under"), F.lit(len(probs) - 1))).alias("i"), F.lit(None).cast("double").alias("v"), "c")
+        inner = found.filter("v is not null").alias("l").join(brackets.select(*group, "b").alias("b"), same("l"))
+        inner = inner.select(*names, F.explode(F.transform(F.filter("b.b", in_), lambda x: x["i"])).alias("i"), "v", "c")
+        counts = inner.unionByName(lower.groupBy(*group, "i", "v").agg(F.sum("c").alias("c")))
         upto = Window.partitionBy(*group, "i").orderBy(F.asc_nulls_first("v")).rowsBetween(Window.unboundedPreceding, 0)
         known = brackets.select(*group, "n", F.explode("b").alias("_b")).select(*group, "n", F.col("_b.i").alias("i"), F.col("_b.p").alias("p"))
         ranks = counts.withColumn("upto", F.sum("c").over(upto)).filter("v is not null").alias("l").join(known.alias("b"), [*same("l"), F.col("l.i") == F.col("b.i")])
