@@ -53,7 +53,8 @@ def _united(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             root.setdefault(v, v)
             a, b = find(u), find(v)
             root[max(a, b)] = min(a, b)
-    yield pd.DataFrame({"u": list(root), "v": [find(n) for n in root]})
+    if root:
+        yield pd.DataFrame({"u": list(root), "v": [find(n) for n in root]})
 
 
 def connected_components(nodes: DataFrame, edges: DataFrame, task_edges: int = TASK_EDGES) -> DataFrame:
