@@ -682,7 +682,6 @@ def _files(rows, number, folder):
 
 #: Four files in order of the fragments' ends; one vehicle in eleven comes with the last file, whenever it ended.
 FILE_OF_SQL = "CASE WHEN gt_id % 11 = 3 THEN 4 ELSE least(3, CAST(floor(last_t / 180) AS INTEGER)) END"
-FILE_OF = F.expr("CASE WHEN gt_id % 11 = 3 THEN 4 ELSE least(3, CAST(floor(last_t / 180) AS INT)) END")
 
 
 def _merge_stream(spark, d, close=True):
@@ -692,7 +691,7 @@ def _merge_stream(spark, d, close=True):
     det, where = detections(spark, d), shared_path(spark, "stream")
     samples = fragments(det).select("frag_id", *online.SAMPLES)
     tracks = endpoints(det).join(samples, "frag_id").withColumn("event_time", F.timestamp_seconds("last_t"))
-    _files(tracks.select("gt_id", *(f.name for f in online.TRACKS)), FILE_OF, f"{where}/in")
+    _files(tracks.select("gt_id", *(f.name for f in online.TRACKS)), F.expr(FILE_OF_SQL), f"{where}/in")
     online.merge_stream(online.fragment_feed(spark, f"{where}/in", "1 second", 1, online.TRACKS), where, 24.0, 1.0, 0.5, 200.0, close)
     return where, endpoints(det), det
 
@@ -724,7 +723,7 @@ def streaming_stitch(spark, d):
     e = endpoints(detections(spark, d)).withColumn("event_time", F.timestamp_seconds("last_t"))
     where = shared_path(spark, "stream")
     feed = e.select("gt_id", *(f.name for f in online.ENDS))
-    _files(feed, FILE_OF, f"{where}/in")
+    _files(feed, F.expr(FILE_OF_SQL), f"{where}/in")
     online.end_marks(feed).coalesce(1).write.mode("append").parquet(f"{where}/in")
     paths = online.stitch_stream(online.fragment_feed(spark, f"{where}/in", "1 second"), where, WIN, 4.0)
     return paths.select("scenario", "direction", F.array_join("frag_ids", ",").alias("frag_ids"), F.size("frag_ids").alias("n"), r6("weight").alias("weight"), "late")
