@@ -350,6 +350,15 @@ def test_sources(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "sink")).count() == 2
 
 
+def test_entry_imports_without_a_session():
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = "import __spark_entry__ as e; assert set(e.oracle_sql()) <= set(e.queries())"
+    assert subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).parents[1], timeout=120).returncode == 0
+
+
 def test_registered_sql_and_queries():
     import __spark_entry__ as e
 
