@@ -12,8 +12,18 @@ shows its chosen option, a list box all of them; a ``textarea`` shows its conten
 paragraphs, headings, lists and tables stand apart by an empty line, list items
 carry a bullet or their number and are indented by depth, preformatted text
 keeps its blanks, and the cells of a table are padded to the width of their
-column; a cell of several lines (a table or preformatted text in it) makes its row as high.  Work is per page, without shuffle; the walk keeps its own stack, so deep
-nesting is no problem.
+column, counted in display columns; a cell of several lines (a table or preformatted
+text in it) makes its row as high.  Cells are placed on a grid: what spans rows keeps
+its columns free below, what spans columns takes their joint width.  Work is per
+page, without shuffle; the walk keeps its own stack and the builder the places of
+its open tags, so time and memory grow with the page, however deep it nests.
+
+Bounds of the layout, none of which drops text: padding counts cells of up to ``WIDE``
+columns; a row whose cells before the last are wider, or whose padding would take
+more than ``ROW_PAD`` + ``WIDE`` * cells characters, is written unaligned, its long cells on
+lines of their own; indents end at ``INDENT`` columns; tables nested deeper than
+``TABLES`` are written as blocks; at most ``HELD`` spans over rows are held at a time.
+So a text is at most some hundred times as long as its page.
 
 Cases: a null or empty page gives an empty text; text without any tag is
 rendered as inline text; broken markup is rendered as far as it goes: comments,
@@ -25,9 +35,12 @@ columns are carried along unless they are called ``text``, which is replaced.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections import defaultdict
+from collections.abc import Iterable, Iterator
 from html import unescape
 from html.parser import HTMLParser
+from unicodedata import combining, east_asian_width
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -73,6 +86,8 @@ _BLANKS = re.compile(r"[ \t\n\r\f]+")
 _NUMBER = re.compile(r"[ \t\n\r\f]*([+-]?[0-9]{1,9})(?![0-9])")
 _REFERENCE = re.compile(r"&#([xX]?)0*([0-9a-fA-F]+)")
 _COMMENT_END = re.compile(r"--!?>")
+#: Bounds of the layout, see above.
+WIDE, ROW_PAD, INDENT, TABLES, HELD = 64, 512, 32, 16, 256
 _UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
@@ -88,34 +103,39 @@ class _Builder(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = Node("html", {})
         self.open = [self.root]
-        self.foreign = False  # whether svg or math was met
+        self.places: defaultdict[str, list[int]] = defaultdict(list)  # of each tag in ``open``
+
+    def _last(self, tags: Iterable[str]) -> int:
+        """Index of the nearest open one of ``tags``, 0 if none is open."""
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=0)
+
+    def _cut(self, at: int) -> None:
+        """End the open elements from index ``at`` on."""
+        while len(self.open) > at:
+            self.places[self.open.pop().tag].pop()
 
     def _foreign(self) -> int:
         """Index of the svg or math whose rules hold here, 0 if none."""
-        for i in range(len(self.open) - 1 if self.foreign else 0, 0, -1):
-            if self.open[i].tag in _UNSHOWN:
-                return i
-            if self.open[i].tag in _HTML_AGAIN:
-                break
-        return 0
+        if not (self.places["svg"] or self.places["math"]):
+            return 0
+        at = self._last(_UNSHOWN)
+        return at if at > self._last(_HTML_AGAIN) else 0
 
     def _close(self, tags: frozenset[str], scope: frozenset[str]) -> None:
         """End the nearest open one of ``tags``, with all in it, unless one of ``scope`` stands between."""
-        for i in range(len(self.open) - 1, 0, -1):
-            if self.open[i].tag in tags:
-                del self.open[i:]
-                return
-            if self.open[i].tag in scope:
-                return
+        at = self._last(tags)
+        if at and at >= self._last(scope):
+            self._cut(at)
 
     def _end_head(self) -> None:
         """End a head that is the open element: what comes next cannot stand in it."""
         if self.open[-1].tag == "head":
-            self.open.pop()
+            self._cut(len(self.open) - 1)
 
     def _push(self, tag: str, attrs: dict) -> None:
         node = Node(tag, attrs)
         self.open[-1].children.append(node)
+        self.places[tag].append(len(self.open))
         self.open.append(node)
 
     def handle_starttag(self, tag, attrs):
@@ -126,19 +146,17 @@ class _Builder(HTMLParser):
         attrs = dict(reversed(attrs))  # the first of a name counts
         if at := self._foreign():
             if tag in _ENDS_FOREIGN:
-                del self.open[at:]
+                self._cut(at)
             else:
                 unshown = tag in _UNSHOWN[self.open[at].tag] or attrs.get("display") == "none" or attrs.get("visibility") in ("hidden", "collapse")
                 return self._push(tag, attrs | {"hidden": ""} if unshown else attrs)
-        if tag in _UNSHOWN:
-            self.foreign = True
         if tag in ("select", "input", "textarea"):
             self._close(frozenset({"select"}), frozenset({"table"}))
         if tag in ("option", "optgroup"):
             self._close(frozenset({"option"}), frozenset({"select", "datalist"}))
         if tag == "optgroup":
             self._close(frozenset({"optgroup"}), frozenset({"select", "datalist"}))
-        if tag in BLOCKS:
+        if tag in BLOCKS and self.places["p"]:
             self._close(frozenset({"p"}), _P_SCOPE)
         if tag in _CLOSES:
             self._close(*_CLOSES[tag])
@@ -148,12 +166,12 @@ class _Builder(HTMLParser):
         if tag == "textarea" and _TAGS_IN_TEXTAREA:
             self.set_cdata_mode(tag)
         if tag in VOID:
-            self.open.pop()
+            self._cut(len(self.open) - 1)
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
         if self.open[-1].tag == tag and (tag in _UNSHOWN or self._foreign() or tag in _HTML_AGAIN and self._inside_foreign()):
-            self.open.pop()
+            self._cut(len(self.open) - 1)
 
     def handle_endtag(self, tag):
         if tag == "br":
@@ -167,9 +185,9 @@ class _Builder(HTMLParser):
 
     def _inside_foreign(self) -> bool:
         """Whether the open element is a child of svg or math content."""
-        last = self.open.pop()
+        last = self.places[self.open[-1].tag].pop()
         found = self._foreign() > 0
-        self.open.append(last)
+        self.places[self.open[-1].tag].append(last)
         return found
 
     def parse_comment(self, i, report=True):
@@ -194,7 +212,7 @@ class _Builder(HTMLParser):
         if not _BLANKS.fullmatch(data):
             self._end_head()
         at = self._foreign()
-        if at and self.open[at].tag == "svg" and all(n.tag != "text" for n in self.open[at:]):
+        if at and self.open[at].tag == "svg" and self._last(("text",)) < at:
             return
         self.open[-1].children.append(data)
 
@@ -202,12 +220,22 @@ class _Builder(HTMLParser):
 class _Out:
     """Lines of one flow: collapses blanks, keeps asked-for breaks apart from text."""
 
-    def __init__(self) -> None:
+    def __init__(self, room: int = INDENT) -> None:
         self.parts: list[str] = []
         self.breaks = 0
         self.blank = False
         self.mark = ""
+        self.lead = ""  # before the mark
         self.indent = ""
+        self.room = room  # columns that indents may take
+
+    def item(self, mark: str) -> str:
+        """Begin a list item; the indent to return to."""
+        before = self.lead = self.indent
+        self.mark = mark
+        if len(before) + len(mark) <= self.room:
+            self.indent += " " * len(mark)
+        return before
 
     def ask(self, n: int) -> None:
         self.breaks = max(self.breaks, n)
@@ -217,7 +245,7 @@ class _Out:
         if self.breaks:
             if self.parts:
                 self.parts.append("\n" * self.breaks)
-            self.parts.append((self.indent[: -len(self.mark)] if self.mark else self.indent) + self.mark)
+            self.parts.append(self.lead + self.mark if self.mark else self.indent)
             self.breaks, self.mark = 0, ""
 
     def text(self, data: str, pre: bool) -> None:
@@ -285,14 +313,79 @@ def _visible(node: Node) -> bool:
     return not (style and _UNSEEN.search(style))
 
 
-def _aligned(rows: list[list[list[str]]]) -> list[str]:
-    """Lines of a table whose cells are lists of lines."""
-    width = [0] * max(map(len, rows), default=0)
+def _columns(line: str) -> int:
+    """Display columns: wide characters take two, combining ones none."""
+    if line.isascii():
+        return len(line)
+    return sum(0 if combining(c) else 2 if east_asian_width(c) in "WF" else 1 for c in line)
+
+
+def _placed(rows: list[list[tuple[list[str], int, int]] | None]) -> list[list[tuple[int, int, list[str]]]]:
+    """Rows of (first column, column behind the last, lines), with the columns left free that cells of rows above span; None ends a row group."""
+    out, held = [], []  # held: (first, behind, row behind the last)
     for row in rows:
-        for i, cell in enumerate(row):
-            width[i] = max(width[i], *map(len, cell), 0)
-    high = [max(map(len, row)) or 1 for row in rows]
-    return [" | ".join((c[k] if k < len(c) else "").ljust(width[i]) for i, c in enumerate(row)).rstrip() for row, n in zip(rows, high, strict=True) for k in range(n)]
+        if row is None:
+            held = []
+            continue
+        held = sorted(h for h in held if h[2] > len(out))
+        made, new, at, i = [], [], 0, 0
+        for lines, across, down in row:
+            while i < len(held) and held[i][0] <= at:
+                at = max(at, held[i][1])
+                i += 1
+            if down > 1 and len(held) + len(new) < HELD:
+                new.append((at, at + across, len(out) + down))
+            made.append((at, at + across, lines))
+            at += across
+        held += new
+        out.append(made)
+    return out
+
+
+def _unaligned(cells: list[list[str]]) -> Iterator[str]:
+    """Short cells side by side, longer ones on lines of their own."""
+    run: list[str] = []
+    for lines in [*cells, None]:
+        if lines is not None and len(lines) < 2 and all(_columns(x) <= WIDE for x in lines):
+            run.append("".join(lines))
+            continue
+        if any(run):
+            yield " | ".join(run).rstrip()
+        run = []
+        yield from lines or ()
+
+
+def _aligned(table: list[list[tuple[list[str], int, int]] | None]) -> Iterator[str]:
+    """Lines of a table whose cells are (lines, columns spanned, rows spanned)."""
+    rows = [r for r in _placed(table) if r]
+    starts = sorted({c[0] for r in rows for c in r})  # columns where no cell begins take no room
+    ends: defaultdict[int, list[tuple[int, int]]] = defaultdict(list)
+    plain, places = [], []
+    for row in rows:
+        cells = [(bisect_left(starts, a), bisect_left(starts, b), lines) for a, b, lines in row]
+        widths = [max(map(_columns, lines), default=0) for _, _, lines in cells]
+        plain.append(any(w > WIDE for w in widths[:-1]))
+        places.append(cells)
+        for (i, j, _), w in zip(cells, widths, strict=True):
+            if not plain[-1] and w <= WIDE:
+                ends[j].append((i, w + 3))
+    begin = [0] * (len(starts) + 1)  # display column of each column, as small as the cells before it allow
+    for j in range(1, len(begin)):
+        begin[j] = max(begin[j - 1], *(begin[i] + w for i, w in ends[j]), 0)
+    for cells, wide in zip(places, plain, strict=True):
+        high = max(len(lines) for _, _, lines in cells) or 1
+        if wide or high * begin[cells[-1][0]] > ROW_PAD + WIDE * len(cells):
+            yield from _unaligned([lines for _, _, lines in cells])
+            continue
+        for k in range(high):
+            parts, at = [], 0
+            for i, _, lines in cells:
+                if i:
+                    parts.append(" " * (begin[i] - 3 - at) + " | ")
+                shown = lines[k] if k < len(lines) else ""
+                parts.append(shown)
+                at = begin[i] + _columns(shown)
+            yield "".join(parts).rstrip()
 
 
 def _short_reference(found: re.Match) -> str:
@@ -316,9 +409,10 @@ def render(html: str | None) -> str:
     builder.close()
     out = _Out()
     outs = [out]
-    tables: list[list[list[list[str]]]] = []
+    tables: list[list[list[tuple[list[str], int, int]] | None]] = []
     lists: list[list] = []
-    pre = 0
+    indents: list[str] = []
+    pre = flat = 0  # flat: open tables beyond the depth that is laid out
     stack: list[tuple[bool, Node | str]] = [(True, builder.root)]
     while stack:
         enters, node = stack.pop()
@@ -351,8 +445,10 @@ def render(html: str | None) -> str:
                 pre += 1
                 held = "".join(c for c in node.children if isinstance(c, str)).removeprefix("\n")
                 node.children = [unescape(held) if _TAGS_IN_TEXTAREA else held]
-            if tag in ("td", "th") and tables:
-                out = _Out()
+            if tag in ("td", "th") and flat:
+                out.ask(1)
+            elif tag in ("td", "th") and tables:
+                out = _Out(out.room - len(out.indent))
                 outs.append(out)
             elif tag in BLOCKS:
                 inner = tag in ("ul", "ol") and lists
@@ -364,11 +460,15 @@ def render(html: str | None) -> str:
                 mark = f"{number}. " if ordered else "- "
                 if lists:
                     lists[-1][1] += 1
-                out.mark = mark
-                out.indent += " " * len(mark)
+                indents.append(out.item(mark))
             elif tag == "table":
-                tables.append([])
-            elif tag == "tr" and tables:
+                if flat or len(tables) == TABLES:
+                    flat += 1
+                else:
+                    tables.append([])
+            elif tag in ("tbody", "thead", "tfoot") and tables and not flat:
+                tables[-1].append(None)
+            elif tag == "tr" and tables and not flat:
                 tables[-1].append([])
             elif tag == "pre":
                 pre += 1
@@ -382,15 +482,19 @@ def render(html: str | None) -> str:
                 shown = [c for c in shown if isinstance(c, Node) and c.tag == "summary"]
             stack.extend((True, c) for c in reversed(shown))
             continue
-        if tag in ("td", "th") and tables and len(outs) > 1:
+        if tag in ("td", "th") and flat:
+            out.ask(1)
+        elif tag in ("td", "th") and tables and len(outs) > 1:
             cell = [x for x in outs.pop().result().split("\n") if x]
             out = outs[-1]
-            if not tables[-1]:
+            if not tables[-1] or tables[-1][-1] is None:
                 tables[-1].append([])
-            tables[-1][-1].append(cell)
-            tables[-1][-1] += [[]] * (min(_number(node, "colspan"), 1000) - 1)
+            down = _number(node, "rowspan")
+            tables[-1][-1].append((cell, max(1, min(_number(node, "colspan"), 1000)), max(1, down) if down else 65534))
+        elif tag == "table" and flat:
+            flat -= 1
         elif tag == "table":
-            for line in _aligned([r for r in tables.pop() if r]):
+            for line in _aligned(tables.pop()):
                 out.ask(1)
                 out.text(line, True)
         elif tag in ("ul", "ol", "menu"):
@@ -398,8 +502,7 @@ def render(html: str | None) -> str:
         elif tag == "li":
             if out.mark:  # an empty item still shows
                 out._begin()
-            ordered, number = lists[-1] if lists else (False, 1)
-            out.indent = out.indent[: -len(f"{number - 1}. " if ordered else "- ")]
+            out.indent = indents.pop()
         elif tag in ("pre", "textarea"):
             pre -= 1
         if tag in ("text", "textarea"):

@@ -2,6 +2,7 @@ import collections
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -525,6 +526,82 @@ def test_html_cells_of_several_lines():
     assert show("<table><tr><td><pre>a\n  b</pre><td>c<tr><td>long cell<td>e</table>") == "a         | c\n  b       |\nlong cell | e"
 
 
+def test_html_cells_on_a_grid():
+    show = html_text.render
+    assert show("<table><tr><td rowspan=2>A<td>b<tr><td>c<tr><td>d<td>e</table>") == "A | b\n  | c\nd | e"
+    assert show("<table><tr><th colspan=2>wide head<th>x<tr><td>1<td>2<td>3</table>") == "wide head | x\n1 | 2     | 3"
+    assert show("<table><tbody><tr><td rowspan=0>A<td>b<tr><td>c<tbody><tr><td>d<td>e</table>") == "A | b\n  | c\nd | e"
+    assert show("<table><tr><td>日本<td>x<tr><td>abcd<td>y<tr><td>e\u0301<td>z</table>") == "日本 | x\nabcd | y\ne\u0301    | z"
+    long = "w " * 50
+    assert show(f"<table><tr><td>a<td>{long}<td>b<td>c<tr><td>1<td>2<td>3<td>4</table>") == f"a\n{long.strip()}\nb | c\n1 | 2 | 3 | 4"
+
+
+def test_html_layout_brute_force():
+    """Tables of spanned cells against a grid of single fields and column widths raised until every cell fits."""
+    rng = random.Random(11)
+    for _ in range(400):
+        table = [[(rng.choice(["", "a", "bb", "cccc", "d" * 9]), rng.randrange(1, 4), rng.randrange(1, 4)) for _ in range(rng.randrange(1, 4))] for _ in range(rng.randrange(1, 5))]
+        page = "<table>" + "".join("<tr>" + "".join(f"<td colspan={a} rowspan={d}>{t}" for t, a, d in row) for row in table) + "</table>"
+        taken, cells = set(), []
+        for r, row in enumerate(table):
+            c = 0
+            for text, across, down in row:
+                while (r, c) in taken:
+                    c += 1
+                taken |= {(r + i, c + j) for i in range(down) for j in range(across)}
+                cells.append((r, c, c + across, text))
+                c += across
+        firsts = sorted({c for _, c, _, _ in cells})
+        begin = dict.fromkeys(range(max(e for _, _, e, _ in cells) + 1), 0)
+        moved = True
+        while moved:
+            moved = False
+            for _, c, e, text in cells:
+                for f in (f for f in firsts if f >= e):
+                    if begin[f] < begin[c] + len(text) + 3:
+                        begin[f], moved = begin[c] + len(text) + 3, True
+        want = []
+        for r in range(len(table)):
+            line = ""
+            for _, c, _, text in (x for x in cells if x[0] == r):
+                line = line.ljust(begin[c] - 3) + (" | " if begin[c] else "") + text
+            want.append(line.rstrip())
+        assert html_text.render(page).split("\n") == "\n".join(x for x in want).strip("\n").split("\n"), page
+
+
+def test_html_of_hostile_pages():
+    """Text and time stay in proportion to the page, and no word is lost."""
+    pages = {
+        "one wide cell": "<table><tr><td>" + "x" * 100_000 + "<tr><td>a<td>b" * 10_000 + "</table>",
+        "wide first column": "<table><tr><td>" + "x " * 50_000 + "<td>z" + "<tr><td>a<td>b" * 10_000 + "</table>",
+        "colspan": "<table>" + "<tr><td colspan=1000>x<td>y" * 4_000 + "</table>",
+        "nested colspan": "<table><tr><td colspan=1000>x" * 1_000,
+        "nested": "<table><tr><td>a<br>b<br>c<td>" * 3_000 + "y" * 50_000,
+        "many columns": "<table><tr>" + ("<td>" + "h" * 60) * 2_000 + "<tr><td colspan=1000>x<td>y" * 5_000 + "</table>",
+        "rowspan": "<table><tr>" + "<td rowspan=9999>x" * 5_000 + "<tr><td>x" * 5_000 + "</table>",
+        "tall cell": "<table><tr><td><pre>" + "a\n" * 20_000 + "</pre>" + "<td>b" * 5_000,
+        "divs": "<div>" * 100_000 + "x",
+        "divs in a paragraph": "<p><button>" + "<div>" * 100_000 + "x",
+        "svg": "<svg><text>" + "<g>x" * 50_000,
+        "lists": "<ul><li>x" * 10_000,
+        "indented lines": "<ul><li>" * 40 + "<pre>" + "x\n" * 50_000,
+    }
+    for name, page in pages.items():
+        began = time.process_time()
+        text = html_text.render(page)
+        assert time.process_time() - began < 20, name  # before the bounds: minutes, or gigabytes
+        assert len(text) <= 100 * len(page), name
+        assert len(re.sub(r"[\s|-]", "", text)) == len(re.sub(r"<[^>]*>|\s", "", page)), name
+
+
+def test_html_query(spark, tmp_path):
+    """The registered query against plain calls."""
+    rows = [(1, "<p>a<p>b"), (2, None), (3, ""), (4, "<table><tr><td>x<td>y</table>"), (4, "<table><tr><td>x<td>y</table>")]
+    spark.createDataFrame(rows, "page_id long, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = sorted(map(tuple, html_text.op9_html_extraction(spark, str(tmp_path)).collect()))
+    assert got == sorted((i, html_text.render(h), len(html_text.render(h))) for i, h in rows)
+
+
 def test_html_of_mutated_pages():
     """No markup raises, and no page shows what is not in it."""
     rng = random.Random(0)
