@@ -1,8 +1,8 @@
 """Range and interval joins on thin endpoint tables, and pair construction.
 
-Every range join is an equi-join on buckets: the right side is exploded to the
-two buckets a left row can reach, and the exact predicate follows.  Arrays never
-travel through these joins.
+Every range join is an equi-join on cells of time, x or y (``cell_join``), split at
+quantiles where they are crowded; the exact predicate follows.  Arrays never travel
+through these joins.
 """
 
 from __future__ import annotations
@@ -15,43 +15,77 @@ from pyspark.sql import functions as F
 from ..functions.numeric import unit_hash
 from .prefix import ranked_within
 
+#: A cell of a range join with more right rows than this is split, in each range into at most ``SLICES``.
+DEPTH, SLICES = 4096, 64
 
-def bucket_range_join(left: DataFrame, right: DataFrame, keys: Sequence[str], lo: Column, at: str, width: float) -> DataFrame:
-    """Pairs with ``lo <= right.at <= lo + width`` and equal keys; each pair once.
 
-    The left side has columns prefixed ``a_`` and the right side ``b_``; ``lo`` is over
-    the left side, ``at`` names a right column, ``keys`` are without prefix.
-    A left row looks into its own bucket and the next; the right row has one bucket.
+def cell_join(left: DataFrame, right: DataFrame, keys: Sequence[str], ranges: Sequence[tuple[Column, Column, str, float]], depth: int = DEPTH) -> DataFrame:
+    """Pairs with equal keys that share a cell, each at most once; all with ``lo <= right.at <= hi`` in every range are among them.
+
+    ``ranges``: (lo, hi, at, width) with ``lo``, ``hi`` over the left side and ``at`` a right column; a range whose width is not
+    positive and finite makes no cells.  Left columns are prefixed ``a_``, right ones ``b_``; ``keys`` are without prefix.
+    A right row has one cell of the given widths, a left row looks into those that its ranges meet.  A cell with more than
+    ``depth`` right rows is split in each range at its own quantiles, up to ``SLICES`` a range, so that crowded places have many
+    small cells and empty ones few large ones.  Right rows on a repeated quantile (ties) are dealt to its slices by hash.
+    Left rows with a null or non-finite bound, and right rows with a null, have no pairs.
     """
-    b = F.floor(lo / width)
-    left = left.withColumn("_k", F.explode(F.array(b, b + 1)))
-    right = right.withColumn("_k", F.floor(F.col(at) / width))
-    on = (left["_k"] == right["_k"]).__and__(F.lit(True))
-    for k in keys:
-        on = on & (left[f"a_{k}"] == right[f"b_{k}"])
-    joined = left.join(right, on).drop("_k")
-    return joined.filter((F.col(at) >= lo) & (F.col(at) <= lo + width))
+    ranges = [r for r in ranges if 0 < r[3] < float("inf")]
+    edge, cell, cut, part = ([f"_{n}{i}" for i in range(len(ranges))] for n in ("edge", "cell", "cut", "slice"))
+    for i, (lo, hi, at, width) in enumerate(ranges):
+        slack = 1e-9 * (F.abs(lo) + F.abs(hi) + width)  # the caller's predicate may round in another way
+        left = left.filter((F.abs(lo) < float("inf")) & (F.abs(hi) < float("inf"))).withColumn(edge[i], F.array(lo - slack, hi + slack))
+        low, high = F.col(edge[i])[0], F.col(edge[i])[1]
+        left = left.withColumn(cell[i], F.explode(F.sequence(F.floor(low / width), F.floor(high / width))))
+        right = right.withColumn(cell[i], F.floor(F.col(at) / width))
+    left = left.withColumns({f"_key{i}": F.col(f"a_{k}") for i, k in enumerate(keys)})
+    right = right.withColumns({f"_key{i}": F.col(f"b_{k}") for i, k in enumerate(keys)})
+    on = [f"_key{i}" for i in range(len(keys))] + cell
+
+    if not ranges:
+        return left.join(right, on).drop(*on)
+    full = right.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > depth)
+    quantiles = [F.percentile_approx(r[2], [j / SLICES for j in range(1, SLICES)], 1000).alias(c) for c, r in zip(cut, ranges, strict=True)]
+    split = right.join(full, on).groupBy(*on, "_n").agg(*quantiles)
+    count = F.least(F.lit(SLICES), F.ceil(F.pow(F.col("_n") / depth, 1 / max(1, len(ranges))))).cast("int")
+    some = lambda c: F.transform(F.sequence(F.lit(1), count - 1), lambda j: F.element_at(c, (j * SLICES / count).cast("int")))
+    split = split.withColumns({c: some(c) for c in cut}).drop("_n")
+
+    hashed = [c for c, t in right.dtypes if "map<" not in t]
+    left, right = left.join(split, on, "left"), right.join(split, on, "left")
+    below = lambda c, v: F.size(F.filter(c, lambda q: q < v))
+    upto = lambda c, v: F.size(F.filter(c, lambda q: q <= v))
+    for i, (_, _, at, _) in enumerate(ranges):
+        c, low, high, p = F.col(cut[i]), F.col(edge[i])[0], F.col(edge[i])[1], F.col(at)
+        met = F.when(c.isNull(), F.array(F.lit(0))).otherwise(F.sequence(below(c, low), upto(c, high)))
+        left = left.withColumn(part[i], F.explode(met))
+        dealt = below(c, p) + F.pmod(F.xxhash64(F.lit(i), *hashed), upto(c, p) - below(c, p) + 1)
+        right = right.withColumn(part[i], F.when(c.isNull(), F.lit(0)).otherwise(dealt).cast("int"))
+    return left.drop(*edge, *cut).join(right.drop(*cut), on + part).drop(*on, *part)
+
+
+def bucket_range_join(left: DataFrame, right: DataFrame, keys: Sequence[str], lo: Column, at: str, width: float, depth: int = DEPTH) -> DataFrame:
+    """Pairs with ``lo <= right.at <= lo + width`` and equal keys; each pair once. Columns as in ``cell_join``."""
+    met = cell_join(left, right, keys, [(lo, lo + width, at, width)], depth)
+    return met.filter((F.col(at) >= lo) & (F.col(at) <= lo + width))
 
 
 def prefixed(df: DataFrame, prefix: str) -> DataFrame:
     return df.select(*(F.col(c).alias(prefix + c) for c in df.columns))
 
 
-def candidate_pairs(ends: DataFrame, time_win: float, max_x_gap: float = 800.0, same_scenario: bool = False) -> DataFrame:
-    """Ordered pairs where b starts within ``time_win`` after a ends, same direction, x gap at most ``max_x_gap``.
+def candidate_pairs(ends: DataFrame, time_win: float, max_x_gap: float = 800.0, same_scenario: bool = False, max_dy: float = float("inf"), depth: int = DEPTH) -> DataFrame:
+    """Ordered pairs where b starts within ``time_win`` after a ends, same direction, x gap at most ``max_x_gap``, mean y apart by at most ``max_dy``.
 
-    With a finite x gap, cells of that width are part of the key: a looks into its end's cell and both neighbours.
+    The finite ones of these bounds make the cells of the join.
     """
-    a, b = prefixed(ends, "a_"), prefixed(ends, "b_")
     keys = ["direction", "scenario"] if same_scenario else ["direction"]
-    if 0 < max_x_gap < float("inf"):
-        c = F.floor(F.col("a_end_x") / max_x_gap)
-        a = a.withColumn("a_cell", F.explode(F.array(c - 1, c, c + 1)))
-        b = b.withColumn("b_cell", F.floor(F.col("b_start_x") / max_x_gap))
-        keys.append("cell")
-    pairs = bucket_range_join(a, b, keys, F.col("a_last_t"), "b_first_t", time_win).drop("a_cell", "b_cell")
-    pairs = pairs.filter((F.col("a_frag_id") != F.col("b_frag_id")) & (F.abs(F.col("b_start_x") - F.col("a_end_x")) <= max_x_gap))
-    return pairs.withColumn("gap", F.col("b_first_t") - F.col("a_last_t"))
+    last, x, y = F.col("a_last_t"), F.col("a_end_x"), F.col("a_mean_y") if max_dy < float("inf") else F.lit(0.0)
+    ranges = [(last, last + time_win, "b_first_t", time_win), (x - max_x_gap, x + max_x_gap, "b_start_x", 2 * max_x_gap), (y - max_dy, y + max_dy, "b_mean_y", 2 * max_dy)]
+    pairs = cell_join(prefixed(ends, "a_"), prefixed(ends, "b_"), keys, ranges, depth)
+    good = (F.col("b_first_t") >= last) & (F.col("b_first_t") <= last + time_win) & (F.abs(F.col("b_start_x") - x) <= max_x_gap)
+    if max_dy < float("inf"):
+        good &= F.abs(y - F.col("b_mean_y")) <= max_dy
+    return pairs.filter(good & (F.col("a_frag_id") != F.col("b_frag_id"))).withColumn("gap", F.col("b_first_t") - last)
 
 
 def node_compatible(pairs: DataFrame, nodes: DataFrame, diff: int = 0, invalid: float = 1e5, cost: str = "cost") -> DataFrame:
@@ -69,9 +103,9 @@ def directional_gap(pairs_direction: Column, a_end: Column, b_start: Column) ->
 
 def strict_candidates(ends: DataFrame, max_gap: float = 5.0, x_range: tuple[float, float] = (-50.0, 200.0), max_dy: float = 5.0) -> DataFrame:
     """Candidates that truly follow, with a directional x gap in range and close mean y."""
-    pairs = candidate_pairs(ends, max_gap, max(map(abs, x_range)))
+    pairs = candidate_pairs(ends, max_gap, max(map(abs, x_range)), max_dy=max_dy)
     x = directional_gap(F.col("a_direction"), F.col("a_end_x"), F.col("b_start_x"))
-    return pairs.filter((F.col("gap") > 0) & (x >= x_range[0]) & (x <= x_range[1]) & (F.abs(F.col("a_mean_y") - F.col("b_mean_y")) <= max_dy))
+    return pairs.filter((F.col("gap") > 0) & (x >= x_range[0]) & (x <= x_range[1]))
 
 
 def with_extent(ends: DataFrame) -> DataFrame:
@@ -87,20 +121,25 @@ def overlaps(a, b):
     return (a[1] > b[0]) & (b[1] > a[0]) & (a[2] <= b[3]) & (b[2] <= a[3])
 
 
-def overlap_pairs(ends: DataFrame, bucket: float, wanted: DataFrame | None = None) -> DataFrame:
+def overlap_pairs(ends: DataFrame, bucket: float, wanted: DataFrame | None = None, stretch: float = 1000.0) -> DataFrame:
     """Unordered pairs (a_id < b_id) of tracks that overlap in time and in extended x; with ``wanted``, only pairs with one of its tracks.
 
-    Both sides are exploded to the time buckets they cover; a pair counts in the
-    bucket where its overlap begins, so it appears once.
+    Both sides are exploded to the cells of time and road (``bucket``, ``stretch``) they
+    cover; a pair counts in the cell where its overlap begins, so it appears once.
     """
-    cover = F.explode(F.sequence(F.floor(F.col("first_t") / bucket), F.floor(F.col("last_t") / bucket)))
-    covered = lambda t: with_extent(t).select("frag_id", "direction", "first_t", "last_t", "x_lo", "x_hi", cover.alias("k"))
+    cover = lambda lo, hi, width: F.explode(F.sequence(F.floor(F.col(lo) / width), F.floor(F.col(hi) / width)))
+
+    def covered(t: DataFrame) -> DataFrame:
+        t = with_extent(t).filter("last_t >= first_t and x_hi >= x_lo and x_hi - x_lo < double('Infinity')")
+        t = t.select("frag_id", "direction", "first_t", "last_t", "x_lo", "x_hi", cover("first_t", "last_t", bucket).alias("k"))
+        return t.withColumn("s", cover("x_lo", "x_hi", stretch))
+
     a, b = prefixed(covered(ends if wanted is None else wanted), "a_"), prefixed(covered(ends), "b_")
-    on = (F.col("a_direction") == F.col("b_direction")) & (F.col("a_k") == F.col("b_k"))
-    begin = F.greatest("a_first_t", "b_first_t")
+    on = (F.col("a_direction") == F.col("b_direction")) & (F.col("a_k") == F.col("b_k")) & (F.col("a_s") == F.col("b_s"))
+    begin, place = F.greatest("a_first_t", "b_first_t"), F.greatest("a_x_lo", "b_x_lo")
     side = lambda p: [F.col(f"{p}_{c}") for c in ("first_t", "last_t", "x_lo", "x_hi")]
     order = F.col("a_frag_id") < F.col("b_frag_id") if wanted is None else F.col("a_frag_id") != F.col("b_frag_id")
-    met = a.join(b, on).filter(order & overlaps(side("a"), side("b")) & (F.floor(begin / bucket) == F.col("a_k")))
+    met = a.join(b, on).filter(order & overlaps(side("a"), side("b")) & (F.floor(begin / bucket) == F.col("a_k")) & (F.floor(place / stretch) == F.col("a_s")))
     first, last = (F.col("a_frag_id"), F.col("b_frag_id")) if wanted is None else (F.least("a_frag_id", "b_frag_id"), F.greatest("a_frag_id", "b_frag_id"))
     out = met.select(first.alias("a_frag_id"), last.alias("b_frag_id"), F.col("a_direction").alias("direction"), begin.alias("overlap_start"), F.least("a_last_t", "b_last_t").alias("overlap_end"))
     return out if wanted is None else out.distinct()
@@ -142,9 +181,11 @@ def positive_pairs(ends: DataFrame, mode: str = "consecutive") -> DataFrame:
 
 def cross_negatives(ends: DataFrame, groups: Sequence[str], max_gap: float = 10.0, max_dy: float = 5.0) -> DataFrame:
     """Pairs of different vehicles in a group with a gap in (0, max_gap] and close mean y."""
-    pairs = bucket_range_join(prefixed(ends, "a_"), prefixed(ends, "b_"), list(groups), F.col("a_last_t"), "b_first_t", max_gap)
-    return pairs.withColumn("gap", F.col("b_first_t") - F.col("a_last_t")).filter(
-        (F.col("a_gt_id") != F.col("b_gt_id")) & (F.col("gap") > 0) & (F.abs(F.col("a_mean_y") - F.col("b_mean_y")) <= max_dy)
+    last, y = F.col("a_last_t"), F.col("a_mean_y")
+    ranges = [(last, last + max_gap, "b_first_t", max_gap), (y - max_dy, y + max_dy, "b_mean_y", 2 * max_dy)]
+    pairs = cell_join(prefixed(ends, "a_"), prefixed(ends, "b_"), list(groups), ranges)
+    return pairs.withColumn("gap", F.col("b_first_t") - last).filter(
+        (F.col("a_gt_id") != F.col("b_gt_id")) & (F.col("gap") > 0) & (F.col("b_first_t") <= last + max_gap) & (F.abs(F.col("a_mean_y") - F.col("b_mean_y")) <= max_dy)
     )
 
 
