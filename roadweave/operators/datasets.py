@@ -224,24 +224,33 @@ def stratification_key(rows: DataFrame, features: Sequence[str], bins: int = 8)
     return met.withColumn("strat_key", key).drop(*(f"_q_{c}" for c in features))
 
 
+def _diverse_order(rows: DataFrame, key: str, groups: Sequence[str], strat: str, seed: int) -> DataFrame:
+    """``rows`` with ``_lead`` and ``_o``: within its groups a row comes sooner if ``_lead`` (first of its bin), then by a smaller ``_o``."""
+    bin_ = [*groups, strat]
+    rows = rows.withColumn("_u", unit_hash(key, seed=seed))
+    bins = rows.groupBy(*bin_).agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct("_u", key))[key].alias("_first"))
+    met = rows.join(bins, bin_).withColumn("_lead", F.col(key) == F.col("_first"))
+    order = F.when(F.col("_lead"), F.col("_n").cast("double")).otherwise(-F.log(F.greatest(F.col("_u"), F.lit(1e-12))) * F.sqrt("_n"))
+    return met.withColumn("_o", order).drop("_n", "_u", "_first")
+
+
 def diverse_sample(rows: DataFrame, n: int, key: str, strat: str = "strat_key", seed: int = 0) -> DataFrame:
     """One row of each bin first (rarest bins first), then by weights 1 / sqrt(bin size), without replacement."""
-    sizes = rows.groupBy(strat).agg(F.count(F.lit(1)).alias("_n"))
-    u = unit_hash(key, seed=seed)
-    met = rows.join(sizes, strat).withColumn("_u", u)
-    head = met.groupBy(strat).agg(F.min(F.struct("_u", key)).alias("_h")).select(strat, F.col(f"_h.{key}").alias("_first"))
-    met = met.join(head, strat)
-    lead = F.col(key) == F.col("_first")
-    order = F.when(lead, F.col("_n").cast("double")).otherwise(-F.log(F.greatest(F.col("_u"), F.lit(1e-12))) * F.sqrt("_n"))
-    return met.withColumn("_lead", lead).withColumn("_o", order).orderBy(F.desc("_lead"), "_o", key).limit(n).drop("_n", "_u", "_first", "_lead", "_o")
-
-
-def balanced_build(base: DataFrame, extra: DataFrame, k: int, key: str, shares: Sequence[float] = (0.6, 0.3, 0.1), seed: int = 0) -> DataFrame:
-    """All of ``base`` plus ``k`` rows of each class from ``extra`` by hardness (hard, medium, easy). ``extra`` has label and bucket."""
+    return _diverse_order(rows, key, [], strat, seed).orderBy(F.desc("_lead"), "_o", key).limit(n).drop("_lead", "_o")
+
+
+def balanced_build(base: DataFrame, extra: DataFrame, k: int, key: str, shares: Sequence[float] = (0.6, 0.3, 0.1), strat: str = "strat_key", seed: int = 0) -> DataFrame:
+    """All of ``base`` plus ``k`` rows of each class from ``extra`` by hardness (hard, medium, easy), each share a diverse sample of its bucket.
+
+    ``extra`` has label, bucket and the bin ``strat``.  Where a bucket has too few rows, the class's other rows fill up to ``k``
+    in the same order.  A task keeps at most ``k`` rows of a bucket before the shuffle.
+    """
     quotas = dict(zip(("hard", "medium", "easy"), largest_remainder(k, shares), strict=True))
-    ranked = rank_in_ranges(extra.withColumn("_u", unit_hash(key, seed=seed)), ["label", "bucket"], "_u", [key])
+    order = [F.desc("_lead"), "_o", key]
+    ranked = _diverse_order(extra, key, ["label", "bucket"], strat, seed).withColumn("rn", F.row_number().over(Window.partitionBy("label", "bucket").orderBy(*order))).filter(F.col("rn") <= k)
     quota = reduce(lambda c, b: F.when(F.col("bucket") == b, quotas[b]).otherwise(c), quotas, F.lit(0))
-    chosen = ranked.filter(F.col("rn") <= quota).select(*base.columns)
+    ranked = ranked.withColumn("_over", F.col("rn") > quota)
+    chosen = ranked.withColumn("rn", F.row_number().over(Window.partitionBy("label").orderBy("_over", *order))).filter(F.col("rn") <= k).select(*base.columns)
     return base.withColumn("source_tag", F.lit("base")).unionByName(chosen.withColumn("source_tag", F.lit("extra")))
 
 

@@ -438,9 +438,9 @@ def diverse_sample(spark, d):
     return datasets.diverse_sample(s, 100, "doc_id").select("doc_id", "strat_key")
 
 
-@query(f"WITH {SCORES}, x AS (SELECT * FROM scores WHERE rest >= 10), q AS (SELECT label, quantile_cont(p, 0.4) AS a, quantile_cont(p, 0.75) AS b FROM x GROUP BY label), h AS (SELECT doc_id, label, CASE WHEN p >= b THEN 24 WHEN p >= a THEN 12 ELSE 4 END AS quota, {UNIT_HASH_SQL.format('doc_id', 0)} AS u FROM x JOIN q USING (label)), r AS (SELECT *, row_number() OVER (PARTITION BY label, quota ORDER BY u, doc_id) AS rn FROM h) SELECT doc_id, label, 'base' AS source_tag FROM scores WHERE rest < 10 UNION ALL SELECT doc_id, label, 'extra' FROM r WHERE rn <= quota")
+@query(f"WITH {STRAT}, x AS (SELECT doc_id, label, p, strat_key FROM scores JOIN k USING (doc_id) WHERE rest >= 10), c AS (SELECT label, quantile_cont(p, 0.4) AS a, quantile_cont(p, 0.75) AS b FROM x GROUP BY label), h AS (SELECT doc_id, label, strat_key, CASE WHEN p >= b THEN 24 WHEN p >= a THEN 12 ELSE 4 END AS quota, {UNIT_HASH_SQL.format('doc_id', 0)} AS u FROM x JOIN c USING (label)), l AS (SELECT *, count(*) OVER (PARTITION BY label, quota, strat_key) AS n, row_number() OVER (PARTITION BY label, quota, strat_key ORDER BY u, doc_id) = 1 AS lead FROM h), o AS (SELECT *, CASE WHEN lead THEN n ELSE -ln(greatest(u, 1e-12)) * sqrt(n) END AS o FROM l), r AS (SELECT *, row_number() OVER (PARTITION BY label, quota ORDER BY lead DESC, o, doc_id) > quota AS over FROM o), f AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY over, lead DESC, o, doc_id) AS rn FROM r) SELECT doc_id, label, 'base' AS source_tag FROM scores WHERE rest < 10 UNION ALL SELECT doc_id, label, 'extra' FROM f WHERE rn <= 40")
 def balanced_build(spark, d):
-    s = scores(spark, d).withColumns({"difficulty": F.col("p"), "misclassified": F.lit(False)})
+    s = datasets.stratification_key(scores(spark, d), ("p", "rest")).withColumns({"difficulty": F.col("p"), "misclassified": F.lit(False)})
     base = scores(spark, d).filter("rest < 10").select("doc_id", "label")
     return datasets.balanced_build(base, datasets.hardness_buckets(s.filter("rest >= 10")), 40, "doc_id")
 
