@@ -4,9 +4,9 @@ The ``tokenizers`` library runs over Arrow batches.  A text is first cut before
 each blank that a non-blank character follows: at these places every pattern of
 the byte-level family ends a match, so the parts are encoded independently and
 equal parts are encoded once (a bounded cache per worker, of two generations, so
-that frequent parts stay when it is full).  What the cache lacks is encoded as one
-text; ids are dealt back to parts by the lengths of their bytes.  Long texts need little
-more memory than their own ids.  Decoding reverses the byte table: ids become
+that frequent parts stay when it is full; Arrow columns hold it and look it up).  What
+the cache lacks is encoded as texts of some parts; ids are dealt back to parts by the
+lengths of their bytes.  Long texts need little more memory than their own ids.  Decoding reverses the byte table: ids become
 bytes first and the bytes are read as UTF-8 only when they are joined, so
 characters split over several ids are whole again.
 
@@ -31,8 +31,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ._common import read
 
-CACHE_PARTS = 150_000
+CACHE_PARTS = 300_000
 BATCH_PARTS = 4_096
+JOINED_PARTS = 128
 CACHED_BYTES = 48
 _BREAK = re.compile(r" (?=\S)")
 _ODD = re.compile(r" (?:\s|\Z)")
@@ -102,11 +103,34 @@ def slices(batch: pa.RecordBatch, column: int, most: int = 8 << 20) -> Iterator[
 _MADE: dict[tuple, Encoder] = {}
 
 
+class _Held:
+    """Words and their ids as two Arrow columns: some 50 bytes a word, where Python's own objects take over 200."""
+
+    def __init__(self):
+        self.words, self.ids = pa.array([], pa.large_string()), pa.array([], pa.large_binary())
+
+    def __len__(self) -> int:
+        return len(self.words)
+
+    def add(self, words: pa.Array, ids: pa.Array) -> None:
+        self.words, self.ids = pa.concat_arrays([self.words, words]), pa.concat_arrays([self.ids, ids])
+
+    def find(self, words: pa.Array) -> np.ndarray:
+        """Place of each word, or -1."""
+        return pc.fill_null(pc.index_in(words, value_set=self.words), -1).to_numpy().copy()
+
+
+def _column(ids: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Runs of ``ids`` that stop before ``ends``, as binary values."""
+    bounds = np.concatenate(([0], 4 * ends)).astype(np.int64)
+    return pa.Array.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(bounds), pa.py_buffer(ids)])
+
+
 class Encoder:
     """Ids of texts as little-endian unsigned 32-bit bytes; one per worker process and vocabulary."""
 
     def __init__(self, tokenizer):
-        self.tokenizer, self.known, self.before = tokenizer, {}, {}
+        self.tokenizer, self.known, self.before = tokenizer, _Held(), _Held()
         vocabulary = tokenizer.get_vocab(with_added_tokens=False)
         self.lengths = np.zeros(1 + max(vocabulary.values()), dtype=np.int64)  # a character of a token stands for a byte
         self.lengths[list(vocabulary.values())] = list(map(len, vocabulary))
@@ -137,61 +161,72 @@ class Encoder:
         """Ids of texts that are cut into parts; all parts but a text's first have lost the blank before them."""
         offsets = cut.offsets.to_numpy()
         words = cut.flatten().dictionary_encode()
-        codes = words.indices.to_numpy()
-        first = codes[offsets[:-1]]
+        codes, first = words.indices.to_numpy(), offsets[:-1]
         rest = np.ones(len(codes), dtype=bool)
-        rest[offsets[:-1]] = False
+        rest[first] = False
         used = np.zeros(len(words.dictionary), dtype=bool)
         used[codes[rest]] = True
         places = np.flatnonzero(used)
-        ids = self._ids(words.dictionary.take(pa.array(places)))
-        firsts = self._made(words.dictionary.take(pa.array(first)).to_pylist())
+        ids, of_word = self._ids(words.dictionary.take(pa.array(places)))
         place = np.zeros(len(used), dtype=np.int32)
-        place[places] = np.arange(len(places))
-        codes, bounds, of = place[codes], offsets.tolist(), ids.__getitem__
-        return [x + b"".join(map(of, codes[a + 1 : b].tolist())) for x, a, b in zip(firsts, bounds[:-1], bounds[1:], strict=True)]
-
-    def _ids(self, distinct: pa.Array) -> list[bytes]:
-        """Ids of distinct words, each with the blank before it."""
-        words = distinct.to_numpy(zero_copy_only=False).tolist()
-        ids = list(map(self.known.get, words))
-        gaps = [i for i, x in enumerate(ids) if x is None]
-        for i, x in zip(gaps, map(self.before.get, [words[i] for i in gaps]), strict=True):
-            ids[i] = x
-        new = [i for i in gaps if ids[i] is None]
-        sizes = pc.binary_length(distinct).to_numpy()
-        for at in range(0, len(new), BATCH_PARTS):
-            some = new[at : at + BATCH_PARTS]
-            for i, x in zip(some, self._encoded_joined([" " + words[i] for i in some], sizes[some] + 1), strict=True):
-                ids[i] = x
-        kept = np.array(gaps, dtype=np.int64)
-        kept = kept[sizes[kept] <= CACHED_BYTES].tolist()
-        for at in range(0, len(kept), BATCH_PARTS):
+        place[places] = of_word
+        at = place[codes]
+        at[first] = np.arange(len(ids), len(ids) + len(first))
+        firsts = self._made(words.dictionary.take(pa.array(codes[first])))
+        _, ends, flat = pa.concat_arrays([ids, firsts]).take(pa.array(at)).buffers()
+        bounds, flat = np.frombuffer(ends, dtype=np.int64)[offsets].tolist(), memoryview(flat or b"")
+        return [bytes(flat[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+
+    def _ids(self, distinct: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """A column of ids, and the place in it of each of the distinct words, with the blank before it."""
+        known, before = self.known, self.before
+        place = known.find(distinct)
+        gaps = np.flatnonzero(place < 0)
+        missed = distinct.take(pa.array(gaps))
+        older = before.find(missed)
+        new = np.flatnonzero(older < 0)
+        older[new] = np.arange(len(before), len(before) + len(new))
+        place[gaps] = len(known) + older
+        ids = pa.concat_arrays([known.ids, before.ids, self._made(missed.take(pa.array(new)), blank=True)])
+        self._keep(missed, ids.take(pa.array(place[gaps])))
+        return ids, place
+
+    def _keep(self, words: pa.Array, ids: pa.Array) -> None:
+        short = pc.less_equal(pc.binary_length(words), CACHED_BYTES)
+        words, ids = words.filter(short), ids.filter(short)
+        while len(words):
             if len(self.known) >= CACHE_PARTS:
-                self.known, self.before = {}, self.known
-            some = kept[at : at + BATCH_PARTS]
-            self.known.update(zip([words[i] for i in some], [ids[i] for i in some], strict=True))
-        return ids
-
-    def _encoded_joined(self, parts: list[str], sizes: np.ndarray) -> list[bytes]:
-        """Ids of parts of ``sizes`` bytes that begin with a blank and another character, so that no match reaches from one into the next."""
-        found = np.array(self.tokenizer.encode("".join(parts), add_special_tokens=False).ids, dtype="<u4")
-        at, ends = np.cumsum(self.lengths[found]), np.cumsum(sizes)
-        places = np.searchsorted(at, ends)
-        if not len(at) or places[-1] >= len(at) or (at[places] != ends).any():
-            return self._encoded(parts)
-        flat, bounds = found.tobytes(), (4 * (places + 1)).tolist()
-        return [flat[a:b] for a, b in zip([0, *bounds], bounds, strict=False)]
+                self.known, self.before = _Held(), self.known
+            room = CACHE_PARTS - len(self.known)
+            self.known.add(words.slice(0, room), ids.slice(0, room))
+            words, ids = words.slice(room), ids.slice(room)
 
-    def _made(self, parts: list[str]) -> list[bytes]:
+    def _made(self, parts: pa.Array, blank: bool = False) -> pa.Array:
         """Ids of parts, some at a time, because the library's own records are many times as large as the ids."""
-        return [ids for i in range(0, len(parts), BATCH_PARTS) for ids in self._encoded(parts[i : i + BATCH_PARTS])]
+        made = [pa.array([], pa.large_binary())]
+        for at in range(0, len(parts), BATCH_PARTS):
+            some = parts.slice(at, BATCH_PARTS)
+            made.append(self._encoded_joined(some) if blank else _column(*self._encoded(some.to_pylist())))
+        return pa.concat_arrays(made)
+
+    def _encoded_joined(self, words: pa.Array) -> pa.Array:
+        """Ids of words that begin with no blank, each with a blank before it, so that no match reaches from one into the next.
+
+        They are joined to texts of ``JOINED_PARTS`` words: a text for each word costs more, and so does a long text.
+        """
+        held = words.to_numpy(zero_copy_only=False).tolist()
+        found, _ = self._encoded([" " + " ".join(held[i : i + JOINED_PARTS]) for i in range(0, len(held), JOINED_PARTS)])
+        at, ends = np.cumsum(self.lengths[found]), np.cumsum(pc.binary_length(words).to_numpy() + 1)
+        places = np.searchsorted(at, ends)
+        if not len(at) or places[-1] >= len(at) or (at[places] != ends).any():
+            return _column(*self._encoded([" " + word for word in held]))
+        return _column(found, places + 1)
 
-    def _encoded(self, parts: list[str]) -> list[bytes]:
+    def _encoded(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all parts, and where each part's end."""
         found = [x.ids for x in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
-        ends = np.cumsum([4 * len(x) for x in found], dtype=np.int64).tolist()
-        flat = np.fromiter(chain.from_iterable(found), dtype="<u4", count=ends[-1] // 4 if ends else 0).tobytes()
-        return [flat[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+        ends = np.cumsum(list(map(len, found)), dtype=np.int64)
+        return np.fromiter(chain.from_iterable(found), dtype="<u4", count=ends[-1] if len(ends) else 0), ends
 
 
 def offsets(tokenizer, text: str) -> list[tuple[int, int, int]]:

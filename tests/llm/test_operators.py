@@ -670,6 +670,41 @@ def test_bpe_equals_tiktoken(spark, docs, texts, monkeypatch):
     assert [i for i, _, _ in found] == reference.encode_ordinary("a日b")
 
 
+def test_encoder_work_and_memory_of_rare_words():
+    """Words that the cache lacks travel in texts of bounded length, once while they are held, and are held in few bytes."""
+    import public_tokenizers
+
+    tokenizer, rng = bpe.tokenizer_from_file(public_tokenizers.path("byte_bpe_50k.json")), random.Random(9)
+
+    class Spy:
+        def __init__(self):
+            self.texts = []
+
+        def encode_batch_fast(self, texts, **options):
+            self.texts += texts
+            return tokenizer.encode_batch_fast(texts, **options)
+
+        def encode(self, text, **options):
+            self.texts.append(text)
+            return tokenizer.encode(text, **options)
+
+        def get_vocab(self, **options):
+            return tokenizer.get_vocab(**options)
+
+    words = list({"".join(rng.choice("abcdefgh\u00e9") for _ in range(rng.randrange(5, 15))) for _ in range(20_000)})
+    texts = ["", "x", None, " a  b ", *(" ".join(words[i : i + 150]) for i in range(0, len(words), 150))]
+    spy = Spy()
+    encoder = bpe.Encoder(spy)
+    want = [tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(i, "<u4").tolist() for i in encoder.encode(texts)] == want
+    seen = collections.Counter(w for t in spy.texts for w in t.split(" "))
+    assert max(len(t.split()) for t in spy.texts) <= 128 and max(seen[w] for w in words) == 1
+    spy.texts.clear()
+    assert [np.frombuffer(i, "<u4").tolist() for i in encoder.encode(texts)] == want
+    assert max(len(t.split()) for t in spy.texts) <= 2  # first words of texts, and what follows two blanks
+    assert len(encoder.known) >= 19_000 and (encoder.known.words.nbytes + encoder.known.ids.nbytes) / len(encoder.known) < 64
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 
