@@ -155,8 +155,6 @@ class Encoder:
             if len(rows):
                 for i, ids in zip(rows, self._encode_cut(parts), strict=True):
                     out[i] = ids
-        del cut, parts
-        pa.default_memory_pool().release_unused()  # workers live on into other stages
         return out
 
     def _encode_cut(self, cut: pa.Array) -> list[bytes]:
