@@ -1,5 +1,6 @@
 """Cells of range joins against all pairs."""
 
+import math
 import random
 
 import pytest
@@ -100,3 +101,14 @@ def test_cross_negatives_equal_all_pairs(spark):
     got = joins.cross_negatives(spark.createDataFrame(rows, ENDS), ["direction", "scenario"])
     want = sorted((a[0], b[0]) for a in rows for b in rows if a[2:4] == b[2:4] and a[1] != b[1] and 0 < b[4] - a[5] <= 10 and abs(a[8] - b[8]) <= 5)
     assert sorted((r.a_frag_id, r.b_frag_id) for r in got.collect()) == want
+
+
+def test_gaps_are_bounded_as_differences(spark):
+    """b starts an ulp around a's end plus the bound, where sum and difference round to different sides; the difference decides, as in SQL."""
+    near = [(a, b) for a in (0.1 * i for i in range(1, 300)) for b in (a + 5.0, math.nextafter(a + 5.0, 1e9), math.nextafter(a + 5.0, 0)) if (b - a <= 5) != (b <= a + 5)]
+    assert len({b - a <= 5 for a, b in near}) == 2
+    rows = [(2 * i + j, 2 * i + j, 1, "a", first, last, 0.0, 0.0, 20.0 * i, 15.0) for i, (a, b) in enumerate(near) for j, (first, last) in enumerate([(a - 1, a), (b, b + 1)])]
+    want = sorted((a[0], b[0]) for a in rows for b in rows if 0 < b[4] - a[5] <= 5 and abs(a[8] - b[8]) <= 5)
+    ends = spark.createDataFrame(rows, ENDS)
+    for got in (joins.strict_candidates(ends), joins.cross_negatives(ends, ["direction", "scenario"], 5.0)):
+        assert sorted((r.a_frag_id, r.b_frag_id) for r in got.collect()) == want
