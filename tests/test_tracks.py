@@ -363,3 +363,22 @@ def test_registered_sql_and_queries():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+QUIET = ("pair_features",)  # queries on candidate pairs that shuffle fragments, not pairs
+
+
+@pytest.mark.parametrize("name", QUIET)
+def test_pairs_are_not_shuffled(spark, name, capsys):
+    """Nothing is exchanged above the range join: what a pair needs of its fragments travels with these."""
+    from roadweave.plans import tracks
+
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        tracks.QUERIES[name](spark, "/root/testdata/sf0.001").explain()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    lines = capsys.readouterr().out.split("Initial Plan")[0].splitlines()
+    first = next(i for i, line in enumerate(lines) if "Join" in line)
+    assert not [line for line in lines[:first] if "Exchange" in line]
