@@ -33,3 +33,19 @@ def test_balanced_build_brute_force(spark):
     assert {(r.id, r.source_tag) for r in got} == want
     assert len(got) == len(want) == 2 + 30 + 30 + 5
     assert datasets.balanced_build(base, extra.limit(0), 30, "id").count() == 2
+
+
+def test_gap_stratified_keeps_a_few_rows_a_task(spark, capsys):
+    """Quotas by bin, shortfalls in hash order; each bin is cut to the total where its pairs are, and nothing else is sorted."""
+    rng = random.Random(3)
+    rows = [(f"a{i}", f"b{i % 7}", rng.choice([0.0, 1.0, 5.0, 7.0, 10.0, 10.5, 40.0])) for i in range(60)] + [("c", "d", 12.0)]
+    pairs = spark.createDataFrame(rows, "a_frag_id string, b_frag_id string, gap double")
+    u = {(r.a_frag_id, r.b_frag_id): r.u for r in pairs.select("a_frag_id", "b_frag_id", unit_hash("a_frag_id", "b_frag_id", seed=0).alias("u")).collect()}
+    bins = [sorted((u[a, b], a, b) for a, b, gap in rows if low < gap <= low + 5) for low in (0.0, 5.0, 10.0)]
+    for total, quotas in ((10, (4, 4, 2)), (20, (8, 7, 5)), (1000, (400, 350, 250))):
+        want = sorted((rank >= quota, *r, i) for i, (found, quota) in enumerate(zip(bins, quotas, strict=True)) for rank, r in enumerate(found))[:total]
+        got = datasets.gap_stratified(pairs, total)
+        assert [(r.a_frag_id, r.b_frag_id, r.bin) for r in got.collect()] == [r[2:] for r in want]
+    capsys.readouterr()
+    got.explain()
+    assert capsys.readouterr().out.split("Initial Plan")[0].count("TakeOrderedAndProject") == 4
