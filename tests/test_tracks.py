@@ -382,3 +382,14 @@ def test_pairs_are_not_shuffled(spark, name, capsys):
     lines = capsys.readouterr().out.split("Initial Plan")[0].splitlines()
     first = next(i for i, line in enumerate(lines) if "Join" in line)
     assert not [line for line in lines[:first] if "Exchange" in line]
+
+
+def test_pairs_of_costs_by_label_are_not_kept(spark, monkeypatch):
+    """The tables that ``candidate_cost_by_label`` writes have a row per fragment at most, not one per pair."""
+    from roadweave.plans import tracks
+
+    kept = []
+    monkeypatch.setattr(tracks, "checkpointed", lambda df: kept.append(df) or df)
+    made = tracks.QUERIES["candidate_cost_by_label"](spark, "/root/testdata/sf0.001").collect()
+    assert kept and made
+    assert all("frag_id" in df.columns and df.count() == df.select("frag_id").distinct().count() for df in kept)
